@@ -58,11 +58,11 @@ def sales_metrics(df: DataFrame, keys: list[str], *, tx: str = "transaction_id",
                       share("_house").alias("house_share_pct"), *extras)
 
 
-def street_sales_metrics(df: DataFrame) -> DataFrame:
+def street_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
     """Street x year: metric block + distinct buildings, geocoded transactions, median lon/lat."""
     keys = ["street_key", "street_name", "arrondissement", "commune_insee", "year"]
     m = sales_metrics(
-        df, keys,
+        df.where(F.col(keys[0]).isNotNull()), keys, **kinds,
         extra_medians={"longitude": "longitude", "latitude": "latitude"},
         extra_aggs=[F.count_distinct("building_id").alias("buildings"),
                     F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
@@ -71,12 +71,12 @@ def street_sales_metrics(df: DataFrame) -> DataFrame:
                     *METRIC_COLUMNS)
 
 
-def building_sales_metrics(df: DataFrame) -> DataFrame:
+def building_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
     """Building x year (9 keys): metric block + geocoded transactions, median lon/lat, parcels."""
     keys = ["building_id", "building_id_source", "building_label", "arrondissement",
             "commune_insee", "street_name", "house_number", "house_suffix", "year"]
     m = sales_metrics(
-        df, keys,
+        df.where(F.col(keys[0]).isNotNull()), keys, **kinds,
         extra_medians={"longitude": "longitude", "latitude": "latitude"},
         extra_aggs=[F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
                      .alias("geocoded_transactions"),

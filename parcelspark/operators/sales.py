@@ -46,19 +46,31 @@ def filter_sales(df: DataFrame, *, nature_col: str = "nature_mutation", nature:
               .withColumn("price_per_m2", price))
 
 
+def address_fields(df: DataFrame, *, dep: str, commune: str, number: str, suffix: str,
+                   street: str, street_type: str | None = None) -> DataFrame:
+    """Adds commune_insee, house_number, house_suffix, street_name and both address keys
+    (``insee|number|suffix|street`` and ``insee|number|street``)."""
+    c = F.col
+    raw_street = c(street) if street_type is None else F.concat_ws(
+        " ", F.coalesce(c(street_type), F.lit("")), F.coalesce(c(street), F.lit("")))
+    out = df.select(
+        "*",
+        codes.commune_insee(c(dep), c(commune)).alias("commune_insee"),
+        text.normalize_house_number(c(number)).alias("house_number"),
+        text.normalize_house_suffix(c(suffix)).alias("house_suffix"),
+        text.normalize_street_name(raw_street).alias("street_name"))
+    return out.select(
+        "*",
+        codes.pipe_key("commune_insee", "house_number", "house_suffix", "street_name").alias("address_key"),
+        codes.pipe_key("commune_insee", "house_number", "street_name").alias("address_key_no_suffix"))
+
+
 def type_raw_sales(raw: DataFrame) -> DataFrame:
     """Raw all-string sales rows -> typed fields + keys (district, values, INSEE, parcel,
     address keys, transaction id). ``year`` must already be present (from the file name)."""
     c = F.col
-    house_number = text.normalize_house_number(c("No voie"))
-    house_suffix = text.normalize_house_suffix(c("B/T/Q"))
-    street_name = text.normalize_street_name(
-        F.concat_ws(" ", F.coalesce(c("Type de voie"), F.lit("")), F.coalesce(c("Voie"), F.lit(""))))
-    insee = codes.commune_insee(c("Code departement"), c("Code commune"))
-    parcel = codes.parcel_id(c("Code departement"), c("Code commune"), c("Prefixe de section"),
-                             c("Section"), c("No plan"))
     typed = raw.select(
-        "year",
+        "year", "Code departement", "Code commune", "No voie", "B/T/Q", "Type de voie", "Voie",
         c("Date mutation").alias("date_mutation"),
         c("Nature mutation").alias("nature_mutation"),
         c("Reference document").alias("reference_document"),
@@ -70,16 +82,14 @@ def type_raw_sales(raw: DataFrame) -> DataFrame:
         numeric.parse_french_number(c("Valeur fonciere")).alias("sale_value_eur"),
         numeric.parse_french_number(c("Surface reelle bati")).alias("built_surface_m2"),
         numeric.parse_french_number(c("Nombre pieces principales")).alias("rooms"),
-        insee.alias("commune_insee"),
-        house_number.alias("house_number"),
-        house_suffix.alias("house_suffix"),
-        street_name.alias("street_name"),
-        parcel.alias("parcel_id"),
+        codes.parcel_id(c("Code departement"), c("Code commune"), c("Prefixe de section"),
+                        c("Section"), c("No plan")).alias("parcel_id"),
     )
+    typed = address_fields(typed, dep="Code departement", commune="Code commune", number="No voie",
+                           suffix="B/T/Q", street="Voie", street_type="Type de voie")
+    typed = typed.drop("Code departement", "Code commune", "No voie", "B/T/Q", "Type de voie", "Voie")
     return typed.select(
         "*",
-        codes.pipe_key("commune_insee", "house_number", "house_suffix", "street_name").alias("address_key"),
-        codes.pipe_key("commune_insee", "house_number", "street_name").alias("address_key_no_suffix"),
         codes.pipe_key("date_mutation", "raw_value", "parcel_id", "house_number", "street_name",
                        "property_type", "raw_surface").alias("transaction_id"),
     )

@@ -8,19 +8,27 @@ from __future__ import annotations
 
 
 def r(expr: str, n: int = 2) -> str:
-    scale = f"{10 ** n}.0"
+    scale = f"{10 ** n}.0::DOUBLE"
     return f"round_even(({expr}) * {scale}, 0) / {scale}"
 
 
+def norm(expr: str) -> str:
+    """normalize_text for ASCII input (the test tables' brands and names)."""
+    return (f"trim(regexp_replace(regexp_replace(upper({expr}), '[^A-Z0-9 ]+', ' ', 'g'), "
+            f"' +', ' ', 'g'))")
+
+
 SALES_CTE = """
 sales AS (
   SELECT CAST(c_nationkey + 1 AS INTEGER) AS arrondissement, c_nationkey,
          CAST(year(o_orderdate) AS INTEGER) AS year,
          l_extendedprice AS sale_value_eur, l_quantity AS built_surface_m2,
          l_extendedprice / l_quantity AS price_per_m2, CAST(p_size AS DOUBLE) AS rooms,
-         p_type AS property_type, p_brand AS street_name,
-         CAST(l_suppkey AS VARCHAR) AS building_id, CAST(l_partkey AS VARCHAR) AS parcel_id,
+         p_type AS property_type, p_brand, p_size, l_linenumber,
+         CAST(o_custkey AS VARCHAR) AS parcel_id, CAST(l_suppkey AS VARCHAR) AS supplier_id,
          concat_ws('|', l_orderkey, l_suppkey, p_type) AS transaction_id,
+         CASE WHEN l_partkey % 5 <> 0 THEN (l_partkey % 641) / 128.0::DOUBLE END AS longitude,
+         CASE WHEN l_partkey % 5 <> 0 THEN (l_suppkey * 7 % 641) / 128.0::DOUBLE END AS latitude,
          l_orderkey, l_suppkey, l_partkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
@@ -30,9 +38,78 @@ sales AS (
     AND c_nationkey + 1 BETWEEN 1 AND 20
 )"""
 
+ADDR_SALES_CTE = SALES_CTE + f""",
+addr_sales0 AS (
+  SELECT *, '75101' AS commune_insee, CAST(p_size AS VARCHAR) AS house_number,
+         CASE WHEN l_linenumber = 1 THEN 'QUATER' WHEN property_type = 'STANDARD' THEN 'BIS'
+              WHEN property_type = 'ECONOMY' THEN 'TER' ELSE '' END AS house_suffix,
+         {norm('p_brand')} AS street_name
+  FROM sales
+),
+addr_sales AS (
+  SELECT *, concat_ws('|', commune_insee, house_number, house_suffix, street_name) AS address_key,
+         concat_ws('|', commune_insee, house_number, street_name) AS address_key_no_suffix
+  FROM addr_sales0
+)"""
+
+MICRO_CTE = ADDR_SALES_CTE + """,
+micro AS (
+  SELECT *, commune_insee || '|' || street_name AS street_key,
+         supplier_id AS building_id, 'ban_address' AS building_id_source,
+         trim(regexp_replace(house_number || ' ' || house_suffix || ' ' || street_name, '\\s+', ' ', 'g'))
+           AS building_label
+  FROM addr_sales
+)"""
+
+REF_CTE = f"""
+ref0 AS (
+  SELECT 'P' || p_partkey AS cle_interop, '75101' AS commune_insee,
+         CAST(p_size AS VARCHAR) AS house_number,
+         CASE p_type WHEN 'STANDARD' THEN 'BIS' WHEN 'ECONOMY' THEN 'TER' ELSE '' END AS house_suffix,
+         {norm('p_brand')} AS street_name,
+         p_retailprice / 100.0::DOUBLE AS long, p_size / 8.0::DOUBLE AS lat,
+         CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 3 AS DOUBLE) ELSE 0.0::DOUBLE END AS certification
+  FROM part WHERE p_size <= 45 AND p_size % 10 <> 1
+),
+ref AS (
+  SELECT *, concat_ws('|', commune_insee, house_number, house_suffix, street_name) AS address_key,
+         concat_ws('|', commune_insee, house_number, street_name) AS address_key_no_suffix
+  FROM ref0
+)"""
+
+
+def dedupe(key: str) -> str:
+    return (f"SELECT {key} AS lookup_key, "
+            f"first(cle_interop ORDER BY certification DESC, cle_interop) AS cle_interop, "
+            f"median(long) AS long, median(lat) AS lat FROM ref GROUP BY {key}")
+
+
+LINKS_CTE = """
+links AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS idu,
+         CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN ''
+              ELSE 'P' || (o_orderkey % 2500) END AS id_adr,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'GEO' WHEN '2-HIGH' THEN 'BAN'
+              WHEN '4-NOT SPECIFIED' THEN 'OTHER' WHEN '5-LOW' THEN 'BAN' END AS type_lien,
+         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED'
+              THEN CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) END AS nb_adr,
+         '1' AS nb_parc, o_orderkey AS seq
+  FROM orders WHERE o_orderstatus IN ('F', 'O')
+),
+ranked_links AS (
+  SELECT *, CASE type_lien WHEN 'GEO' THEN 0 WHEN 'BAN' THEN 1 ELSE 9 END AS prio,
+         coalesce(TRY_CAST(nb_adr AS DOUBLE), 999999.0) AS nb
+  FROM links WHERE id_adr IS NOT NULL AND id_adr <> ''
+),
+best AS (
+  SELECT idu, first(id_adr ORDER BY prio, nb, id_adr) AS id_adr,
+         first(type_lien ORDER BY prio, nb, id_adr) FILTER (WHERE type_lien IS NOT NULL) AS type_lien
+  FROM ranked_links GROUP BY idu
+)"""
+
 
 def metric_block(extra: str = "") -> str:
-    share = lambda kind: r(r(f"avg(CASE WHEN property_type = '{kind}' THEN 1::DOUBLE ELSE 0::DOUBLE END) * 100.0", 1))
+    share = lambda kind: r(r(f"avg(CASE WHEN property_type = '{kind}' THEN 1::DOUBLE ELSE 0::DOUBLE END) * 100.0::DOUBLE", 1))
     return f"""count(DISTINCT transaction_id) AS transactions,
        {r('median(price_per_m2)')} AS median_price_m2,
        {r('median(sale_value_eur)')} AS median_sale_value_eur,
@@ -42,8 +119,143 @@ def metric_block(extra: str = "") -> str:
        {share('ECONOMY')} AS house_share_pct{extra}"""
 
 
+STREET_KEYS = "street_key, street_name, arrondissement, commune_insee, year"
+BUILDING_KEYS = ("building_id, building_id_source, building_label, arrondissement, commune_insee, "
+                 "street_name, house_number, house_suffix, year")
+GEOCODED_TX = "count(DISTINCT CASE WHEN longitude IS NOT NULL THEN transaction_id END)"
+
+INCOME_CTE = """
+inc AS (
+  SELECT CAST(c_nationkey + 1 AS INTEGER) AS arrondissement, c_acctbal AS med,
+         CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE abs(c_acctbal) / 100.0::DOUBLE END AS pov,
+         c_acctbal - 500.0::DOUBLE AS q1, c_acctbal + 500.0::DOUBLE AS q3,
+         CAST(c_custkey % 100 AS DOUBLE) AS pimp
+  FROM customer WHERE c_nationkey <> 24
+)"""
+
+RENT_CTE = """
+rent0 AS (
+  SELECT CAST(c_nationkey + 1 AS INTEGER) AS arrondissement, CAST(year(o_orderdate) AS INTEGER) AS year,
+         CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 10000.0::DOUBLE END AS ref
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '5-LOW'
+),
+rent AS (
+  SELECT arrondissement, year, {0} AS reference_rent_eur_m2,
+         {1} AS reference_rent_majorated_eur_m2, {2} AS reference_rent_minorated_eur_m2,
+         count(ref) AS rent_reference_count
+  FROM rent0 GROUP BY arrondissement, year
+)""".format(r("avg(ref)"), r("avg(ref * 1.2::DOUBLE)"), r("avg(ref * 0.7::DOUBLE)"))
+
+SOCIAL_CTE = """
+soc0 AS (
+  SELECT CAST(c_nationkey + 1 AS INTEGER) AS arrondissement, CAST(year(o_orderdate) AS INTEGER) AS year,
+         o_custkey, floor(o_totalprice / 10000.0::DOUBLE) AS units, o_orderpriority, o_orderstatus
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey + 1 BETWEEN 1 AND 20
+),
+social AS (
+  SELECT arrondissement, year, count(DISTINCT o_custkey) AS program_count,
+         {0} AS social_units_financed,
+         {1} AS pla_i_units, {2} AS plus_units, {3} AS pls_units
+  FROM soc0 GROUP BY arrondissement, year
+)""".format(r("coalesce(sum(units), 0)", 0),
+            r("coalesce(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN units END), 0)", 0),
+            r("coalesce(sum(CASE WHEN o_orderpriority = '2-HIGH' THEN units END), 0)", 0),
+            r("coalesce(sum(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' THEN units END), 0)", 0))
+
+GEOCODE_CTE = ADDR_SALES_CTE + "," + REF_CTE + "," + LINKS_CTE + f""",
+ws AS ({dedupe('address_key')}),
+wos AS ({dedupe('address_key_no_suffix')}),
+bi AS ({dedupe('cle_interop')}),
+t1 AS (SELECT s.*, ws.cle_interop AS id1, ws.long AS lon1, ws.lat AS lat1
+       FROM addr_sales s LEFT JOIN ws ON s.address_key = ws.lookup_key),
+t2 AS (SELECT t1.*, wos.cle_interop AS id2, wos.long AS lon2, wos.lat AS lat2
+       FROM t1 LEFT JOIN wos ON t1.lon1 IS NULL AND t1.address_key_no_suffix = wos.lookup_key),
+t3 AS (SELECT t2.*, best.id_adr AS id3, bi.long AS lon3, bi.lat AS lat3
+       FROM t2 LEFT JOIN best ON t2.lon1 IS NULL AND t2.lon2 IS NULL AND t2.parcel_id = best.idu
+       LEFT JOIN bi ON best.id_adr = bi.lookup_key),
+geo0 AS (
+  SELECT *, CASE WHEN lon1 IS NOT NULL THEN id1 WHEN lon2 IS NOT NULL THEN id2 ELSE id3 END
+              AS matched_cle_interop,
+         coalesce(lon1, lon2, lon3) AS g_longitude, coalesce(lat1, lat2, lat3) AS g_latitude,
+         CASE WHEN id1 IS NOT NULL OR id2 IS NOT NULL THEN 'adresses-ban'
+              WHEN lon3 IS NOT NULL THEN 'ban-plus' END AS geocode_source
+  FROM t3
+),
+geo AS (
+  SELECT *, coalesce(nullif(matched_cle_interop, ''), nullif(parcel_id, ''), nullif(address_key, ''))
+              AS building_id,
+         CASE WHEN nullif(matched_cle_interop, '') IS NOT NULL THEN 'ban_address'
+              WHEN nullif(parcel_id, '') IS NOT NULL THEN 'parcel'
+              WHEN nullif(address_key, '') IS NOT NULL THEN 'address_key' END AS building_id_source,
+         trim(regexp_replace(house_number || ' ' || house_suffix || ' ' || street_name, '\\s+', ' ', 'g'))
+           AS label0
+  FROM geo0
+)"""
+
+
 ORACLE = {
     "q01_sales_district_year": f"""WITH {SALES_CTE}
 SELECT arrondissement, year, {metric_block()}
 FROM sales GROUP BY arrondissement, year""",
+
+    "q03_sales_street_year": f"""WITH {MICRO_CTE}
+SELECT {STREET_KEYS}, count(DISTINCT building_id) AS buildings,
+       {GEOCODED_TX} AS geocoded_transactions,
+       median(longitude) AS longitude, median(latitude) AS latitude, {metric_block()}
+FROM micro GROUP BY {STREET_KEYS}""",
+
+    "q04_sales_building_year": f"""WITH {MICRO_CTE}
+SELECT {BUILDING_KEYS}, {GEOCODED_TX} AS geocoded_transactions,
+       median(longitude) AS longitude, median(latitude) AS latitude,
+       count(DISTINCT parcel_id) AS parcel_count, {metric_block()}
+FROM micro GROUP BY {BUILDING_KEYS}""",
+
+    "q05_income_by_district": f"""WITH {INCOME_CTE}
+SELECT arrondissement, count(*) AS iris_count, {r('median(med)')} AS median_income_eur,
+       {r('avg(pov)')} AS poverty_rate_pct, {r('median(q1)')} AS first_quartile_income_eur,
+       {r('median(q3)')} AS third_quartile_income_eur, {r('avg(pimp)')} AS share_taxable_pct
+FROM inc GROUP BY arrondissement""",
+
+    "q06_rent_by_district_year": f"""WITH {RENT_CTE} SELECT * FROM rent""",
+
+    "q07_social_by_district_year": f"""WITH {SOCIAL_CTE} SELECT * FROM social""",
+
+    "q08_five_year_sum": f"""WITH {SOCIAL_CTE}
+SELECT arrondissement, sum(social_units_financed) AS social_units_financed_5y
+FROM social WHERE year >= (SELECT max(year) FROM social) - 4 GROUP BY arrondissement""",
+
+    "q09_latest_year_rows": f"""WITH {SALES_CTE}, {RENT_CTE}, {SOCIAL_CTE}
+SELECT 'sales' AS theme, max(year) AS latest_year,
+       string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years FROM sales
+UNION ALL
+SELECT 'rents', max(year), string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM rent
+UNION ALL
+SELECT 'social', max(year), string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM social""",
+
+    "q10_reference_dedupe": f"""WITH {REF_CTE} {dedupe('address_key')}""",
+
+    "q11_lookup_cascade": f"""WITH {GEOCODE_CTE}
+SELECT transaction_id, address_key, parcel_id, matched_cle_interop, g_longitude AS longitude,
+       g_latitude AS latitude, geocode_source, building_id, building_id_source,
+       coalesce(nullif(label0, ''), building_id) AS building_label
+FROM geo""",
+
+    "q12_best_link": f"""WITH {LINKS_CTE} SELECT idu, id_adr, type_lien FROM best""",
+
+    "q13_anti_missing_ids": f"""WITH {ADDR_SALES_CTE}, {LINKS_CTE}
+SELECT DISTINCT parcel_id AS idu FROM addr_sales s
+WHERE parcel_id IS NOT NULL AND parcel_id <> ''
+  AND NOT EXISTS (SELECT 1 FROM links l WHERE l.idu = s.parcel_id)""",
+
+    "q14_merge_keep_last": f"""WITH {LINKS_CTE},
+both_batches AS (
+  SELECT idu, id_adr, type_lien, nb_adr, nb_parc, 0 AS batch, seq FROM links
+  UNION ALL
+  SELECT CAST(user_id AS VARCHAR), event_type, NULL, CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR),
+         CAST(event_id AS VARCHAR), 1, event_id FROM events
+)
+SELECT idu, id_adr, type_lien,
+       first(nb_adr ORDER BY batch DESC, seq DESC) AS nb_adr,
+       first(nb_parc ORDER BY batch DESC, seq DESC) AS nb_parc
+FROM both_batches GROUP BY idu, id_adr, type_lien""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import postal_code_to_district
-from ..operators import metrics, sales
+from ..operators import geocode, metrics, sales, themes
 from . import testdata as td
 
 
@@ -27,6 +27,134 @@ def q01_sales_district_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(cleaned_sales(spark, sf_dir), ["arrondissement", "year"])
 
 
+def address_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned sales with normalised address fields and keys."""
+    return sales.address_fields(cleaned_sales(spark, sf_dir), dep="dep_code", commune="commune_code",
+                                number="raw_number", suffix="raw_suffix", street="raw_street")
+
+
+def micro_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address sales whose matched address id is the supplier stand-in, with street key,
+    building id/source/label."""
+    base = address_sales(spark, sf_dir).withColumn("matched_cle_interop", F.col("supplier_id"))
+    return sales.micro_geography_keys(base)
+
+
+KINDS = dict(apartment=td.APARTMENT_STANDIN, house=td.HOUSE_STANDIN)
+
+
+def q03_sales_street_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street x district x year metrics with distinct buildings, geocoded transactions and
+    median coordinates, in one aggregate pass plus the median pass."""
+    return metrics.street_sales_metrics(micro_sales(spark, sf_dir), **KINDS)
+
+
+def q04_sales_building_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building (9-key grain) x year metrics with distinct parcels."""
+    return metrics.building_sales_metrics(micro_sales(spark, sf_dir), **KINDS)
+
+
+def income(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.income_metrics(themes.prepare_income(td.income_rows(spark, sf_dir)))
+
+
+def rents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rent_metrics(themes.prepare_rents(td.rent_rows(spark, sf_dir)))
+
+
+def social(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.social_metrics(themes.prepare_social(td.social_rows(spark, sf_dir)))
+
+
+def q05_income_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Census-block income per district: block count, medians, means (text parsed)."""
+    return income(spark, sf_dir)
+
+
+def q06_rent_by_district_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rent caps per district x year; rows with an unusable quarter code are dropped."""
+    return rents(spark, sf_dir)
+
+
+def q07_social_by_district_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Social housing per district x year: distinct programmes and unit sums."""
+    return social(spark, sf_dir)
+
+
+def q08_five_year_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Social units financed over the last five years per district."""
+    return metrics.five_year_sum(social(spark, sf_dir))
+
+
+def q09_latest_year_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest year and sorted distinct years per theme (sales, rents, social)."""
+    themes_ = {"sales": cleaned_sales(spark, sf_dir), "rents": rents(spark, sf_dir),
+               "social": social(spark, sf_dir)}
+    parts = [df.agg(F.max("year").alias("latest_year"),
+                    F.array_join(F.sort_array(F.collect_set("year")), ",").alias("years"))
+               .select(F.lit(name).alias("theme"), "latest_year", "years")
+             for name, df in themes_.items()]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+def address_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geocode.prepare_address_reference(td.address_rows(spark, sf_dir))
+
+
+def q10_reference_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address reference deduped per full address key: best id, median coordinates."""
+    return geocode.dedupe_reference(address_reference(spark, sf_dir), "address_key")
+
+
+def geocoded_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = address_reference(spark, sf_dir)
+    out = geocode.geocode_cascade(
+        address_sales(spark, sf_dir).drop("longitude", "latitude"),
+        geocode.dedupe_reference(ref, "address_key"),
+        geocode.dedupe_reference(ref, "address_key_no_suffix"),
+        geocode.dedupe_reference(ref, "cle_interop"),
+        td.link_rows(spark, sf_dir))
+    return sales.micro_geography_keys(out)
+
+
+def q11_lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-tier geocode (full key, key without suffix, parcel link) with source and
+    building id tags, one row per sale."""
+    return geocoded_sales(spark, sf_dir).select(
+        "transaction_id", "address_key", "parcel_id", "matched_cle_interop", "longitude",
+        "latitude", "geocode_source", "building_id", "building_id_source", "building_label")
+
+
+def q12_best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best address link per parcel (priority, address count, id; per-column first non-null)."""
+    return geocode.best_links(td.link_rows(spark, sf_dir))
+
+
+def q13_anti_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcel ids of sales that the stored link table does not know yet."""
+    return geocode.missing_link_ids(address_sales(spark, sf_dir), td.link_rows(spark, sf_dir))
+
+
+def q14_merge_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored link table + a delivered batch, last row per (parcel, address, type) kept."""
+    return geocode.merge_links(td.link_rows(spark, sf_dir), td.delivered_link_rows(spark, sf_dir))
+
+
 QUERIES = {
     "q01_sales_district_year": q01_sales_district_year,
+    "q03_sales_street_year": q03_sales_street_year,
+    "q04_sales_building_year": q04_sales_building_year,
+    "q05_income_by_district": q05_income_by_district,
+    "q06_rent_by_district_year": q06_rent_by_district_year,
+    "q07_social_by_district_year": q07_social_by_district_year,
+    "q08_five_year_sum": q08_five_year_sum,
+    "q09_latest_year_rows": q09_latest_year_rows,
+    "q10_reference_dedupe": q10_reference_dedupe,
+    "q11_lookup_cascade": q11_lookup_cascade,
+    "q12_best_link": q12_best_link,
+    "q13_anti_missing_ids": q13_anti_missing_ids,
+    "q14_merge_keep_last": q14_merge_keep_last,
 }

@@ -24,20 +24,28 @@ HOUSE_STANDIN = "ECONOMY"          # p_type that plays 'Maison'
 
 
 def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x orders x customer x part as raw-ish sales rows.
+    """lineitem x orders x customer x part as sales rows.
 
-    district code: a postal-code string ``75`` + 3-digit (nation + 1), decoded by the library;
+    district: a postal-code string ``75`` + 3-digit (nation + 1), decoded by the library;
     value = extended price, surface = quantity, rooms = part size, kind = part type,
-    street = brand, building = supplier, parcel = part, transaction = order|supplier|type.
+    transaction = order|supplier|type. Raw address parts for the geocoder: department ``75``,
+    commune ``101``, number = part size, suffix letter from the part type (``Q`` on first
+    lines), street = brand; parcel = customer key; building stand-in = supplier key.
+    Stand-in coordinates for the street/building grains: binary fractions from part and
+    supplier keys, missing for every fifth part.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_linestatus")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_brand")
     joined = (li.join(o, li.l_orderkey == o.o_orderkey)
                 .join(c, o.o_custkey == c.c_custkey)
                 .join(p, li.l_partkey == p.p_partkey))
+    suffix_letter = F.when(F.col("l_linenumber") == 1, F.lit("Q")).otherwise(part_suffix())
+    lon = F.when(F.col("l_partkey") % 5 != 0, (F.col("l_partkey") % 641) / 128.0)
+    lat = F.when(F.col("l_partkey") % 5 != 0, (F.col("l_suppkey") * 7 % 641) / 128.0)
     return joined.select(
         F.col("l_linestatus").alias("nature_mutation"),
         F.concat(F.lit("75"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 3, "0")).alias("postal_code"),
@@ -46,9 +54,138 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("built_surface_m2"),
         F.col("p_size").cast("double").alias("rooms"),
         F.col("p_type").alias("property_type"),
-        F.col("p_brand").alias("street_name"),
-        F.col("l_suppkey").cast("string").alias("building_id"),
-        F.col("l_partkey").cast("string").alias("parcel_id"),
         F.concat_ws("|", "l_orderkey", "l_suppkey", "p_type").alias("transaction_id"),
-        "l_orderkey", "l_suppkey", "l_partkey", "c_nationkey",
+        F.lit("75").alias("dep_code"),
+        F.lit("101").alias("commune_code"),
+        F.col("p_size").cast("string").alias("raw_number"),
+        suffix_letter.alias("raw_suffix"),
+        F.col("p_brand").alias("raw_street"),
+        F.col("o_custkey").cast("string").alias("parcel_id"),
+        F.col("l_suppkey").cast("string").alias("supplier_id"),
+        lon.alias("longitude"), lat.alias("latitude"),
+        "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "c_nationkey",
+    )
+
+
+def part_suffix():
+    """Suffix letter of a part type (the address reference and the sales rows share it)."""
+    return (F.when(F.col("p_type") == "STANDARD", F.lit("B"))
+             .when(F.col("p_type") == "ECONOMY", F.lit("t")))
+
+
+def address_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as raw address reference rows (all text, like the address CSV)."""
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("cle_interop"),
+        F.when(F.col("p_size") <= 45, F.lit("75101")).otherwise(F.lit("92101")).alias("commune_insee"),
+        F.col("p_brand").alias("voie_nom"),
+        F.col("p_size").cast("string").alias("numero"),
+        part_suffix().alias("suffixe"),
+        F.when(F.col("p_size") % 10 != 1, (F.col("p_retailprice") / 100.0).cast("string")).alias("long"),
+        (F.col("p_size") / 8.0).cast("string").alias("lat"),
+        F.when(F.col("p_partkey") % 7 != 0, (F.col("p_partkey") % 3).cast("string"))
+         .alias("certification_commune"),
+    )
+
+
+# ---- fixed values: link type stand-ins by order priority ------------------------------------
+LINK_TYPE_BY_PRIORITY = {"1-URGENT": "GEO", "2-HIGH": "BAN", "4-NOT SPECIFIED": "OTHER", "5-LOW": "BAN"}
+# ---------------------------------------------------------------------------------------------
+
+
+def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders of status F or O as the stored parcel -> address link table: parcel = customer,
+    address = part id derived from the order key, link type from the order priority
+    (3-MEDIUM has none), address count from the total price (missing for priority 4); orders
+    of status O with priority 5 carry an empty address (the negative cache). ``seq`` is the
+    row order of the stored table (order key)."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O"))
+    ltype = F.try_element_at(F.create_map(*[F.lit(x) for kv in LINK_TYPE_BY_PRIORITY.items() for x in kv]),
+                             F.col("o_orderpriority"))
+    empty = (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "5-LOW")
+    return o.select(
+        F.col("o_custkey").cast("string").alias("idu"),
+        F.when(empty, F.lit("")).otherwise(
+            F.concat(F.lit("P"), (F.col("o_orderkey") % 2500).cast("string"))).alias("id_adr"),
+        ltype.alias("type_lien"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED",
+               F.floor(F.col("o_totalprice") / 100000).cast("string")).alias("nb_adr"),
+        F.lit("1").alias("nb_parc"),
+        F.col("o_orderkey").alias("seq"),
+    )
+
+
+def delivered_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a delivered link batch: parcel = user, address = event type, no link type,
+    address count = value, ``seq`` = event id (delivery order)."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("idu"),
+        F.col("event_type").alias("id_adr"),
+        F.lit(None).cast("string").alias("type_lien"),
+        F.floor(F.col("value") * 100).cast("string").alias("nb_adr"),
+        F.col("event_id").cast("string").alias("nb_parc"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def income_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as census-block income rows (text, French decimal commas): block code
+    ``751`` + 2-digit (nation + 1) + customer key; machine-building customers have ``ns``
+    poverty values; blocks of nation 24 carry a non-city code."""
+    c = table(spark, sf_dir, "customer")
+    fr = lambda col: F.regexp_replace(col.cast("string"), "[.]", ",")
+    code = F.when(F.col("c_nationkey") == 24, F.lit("92")).otherwise(F.lit("751"))
+    return c.select(
+        F.concat(code, F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0"),
+                 F.col("c_custkey").cast("string")).alias("IRIS"),
+        fr(F.col("c_acctbal")).alias("DEC_MED21"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("ns"))
+         .otherwise(fr(F.abs(F.col("c_acctbal")) / 100.0)).alias("DEC_TP6021"),
+        fr(F.col("c_acctbal") - 500.0).alias("DEC_Q121"),
+        fr(F.col("c_acctbal") + 500.0).alias("DEC_Q321"),
+        fr((F.col("c_custkey") % 100).cast("double")).alias("DEC_PIMP21"),
+    )
+
+
+def rent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders x customer as rent-cap rows (text): quarter code ``751`` + 2-digit (nation + 1)
+    + 2 digits, written without the leading 7 for even customers (the reader pads it back),
+    missing for low priority; rents from the total price, missing for status P."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    tail = F.concat(F.lit("51"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0"),
+                    F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"))
+    code = (F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("string"))
+             .when(F.col("o_custkey") % 2 == 0, tail).otherwise(F.concat(F.lit("7"), tail)))
+    ref = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 10000.0)
+    fr = lambda col: F.regexp_replace(col.cast("string"), "[.]", ",")
+    return j.select(
+        F.year("o_orderdate").cast("string").alias("Année"),
+        fr(ref).alias("Loyers de référence"),
+        fr(ref * 1.2).alias("Loyers de référence majorés"),
+        fr(ref * 0.7).alias("Loyers de référence minorés"),
+        code.alias("Numéro INSEE du quartier"),
+    )
+
+
+def social_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders x customer as social-housing programme rows (text): district = nation + 1
+    (21..25 fall outside the city), year of order, programme = customer, units from price;
+    the three sub-counts exist only for some priorities / statuses."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    units = F.floor(F.col("o_totalprice") / 10000.0)
+    return j.select(
+        (F.col("c_nationkey") + 1).cast("string").alias("Arrondissement"),
+        F.year("o_orderdate").cast("string").alias("Année du financement - agrément"),
+        units.cast("string").alias("Nombre total de logements financés"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", units).cast("string").alias("Dont nombre de logements PLA I"),
+        F.when(F.col("o_orderpriority") == "2-HIGH", units).cast("string").alias("Dont nombre de logements PLUS"),
+        F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "3-MEDIUM"), units)
+         .cast("string").alias("Dont nombre de logements PLS"),
+        F.col("o_custkey").cast("string").alias("Identifiant livraison"),
     )
