@@ -193,6 +193,61 @@ geo AS (
 )"""
 
 
+OCTAGON_CTE = """
+oct_v AS (
+  SELECT n_nationkey AS k, n_name, unnest(generate_series(0, 7)) AS i FROM nation
+),
+oct_p AS (
+  SELECT k, n_name, i,
+         CAST(k % 5 AS DOUBLE) + 0.5::DOUBLE
+           + list_extract([0.5, 0.5, 0.25, -0.25, -0.5, -0.5, -0.25, 0.25]::DOUBLE[], i + 1) AS x,
+         floor(k / 5) + 0.5::DOUBLE
+           + list_extract([-0.25, 0.25, 0.5, 0.5, 0.25, -0.25, -0.5, -0.5]::DOUBLE[], i + 1) AS y
+  FROM oct_v
+),
+edges AS (
+  SELECT a.k, a.n_name, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+  FROM oct_p a JOIN oct_p b ON a.k = b.k AND b.i = (a.i + 1) % 8
+)"""
+
+
+def locate_sql(points: str, px: str, py: str) -> str:
+    """Relational point-in-polygon: points x edges, odd crossings or on an edge, lowest key."""
+    return f"""
+SELECT p.{px} AS px, p.{py} AS py,
+       min(k) FILTER (WHERE hit) AS k
+FROM (
+  SELECT p.{px}, p.{py}, e.k,
+         sum(CASE WHEN (e.y1 > p.{py}) <> (e.y2 > p.{py})
+                  THEN CASE WHEN p.{px} < e.x1 + (p.{py} - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
+                            THEN 1 ELSE 0 END
+                  ELSE 0 END) % 2 = 1
+         OR bool_or((e.x2 - e.x1) * (p.{py} - e.y1) - (e.y2 - e.y1) * (p.{px} - e.x1) = 0
+                    AND p.{px} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
+                    AND p.{py} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)) AS hit
+  FROM (SELECT DISTINCT {px}, {py} FROM {points} WHERE {px} IS NOT NULL AND {py} IS NOT NULL) p
+  JOIN edges e ON true
+  GROUP BY p.{px}, p.{py}, e.k
+) p
+GROUP BY p.{px}, p.{py}"""
+
+
+CELLS_CTE = """
+cells0 AS (
+  SELECT CAST((l_linenumber % 3 + 1) * 10 + (l_partkey % 3 + 1) AS INTEGER) AS cat,
+         (l_orderkey % 641) / 128.0::DOUBLE - l_quantity / 256.0::DOUBLE AS minx,
+         (l_partkey * 7 % 641) / 128.0::DOUBLE - l_discount * 2.0::DOUBLE AS miny,
+         (l_orderkey % 641) / 128.0::DOUBLE + l_quantity / 256.0::DOUBLE AS maxx,
+         (l_partkey * 7 % 641) / 128.0::DOUBLE + l_discount * 2.0::DOUBLE AS maxy
+  FROM lineitem
+),
+cells AS (
+  SELECT cat, (minx + maxx) / 2.0::DOUBLE AS cx, (miny + maxy) / 2.0::DOUBLE AS cy,
+         greatest((maxx - minx) * (maxy - miny), 0.0::DOUBLE) AS area
+  FROM cells0 WHERE greatest((maxx - minx) * (maxy - miny), 0.0::DOUBLE) > 0
+)"""
+
+
 ORACLE = {
     "q01_sales_district_year": f"""WITH {SALES_CTE}
 SELECT arrondissement, year, {metric_block()}
@@ -258,4 +313,37 @@ SELECT idu, id_adr, type_lien,
        first(nb_adr ORDER BY batch DESC, seq DESC) AS nb_adr,
        first(nb_parc ORDER BY batch DESC, seq DESC) AS nb_parc
 FROM both_batches GROUP BY idu, id_adr, type_lien""",
+
+    "q02_sales_quarter_year": f"""WITH {SALES_CTE}, {OCTAGON_CTE},
+loc AS ({locate_sql('sales', 'longitude', 'latitude')}),
+q AS (
+  SELECT s.*, CAST(loc.k AS VARCHAR) AS quartier_id, n.n_name AS quartier_name
+  FROM sales s JOIN loc ON s.longitude = loc.px AND s.latitude = loc.py
+  JOIN nation n ON n.n_nationkey = loc.k
+  WHERE loc.k IS NOT NULL
+)
+SELECT quartier_id, quartier_name, arrondissement, year, {metric_block()}
+FROM q GROUP BY quartier_id, quartier_name, arrondissement, year""",
+
+    "q15_point_in_polygon": f"""WITH {OCTAGON_CTE},
+pts AS (SELECT event_id, (event_id % 641) / 128.0::DOUBLE AS x,
+               (event_id * 7 % 641) / 128.0::DOUBLE AS y FROM events),
+loc AS ({locate_sql('pts', 'x', 'y')})
+SELECT pts.event_id, CAST(loc.k AS INTEGER) AS n_nationkey
+FROM pts LEFT JOIN loc ON pts.x = loc.px AND pts.y = loc.py""",
+
+    "q16_weighted_exposure": f"""WITH {OCTAGON_CTE}, {CELLS_CTE},
+loc AS ({locate_sql('cells', 'cx', 'cy')}),
+per AS (
+  SELECT loc.k, count(*) AS n, sum(area) AS total, sum((cat % 10) * area) AS noise,
+         sum((cat // 10) * area) AS air, sum(CASE WHEN cat % 10 = 3 THEN area ELSE 0.0 END) AS high
+  FROM cells JOIN loc ON cells.cx = loc.px AND cells.cy = loc.py
+  WHERE loc.k IS NOT NULL GROUP BY loc.k
+)
+SELECT n_nationkey AS arrondissement,
+       {r('coalesce(noise, 0.0) / coalesce(total, 1.0)', 3)} AS noise_score,
+       {r('coalesce(air, 0.0) / coalesce(total, 1.0)', 3)} AS air_score,
+       {r('coalesce(high, 0.0) / coalesce(total, 1.0) * 100.0::DOUBLE', 2)} AS high_noise_share_pct,
+       coalesce(n, 0) AS noise_cell_count
+FROM nation LEFT JOIN per ON per.k = n_nationkey""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import postal_code_to_district
-from ..operators import geocode, metrics, sales, themes
+from ..operators import geocode, metrics, sales, spatial, themes
 from . import testdata as td
 
 
@@ -143,8 +143,40 @@ def q14_merge_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.merge_links(td.link_rows(spark, sf_dir), td.delivered_link_rows(spark, sf_dir))
 
 
+OCTAGON_CELL = 0.5  # tile side for the unit-spaced octagons
+
+
+def q02_sales_quarter_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales points attached to quarter polygons (point in polygon), then the metric block per
+    quarter x district x year for sales inside a quarter."""
+    located = spatial.attach_points(
+        cleaned_sales(spark, sf_dir), td.octagon_features(spark, sf_dir),
+        x="longitude", y="latitude", feature_id="feature_id", order="feature_id",
+        mapping={"feature_id": "quartier_id", "name": "quartier_name"}, cell=OCTAGON_CELL)
+    located = located.withColumn("quartier_id", F.col("quartier_id").cast("string"))
+    return _metrics(located.where(F.col("quartier_id").isNotNull()),
+                    ["quartier_id", "quartier_name", "arrondissement", "year"])
+
+
+def q15_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the first octagon (lowest key) covering its point, NULL outside."""
+    located = spatial.attach_points(
+        td.event_points(spark, sf_dir), td.octagon_features(spark, sf_dir), x="x", y="y",
+        feature_id="feature_id", order="feature_id", mapping={"feature_id": "n_nationkey"},
+        cell=OCTAGON_CELL)
+    return located.select("event_id", "n_nationkey")
+
+
+def q16_weighted_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area-weighted noise / air exposure per octagon from classified cells (cell centre in
+    polygon, first by key); octagons without cells score 0."""
+    return spatial.cell_exposure(td.cell_rows(spark, sf_dir), td.octagon_features(spark, sf_dir),
+                                 feature_id="feature_id", cell=OCTAGON_CELL)
+
+
 QUERIES = {
     "q01_sales_district_year": q01_sales_district_year,
+    "q02_sales_quarter_year": q02_sales_quarter_year,
     "q03_sales_street_year": q03_sales_street_year,
     "q04_sales_building_year": q04_sales_building_year,
     "q05_income_by_district": q05_income_by_district,
@@ -157,4 +189,6 @@ QUERIES = {
     "q12_best_link": q12_best_link,
     "q13_anti_missing_ids": q13_anti_missing_ids,
     "q14_merge_keep_last": q14_merge_keep_last,
+    "q15_point_in_polygon": q15_point_in_polygon,
+    "q16_weighted_exposure": q16_weighted_exposure,
 }

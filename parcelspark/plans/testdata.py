@@ -189,3 +189,47 @@ def social_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
          .cast("string").alias("Dont nombre de logements PLS"),
         F.col("o_custkey").cast("string").alias("Identifiant livraison"),
     )
+
+
+# ---- fixed values: octagon shape of the nation polygons (counter-clockwise offsets) ----------
+OCTAGON_OFFSETS = [(0.5, -0.25), (0.5, 0.25), (0.25, 0.5), (-0.25, 0.5),
+                   (-0.5, 0.25), (-0.5, -0.25), (-0.25, -0.5), (0.25, -0.5)]
+# ---------------------------------------------------------------------------------------------
+
+
+def octagon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation as polygon features: an octagon centred at (k % 5 + 0.5, k div 5 + 0.5) written
+    as GeoJSON Polygon coordinates text; neighbours share edges, gaps stay at the corners."""
+    n = table(spark, sf_dir, "nation")
+    cx = (F.col("n_nationkey") % 5).cast("double") + 0.5
+    cy = F.floor(F.col("n_nationkey") / 5).cast("double") + 0.5
+    pts = [F.concat(F.lit("["), (cx + dx).cast("string"), F.lit(","), (cy + dy).cast("string"), F.lit("]"))
+           for dx, dy in OCTAGON_OFFSETS + OCTAGON_OFFSETS[:1]]
+    coords = F.concat(F.lit("[["), F.concat_ws(",", *pts), F.lit("]]"))
+    return n.select(
+        F.col("n_nationkey").alias("feature_id"),
+        F.col("n_name").alias("name"),
+        F.col("n_regionkey").alias("region"),
+        F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"))
+
+
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as points on binary fractions: x = (e % 641) / 128, y = (7e % 641) / 128."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id",
+                    ((F.col("event_id") % 641) / 128.0).alias("x"),
+                    ((F.col("event_id") * 7 % 641) / 128.0).alias("y"))
+
+
+def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as classified rectangular cells: class = air (1..3) * 10 + noise (1..3),
+    centre from order and part keys, half sizes from quantity and discount (zero discount gives
+    a zero-area cell)."""
+    li = table(spark, sf_dir, "lineitem")
+    cx = (F.col("l_orderkey") % 641) / 128.0
+    cy = (F.col("l_partkey") * 7 % 641) / 128.0
+    w = F.col("l_quantity") / 256.0
+    h = F.col("l_discount") * 2.0
+    return li.select(
+        ((F.col("l_linenumber") % 3 + 1) * 10 + (F.col("l_partkey") % 3 + 1)).alias("category"),
+        (cx - w).alias("minx"), (cy - h).alias("miny"), (cx + w).alias("maxx"), (cy + h).alias("maxy"))
