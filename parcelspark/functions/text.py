@@ -70,29 +70,30 @@ def ascii_fold_tables() -> tuple[dict[str, str], dict[str, str]]:
     return single, multi
 
 
-def _java_class(chars) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
-
-
 @functools.lru_cache(maxsize=1)
 def _fold_parts():
     single, multi = ascii_fold_tables()
     src = "".join(single)
     dst = "".join(single[c] for c in single)
-    multi_class = _java_class(multi)
-    return src, dst, multi, multi_class
+    return src, dst, multi, "".join(multi)
 
 
 def ascii_fold(col) -> Column:
-    """NFKD + drop non-ASCII, per code point (see module docstring)."""
-    src, dst, multi, multi_class = _fold_parts()
+    """NFKD + drop non-ASCII, per code point (see module docstring).
+
+    Pure-ASCII strings (one cheap regex test) pass through untouched; otherwise characters with
+    a multi-character expansion (found by a ``translate`` that deletes them and a length
+    compare) are expanded first, then the one-character table and the non-ASCII removal apply.
+    """
+    src, dst, multi, multi_chars = _fold_parts()
     text = _c(col)
     multi_map = F.create_map(*[F.lit(x) for kv in multi.items() for x in kv])
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(multi_map, ch), ch)), "")
-    text = F.when(text.rlike(multi_class), expanded).otherwise(text)
-    text = F.translate(text, src, dst)
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    has_multi = F.length(F.translate(text, multi_chars, "")) < F.length(text)
+    folded = F.regexp_replace(F.translate(F.when(has_multi, expanded).otherwise(text), src, dst),
+                              r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
 def normalize_text(col) -> Column:
@@ -107,16 +108,21 @@ def _alias_map(mapping: dict[str, str]) -> Column:
 
 def normalize_street_name(col) -> Column:
     """normalize_text, then every space-separated token goes through the alias table."""
-    norm = normalize_text(col)
     aliases = _alias_map(STREET_TOKEN_ALIASES)
-    tokens = F.transform(F.split(norm, " "), lambda t: F.coalesce(F.try_element_at(aliases, t), t))
-    return F.when(norm == "", F.lit("")).otherwise(F.array_join(tokens, " "))
+    tokens = F.transform(F.split(normalize_text(col), " "),
+                         lambda t: F.coalesce(F.try_element_at(aliases, t), t))
+    return F.array_join(tokens, " ")  # '' splits to [''] and joins back to ''
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a one-element ``transform``)."""
+    return F.transform(F.array(value), body)[0]
 
 
 def normalize_house_suffix(col) -> Column:
     """NULL -> '', else normalised text mapped through the suffix aliases."""
-    norm = normalize_text(col)
-    mapped = F.coalesce(F.try_element_at(_alias_map(SUFFIX_ALIASES), norm), norm)
+    aliases = _alias_map(SUFFIX_ALIASES)
+    mapped = _let(normalize_text(col), lambda n: F.coalesce(F.try_element_at(aliases, n), n))
     return F.when(_c(col).isNull(), F.lit("")).otherwise(mapped)
 
 

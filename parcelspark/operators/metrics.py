@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import indicator, round_half_even
+from ..session import materialize
 from .quantile import exact_medians
 
 # ---- fixed values: output names of the metric block ----------------------------------------
@@ -32,14 +33,18 @@ def sales_metrics(df: DataFrame, keys: list[str], *, tx: str = "transaction_id",
                   surface: str = "built_surface_m2", rooms: str = "rooms",
                   kind: str = "property_type", apartment: str = "Appartement",
                   house: str = "Maison", extra_medians: dict[str, str] | None = None,
-                  extra_aggs: list | None = None) -> DataFrame:
+                  extra_aggs: list | None = None, carry: list[str] | None = None) -> DataFrame:
     """The metric block per group: distinct transactions, exact medians of price/m2, value,
     surface and rooms, apartment and house share in % (round 1), all metrics round 2.
 
     ``extra_medians`` / ``extra_aggs`` add grain-specific columns to the same two passes (the
-    street and building grains), so no separate aggregate + join per extra column is needed.
+    street and building grains), so no separate aggregate + join per extra column is needed;
+    ``carry`` names the extra input columns they read. The pruned input is materialised once
+    because three passes read it (group sizes, counts, medians).
     """
-    data = _not_null_keys(df, keys)
+    needed = dict.fromkeys([*keys, tx, price, value, surface, rooms, kind,
+                            *(extra_medians or {}).values(), *(carry or [])])
+    data = materialize(_not_null_keys(df, keys).select(*needed))
     counts = data.groupBy(*keys).agg(
         F.count_distinct(tx).alias("transactions"),
         F.avg(indicator(F.col(kind) == apartment)).alias("_apt"),
@@ -63,7 +68,7 @@ def street_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
     keys = ["street_key", "street_name", "arrondissement", "commune_insee", "year"]
     m = sales_metrics(
         df.where(F.col(keys[0]).isNotNull()), keys, **kinds,
-        extra_medians={"longitude": "longitude", "latitude": "latitude"},
+        extra_medians={"longitude": "longitude", "latitude": "latitude"}, carry=["building_id"],
         extra_aggs=[F.count_distinct("building_id").alias("buildings"),
                     F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
                      .alias("geocoded_transactions")])
@@ -77,7 +82,7 @@ def building_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
             "commune_insee", "street_name", "house_number", "house_suffix", "year"]
     m = sales_metrics(
         df.where(F.col(keys[0]).isNotNull()), keys, **kinds,
-        extra_medians={"longitude": "longitude", "latitude": "latitude"},
+        extra_medians={"longitude": "longitude", "latitude": "latitude"}, carry=["parcel_id"],
         extra_aggs=[F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
                      .alias("geocoded_transactions"),
                     F.count_distinct("parcel_id").alias("parcel_count")])
@@ -90,7 +95,8 @@ def income_metrics(df: DataFrame, *, district: str = "arrondissement", block_id:
                    q1: str = "DEC_Q121", q3: str = "DEC_Q321", taxable: str = "DEC_PIMP21") -> DataFrame:
     """Per district: count of blocks, medians of median/Q1/Q3 income, means of poverty and
     taxable share, rounded to 2."""
-    data = _not_null_keys(df, [district])
+    data = materialize(_not_null_keys(df, [district]).select(
+        district, block_id, median_income, poverty, q1, q3, taxable))
     counts = data.groupBy(district).agg(
         F.count(block_id).alias("iris_count"),
         F.avg(poverty).alias("poverty_rate_pct"), F.avg(taxable).alias("share_taxable_pct"))

@@ -2,7 +2,12 @@
 
 Spark's built-in ``median``/``percentile`` is exact but keeps a value->count map per group and
 merges it in one task, so a group holding a third of a 100 TB table would be finished by one task.
-Here the median is computed by rank selection over a range-partitioned sort instead:
+``exact_medians`` therefore splits the groups by size:
+
+* groups with at most ``HOT_GROUP_ROWS`` rows (nearly all streets, buildings, district-years)
+  use the built-in aggregate: one hash aggregate whose per-group state is bounded;
+* hot groups (found with an exact row count per group; there are at most rows / bound of them)
+  use rank selection over a range-partitioned sort (``rank_medians``):
 
 1. unpivot the value columns to ``(keys, m, v)`` rows (one sort for all medians at once) and
    pre-aggregate equal values to ``(keys, m, v, w)`` (map-side combine, hashed on the value, so a
@@ -18,8 +23,6 @@ Here the median is computed by rank selection over a range-partitioned sort inst
 5. keep the rows covering global ranks ``(n+1) div 2`` and ``n div 2 + 1`` and average them,
    which is the interpolated median (pandas / DuckDB ``median``).
 
-For groups that the domain bounds (the city roll-up over 20 districts) ``small_group_medians``
-uses the built-in aggregate.
 """
 
 from __future__ import annotations
@@ -30,12 +33,38 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
-def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+# Groups above this many rows take the distributed rank-selection path.
+HOT_GROUP_ROWS = 1_000_000
+# The hot-key list is broadcast only up to this many keys (at most rows / HOT_GROUP_ROWS exist).
+HOT_KEYS_BROADCAST_MAX = 100_000
+
+
+def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str],
+                  hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Exact median of each ``values`` column (``out_name -> input column``) per ``keys``.
 
-    Returns one row per group that has a non-null value in at least one column, with columns
-    ``keys + list(values)``; a column without any non-null value in a group is NULL.
+    Returns one row per group with columns ``keys + list(values)`` (NULL where a group has no
+    non-null value). Small groups go through the built-in aggregate, hot groups through
+    ``rank_medians``; the hot-key count is one scalar action.
     """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else \
+        df.agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > hot_rows).select(*keys) if keys else \
+        sizes.where(F.col("_rows") > hot_rows)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return small_group_medians(df, keys, values)
+    if not keys:
+        return rank_medians(df, keys, values)
+    hot_side = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST_MAX else hot
+    cold = df.join(hot_side, keys, "left_anti")
+    warm = df.join(hot_side, keys, "left_semi")
+    return small_group_medians(cold, keys, values).unionByName(rank_medians(warm, keys, values))
+
+
+def rank_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """Exact medians by rank selection over a range-partitioned sort (see module docstring);
+    no group is ever held by a single task."""
     names = list(values)
     pairs = [F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
              for i, c in enumerate(values.values())]
@@ -71,6 +100,7 @@ def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> Dat
 
 
 def small_group_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
-    """Built-in exact ``median`` for tables whose size the domain bounds (e.g. 20 districts)."""
-    aggs = [F.median(F.col(c).cast("double")).alias(name) for name, c in values.items()]
+    """Built-in exact ``median`` per group; use only where group sizes are bounded."""
+    aggs = [F.median(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(name)
+            for name, c in values.items()]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)

@@ -52,3 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from the written copy.
+
+    Used where one input feeds several passes (group sizes, counts, medians): the upstream joins
+    run once instead of once per pass, and a lost executor re-reads the files instead of
+    recomputing the lineage. Prune columns before calling: nothing is pruned through a checkpoint.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
