@@ -347,3 +347,176 @@ SELECT n_nationkey AS arrondissement,
        coalesce(n, 0) AS noise_cell_count
 FROM nation LEFT JOIN per ON per.k = n_nationkey""",
 }
+
+
+def clip_sql(x: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN ({x}) IS NULL THEN NULL ELSE greatest({lo}::DOUBLE, least({hi}::DOUBLE, {x})) END"
+
+
+ENV_EXPR = r(clip_sql("((noise_score - 1.0::DOUBLE) / 2.0::DOUBLE) * 60.0::DOUBLE + ((air_score - 1.0::DOUBLE) / 2.0::DOUBLE) * 40.0::DOUBLE", 0.0, 100.0), 1)
+QOL_EXPR = r("10.0::DOUBLE * (0.3::DOUBLE * {0} + 0.3::DOUBLE * {1} + 0.25::DOUBLE * {2} + 0.15::DOUBLE * {3})".format(
+    clip_sql("1.0::DOUBLE - ((noise_score - 1.0::DOUBLE) / 2.0::DOUBLE)", 0.0, 1.0),
+    clip_sql("1.0::DOUBLE - ((air_score - 1.0::DOUBLE) / 2.0::DOUBLE)", 0.0, 1.0),
+    clip_sql("1.0::DOUBLE - (high_noise_share_pct / 100.0::DOUBLE)", 0.0, 1.0),
+    clip_sql("1.0::DOUBLE - (environmental_pressure_index / 100.0::DOUBLE)", 0.0, 1.0)), 2)
+
+METRICS = ["transactions", "median_price_m2", "median_sale_value_eur", "median_surface_m2",
+           "median_rooms", "apartment_share_pct", "house_share_pct"]
+MEDIAN_FILL = ["reference_rent_eur_m2", "reference_rent_majorated_eur_m2",
+               "reference_rent_minorated_eur_m2", "median_income_eur", "poverty_rate_pct",
+               "first_quartile_income_eur", "third_quartile_income_eur", "share_taxable_pct"]
+ENV_FILL = {"noise_score": 2.0, "air_score": 2.0, "high_noise_share_pct": 50.0}
+MONTHS_EXPR = r("median_price_m2 / (median_income_eur / 12.0::DOUBLE)")
+
+SUMMARY_CTE = f"""{SALES_CTE}, {INCOME_CTE}, {RENT_CTE}, {SOCIAL_CTE}, {OCTAGON_CTE}, {CELLS_CTE},
+sales_yearly AS (SELECT arrondissement, year, {metric_block()} FROM sales GROUP BY arrondissement, year),
+income AS (
+  SELECT arrondissement, count(*) AS iris_count, {r('median(med)')} AS median_income_eur,
+         {r('avg(pov)')} AS poverty_rate_pct, {r('median(q1)')} AS first_quartile_income_eur,
+         {r('median(q3)')} AS third_quartile_income_eur, {r('avg(pimp)')} AS share_taxable_pct
+  FROM inc GROUP BY arrondissement
+),
+cloc AS ({locate_sql('cells', 'cx', 'cy')}),
+cper AS (
+  SELECT cloc.k, count(*) AS n, sum(area) AS total, sum((cat % 10) * area) AS noise,
+         sum((cat // 10) * area) AS air, sum(CASE WHEN cat % 10 = 3 THEN area ELSE 0.0 END) AS high
+  FROM cells JOIN cloc ON cells.cx = cloc.px AND cells.cy = cloc.py
+  WHERE cloc.k IS NOT NULL GROUP BY cloc.k
+),
+env AS (
+  SELECT CAST(n_nationkey + 1 AS INTEGER) AS arrondissement,
+         {r('coalesce(noise, 0.0) / coalesce(total, 1.0)', 3)} AS noise_score,
+         {r('coalesce(air, 0.0) / coalesce(total, 1.0)', 3)} AS air_score,
+         {r('coalesce(high, 0.0) / coalesce(total, 1.0) * 100.0::DOUBLE', 2)} AS high_noise_share_pct,
+         coalesce(n, 0) AS noise_cell_count
+  FROM nation LEFT JOIN cper ON cper.k = n_nationkey
+),
+districts AS (
+  SELECT CAST(n_nationkey + 1 AS INTEGER) AS arrondissement, n_name AS name,
+         CAST(n_nationkey + 1 AS VARCHAR) || 'e' AS label, CAST(n_nationkey + 75101 AS INTEGER) AS insee_code,
+         '75' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 3, '0') AS postal_code,
+         {r('0.875::DOUBLE')} AS surface_m2
+  FROM nation
+),
+s5 AS (
+  SELECT arrondissement, sum(social_units_financed) AS social_units_financed_5y
+  FROM social WHERE year >= (SELECT max(year) FROM social) - 4 GROUP BY arrondissement
+),
+joined AS (
+  SELECT d.*, sy.year, {', '.join('sy.' + m for m in METRICS)},
+         i.iris_count, i.median_income_eur, i.poverty_rate_pct, i.first_quartile_income_eur,
+         i.third_quartile_income_eur, i.share_taxable_pct,
+         rt.year AS year_rent, rt.reference_rent_eur_m2, rt.reference_rent_majorated_eur_m2,
+         rt.reference_rent_minorated_eur_m2, rt.rent_reference_count,
+         so.year AS year_social, so.program_count, so.social_units_financed, so.pla_i_units,
+         so.plus_units, so.pls_units, s5.social_units_financed_5y,
+         e.noise_score, e.air_score, e.high_noise_share_pct, e.noise_cell_count,
+         (SELECT max(year) FROM sales_yearly) AS sales_year, (SELECT max(year) FROM rent) AS rent_year,
+         (SELECT max(year) FROM social) AS social_year
+  FROM districts d
+  LEFT JOIN (SELECT * FROM sales_yearly WHERE year = (SELECT max(year) FROM sales_yearly)) sy USING (arrondissement)
+  LEFT JOIN income i USING (arrondissement)
+  LEFT JOIN (SELECT * FROM rent WHERE year = (SELECT max(year) FROM rent)) rt USING (arrondissement)
+  LEFT JOIN (SELECT * FROM social WHERE year = (SELECT max(year) FROM social)) so USING (arrondissement)
+  LEFT JOIN s5 USING (arrondissement)
+  LEFT JOIN env e USING (arrondissement)
+),
+filled AS (
+  SELECT * REPLACE (
+    coalesce(social_units_financed, 0) AS social_units_financed,
+    coalesce(social_units_financed_5y, 0) AS social_units_financed_5y,
+    coalesce(program_count, 0) AS program_count,
+    {', '.join(f'coalesce({c}, median({c}) OVER ()) AS {c}' for c in MEDIAN_FILL)},
+    {', '.join(f'coalesce({c}, median({c}) OVER (), {d}::DOUBLE) AS {c}' for c, d in ENV_FILL.items())}
+  ) FROM joined
+),
+ind AS (
+  SELECT *, {MONTHS_EXPR} AS months_income_for_1sqm,
+         {r('reference_rent_majorated_eur_m2 * 50.0::DOUBLE / (median_income_eur / 12.0::DOUBLE) * 100.0::DOUBLE', 1)}
+           AS estimated_50m2_rent_effort_pct,
+         {r('coalesce(social_units_financed / nullif(transactions, 0) * 100.0::DOUBLE, 0.0::DOUBLE)', 1)}
+           AS social_units_per_100_sales,
+         {ENV_EXPR} AS environmental_pressure_index
+  FROM filled
+),
+summary AS (SELECT *, {QOL_EXPR} AS quality_of_life_score FROM ind)"""
+
+
+def overview_sql(year: str) -> str:
+    return f"""{SUMMARY_CTE},
+ov0 AS (
+  SELECT s.* EXCLUDE ({', '.join(METRICS)}, months_income_for_1sqm), {', '.join('y.' + m for m in METRICS)}
+  FROM summary s LEFT JOIN (SELECT * FROM sales_yearly WHERE year = {year}) y USING (arrondissement)
+),
+ov1 AS (SELECT *, {MONTHS_EXPR} AS months_income_for_1sqm FROM ov0),
+overview AS (
+  SELECT *, CAST(CASE WHEN median_price_m2 IS NOT NULL
+                  THEN rank() OVER (ORDER BY median_price_m2 DESC NULLS LAST) END AS INTEGER) AS rank_by_price,
+         CAST({year} AS INTEGER) AS selected_sales_year
+  FROM ov1
+)"""
+
+
+def long_sql(table: str, theme: str, cols: list[str], where: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{theme}' AS theme, year, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM {table} WHERE {where}"
+        for c in cols)
+
+
+CITY_SQL = f"""SELECT count(DISTINCT arrondissement) AS arrondissement_count,
+       {r('median(median_price_m2)')} AS median_price_m2, {r('median(median_income_eur)')} AS median_income_eur,
+       {r('median(reference_rent_majorated_eur_m2)')} AS reference_rent_majorated_eur_m2,
+       CAST(sum(social_units_financed) AS BIGINT) AS social_units_financed,
+       CAST(sum(social_units_financed_5y) AS BIGINT) AS social_units_financed_5y,
+       {r('median(quality_of_life_score)')} AS quality_of_life_score,
+       {r('median(months_income_for_1sqm)')} AS months_income_for_1sqm,
+       {r('median(estimated_50m2_rent_effort_pct)', 1)} AS estimated_50m2_rent_effort_pct
+FROM summary"""
+
+COMPARE_METRICS = ["median_price_m2", "median_income_eur", "reference_rent_majorated_eur_m2",
+                   "social_units_financed", "quality_of_life_score", "months_income_for_1sqm",
+                   "estimated_50m2_rent_effort_pct"]
+
+ORACLE.update({
+    "q18_summary": f"WITH {SUMMARY_CTE} SELECT * FROM summary",
+    "q19_quality_score": f"""WITH {OCTAGON_CTE}, {CELLS_CTE},
+loc AS ({locate_sql('cells', 'cx', 'cy')}),
+per AS (
+  SELECT loc.k, count(*) AS n, sum(area) AS total, sum((cat % 10) * area) AS noise,
+         sum((cat // 10) * area) AS air, sum(CASE WHEN cat % 10 = 3 THEN area ELSE 0.0 END) AS high
+  FROM cells JOIN loc ON cells.cx = loc.px AND cells.cy = loc.py
+  WHERE loc.k IS NOT NULL GROUP BY loc.k
+),
+env AS (
+  SELECT n_nationkey AS arrondissement,
+         {r('coalesce(noise, 0.0) / coalesce(total, 1.0)', 3)} AS noise_score,
+         {r('coalesce(air, 0.0) / coalesce(total, 1.0)', 3)} AS air_score,
+         {r('coalesce(high, 0.0) / coalesce(total, 1.0) * 100.0::DOUBLE', 2)} AS high_noise_share_pct,
+         coalesce(n, 0) AS noise_cell_count
+  FROM nation LEFT JOIN per ON per.k = n_nationkey
+),
+ind AS (SELECT *, {ENV_EXPR} AS environmental_pressure_index FROM env)
+SELECT *, {QOL_EXPR} AS quality_of_life_score FROM ind""",
+    "q20_city_rollup": f"WITH {SUMMARY_CTE} {CITY_SQL}",
+    "q21_overview_rank": f"WITH {overview_sql('1998')} SELECT * FROM overview",
+    "q22_timeline": f"""WITH {SALES_CTE}, {RENT_CTE}, {SOCIAL_CTE},
+sales_yearly AS (SELECT arrondissement, year, {metric_block()} FROM sales GROUP BY arrondissement, year)
+{long_sql('sales_yearly', 'sales', METRICS, 'arrondissement = 7')}
+UNION ALL
+{long_sql('social', 'social', ['program_count', 'social_units_financed', 'pla_i_units', 'plus_units', 'pls_units'], 'arrondissement = 7')}
+UNION ALL
+{long_sql('rent', 'rents', ['reference_rent_eur_m2', 'reference_rent_majorated_eur_m2', 'reference_rent_minorated_eur_m2', 'rent_reference_count'], 'arrondissement = 7')}""",
+    "q23_compare": f"""WITH {overview_sql('(SELECT max(year) FROM sales_yearly)')},
+lng AS ({long_sql('overview', 'x', COMPARE_METRICS, 'arrondissement IN (3, 11)').replace("'x' AS theme, year,", "arrondissement,")}),
+pair AS (
+  SELECT metric, max(CASE WHEN arrondissement = 3 THEN value END) AS left_value,
+         max(CASE WHEN arrondissement = 11 THEN value END) AS right_value
+  FROM lng GROUP BY metric
+)
+SELECT 3 AS "left", 11 AS "right", metric, left_value, right_value,
+       {r('left_value - right_value')} AS delta
+FROM pair WHERE left_value IS NOT NULL AND right_value IS NOT NULL""",
+    "q40_neutral_environment": """SELECT CAST(n_nationkey + 1 AS INTEGER) AS arrondissement, 2.0::DOUBLE AS noise_score,
+       2.0::DOUBLE AS air_score, 50.0::DOUBLE AS high_noise_share_pct, CAST(0 AS BIGINT) AS noise_cell_count
+FROM nation""",
+})

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import postal_code_to_district
-from ..operators import geocode, metrics, sales, spatial, themes
+from ..operators import geocode, metrics, sales, spatial, summary, themes
 from . import testdata as td
 
 
@@ -174,6 +174,69 @@ def q16_weighted_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  feature_id="feature_id", cell=OCTAGON_CELL)
 
 
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.district_table(td.octagon_features(spark, sf_dir))
+
+
+def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.cell_exposure(td.cell_rows(spark, sf_dir), td.octagon_features(spark, sf_dir),
+                                 feature_id="arrondissement", cell=OCTAGON_CELL)
+
+
+def district_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.district_summary(
+        districts(spark, sf_dir), q01_sales_district_year(spark, sf_dir), income(spark, sf_dir),
+        rents(spark, sf_dir), social(spark, sf_dir), environment(spark, sf_dir))
+
+
+def q18_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """District summary: every district with latest sales, income, latest rents and social
+    housing, 5-year social units, environment; fills and derived indices."""
+    return district_summary(spark, sf_dir)
+
+
+def q19_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Environmental pressure index and quality-of-life score from the cell exposure."""
+    return summary.environment_indices(q16_weighted_exposure(spark, sf_dir))
+
+
+def q20_city_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City roll-up of the district summary."""
+    return summary.city_rollup(district_summary(spark, sf_dir))
+
+
+OVERVIEW_YEAR = 1998
+
+
+def q21_overview_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overview for a chosen sales year: that year's sales block, months of income, price rank."""
+    return summary.overview(district_summary(spark, sf_dir), q01_sales_district_year(spark, sf_dir),
+                            OVERVIEW_YEAR)
+
+
+TIMELINE_DISTRICT = 7
+
+
+def q22_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One district's sales, social and rent series in long form."""
+    return summary.timeline(q01_sales_district_year(spark, sf_dir), social(spark, sf_dir),
+                            rents(spark, sf_dir), TIMELINE_DISTRICT)
+
+
+COMPARE_PAIR = (3, 11)
+
+
+def q23_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two districts side by side for the latest sales year, with deltas."""
+    ov = summary.overview(district_summary(spark, sf_dir), q01_sales_district_year(spark, sf_dir))
+    return summary.compare(ov, *COMPARE_PAIR)
+
+
+def q40_neutral_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neutral environment rows for every district (used when the noise layer is skipped)."""
+    return summary.neutral_environment(districts(spark, sf_dir))
+
+
 QUERIES = {
     "q01_sales_district_year": q01_sales_district_year,
     "q02_sales_quarter_year": q02_sales_quarter_year,
@@ -191,4 +254,11 @@ QUERIES = {
     "q14_merge_keep_last": q14_merge_keep_last,
     "q15_point_in_polygon": q15_point_in_polygon,
     "q16_weighted_exposure": q16_weighted_exposure,
+    "q18_summary": q18_summary,
+    "q19_quality_score": q19_quality_score,
+    "q20_city_rollup": q20_city_rollup,
+    "q21_overview_rank": q21_overview_rank,
+    "q22_timeline": q22_timeline,
+    "q23_compare": q23_compare,
+    "q40_neutral_environment": q40_neutral_environment,
 }

@@ -206,10 +206,17 @@ def octagon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = [F.concat(F.lit("["), (cx + dx).cast("string"), F.lit(","), (cy + dy).cast("string"), F.lit("]"))
            for dx, dy in OCTAGON_OFFSETS + OCTAGON_OFFSETS[:1]]
     coords = F.concat(F.lit("[["), F.concat_ws(",", *pts), F.lit("]]"))
+    k1 = (F.col("n_nationkey") + 1).cast("string")
+    props = F.create_map(
+        F.lit("c_ar"), k1, F.lit("c_arinsee"), (F.col("n_nationkey") + 75101).cast("string"),
+        F.lit("l_aroff"), F.col("n_name"), F.lit("l_ar"), F.concat(k1, F.lit("e")),
+        F.lit("surface"), F.lit("0.875"), F.lit("perimetre"), F.lit("3.414"))
     return n.select(
         F.col("n_nationkey").alias("feature_id"),
+        (F.col("n_nationkey") + 1).alias("arrondissement"),
         F.col("n_name").alias("name"),
         F.col("n_regionkey").alias("region"),
+        props.alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"))
 
 
