@@ -94,7 +94,8 @@ def _tiles(polys: DataFrame, cell: float) -> DataFrame:
              F.explode(F.sequence(F.floor(F.col("_miny") / c), F.floor(F.col("_maxy") / c))).alias("gy"))
 
 
-def _bounded(df: DataFrame, tiles: DataFrame, polys: DataFrame, cell: float):
+def _bounded(tiles: DataFrame, polys: DataFrame, cell: float):
+    """Broadcast the polygon side only when a row count shows it is under the bounds."""
     stats = polys.agg(
         F.coalesce(F.sum((F.floor(F.col("maxx") / cell) - F.floor(F.col("minx") / cell) + 1)
                          * (F.floor(F.col("maxy") / cell) - F.floor(F.col("miny") / cell) + 1)), F.lit(0)).alias("t"),
@@ -116,7 +117,7 @@ def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs:
                     .distinct()
                     .withColumn("gx", F.floor(F.col("_x") / c))
                     .withColumn("gy", F.floor(F.col("_y") / c)))
-    tiles, poly_side = _bounded(points, _tiles(polys, c), polys, c)
+    tiles, poly_side = _bounded(_tiles(polys, c), polys, c)
     cand = (coords.join(tiles, ["gx", "gy"])
                   .where(F.col("_x").between(F.col("minx"), F.col("maxx"))
                          & F.col("_y").between(F.col("miny"), F.col("maxy")))

@@ -520,3 +520,31 @@ FROM pair WHERE left_value IS NOT NULL AND right_value IS NOT NULL""",
        2.0::DOUBLE AS air_score, 50.0::DOUBLE AS high_noise_share_pct, CAST(0 AS BIGINT) AS noise_cell_count
 FROM nation""",
 })
+
+
+SEGMENTS_CTE = """
+seg AS (
+  SELECT s_suppkey, (s_suppkey * 37 % 101) / 20.0::DOUBLE AS ax, (s_suppkey * 53 % 103) / 20.0::DOUBLE AS ay,
+         (s_suppkey * 71 % 107) / 20.0::DOUBLE AS bx, (s_suppkey * 29 % 97) / 20.0::DOUBLE AS by_
+  FROM supplier
+)"""
+
+ORACLE["q17_line_overlay"] = f"""WITH {OCTAGON_CTE}, {SEGMENTS_CTE},
+hp AS (
+  SELECT s.s_suppkey, e.k,
+         -(e.y2 - e.y1) * (s.ax - e.x1) + (e.x2 - e.x1) * (s.ay - e.y1) AS f0,
+         -(e.y2 - e.y1) * (s.bx - s.ax) + (e.x2 - e.x1) * (s.by_ - s.ay) AS fd
+  FROM seg s JOIN edges e ON true
+),
+clip AS (
+  SELECT s_suppkey, k,
+         greatest(0.0::DOUBLE, coalesce(max(CASE WHEN fd > 0 THEN -f0 / fd END), 0.0::DOUBLE)) AS t0,
+         least(1.0::DOUBLE, coalesce(min(CASE WHEN fd < 0 THEN -f0 / fd END), 1.0::DOUBLE)) AS t1,
+         bool_and(fd <> 0 OR f0 >= 0) AS ok
+  FROM hp GROUP BY s_suppkey, k
+)
+SELECT c.s_suppkey, c.k AS n_nationkey,
+       {r('(c.t1 - c.t0) * sqrt((s.bx - s.ax) * (s.bx - s.ax) + (s.by_ - s.ay) * (s.by_ - s.ay))', 6)} AS clipped_length,
+       1 AS parts
+FROM clip c JOIN seg s USING (s_suppkey)
+WHERE c.ok AND (c.t1 - c.t0) * sqrt((s.bx - s.ax) * (s.bx - s.ax) + (s.by_ - s.ay) * (s.by_ - s.ay)) > 1e-9"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import postal_code_to_district
-from ..operators import geocode, metrics, sales, spatial, summary, themes
+from ..operators import geocode, metrics, overlay, sales, spatial, summary, themes
 from . import testdata as td
 
 
@@ -174,6 +174,16 @@ def q16_weighted_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  feature_id="feature_id", cell=OCTAGON_CELL)
 
 
+def q17_line_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineal parts of every supplier segment inside every octagon it crosses: clipped length
+    (round 6) and number of parts per (segment, octagon)."""
+    from ..functions.numeric import round_half_even
+    clipped = overlay.clip_lines(td.supplier_lines(spark, sf_dir), td.octagon_features(spark, sf_dir),
+                                 line_id="s_suppkey", feature_id="feature_id", cell=OCTAGON_CELL)
+    return clipped.select("s_suppkey", F.col("feature_id").alias("n_nationkey"),
+                          round_half_even("length", 6).alias("clipped_length"), "parts")
+
+
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.district_table(td.octagon_features(spark, sf_dir))
 
@@ -254,6 +264,7 @@ QUERIES = {
     "q14_merge_keep_last": q14_merge_keep_last,
     "q15_point_in_polygon": q15_point_in_polygon,
     "q16_weighted_exposure": q16_weighted_exposure,
+    "q17_line_overlay": q17_line_overlay,
     "q18_summary": q18_summary,
     "q19_quality_score": q19_quality_score,
     "q20_city_rollup": q20_city_rollup,

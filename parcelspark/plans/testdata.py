@@ -240,3 +240,15 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         ((F.col("l_linenumber") % 3 + 1) * 10 + (F.col("l_partkey") % 3 + 1)).alias("category"),
         (cx - w).alias("minx"), (cy - h).alias("miny"), (cx + w).alias("maxx"), (cy + h).alias("maxy"))
+
+
+def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier as one-segment street lines ((37s % 101)/20, (53s % 103)/20) ->
+    ((71s % 107)/20, (29s % 97)/20), GeoJSON LineString coordinates text."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    pt = lambda x, y: F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
+    coords = F.concat(F.lit("["), pt((k * 37 % 101) / 20.0, (k * 53 % 103) / 20.0), F.lit(","),
+                      pt((k * 71 % 107) / 20.0, (k * 29 % 97) / 20.0), F.lit("]"))
+    return s.select("s_suppkey", "s_name",
+                    F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates")).alias("geometry"))
