@@ -130,3 +130,31 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, *, line_id: str, feature_i
         F.when(F.size("parts") == 1, F.to_json(F.col("parts")[0])).otherwise(F.to_json("parts")).alias("coordinates"))
     return out.select(F.col("_lid").alias(line_id), F.col("_fid").alias(feature_id), geom.alias("geometry"),
                       "length", F.size("parts").alias("parts"))
+
+
+def street_reference(streets: DataFrame, districts: DataFrame, *, cell: float,
+                     street_id: str = "feature_id", district_id: str = "arrondissement",
+                     district_insee: str = "insee_code", props: str = "properties") -> DataFrame:
+    """Street lines -> one row per (street, district) with the street's lineal part inside the
+    district: street_ref_id, street_key (district INSEE | normalised name), street_name,
+    display_name, arrondissement, commune_insee, geometry. Streets with an empty normalised name
+    or no geometry are dropped; point-only contacts with a district produce no row."""
+    from ..functions import text
+    p = F.col(props)
+    raw_name = text.join_nonempty(p["c_desi"], p["c_liaison"], p["l_voie"])
+    named = streets.select(
+        F.col(street_id).alias("_sid"), "geometry",
+        text.first_truthy(p["n_sq_vo"], p["c_voie_vp"], p["c_voie"], p["objectid"]).alias("street_ref_id"),
+        text.normalize_street_name(raw_name).alias("street_name"),
+        raw_name.alias("_raw"), p["l_longmin"].alias("_long"))
+    display = F.trim(F.coalesce(F.when(F.col("_long") != "", F.col("_long")), F.col("_raw")))
+    named = (named.withColumn("display_name", F.when(display != "", display).otherwise(F.col("street_name")))
+                  .where((F.col("street_name") != "") & F.col("geometry").isNotNull()))
+    clipped = clip_lines(named.select("_sid", "geometry"), districts.select(district_id, "geometry"),
+                         line_id="_sid", feature_id=district_id, cell=cell)
+    codes_ = districts.select(district_id, F.col(district_insee).cast("string").alias("commune_insee"))
+    out = (clipped.join(named.drop("geometry"), "_sid")
+                  .join(codes_, district_id)
+                  .withColumn("street_key", F.concat_ws("|", "commune_insee", "street_name")))
+    return out.select("street_ref_id", "street_key", "street_name", "display_name",
+                      F.col(district_id).alias("arrondissement"), "commune_insee", "geometry")

@@ -104,3 +104,28 @@ def small_group_medians(df: DataFrame, keys: list[str], values: dict[str, str])
     aggs = [F.median(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(name)
             for name, c in values.items()]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+
+
+def kth_smallest(df: DataFrame, col: str, k_from_n) -> DataFrame:
+    """One-row DataFrame ``(n, value)``: the k-th smallest non-null value (1-based), with
+    ``k_from_n`` a function of the count Column. Up to ``HOT_GROUP_ROWS`` values a sorted array
+    is used (bounded); beyond, the value is found by the same rank selection as the medians."""
+    v = F.col(col).cast("double")
+    values = df.select(v.alias("_v")).where(F.col("_v").isNotNull())
+    n = values.count()
+    if n <= HOT_GROUP_ROWS:
+        return values.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_v")).alias("_s")) \
+            .select("n", F.when(F.col("n") > 0, F.element_at("_s", k_from_n(F.col("n")).cast("int"))).alias("value"))
+    checkpoint_dir(df.sparkSession)
+    weighted = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_w"))
+    ranged = (weighted.repartitionByRange("_v").withColumn("_blk", F.spark_partition_id())
+                      .checkpoint(eager=True))
+    running = Window.partitionBy("_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.withColumn("_hi", F.sum("_w").over(running))
+    blocks = (ranged.groupBy("_blk").agg(F.sum("_w").alias("_cnt"))
+              .withColumn("_before", F.sum("_cnt").over(Window.orderBy("_blk")) - F.col("_cnt"))
+              .withColumn("_k", k_from_n(F.lit(n)) - F.col("_before"))
+              .where((F.col("_k") >= 1) & (F.col("_k") <= F.col("_cnt"))))
+    hit = (ranked.join(blocks.select("_blk", "_k"), "_blk")
+                 .where((F.col("_k") >= F.col("_hi") - F.col("_w") + 1) & (F.col("_k") <= F.col("_hi"))))
+    return hit.agg(F.lit(n).cast("long").alias("n"), F.max("_v").alias("value"))

@@ -548,3 +548,124 @@ SELECT c.s_suppkey, c.k AS n_nationkey,
        1 AS parts
 FROM clip c JOIN seg s USING (s_suppkey)
 WHERE c.ok AND (c.t1 - c.t0) * sqrt((s.bx - s.ax) * (s.bx - s.ax) + (s.by_ - s.ay) * (s.by_ - s.ay)) > 1e-9"""
+
+
+
+def segments_cte(table: str, key: str) -> str:
+    k = key
+    return f"""
+seg AS (
+  SELECT {k}, ({k} * 37 % 101) / 20.0::DOUBLE AS ax, ({k} * 53 % 103) / 20.0::DOUBLE AS ay,
+         ({k} * 71 % 107) / 20.0::DOUBLE AS bx, ({k} * 29 % 97) / 20.0::DOUBLE AS by_
+  FROM {table}
+)"""
+
+
+def clip_cte(key: str) -> str:
+    return f"""
+hp AS (
+  SELECT s.{key}, e.k,
+         -(e.y2 - e.y1) * (s.ax - e.x1) + (e.x2 - e.x1) * (s.ay - e.y1) AS f0,
+         -(e.y2 - e.y1) * (s.bx - s.ax) + (e.x2 - e.x1) * (s.by_ - s.ay) AS fd
+  FROM seg s JOIN edges e ON true
+),
+clip0 AS (
+  SELECT {key}, k,
+         greatest(0.0::DOUBLE, coalesce(max(CASE WHEN fd > 0 THEN -f0 / fd END), 0.0::DOUBLE)) AS t0,
+         least(1.0::DOUBLE, coalesce(min(CASE WHEN fd < 0 THEN -f0 / fd END), 1.0::DOUBLE)) AS t1,
+         bool_and(fd <> 0 OR f0 >= 0) AS ok
+  FROM hp GROUP BY {key}, k
+),
+clip AS (
+  SELECT c.*, (c.t1 - c.t0) * sqrt((s.bx - s.ax) * (s.bx - s.ax) + (s.by_ - s.ay) * (s.by_ - s.ay)) AS len
+  FROM clip0 c JOIN seg s USING ({key})
+  WHERE c.ok AND (c.t1 - c.t0) * sqrt((s.bx - s.ax) * (s.bx - s.ax) + (s.by_ - s.ay) * (s.by_ - s.ay)) > 1e-9
+)"""
+
+
+LATEST = "(SELECT max(year) FROM sales_yearly)"
+CATALOG_ROWS = [
+    ("median_price_m2", "Prix median au m²", "EUR/m²", True),
+    ("transactions", "Transactions retenues", "count", True),
+    ("median_surface_m2", "Surface mediane", "m²", True),
+    ("median_income_eur", "Revenu median", "EUR/an", False),
+    ("reference_rent_majorated_eur_m2", "Loyer majore moyen", "EUR/m²", False),
+    ("social_units_financed", "Logements sociaux finances", "count", True),
+    ("social_units_financed_5y", "Logements sociaux finances sur 5 ans", "count", False),
+    ("months_income_for_1sqm", "Mois de revenu pour 1 m²", "months", False),
+    ("estimated_50m2_rent_effort_pct", "Effort locatif estime pour 50 m²", "%", False),
+    ("quality_of_life_score", "Qualite de vie", "/10", False),
+]
+LEVEL_ROWS = [("arrondissement", "Arrondissements", None), ("quartier", "Quartiers", 3),
+              ("street", "Rues", 3), ("building", "Batiments", 3)]
+MICRO = ("median_price_m2", "transactions", "median_surface_m2")
+
+ORACLE.update({
+    "q24_map_district": f"""WITH {overview_sql(LATEST)}
+SELECT arrondissement, name, CAST(median_price_m2 AS DOUBLE) AS metric_value,
+       'arrondissement' AS map_level, 'median_price_m2' AS selected_metric,
+       selected_sales_year AS metric_year, 'Polygon' AS geometry_type
+FROM overview""",
+
+    "q25_map_quarter": f"""WITH {SALES_CTE}, {OCTAGON_CTE},
+loc AS ({locate_sql('sales', 'longitude', 'latitude')}),
+q AS (
+  SELECT s.*, CAST(loc.k AS VARCHAR) AS quartier_id, n.n_name AS quartier_name
+  FROM sales s JOIN loc ON s.longitude = loc.px AND s.latitude = loc.py
+  JOIN nation n ON n.n_nationkey = loc.k WHERE loc.k IS NOT NULL
+),
+qy AS (SELECT quartier_id, quartier_name, arrondissement, year, {metric_block()}
+       FROM q GROUP BY quartier_id, quartier_name, arrondissement, year),
+sel AS (SELECT * FROM qy WHERE year = (SELECT max(year) FROM qy)),
+last AS (SELECT quartier_id, max(arrondissement) AS arrondissement,
+                arg_max(transactions, arrondissement) AS transactions FROM sel GROUP BY quartier_id)
+SELECT CAST(n_nationkey AS VARCHAR) AS quartier_id,
+       CAST(coalesce(last.arrondissement, n_nationkey + 1) AS INTEGER) AS arrondissement,
+       CAST(last.transactions AS DOUBLE) AS metric_value, 'quartier' AS map_level,
+       'transactions' AS selected_metric, CAST((SELECT max(year) FROM qy) AS INTEGER) AS metric_year
+FROM nation LEFT JOIN last ON last.quartier_id = CAST(n_nationkey AS VARCHAR)""",
+
+    "q26_map_street": f"""WITH {MICRO_CTE}, {OCTAGON_CTE}, {segments_cte('part', 'p_partkey')}, {clip_cte('p_partkey')},
+sy AS (SELECT {STREET_KEYS}, {r('median(price_per_m2)')} AS median_price_m2 FROM micro GROUP BY {STREET_KEYS}),
+sel AS (SELECT * FROM sy WHERE year = (SELECT max(year) FROM sy)),
+last AS (SELECT street_key, max(arrondissement) AS arrondissement,
+                arg_max(median_price_m2, arrondissement) AS median_price_m2 FROM sel GROUP BY street_key),
+pieces AS (
+  SELECT CAST(p.p_partkey AS VARCHAR) AS street_ref_id,
+         CAST(75101 + c.k AS VARCHAR) || '|' || {norm('p.p_brand')} AS street_key,
+         CASE WHEN trim(coalesce(CASE WHEN p.p_partkey % 2 = 1 THEN p.p_name END, trim(p.p_brand))) <> ''
+              THEN trim(coalesce(CASE WHEN p.p_partkey % 2 = 1 THEN p.p_name END, trim(p.p_brand)))
+              ELSE {norm('p.p_brand')} END AS name
+  FROM clip c JOIN part p USING (p_partkey)
+)
+SELECT pieces.street_ref_id, pieces.street_key, pieces.name, last.arrondissement,
+       CAST(last.median_price_m2 AS DOUBLE) AS metric_value, 'street' AS map_level,
+       'median_price_m2' AS selected_metric, CAST((SELECT max(year) FROM sy) AS INTEGER) AS metric_year
+FROM pieces JOIN last USING (street_key)""",
+
+    "q27_map_building": f"""WITH {MICRO_CTE},
+b AS (SELECT {BUILDING_KEYS}, median(longitude) AS longitude, median(latitude) AS latitude,
+             {r('median(built_surface_m2)')} AS median_surface_m2 FROM micro GROUP BY {BUILDING_KEYS})
+SELECT building_id, coalesce(nullif(building_label, ''), building_id) AS name, longitude, latitude,
+       CAST(median_surface_m2 AS DOUBLE) AS metric_value, 'building' AS map_level,
+       'median_surface_m2' AS selected_metric, CAST((SELECT max(year) FROM b) AS INTEGER) AS metric_year
+FROM b WHERE year = (SELECT max(year) FROM b) AND longitude IS NOT NULL AND latitude IS NOT NULL""",
+
+    "q28_legend_stops": f"""WITH {overview_sql(LATEST)},
+v AS (SELECT coalesce(CAST(median_price_m2 AS DOUBLE), 0.0::DOUBLE) AS v FROM overview),
+s AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, list_sort(list(v)) AS l FROM v)
+SELECT CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE lo END AS stop_low,
+       CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN lo = hi THEN lo + 1 ELSE l[n // 2 + 1] END AS stop_mid,
+       CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN lo = hi THEN lo + 2 ELSE hi END AS stop_high
+FROM s""",
+
+    "q37_metadata": f"""WITH {SALES_CTE}, {RENT_CTE}, {SOCIAL_CTE},
+cat(metric, label, unit, supports_year, pos) AS (VALUES {', '.join(f"('{m}', '{l}', '{u}', {str(y).lower()}, {i})" for i, (m, l, u, y) in enumerate(CATALOG_ROWS))}),
+lv(level, level_label, micro) AS (VALUES {', '.join(f"('{k}', '{lab}', {'false' if n is None else 'true'})" for k, lab, n in LEVEL_ROWS)})
+SELECT lv.level, lv.level_label, cat.metric, cat.label, cat.unit, cat.supports_year,
+       (SELECT max(year) FROM sales) AS latest_sales_year,
+       (SELECT max(year) FROM social) AS latest_social_year,
+       (SELECT max(year) FROM rent) AS latest_rent_year,
+       (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM sales) AS available_sales_years
+FROM lv JOIN cat ON NOT lv.micro OR cat.metric IN {MICRO}""",
+})

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import postal_code_to_district
-from ..operators import geocode, metrics, overlay, sales, spatial, summary, themes
+from ..operators import geocode, metrics, overlay, sales, serving, spatial, summary, themes
 from . import testdata as td
 
 
@@ -242,6 +242,64 @@ def q23_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.compare(ov, *COMPARE_PAIR)
 
 
+def district_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Octagon features with their typed district attributes (id, INSEE code)."""
+    feats = td.octagon_features(spark, sf_dir)
+    return feats.select("geometry", *[F.col(c) for c in ["arrondissement"]],
+                        F.col("properties")["c_arinsee"].cast("int").alias("insee_code"))
+
+
+def q24_map_district(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """District map layer for the latest sales year, metric = median price per m2."""
+    ov = summary.overview(district_summary(spark, sf_dir), q01_sales_district_year(spark, sf_dir))
+    layer = serving.map_layer("arrondissement", "median_price_m2",
+                              features=district_features(spark, sf_dir), overview=ov)
+    return layer.select("arrondissement", "name", "metric_value", "map_level", "selected_metric",
+                        "metric_year", F.col("geometry.type").alias("geometry_type"))
+
+
+def q25_map_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter map layer (every quarter; last row per quarter wins), metric = transactions."""
+    feats = td.octagon_features(spark, sf_dir).select(
+        F.col("feature_id").cast("string").alias("quartier_id"), "arrondissement", "geometry")
+    layer = serving.map_layer("quartier", "transactions", features=feats,
+                              yearly=q02_sales_quarter_year(spark, sf_dir))
+    return layer.select("quartier_id", "arrondissement", "metric_value", "map_level",
+                        "selected_metric", "metric_year")
+
+
+def street_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.street_reference(td.part_street_lines(spark, sf_dir), district_features(spark, sf_dir),
+                                    cell=OCTAGON_CELL)
+
+
+def q26_map_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street map layer: street pieces (lines clipped to districts) with a sales row for the
+    latest year, metric = median price per m2."""
+    layer = serving.map_layer("street", "median_price_m2", features=street_features(spark, sf_dir),
+                              yearly=q03_sales_street_year(spark, sf_dir))
+    return layer.select("street_ref_id", "street_key", "name", "arrondissement", "metric_value",
+                        "map_level", "selected_metric", "metric_year")
+
+
+def q27_map_building(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building map layer as points (rows with coordinates), metric = median surface."""
+    layer = serving.map_layer("building", "median_surface_m2", yearly=q04_sales_building_year(spark, sf_dir))
+    return layer.select("building_id", "name", "longitude", "latitude", "metric_value", "map_level",
+                        "selected_metric", "metric_year")
+
+
+def q28_legend_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legend colour stops of the district map layer."""
+    return serving.legend_stops(q24_map_district(spark, sf_dir))
+
+
+def q37_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric catalogue per map level with latest and available years."""
+    return serving.metadata(spark, q01_sales_district_year(spark, sf_dir), social(spark, sf_dir),
+                            rents(spark, sf_dir))
+
+
 def q40_neutral_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neutral environment rows for every district (used when the noise layer is skipped)."""
     return summary.neutral_environment(districts(spark, sf_dir))
@@ -271,5 +329,11 @@ QUERIES = {
     "q21_overview_rank": q21_overview_rank,
     "q22_timeline": q22_timeline,
     "q23_compare": q23_compare,
+    "q24_map_district": q24_map_district,
+    "q25_map_quarter": q25_map_quarter,
+    "q26_map_street": q26_map_street,
+    "q27_map_building": q27_map_building,
+    "q28_legend_stops": q28_legend_stops,
+    "q37_metadata": q37_metadata,
     "q40_neutral_environment": q40_neutral_environment,
 }

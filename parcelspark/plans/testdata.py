@@ -252,3 +252,22 @@ def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                       pt((k * 71 % 107) / 20.0, (k * 29 % 97) / 20.0), F.lit("]"))
     return s.select("s_suppkey", "s_name",
                     F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates")).alias("geometry"))
+
+
+def part_street_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as street features: one segment per part on the same rule as the supplier lines,
+    named by brand; raw street properties as text (designation empty, link word empty, name =
+    brand, long display name = part name for odd parts, ids: none, empty, '0', part key)."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pt = lambda x, y: F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
+    coords = F.concat(F.lit("["), pt((k * 37 % 101) / 20.0, (k * 53 % 103) / 20.0), F.lit(","),
+                      pt((k * 71 % 107) / 20.0, (k * 29 % 97) / 20.0), F.lit("]"))
+    props = F.create_map(
+        F.lit("c_desi"), F.lit(None).cast("string"), F.lit("c_liaison"), F.lit(""),
+        F.lit("l_voie"), F.col("p_brand"), F.lit("n_sq_vo"), F.lit(None).cast("string"),
+        F.lit("c_voie_vp"), F.lit(""), F.lit("c_voie"), F.lit("0"),
+        F.lit("objectid"), k.cast("string"),
+        F.lit("l_longmin"), F.when(k % 2 == 1, F.col("p_name")))
+    return p.select(k.alias("feature_id"), props.alias("properties"),
+                    F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates")).alias("geometry"))
