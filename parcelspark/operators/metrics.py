@@ -153,3 +153,34 @@ def five_year_sum(df: DataFrame, value: str = "social_units_financed", year: str
 def sorted_years(df: DataFrame, year: str = "year") -> DataFrame:
     """Sorted distinct years as one array (bounded: one entry per year)."""
     return df.agg(F.sort_array(F.collect_set(year)).alias("years"))
+
+
+def coverage(geocoded: DataFrame) -> DataFrame:
+    """Spatial coverage counters of the geocoded sales (one row): rows, distinct transactions,
+    rows per geocode source, geocoded rows, rows attached to a quarter / census block, distinct
+    streets and buildings with their yearly row counts, geocoded share in % (round 2).
+
+    The street / building yearly row counts are the number of distinct group keys of those
+    aggregates, so no metric aggregate is needed here. One global aggregate with partial
+    aggregation, distinct counts pre-aggregated by key."""
+    street_keys = ["street_key", "street_name", "arrondissement", "commune_insee", "year"]
+    building_keys = ["building_id", "building_id_source", "building_label", "arrondissement",
+                     "commune_insee", "street_name", "house_number", "house_suffix", "year"]
+    streets = _not_null_keys(geocoded, street_keys).select(*street_keys).distinct()
+    buildings = _not_null_keys(geocoded, building_keys).select(*building_keys).distinct()
+    c = F.col
+    base = geocoded.agg(
+        F.count(F.lit(1)).alias("input_rows"),
+        F.count_distinct("transaction_id").alias("input_transactions"),
+        F.count_if(c("geocode_source") == "adresses-ban").alias("adresses_ban_rows"),
+        F.count_if(c("geocode_source") == "ban-plus").alias("ban_plus_rows"),
+        F.count_if(c("longitude").isNotNull()).alias("geocoded_rows"),
+        F.count_if(c("quartier_id").isNotNull()).alias("quartier_rows"),
+        F.count_if(c("iris_code").isNotNull()).alias("iris_rows"))
+    return base.select(
+        "*",
+        streets.agg(F.count_distinct("street_key")).scalar().alias("street_count"),
+        streets.agg(F.count(F.lit(1))).scalar().alias("street_year_rows"),
+        buildings.agg(F.count_distinct("building_id")).scalar().alias("building_count"),
+        buildings.agg(F.count(F.lit(1))).scalar().alias("building_year_rows"),
+        round_half_even(F.try_divide(c("geocoded_rows") * 100.0, c("input_rows")), 2).alias("geocoded_rate_pct"))

@@ -67,7 +67,7 @@ ref0 AS (
          CAST(p_size AS VARCHAR) AS house_number,
          CASE p_type WHEN 'STANDARD' THEN 'BIS' WHEN 'ECONOMY' THEN 'TER' ELSE '' END AS house_suffix,
          {norm('p_brand')} AS street_name,
-         p_retailprice / 100.0::DOUBLE AS long, p_size / 8.0::DOUBLE AS lat,
+         p_retailprice / 400.0::DOUBLE AS long, p_size / 8.0::DOUBLE AS lat,
          CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 3 AS DOUBLE) ELSE 0.0::DOUBLE END AS certification
   FROM part WHERE p_size <= 45 AND p_size % 10 <> 1
 ),
@@ -669,3 +669,42 @@ SELECT lv.level, lv.level_label, cat.metric, cat.label, cat.unit, cat.supports_y
        (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM sales) AS available_sales_years
 FROM lv JOIN cat ON NOT lv.micro OR cat.metric IN {MICRO}""",
 })
+
+
+ORACLE["q29_coverage"] = f"""WITH {GEOCODE_CTE}, {OCTAGON_CTE},
+g AS (
+  SELECT *, coalesce(nullif(label0, ''), building_id) AS building_label,
+         commune_insee || '|' || street_name AS street_key
+  FROM geo
+),
+loc AS ({locate_sql('g', 'g_longitude', 'g_latitude')}),
+edges_all AS (SELECT * FROM edges),
+gq AS (SELECT g.*, loc.k AS quartier_id FROM g LEFT JOIN loc ON g.g_longitude = loc.px AND g.g_latitude = loc.py),
+iris_edges AS (SELECT e.* FROM edges e JOIN nation n ON n.n_nationkey = e.k WHERE n.n_regionkey <> 0),
+iloc AS (
+  SELECT px, py, min(k) FILTER (WHERE hit) AS k FROM (
+    SELECT p.g_longitude AS px, p.g_latitude AS py, e.k,
+           sum(CASE WHEN (e.y1 > p.g_latitude) <> (e.y2 > p.g_latitude)
+                    THEN CASE WHEN p.g_longitude < e.x1 + (p.g_latitude - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
+                              THEN 1 ELSE 0 END ELSE 0 END) % 2 = 1
+           OR bool_or((e.x2 - e.x1) * (p.g_latitude - e.y1) - (e.y2 - e.y1) * (p.g_longitude - e.x1) = 0
+                      AND p.g_longitude BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
+                      AND p.g_latitude BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)) AS hit
+    FROM (SELECT DISTINCT g_longitude, g_latitude FROM g WHERE g_longitude IS NOT NULL) p
+    JOIN iris_edges e ON true GROUP BY 1, 2, 3) GROUP BY px, py
+),
+gi AS (SELECT gq.*, iloc.k AS iris_code FROM gq LEFT JOIN iloc ON gq.g_longitude = iloc.px AND gq.g_latitude = iloc.py),
+streets AS (SELECT DISTINCT {STREET_KEYS} FROM g WHERE street_name <> ''),
+buildings AS (SELECT DISTINCT {BUILDING_KEYS} FROM g WHERE building_id IS NOT NULL)
+SELECT count(*) AS input_rows, count(DISTINCT transaction_id) AS input_transactions,
+       count(*) FILTER (WHERE geocode_source = 'adresses-ban') AS adresses_ban_rows,
+       count(*) FILTER (WHERE geocode_source = 'ban-plus') AS ban_plus_rows,
+       count(*) FILTER (WHERE g_longitude IS NOT NULL) AS geocoded_rows,
+       count(*) FILTER (WHERE quartier_id IS NOT NULL) AS quartier_rows,
+       count(*) FILTER (WHERE iris_code IS NOT NULL) AS iris_rows,
+       (SELECT count(DISTINCT street_key) FROM streets) AS street_count,
+       (SELECT count(*) FROM streets) AS street_year_rows,
+       (SELECT count(DISTINCT building_id) FROM buildings) AS building_count,
+       (SELECT count(*) FROM buildings) AS building_year_rows,
+       {r('count(*) FILTER (WHERE g_longitude IS NOT NULL) * 100.0::DOUBLE / count(*)')} AS geocoded_rate_pct
+FROM gi"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import postal_code_to_district
+from ..session import materialize
 from ..operators import geocode, metrics, overlay, sales, serving, spatial, summary, themes
 from . import testdata as td
 
@@ -242,6 +243,20 @@ def q23_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.compare(ov, *COMPARE_PAIR)
 
 
+def q29_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage counters of the geocoded sales after attaching quarters and census blocks
+    (two point-in-polygon joins on the geocoded coordinates)."""
+    feats = td.octagon_features(spark, sf_dir)
+    geo = materialize(geocoded_sales(spark, sf_dir))  # read by both spatial joins and the counters
+    geo = spatial.attach_points(geo, feats, x="longitude", y="latitude", feature_id="feature_id",
+                                order="feature_id", mapping={"feature_id": "quartier_id", "name": "quartier_name"},
+                                cell=OCTAGON_CELL)
+    geo = spatial.attach_points(geo, feats.where(F.col("region") != 0), x="longitude", y="latitude",
+                                feature_id="feature_id", order="feature_id",
+                                mapping={"feature_id": "iris_code", "region": "iris_type"}, cell=OCTAGON_CELL)
+    return metrics.coverage(materialize(geo))
+
+
 def district_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Octagon features with their typed district attributes (id, INSEE code)."""
     feats = td.octagon_features(spark, sf_dir)
@@ -334,6 +349,7 @@ QUERIES = {
     "q26_map_street": q26_map_street,
     "q27_map_building": q27_map_building,
     "q28_legend_stops": q28_legend_stops,
+    "q29_coverage": q29_coverage,
     "q37_metadata": q37_metadata,
     "q40_neutral_environment": q40_neutral_environment,
 }

@@ -82,7 +82,7 @@ def address_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("voie_nom"),
         F.col("p_size").cast("string").alias("numero"),
         part_suffix().alias("suffixe"),
-        F.when(F.col("p_size") % 10 != 1, (F.col("p_retailprice") / 100.0).cast("string")).alias("long"),
+        F.when(F.col("p_size") % 10 != 1, (F.col("p_retailprice") / 400.0).cast("string")).alias("long"),
         (F.col("p_size") / 8.0).cast("string").alias("lat"),
         F.when(F.col("p_partkey") % 7 != 0, (F.col("p_partkey") % 3).cast("string"))
          .alias("certification_commune"),
