@@ -708,3 +708,142 @@ SELECT count(*) AS input_rows, count(DISTINCT transaction_id) AS input_transacti
        (SELECT count(*) FROM buildings) AS building_year_rows,
        {r('count(*) FILTER (WHERE g_longitude IS NOT NULL) * 100.0::DOUBLE / count(*)')} AS geocoded_rate_pct
 FROM gi"""
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def fold_sql(expr: str) -> str:
+    """DuckDB twin of normalize_text built from the same rule-generated fold tables."""
+    from ..functions.text import ascii_fold_tables
+    single, multi = ascii_fold_tables()
+    out = f"coalesce({expr}, '')"
+    for ch, rep in multi.items():
+        out = f"replace({out}, {_q(ch)}, {_q(rep)})"
+    src = "".join(single)
+    dst = "".join(single[c] for c in single)
+    out = f"regexp_replace(translate({out}, {_q(src)}, {_q(dst)}), '[^\\x00-\\x7F]', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace(upper({out}), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+STREET_ALIASES = {"ALL": "ALLEE", "AV": "AVENUE", "BD": "BOULEVARD", "BLD": "BOULEVARD", "CHE": "CHEMIN",
+                  "CRS": "COURS", "FG": "FAUBOURG", "IMP": "IMPASSE", "PAS": "PASSAGE", "PL": "PLACE",
+                  "QU": "QUAI", "RLE": "RUELLE", "RTE": "ROUTE", "SQ": "SQUARE", "VLA": "VILLA"}
+
+
+def street_sql(expr: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STREET_ALIASES.items())
+    return f"array_to_string(list_transform(string_split({norm(expr)}, ' '), lambda t: CASE t {cases} ELSE t END), ' ')"
+
+
+def digits(expr: str) -> str:
+    return f"regexp_replace(coalesce({expr}, ''), '[^0-9]', '', 'g')"
+
+
+def zfill(expr: str, n: int) -> str:
+    return f"CASE WHEN length({expr}) < {n} THEN lpad({expr}, {n}, '0') ELSE {expr} END"
+
+
+def _lambert_sql() -> tuple[str, str]:
+    import math
+    from ..functions import geo
+    phi = "radians(lat)"
+    esin = f"({geo.E!r} * sin({phi}))"
+    t = f"(tan({math.pi / 4!r} - {phi} / 2) / pow((1 - {esin}) / (1 + {esin}), {geo.E / 2!r}))"
+    rho = f"({geo.GRS80_A * geo.F_CONST!r} * pow({t}, {geo.N!r}))"
+    theta = f"({geo.N!r} * radians(lon - {geo.LON_0!r}))"
+    return (f"{geo.FALSE_EASTING!r} + {rho} * sin({theta})",
+            f"{geo.FALSE_NORTHING + geo.RHO_0!r} - {rho} * cos({theta})")
+
+
+_LX, _LY = _lambert_sql()
+_PREFIX = digits("prefix")
+_NUM = digits("numero")
+
+KEYS_CTE = f"""
+raw AS (
+  SELECT p_partkey, '75' AS dep,
+         CASE WHEN p_size % 10 <> 0 THEN CAST(p_size % 25 AS VARCHAR) END AS commune,
+         CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 1000 AS VARCHAR) END AS prefix,
+         lower(substring(p_brand, 7, 2)) || ' ' || substring(p_type, 1, 1) AS section,
+         CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey AS VARCHAR) END AS plan,
+         lpad(CAST(p_size AS VARCHAR), 4, '0') AS numero,
+         CASE WHEN p_type = 'STANDARD' THEN 'b' WHEN p_type = 'PROMO' THEN 'Q' END AS btq,
+         CASE WHEN p_size % 2 = 0 THEN 'AV' ELSE 'BD' END AS tv, p_name AS voie,
+         '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS dm,
+         replace(CAST(p_retailprice AS VARCHAR), '.', ',') AS vf, p_type AS tl,
+         CAST(p_size AS VARCHAR) AS surf
+  FROM part
+),
+k1 AS (
+  SELECT *, {digits('dep')} AS dep_d, {zfill(digits('commune'), 3)} AS commune3,
+         {zfill(f"CASE WHEN {_PREFIX} = '' THEN '000' ELSE {_PREFIX} END", 3)} AS prefix3,
+         replace(upper(coalesce(section, '')), ' ', '') AS section_c, {digits('plan')} AS plan_d,
+         CASE WHEN ltrim({_NUM}, '0') = '' THEN {_NUM} ELSE ltrim({_NUM}, '0') END AS house_number,
+         CASE WHEN btq IS NULL THEN '' ELSE
+           CASE {norm('btq')} WHEN 'B' THEN 'BIS' WHEN 'BIS' THEN 'BIS' WHEN 'T' THEN 'TER' WHEN 'TER' THEN 'TER'
+                WHEN 'Q' THEN 'QUATER' WHEN 'QUATER' THEN 'QUATER' ELSE {norm('btq')} END END AS house_suffix,
+         {street_sql("concat_ws(' ', coalesce(tv, ''), coalesce(voie, ''))")} AS street_name
+  FROM raw
+),
+k2 AS (
+  SELECT *, dep_d || commune3 AS commune_insee,
+         CASE WHEN dep_d = '' OR commune3 = '' OR section_c = '' OR plan_d = '' THEN NULL
+              ELSE dep_d || commune3 || prefix3 || section_c || {zfill('plan_d', 4)} END AS parcel_id
+  FROM k1
+),
+k3 AS (
+  SELECT *, concat_ws('|', commune_insee, house_number, house_suffix, street_name) AS address_key,
+         concat_ws('|', commune_insee, house_number, street_name) AS address_key_no_suffix,
+         concat_ws('|', coalesce(dm, ''), coalesce(vf, ''), coalesce(parcel_id, ''), house_number,
+                   street_name, coalesce(tl, ''), coalesce(surf, '')) AS transaction_id,
+         CASE WHEN street_name <> '' THEN commune_insee || '|' || street_name END AS street_key
+  FROM k2
+),
+k4 AS (
+  SELECT *, coalesce(nullif(parcel_id, ''), nullif(address_key, '')) AS building_id,
+         CASE WHEN nullif(parcel_id, '') IS NOT NULL THEN 'parcel'
+              WHEN nullif(address_key, '') IS NOT NULL THEN 'address_key' END AS building_id_source,
+         trim(regexp_replace(house_number || ' ' || house_suffix || ' ' || street_name, '\\s+', ' ', 'g')) AS label0
+  FROM k3
+)"""
+
+_RAW_STREET = """array_to_string(list_filter([
+    trim(coalesce(CASE WHEN p_size % 4 = 0 THEN 'AV' WHEN p_size % 4 = 1 THEN 'bd' WHEN p_size % 4 = 2 THEN ' Pl ' END, '')),
+    trim(CASE WHEN p_size % 3 = 0 THEN 'de l''' ELSE '' END),
+    trim(coalesce(p_name, ''))], lambda x: x <> ''), ' ')"""
+
+ORACLE.update({
+    "q30_text_normalise": f"SELECT doc_id, {fold_sql('text')} AS normalized FROM documents",
+    "q31_street_alias": f"""WITH raw AS (SELECT p_partkey, {_RAW_STREET} AS raw_name FROM part)
+SELECT p_partkey, raw_name, {street_sql('raw_name')} AS street_name FROM raw""",
+    "q32_french_number": """SELECT c_custkey,
+       CASE WHEN c_custkey % 17 = 0 OR c_custkey % 19 = 0 THEN NULL ELSE c_acctbal END AS amount
+FROM customer""",
+    "q33_postal_district": f"""WITH pc AS (
+  SELECT c_custkey, c_nationkey,
+         CASE WHEN c_custkey % 7 = 0 THEN '75116'
+              WHEN c_custkey % 7 = 1 THEN '75 0' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0')
+              WHEN c_custkey % 7 = 2 THEN '690' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0')
+              WHEN c_custkey % 7 = 4 THEN 'abc'
+              WHEN c_custkey % 7 <> 3 THEN '750' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') END AS code
+  FROM customer),
+d AS (SELECT *, {digits('code')} AS dg FROM pc)
+SELECT c_custkey,
+       CAST(CASE WHEN code IS NULL OR dg = '' THEN NULL WHEN dg = '75116' THEN 16
+            WHEN dg LIKE '75%' AND length(dg) >= 5 AND TRY_CAST(right(dg, 2) AS INTEGER) BETWEEN 1 AND 20
+            THEN TRY_CAST(right(dg, 2) AS INTEGER) END AS INTEGER) AS district,
+       dg AS digits, CAST(c_nationkey + 1 AS INTEGER) AS block_district
+FROM d""",
+    "q34_keys": f"""WITH {KEYS_CTE}
+SELECT commune_insee, parcel_id, house_number, house_suffix, street_name, address_key,
+       address_key_no_suffix, transaction_id, street_key, building_id, building_id_source,
+       coalesce(nullif(label0, ''), building_id) AS building_label
+FROM k4""",
+    "q35_lambert93": f"""WITH pts AS (
+  SELECT n_nationkey, 2.2::DOUBLE + n_nationkey / 100.0::DOUBLE AS lon,
+         48.8::DOUBLE + n_nationkey / 200.0::DOUBLE AS lat
+  FROM nation)
+SELECT n_nationkey, {r(_LX, 3)} AS x, {r(_LY, 3)} AS y FROM pts""",
+})

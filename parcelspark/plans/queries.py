@@ -315,6 +315,62 @@ def q37_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
                             rents(spark, sf_dir))
 
 
+def q30_text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts normalised (NFKD, ASCII, upper, punctuation to spaces, squeezed)."""
+    from ..functions.text import normalize_text
+    return td.document_texts(spark, sf_dir).select("doc_id", normalize_text("text").alias("normalized"))
+
+
+def q31_street_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street names assembled from non-empty parts, normalised, abbreviations expanded."""
+    from ..functions.text import join_nonempty, normalize_street_name
+    raw = td.raw_street_names(spark, sf_dir)
+    name = join_nonempty("c_desi", "c_liaison", "l_voie")
+    return raw.select("p_partkey", name.alias("raw_name"), normalize_street_name(name).alias("street_name"))
+
+
+def q32_french_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French-formatted amounts parsed back to numbers; unparsable text becomes NULL."""
+    from ..functions.numeric import parse_french_number
+    return td.french_amounts(spark, sf_dir).select(
+        "c_custkey", parse_french_number("amount_text").alias("amount"))
+
+
+def q33_postal_district(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postal code -> district, digits of the code, district from a block code's position."""
+    from ..functions.codes import positional_district
+    from ..functions.text import extract_digits
+    pc = td.postal_codes(spark, sf_dir)
+    return pc.select("c_custkey", postal_code_to_district("postal_code").alias("district"),
+                     extract_digits("postal_code").alias("digits"),
+                     positional_district("block_code").alias("block_district"))
+
+
+def q34_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sale keys from raw parts: INSEE, parcel id, number, suffix, street, address keys,
+    transaction id, street key and building label."""
+    typed = sales.type_raw_sales(td.raw_sale_keys(spark, sf_dir).withColumn("year", F.lit(2024))
+                                 .withColumn("Code postal", F.lit("75001"))
+                                 .withColumn("Nature mutation", F.lit("Vente"))
+                                 .withColumn("Reference document", F.lit(None).cast("string"))
+                                 .withColumn("Identifiant de document", F.lit(None).cast("string"))
+                                 .withColumn("Nombre pieces principales", F.lit(None).cast("string"))
+                                 .withColumn("Prefixe de section", F.col("Prefixe de section")))
+    keyed = sales.micro_geography_keys(typed.withColumn("matched_cle_interop", F.lit(None).cast("string")))
+    return keyed.select("commune_insee", "parcel_id", "house_number", "house_suffix", "street_name",
+                        "address_key", "address_key_no_suffix", "transaction_id", "street_key",
+                        "building_id", "building_id_source", "building_label")
+
+
+def q35_lambert93(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WGS84 -> Lambert-93 projection of points around the city (metres, round 3)."""
+    from ..functions.geo import lambert93
+    from ..functions.numeric import round_half_even
+    pts = td.nation_lon_lat(spark, sf_dir)
+    x, y = lambert93("lon", "lat")
+    return pts.select("n_nationkey", round_half_even(x, 3).alias("x"), round_half_even(y, 3).alias("y"))
+
+
 def q40_neutral_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neutral environment rows for every district (used when the noise layer is skipped)."""
     return summary.neutral_environment(districts(spark, sf_dir))
@@ -350,6 +406,12 @@ QUERIES = {
     "q27_map_building": q27_map_building,
     "q28_legend_stops": q28_legend_stops,
     "q29_coverage": q29_coverage,
+    "q30_text_normalise": q30_text_normalise,
+    "q31_street_alias": q31_street_alias,
+    "q32_french_number": q32_french_number,
+    "q33_postal_district": q33_postal_district,
+    "q34_keys": q34_keys,
+    "q35_lambert93": q35_lambert93,
     "q37_metadata": q37_metadata,
     "q40_neutral_environment": q40_neutral_environment,
 }

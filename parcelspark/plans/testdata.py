@@ -271,3 +271,76 @@ def part_street_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("l_longmin"), F.when(k % 2 == 1, F.col("p_name")))
     return p.select(k.alias("feature_id"), props.alias("properties"),
                     F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates")).alias("geometry"))
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as free text (whole texts)."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def raw_street_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as raw street-name parts: a street-type abbreviation by size class (AV, bd, Pl,
+    none), a link word for every third size, and the part name as the name."""
+    p = table(spark, sf_dir, "part")
+    desi = (F.when(F.col("p_size") % 4 == 0, F.lit("AV")).when(F.col("p_size") % 4 == 1, F.lit("bd"))
+             .when(F.col("p_size") % 4 == 2, F.lit(" Pl ")))
+    liaison = F.when(F.col("p_size") % 3 == 0, F.lit("de l'")).otherwise(F.lit(""))
+    return p.select("p_partkey", desi.alias("c_desi"), liaison.alias("c_liaison"), F.col("p_name").alias("l_voie"))
+
+
+def french_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer balances written the French way (space or no-break space thousands separator,
+    decimal comma); some rows carry unparsable text."""
+    c = table(spark, sf_dir, "customer")
+    sep = F.when(F.col("c_custkey") % 2 == 0, F.lit(" ")).otherwise(F.lit(" "))
+    us = F.format_number("c_acctbal", 2)
+    fr = F.translate(F.regexp_replace(us, ",", "#"), ".", ",")
+    fr = F.regexp_replace(fr, "#", sep)
+    raw = (F.when(F.col("c_custkey") % 17 == 0, F.lit("n/a"))
+            .when(F.col("c_custkey") % 19 == 0, F.concat(F.col("c_nationkey").cast("string"), F.lit("d")))
+            .otherwise(fr))
+    return c.select("c_custkey", raw.alias("amount_text"))
+
+
+def postal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer postal-code text: the special 16th-district code, codes with a space, other
+    departments, missing and junk values, and plain 750xx codes from the nation."""
+    c = table(spark, sf_dir, "customer")
+    n2 = F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0")
+    code = (F.when(F.col("c_custkey") % 7 == 0, F.lit("75116"))
+             .when(F.col("c_custkey") % 7 == 1, F.concat(F.lit("75 0"), n2))
+             .when(F.col("c_custkey") % 7 == 2, F.concat(F.lit("690"), n2))
+             .when(F.col("c_custkey") % 7 == 4, F.lit("abc"))
+             .when(F.col("c_custkey") % 7 != 3, F.concat(F.lit("750"), n2)))
+    return c.select("c_custkey", code.alias("postal_code"),
+                    F.concat(F.lit("751"), n2, F.col("c_custkey").cast("string")).alias("block_code"))
+
+
+def raw_sale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as the raw address / parcel parts of a sale (all text)."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        "p_partkey",
+        F.lit("75").alias("Code departement"),
+        F.when(F.col("p_size") % 10 != 0, (F.col("p_size") % 25).cast("string")).alias("Code commune"),
+        F.when(k % 3 != 0, (k % 1000).cast("string")).alias("Prefixe de section"),
+        F.concat(F.lower(F.substring("p_brand", 7, 2)), F.lit(" "), F.substring("p_type", 1, 1)).alias("Section"),
+        F.when(k % 11 != 0, k.cast("string")).alias("No plan"),
+        F.lpad(F.col("p_size").cast("string"), 4, "0").alias("No voie"),
+        F.when(F.col("p_type") == "STANDARD", F.lit("b")).when(F.col("p_type") == "PROMO", F.lit("Q"))
+         .alias("B/T/Q"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("AV")).otherwise(F.lit("BD")).alias("Type de voie"),
+        F.col("p_name").alias("Voie"),
+        F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")).alias("Date mutation"),
+        F.translate(F.col("p_retailprice").cast("string"), ".", ",").alias("Valeur fonciere"),
+        F.col("p_type").alias("Type local"),
+        F.col("p_size").cast("string").alias("Surface reelle bati"),
+    )
+
+
+def nation_lon_lat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation as WGS84 points around the city (lon 2.2 + k/100, lat 48.8 + k/200)."""
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", (F.lit(2.2) + F.col("n_nationkey") / 100.0).alias("lon"),
+                    (F.lit(48.8) + F.col("n_nationkey") / 200.0).alias("lat"))
