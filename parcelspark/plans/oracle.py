@@ -847,3 +847,24 @@ FROM k4""",
   FROM nation)
 SELECT n_nationkey, {r(_LX, 3)} AS x, {r(_LY, 3)} AS y FROM pts""",
 })
+
+ORACLE.update({
+    "q36_geojson_roundtrip": f"""SELECT CAST(n_nationkey + 1 AS INTEGER) AS arrondissement, n_name AS name,
+       CAST(n_nationkey + 1 AS VARCHAR) || 'e' AS label, CAST(75101 + n_nationkey AS INTEGER) AS insee_code,
+       '75' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 3, '0') AS postal_code,
+       {r('0.875::DOUBLE')} AS surface_m2, 8 AS n_edges
+FROM nation""",
+    "q38_filtered_ingest": """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderdate, '%d/%m/%Y') AS date_mutation,
+       o_totalprice AS sale_value_eur, CAST(o_custkey % 200 AS DOUBLE) AS built_surface_m2,
+       CAST(c_nationkey + 1 AS INTEGER) AS arrondissement,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'Appartement' ELSE 'Maison' END AS property_type,
+       '75' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 3, '0') AS commune_insee,
+       '75' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 3, '0') || '000AB'
+         || lpad(CAST(o_orderkey % 9999 AS VARCHAR), 4, '0') AS parcel_id
+FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE c_nationkey + 70 = 75 AND year(o_orderdate) BETWEEN 2000 AND 2099
+  AND o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+  AND o_custkey % 200 > 10 AND o_totalprice > 10000
+  AND o_totalprice / (o_custkey % 200) BETWEEN 1000 AND 50000""",
+    "q39_gold_sinks": ORACLE["q01_sales_district_year"],
+})

@@ -371,6 +371,53 @@ def q35_lambert93(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.select("n_nationkey", round_half_even(x, 3).alias("x"), round_half_even(y, 3).alias("y"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint location for a query's written files."""
+    import uuid
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q36_geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """District polygons written as GeoJSON feature lines, read back, typed, edges counted."""
+    from ..sinks import writers
+    from ..sources import readers
+    path = writers.write_geojson_lines(td.octagon_features(spark, sf_dir).select("properties", "geometry"),
+                                       _scratch(spark, "q36"), properties="properties")
+    back = readers.read_geojson(spark, path, lines=True)
+    table_ = summary.district_table(back)
+    edges = back.select(F.col("properties")["c_ar"].cast("int").alias("arrondissement"),
+                        F.size(spatial.ring_edges(spatial.polygon_rings("geometry"))).alias("n_edges"))
+    return table_.join(edges, "arrondissement").select(
+        "arrondissement", "name", "label", "insee_code", "postal_code", "surface_m2", "n_edges")
+
+
+def q38_filtered_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """National sales text (one folder per year) filtered to the city's department, reread as
+    yearly files (year from the name; files without a 20xx year skipped), then cleaned."""
+    from ..sources import readers
+    national = _scratch(spark, "q38-national")
+    td.national_sales_text(spark, sf_dir).write.option("header", True).option("sep", "|") \
+        .partitionBy("valeursfoncieres").csv(national)
+    filtered = readers.filter_national_sales(spark, national, "75", _scratch(spark, "q38-city"),
+                                             partition_by="valeursfoncieres")
+    cleaned = sales.clean_raw_sales(readers.read_sales(spark, filtered))
+    return cleaned.select("year", "date_mutation", "sale_value_eur", "built_surface_m2",
+                          "arrondissement", "property_type", "commune_insee", "parcel_id")
+
+
+def q39_gold_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """District x year metrics written as a Gold table (Parquet partitioned by year plus a
+    CSV copy) and read back."""
+    from ..sinks import writers
+    from ..sources import readers
+    base = _scratch(spark, "q39")
+    path = writers.write_table(q01_sales_district_year(spark, sf_dir), f"{base}/sales_yearly",
+                               partition_by="year", csv_path=f"{base}/sales_yearly_csv")
+    return readers.read_table(spark, path).select(
+        "arrondissement", F.col("year").cast("int").alias("year"), *metrics.METRIC_COLUMNS)
+
+
 def q40_neutral_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neutral environment rows for every district (used when the noise layer is skipped)."""
     return summary.neutral_environment(districts(spark, sf_dir))
@@ -413,5 +460,8 @@ QUERIES = {
     "q34_keys": q34_keys,
     "q35_lambert93": q35_lambert93,
     "q37_metadata": q37_metadata,
+    "q36_geojson_roundtrip": q36_geojson_roundtrip,
+    "q38_filtered_ingest": q38_filtered_ingest,
+    "q39_gold_sinks": q39_gold_sinks,
     "q40_neutral_environment": q40_neutral_environment,
 }

@@ -344,3 +344,35 @@ def nation_lon_lat(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select("n_nationkey", (F.lit(2.2) + F.col("n_nationkey") / 100.0).alias("lon"),
                     (F.lit(48.8) + F.col("n_nationkey") / 200.0).alias("lat"))
+
+
+def national_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders x customer as rows of the national sales text (all text columns), with the
+    yearly file name ``valeursfoncieres=<year>`` as a column to write one folder per year."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    n1 = (F.col("c_nationkey") + 1).cast("string")
+    kind = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Appartement"))
+             .when(F.col("o_orderpriority") == "2-HIGH", F.lit("Maison")).otherwise(F.lit("Dépendance")))
+    return j.select(
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date mutation"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("Vente")).otherwise(F.lit("Echange")).alias("Nature mutation"),
+        F.translate(F.col("o_totalprice").cast("string"), ".", ",").alias("Valeur fonciere"),
+        (F.col("o_orderkey") % 200).cast("string").alias("No voie"),
+        F.lit(None).cast("string").alias("B/T/Q"),
+        F.lit("RUE").alias("Type de voie"),
+        F.col("c_name").alias("Voie"),
+        F.concat(F.lit("75"), F.lpad(n1, 3, "0")).alias("Code postal"),
+        (F.col("c_nationkey") + 70).cast("string").alias("Code departement"),
+        F.lpad(n1, 3, "0").alias("Code commune"),
+        F.lit("").alias("Prefixe de section"),
+        F.lit("AB").alias("Section"),
+        (F.col("o_orderkey") % 9999).cast("string").alias("No plan"),
+        F.lit(None).cast("string").alias("Reference document"),
+        F.lit(None).cast("string").alias("Identifiant de document"),
+        kind.alias("Type local"),
+        (F.col("o_custkey") % 200).cast("string").alias("Surface reelle bati"),
+        (F.col("o_custkey") % 7).cast("string").alias("Nombre pieces principales"),
+        F.year("o_orderdate").alias("valeursfoncieres"),
+    )
