@@ -122,11 +122,14 @@ def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs:
                   .where(F.col("_x").between(F.col("minx"), F.col("maxx"))
                          & F.col("_y").between(F.col("miny"), F.col("maxy")))
                   .select("_x", "_y", "_fid"))
-    hits = (cand.join(poly_side.select("_fid", "_ord", "edges", *attrs), "_fid")
+    hits = (cand.join(poly_side.select("_fid", "_ord", "edges"), "_fid")
                 .where(covers_expr("_x", "_y")))
-    best = hits.groupBy("_x", "_y").agg(
-        F.min_by(F.struct(*attrs), F.col("_ord")).alias("_hit"))
-    return best.select(F.col("_x"), F.col("_y"), *[F.col("_hit")[a].alias(a) for a in attrs])
+    # first match by feature order; fixed-width min_by keeps this a hash aggregate (a struct
+    # buffer would force a sort aggregate over all candidate pairs), attributes join back by id
+    # (use a numeric, unique feature order so the aggregation buffer stays fixed width)
+    best = hits.groupBy("_x", "_y").agg(F.min_by("_fid", "_ord").alias("_fid"))
+    attrs_side = poly_side.select("_fid", *attrs)
+    return best.join(attrs_side, "_fid").select("_x", "_y", *attrs)
 
 
 def attach_points(points: DataFrame, features: DataFrame, *, x: str, y: str, feature_id: str,

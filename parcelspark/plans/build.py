@@ -50,7 +50,8 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
                               "geometry"), "arrondissement"))
     quarters = materialize(readers.quarter_table(readers.read_geojson(spark, bronze.quarters))
                            .withColumn("quartier_order", F.col("quartier_id").cast("long")))
-    iris = materialize(readers.read_iris(spark, bronze.iris))
+    iris = materialize(readers.read_iris(spark, bronze.iris)
+                       .withColumn("iris_order", F.col("iris_code").cast("long")))
     # ids are generated once and materialised: the overlay reads the features twice
     street_feats = materialize(readers.read_geojson(spark, bronze.streets)
                                .withColumn("feature_id", F.monotonically_increasing_id()))
@@ -74,7 +75,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
     geo = spatial.attach_points(geo, quarters, x="longitude", y="latitude", feature_id="quartier_id",
                                 order="quartier_order", mapping={"quartier_id": "quartier_id", "name": "quartier_name"},
                                 cell=CELL_DEGREES)
-    geo = spatial.attach_points(geo, iris, x="longitude", y="latitude", feature_id="iris_code", order="iris_code",
+    geo = spatial.attach_points(geo, iris, x="longitude", y="latitude", feature_id="iris_code", order="iris_order",
                                 mapping={"iris_code": "iris_code", "iris_name": "iris_name", "iris_type": "iris_type",
                                          "arrondissement": "iris_arrondissement"}, cell=CELL_DEGREES)
     geo = sales.micro_geography_keys(geo)
@@ -123,5 +124,5 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
     out["districts_geojson"] = writers.write_geojson_lines(districts, f"{gold}/arrondissements.geojsonl")
     out["quarters_geojson"] = writers.write_geojson_lines(quarters.drop("quartier_order"), f"{gold}/quartiers.geojsonl")
     out["streets_geojson"] = writers.write_geojson_lines(streets, f"{gold}/streets.geojsonl")
-    out["iris_geojson"] = writers.write_geojson_lines(iris, f"{gold}/iris.geojsonl")
+    out["iris_geojson"] = writers.write_geojson_lines(iris.drop("iris_order"), f"{gold}/iris.geojsonl")
     return out

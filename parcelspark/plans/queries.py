@@ -194,12 +194,25 @@ def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  feature_id="arrondissement", cell=OCTAGON_CELL)
 
 
-def district_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_yearly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Gold district x year table, materialised: the summary, the overview and the map read
+    it several times (the build writes and rereads it the same way)."""
+    return materialize(q01_sales_district_year(spark, sf_dir))
+
+
+def district_summary(spark: SparkSession, sf_dir: str, sales_yearly: DataFrame | None = None) -> DataFrame:
+    sales_yearly = sales_yearly if sales_yearly is not None else sales_yearly_table(spark, sf_dir)
     return summary.district_summary(
-        districts(spark, sf_dir), q01_sales_district_year(spark, sf_dir), income(spark, sf_dir),
+        districts(spark, sf_dir), sales_yearly, income(spark, sf_dir),
         rents(spark, sf_dir), social(spark, sf_dir), environment(spark, sf_dir))
 
 
+def overview_rows(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """Overview rows (district grain), materialised for consumers that read them repeatedly."""
+    sy = sales_yearly_table(spark, sf_dir)
+    return materialize(summary.overview(district_summary(spark, sf_dir, sy), sy, year))
+
+
 def q18_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District summary: every district with latest sales, income, latest rents and social
     housing, 5-year social units, environment; fills and derived indices."""
@@ -221,8 +234,8 @@ OVERVIEW_YEAR = 1998
 
 def q21_overview_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overview for a chosen sales year: that year's sales block, months of income, price rank."""
-    return summary.overview(district_summary(spark, sf_dir), q01_sales_district_year(spark, sf_dir),
-                            OVERVIEW_YEAR)
+    sy = sales_yearly_table(spark, sf_dir)
+    return summary.overview(district_summary(spark, sf_dir, sy), sy, OVERVIEW_YEAR)
 
 
 TIMELINE_DISTRICT = 7
@@ -239,8 +252,7 @@ COMPARE_PAIR = (3, 11)
 
 def q23_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two districts side by side for the latest sales year, with deltas."""
-    ov = summary.overview(district_summary(spark, sf_dir), q01_sales_district_year(spark, sf_dir))
-    return summary.compare(ov, *COMPARE_PAIR)
+    return summary.compare(overview_rows(spark, sf_dir), *COMPARE_PAIR)
 
 
 def q29_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,9 +278,8 @@ def district_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q24_map_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District map layer for the latest sales year, metric = median price per m2."""
-    ov = summary.overview(district_summary(spark, sf_dir), q01_sales_district_year(spark, sf_dir))
     layer = serving.map_layer("arrondissement", "median_price_m2",
-                              features=district_features(spark, sf_dir), overview=ov)
+                              features=district_features(spark, sf_dir), overview=overview_rows(spark, sf_dir))
     return layer.select("arrondissement", "name", "metric_value", "map_level", "selected_metric",
                         "metric_year", F.col("geometry.type").alias("geometry_type"))
 
@@ -306,7 +317,7 @@ def q27_map_building(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q28_legend_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legend colour stops of the district map layer."""
-    return serving.legend_stops(q24_map_district(spark, sf_dir))
+    return serving.legend_stops(materialize(q24_map_district(spark, sf_dir)))
 
 
 def q37_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
