@@ -10,7 +10,8 @@ Point-in-polygon plan (no cartesian product):
 2. each polygon's bounding box is tiled with square cells of side ``cell``; a point meets only the
    polygons whose tiles share its cell (equi join on ``(gx, gy)``), then the inclusive bbox test;
 3. exact boundary-inclusive test: point on an edge, or an odd number of ray crossings;
-4. first match wins by feature order (``min_by``), a partial aggregate per coordinate.
+4. first match wins by feature order (``min`` of a unique numeric order), a partial hash
+   aggregate per coordinate; attributes join back by that order.
 The polygon side (tiles and edge arrays) is broadcast only when a row count shows it is under the
 configured bounds; beyond them both joins are shuffle joins that AQE can split on skew.
 """
@@ -124,12 +125,12 @@ def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs:
                   .select("_x", "_y", "_fid"))
     hits = (cand.join(poly_side.select("_fid", "_ord", "edges"), "_fid")
                 .where(covers_expr("_x", "_y")))
-    # first match by feature order; fixed-width min_by keeps this a hash aggregate (a struct
-    # buffer would force a sort aggregate over all candidate pairs), attributes join back by id
-    # (use a numeric, unique feature order so the aggregation buffer stays fixed width)
-    best = hits.groupBy("_x", "_y").agg(F.min_by("_fid", "_ord").alias("_fid"))
-    attrs_side = poly_side.select("_fid", *attrs)
-    return best.join(attrs_side, "_fid").select("_x", "_y", *attrs)
+    # first match = smallest feature order (unique per feature, numeric): min() keeps the
+    # aggregation buffer fixed width, so this stays a hash aggregate with partial aggregation
+    # (a struct or string buffer would force a sort of all candidate pairs); attributes join back
+    best = hits.groupBy("_x", "_y").agg(F.min("_ord").alias("_ord"))
+    attrs_side = poly_side.select("_ord", *attrs)
+    return best.join(attrs_side, "_ord").select("_x", "_y", *attrs)
 
 
 def attach_points(points: DataFrame, features: DataFrame, *, x: str, y: str, feature_id: str,
