@@ -177,3 +177,12 @@ def legend_stops(layer: DataFrame, col: str = "metric_value") -> DataFrame:
         F.when(F.col("n") == 0, 0.0).otherwise(F.col("lo")).alias("stop_low"),
         F.when(F.col("n") == 0, 0.0).when(equal, F.col("lo") + 1).otherwise(F.col("mid")).alias("stop_mid"),
         F.when(F.col("n") == 0, 0.0).when(equal, F.col("lo") + 2).otherwise(F.col("hi")).alias("stop_high"))
+
+
+def reference_layer(spark, gold: str, level: str) -> DataFrame:
+    """Reference layer served as is (quarters or streets), from the written GeoJSON lines."""
+    from ..sources.readers import read_geojson
+    files = {"quartier": "quartiers.geojsonl", "street": "streets.geojsonl"}
+    if level not in files:
+        raise LookupError(f"unknown reference layer: {level}")
+    return read_geojson(spark, f"{gold}/{files[level]}", lines=True)

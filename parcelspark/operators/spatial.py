@@ -156,12 +156,11 @@ def cell_exposure(cells: DataFrame, districts: DataFrame, *, feature_id: str, ce
     class div 10, share of area with noise class 3 (round 2) and cell count. Districts without
     cells get 0 everywhere (the reference divides by 1 in that case).
     """
+    from ..functions.geo import bbox_centre_area
     from ..functions.numeric import round_half_even
 
-    area = F.greatest((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), F.lit(0.0))
-    prepared = (cells.select(F.col(category).cast("int").alias("_cat"),
-                             ((F.col("minx") + F.col("maxx")) / 2.0).alias("_cx"),
-                             ((F.col("miny") + F.col("maxy")) / 2.0).alias("_cy"),
+    cx, cy, area = bbox_centre_area()
+    prepared = (cells.select(F.col(category).cast("int").alias("_cat"), cx.alias("_cx"), cy.alias("_cy"),
                              area.alias("_area"))
                      .where(F.col("_area") > 0))
     located = attach_points(prepared, districts, x="_cx", y="_cy", feature_id=feature_id,

@@ -137,9 +137,10 @@ def overview(summary: DataFrame, sales_yearly: DataFrame, year: int | None = Non
         "months_income_for_1sqm", months_income_for_1sqm())
     # rank over the district table (bounded by the number of districts)
     by_price = Window.orderBy(F.col("median_price_m2").desc_nulls_last())
-    return merged.withColumn(
-        "rank_by_price", F.when(F.col("median_price_m2").isNotNull(), F.rank().over(by_price))) \
-        .withColumn("selected_sales_year", selected.cast("int"))
+    return (merged.withColumn("rank_by_price",
+                              F.when(F.col("median_price_m2").isNotNull(), F.rank().over(by_price)))
+                  .withColumn("selected_sales_year", selected.cast("int"))
+                  .orderBy("arrondissement"))  # served order; district grain
 
 
 def timeline(sales_yearly: DataFrame, social_yearly: DataFrame, rents_yearly: DataFrame,
@@ -151,8 +152,8 @@ def timeline(sales_yearly: DataFrame, social_yearly: DataFrame, rents_yearly: Da
             len(cols), ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))
         return (df.where(F.col("arrondissement") == district)
                   .select(F.lit(theme).alias("theme"), "year", F.expr(stack)))
-    return long(sales_yearly, "sales").unionByName(long(social_yearly, "social")) \
-        .unionByName(long(rents_yearly, "rents"))
+    return (long(sales_yearly, "sales").unionByName(long(social_yearly, "social"))
+            .unionByName(long(rents_yearly, "rents")).orderBy("theme", "year", "metric"))
 
 
 COMPARE_METRICS = ["median_price_m2", "median_income_eur", "reference_rent_majorated_eur_m2",
