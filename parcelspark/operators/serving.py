@@ -62,13 +62,13 @@ def metadata(spark, sales_yearly: DataFrame, social_yearly: DataFrame, rents_yea
             for key, label, unit, yr in METRIC_CATALOG if supported is None or key in supported]
     catalog = spark.createDataFrame(rows, "level string, level_label string, metric string, "
                                           "label string, unit string, supports_year boolean")
-    years = lambda df: F.array_join(F.sort_array(F.collect_set("year")), ",")
+    years = F.array_join(F.sort_array(F.collect_set("year")), ",")
     return catalog.select(
         "*",
         sales_yearly.agg(F.max("year")).scalar().alias("latest_sales_year"),
         social_yearly.agg(F.max("year")).scalar().alias("latest_social_year"),
         rents_yearly.agg(F.max("year")).scalar().alias("latest_rent_year"),
-        sales_yearly.agg(years(sales_yearly)).scalar().alias("available_sales_years"))
+        sales_yearly.agg(years).scalar().alias("available_sales_years"))
 
 
 def _resolve_year(yearly: DataFrame, year: int | None):

@@ -365,8 +365,7 @@ def q34_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  .withColumn("Nature mutation", F.lit("Vente"))
                                  .withColumn("Reference document", F.lit(None).cast("string"))
                                  .withColumn("Identifiant de document", F.lit(None).cast("string"))
-                                 .withColumn("Nombre pieces principales", F.lit(None).cast("string"))
-                                 .withColumn("Prefixe de section", F.col("Prefixe de section")))
+                                 .withColumn("Nombre pieces principales", F.lit(None).cast("string")))
     keyed = sales.micro_geography_keys(typed.withColumn("matched_cle_interop", F.lit(None).cast("string")))
     return keyed.select("commune_insee", "parcel_id", "house_number", "house_suffix", "street_name",
                         "address_key", "address_key_no_suffix", "transaction_id", "street_key",
