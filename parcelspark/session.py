@@ -65,3 +65,23 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_conf(input_bytes: float, total_cores: int, *, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partitioning settings for a given input volume and cluster size.
+
+    Shuffle partitions are sized so one partition holds about ``target_partition_bytes`` of the
+    input (never fewer than 3 waves of tasks over all cores); AQE then coalesces small ones and
+    splits skewed ones against the same advisory size. Scan splits use the same target, so a task
+    reads about one partition's worth. At 100 TB on 1,000 executors x 8 cores this gives about
+    400,000 shuffle partitions of 256 MB.
+    """
+    partitions = max(3 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(target_partition_bytes // 8),
+    }
