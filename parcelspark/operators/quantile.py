@@ -129,3 +129,11 @@ def kth_smallest(df: DataFrame, col: str, k_from_n) -> DataFrame:
     hit = (ranked.join(blocks.select("_blk", "_k"), "_blk")
                  .where((F.col("_k") >= F.col("_hi") - F.col("_w") + 1) & (F.col("_k") <= F.col("_hi"))))
     return hit.agg(F.lit(n).cast("long").alias("n"), F.max("_v").alias("value"))
+
+
+def approx_medians(df: DataFrame, keys: list[str], values: dict[str, str], accuracy: int = 10000) -> DataFrame:
+    """Opt-in approximate medians (bounded sketch per group, rank error about 1/accuracy) for
+    coarse keys where an exact answer is not required. Never used by the library's operators,
+    which all compute exact medians."""
+    aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(name) for name, c in values.items()]
+    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)

@@ -121,6 +121,13 @@ def city_rollup(summary: DataFrame) -> DataFrame:
         med("estimated_50m2_rent_effort_pct", 1))
 
 
+def overview_city(overview_rows: DataFrame) -> DataFrame:
+    """The overview's city block: the roll-up over the selected year's district rows, with the
+    selected sales year."""
+    return city_rollup(overview_rows).select(
+        "*", overview_rows.agg(F.max("selected_sales_year")).scalar().alias("selected_sales_year"))
+
+
 def overview(summary: DataFrame, sales_yearly: DataFrame, year: int | None = None) -> DataFrame:
     """District rows for one sales year (latest when ``year`` is None or 0): the summary's
     sales block replaced by that year's, months of income recomputed, rank by price (1 = most

@@ -868,3 +868,8 @@ WHERE c_nationkey + 70 = 75 AND year(o_orderdate) BETWEEN 2000 AND 2099
   AND o_totalprice / (o_custkey % 200) BETWEEN 1000 AND 50000""",
     "q39_gold_sinks": ORACLE["q01_sales_district_year"],
 })
+
+
+ORACLE["q41_overview_city"] = f"""WITH {overview_sql('1998')}
+{CITY_SQL.replace('FROM summary', 'FROM overview')[:-len('FROM overview')]}, CAST(1998 AS INTEGER) AS selected_sales_year
+FROM overview"""

@@ -428,6 +428,13 @@ def q39_gold_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "arrondissement", F.col("year").cast("int").alias("year"), *metrics.METRIC_COLUMNS)
 
 
+def q41_overview_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City block of the overview for the chosen sales year."""
+    sy = sales_yearly_table(spark, sf_dir)
+    return summary.overview_city(materialize(summary.overview(district_summary(spark, sf_dir, sy), sy,
+                                                              OVERVIEW_YEAR)))
+
+
 def q40_neutral_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neutral environment rows for every district (used when the noise layer is skipped)."""
     return summary.neutral_environment(districts(spark, sf_dir))
@@ -474,4 +481,5 @@ QUERIES = {
     "q38_filtered_ingest": q38_filtered_ingest,
     "q39_gold_sinks": q39_gold_sinks,
     "q40_neutral_environment": q40_neutral_environment,
+    "q41_overview_city": q41_overview_city,
 }
