@@ -108,3 +108,25 @@ def test_source_catalogue(spark, tmp_path):
     rows = {r["name"]: r for r in list_sources(load_sources(spark, str(y))).collect()}
     assert rows["sales_2024"]["filtered_path"] == "data/raw/s-city.csv"
     assert rows["rents"]["filtered_path"] is None and rows["rents"]["target_path"] == "data/raw/r.csv"
+
+
+def test_overlay_leaves_and_reenters_concave_polygon(spark):
+    from parcelspark.operators.overlay import clip_lines
+    # U shape: [0,3]x[0,3] minus the notch [1,2]x[1,3]; a horizontal line at y=2 crosses the notch
+    u = [[0, 0], [3, 0], [3, 3], [2, 3], [2, 1], [1, 1], [1, 3], [0, 3], [0, 0]]
+    polys = spark.createDataFrame([(1, {"type": "Polygon", "coordinates": str([u])})],
+                                  "fid int, geometry struct<type: string, coordinates: string>")
+    lines = spark.createDataFrame([
+        (10, {"type": "LineString", "coordinates": "[[-1, 2], [4, 2]]"}),          # two parts
+        (11, {"type": "LineString", "coordinates": "[[1, 1], [1, 2.5], [1, 3]]"}),  # along the notch edge
+        (12, {"type": "LineString", "coordinates": "[[3, 3], [4, 4]]"}),            # touches a vertex only
+        (13, {"type": "MultiLineString", "coordinates": "[[[0.5, -1], [0.5, 0.5]], [[2.5, 0.5], [2.5, 5]]]"})],
+        "lid int, geometry struct<type: string, coordinates: string>")
+    out = {r["lid"]: r for r in clip_lines(lines, polys, line_id="lid", feature_id="fid", cell=0.5).collect()}
+    assert set(out) == {10, 11, 13}
+    assert out[10]["parts"] == 2 and abs(out[10]["length"] - 2.0) < 1e-12
+    import json
+    assert json.loads(out[10]["geometry"]["coordinates"]) == [[[0.0, 2.0], [1.0, 2.0]], [[2.0, 2.0], [3.0, 2.0]]]
+    assert out[11]["parts"] == 1 and abs(out[11]["length"] - 2.0) < 1e-12      # boundary counts, vertices kept
+    assert json.loads(out[11]["geometry"]["coordinates"]) == [[1.0, 1.0], [1.0, 2.5], [1.0, 3.0]]
+    assert out[13]["parts"] == 2 and abs(out[13]["length"] - 3.0) < 1e-12      # 0.5 + 2.5
