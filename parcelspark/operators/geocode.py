@@ -127,9 +127,9 @@ def geocode_cascade(sales: DataFrame, with_suffix: DataFrame, without_suffix: Da
                    F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"),
                    F.when(F.col("_id").isNotNull(), F.lit(SOURCE_ADDRESS))
                     .otherwise(F.col("geocode_source")).alias("geocode_source")).select(*out_cols)
-    done2 = t2.where(F.col("longitude").isNotNull() | F.col("parcel_id").isNull() | F.lit(links is None))
-    if links is None:
-        return done1.unionByName(done2)
+    if links is None:  # no link table: tier 3 cannot apply
+        return done1.unionByName(t2)
+    done2 = t2.where(F.col("longitude").isNotNull() | F.col("parcel_id").isNull())
     rest2 = t2.where(F.col("longitude").isNull() & F.col("parcel_id").isNotNull())
 
     best = best_links(links).select(F.col("idu").alias("_idu"), F.col("id_adr").alias("_adr"))
