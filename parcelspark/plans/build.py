@@ -75,6 +75,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
     geo = spatial.attach_points(geo, quarters, x="longitude", y="latitude", feature_id="quartier_id",
                                 order="quartier_order", mapping={"quartier_id": "quartier_id", "name": "quartier_name"},
                                 cell=CELL_DEGREES)
+    geo = materialize(geo)  # the next attach reads it twice (distinct coordinates, join back)
     geo = spatial.attach_points(geo, iris, x="longitude", y="latitude", feature_id="iris_code", order="iris_order",
                                 mapping={"iris_code": "iris_code", "iris_name": "iris_name", "iris_type": "iris_type",
                                          "arrondissement": "iris_arrondissement"}, cell=CELL_DEGREES)
