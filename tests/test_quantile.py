@@ -54,3 +54,17 @@ def test_global_median(spark):
     pdf, sdf = _frame(spark, n=1001)
     out = rank_medians(sdf, [], {"ma": "a"}).first()["ma"]
     assert out == float(pdf["a"].median())
+
+
+def test_kth_smallest_both_paths(spark, monkeypatch):
+    import random
+    from parcelspark.operators import quantile
+    rng = random.Random(3)
+    vals = [float(rng.randint(0, 50)) for _ in range(501)] + [None] * 7
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    k = lambda n: F.floor(n / 2) + 1
+    expected = sorted(v for v in vals if v is not None)[len([v for v in vals if v is not None]) // 2]
+    small = quantile.kth_smallest(df, "v", k).first()
+    monkeypatch.setattr(quantile, "HOT_GROUP_ROWS", 10)
+    big = quantile.kth_smallest(df.repartition(7), "v", k).first()
+    assert small["value"] == big["value"] == expected and small["n"] == big["n"] == 501
