@@ -40,9 +40,16 @@ class BronzeInputs:
     cells: str | None = None   # classified pollution cells (Parquet), None = skip noise
 
 
-def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) -> dict[str, str]:
+def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
+          csv_copies: bool = False) -> dict[str, str]:
+    """Run the build; returns name -> written path. ``csv_copies`` also writes every table as
+    CSV with header next to its Parquet copy (``<path>_csv``)."""
     out: dict[str, str] = {}
 
+    def write(df: DataFrame, path: str, partition_by: str | None = None) -> str:
+        return writers.write_table(df, path, partition_by=partition_by,
+                                   csv_path=f"{path}_csv" if csv_copies else None)
+
     # reference layers
     district_feats = readers.read_geojson(spark, bronze.districts)
     districts = materialize(summary.district_table(district_feats).join(
@@ -59,7 +66,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
 
     # sales: Silver transactions, district x year metrics
     tx = sales.clean_raw_sales(readers.read_sales(spark, bronze.sales))
-    tx_path = writers.write_table(tx, f"{silver}/sales_transactions", partition_by="year")
+    tx_path = write(tx, f"{silver}/sales_transactions", partition_by="year")
     tx = readers.read_table(spark, tx_path)
     sales_yearly = metrics.sales_metrics(tx, ["arrondissement", "year"])
 
@@ -69,7 +76,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
     geo = geocode.geocode_cascade(
         tx, geocode.dedupe_reference(ref, "address_key"), geocode.dedupe_reference(ref, "address_key_no_suffix"),
         geocode.dedupe_reference(ref, "cle_interop"), links)
-    out["links_to_fetch"] = writers.write_table(
+    out["links_to_fetch"] = write(
         geocode.missing_link_ids(geo.where(F.col("longitude").isNull()), links), f"{gold}/links_to_fetch")
     geo = materialize(geo)
     geo = spatial.attach_points(geo, quarters, x="longitude", y="latitude", feature_id="quartier_id",
@@ -80,7 +87,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
                                 mapping={"iris_code": "iris_code", "iris_name": "iris_name", "iris_type": "iris_type",
                                          "arrondissement": "iris_arrondissement"}, cell=CELL_DEGREES)
     geo = sales.micro_geography_keys(geo)
-    geo_path = writers.write_table(geo, f"{silver}/sales_geocoded", partition_by="year")
+    geo_path = write(geo, f"{silver}/sales_geocoded", partition_by="year")
     geo = readers.read_table(spark, geo_path)
 
     quarter_yearly = metrics.sales_metrics(geo.where(F.col("quartier_id").isNotNull()),
@@ -106,12 +113,12 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str) ->
               "sales_building_yearly": building_yearly, "income": income, "rents_yearly": rents,
               "social_yearly": social, "noise": env}
     for name, df in tables.items():
-        out[name] = writers.write_table(df, f"{gold}/{name}", partition_by="year")
+        out[name] = write(df, f"{gold}/{name}", partition_by="year")
         tables[name] = readers.read_table(spark, out[name])
 
     summ = summary.district_summary(districts.drop("geometry"), tables["sales_yearly"], tables["income"],
                                     tables["rents_yearly"], tables["social_yearly"], tables["noise"])
-    out["summary"] = writers.write_table(summ, f"{gold}/arrondissement_summary")
+    out["summary"] = write(summ, f"{gold}/arrondissement_summary")
     summ = readers.read_table(spark, out["summary"])
     city = summary.city_rollup(summ)
     cover_path = writers.write_json_document(cover, f"{gold}/sales_spatial_coverage")

@@ -154,7 +154,7 @@ def built(spark, tmp_path_factory):
         iris=str(d / "iris.csv"), income=str(d / "income"), rents=str(d / "rents.csv"),
         social=str(d / "social.csv"), districts=str(d / "districts.geojson"),
         quarters=str(d / "quarters.geojson"), streets=str(d / "streets.geojson"), cells=None)
-    out = build(spark, bronze, str(d / "silver"), str(d / "gold"))
+    out = build(spark, bronze, str(d / "silver"), str(d / "gold"), csv_copies=True)
     return spark, d, out
 
 
@@ -227,3 +227,9 @@ def test_dashboard_document(built):
     doc = spark.read.json(out["dashboard"]).first()
     assert doc["latest_sales_year"] == 2024 and len(doc["arrondissements"]) == 2
     assert doc["coverage"]["input_rows"] == 7 and doc["coverage"]["ban_plus_rows"] == 1
+
+
+def test_csv_copies(built):
+    spark, d, out = built
+    csv_rows = spark.read.option("header", True).csv(out["summary"] + "_csv").count()
+    assert csv_rows == spark.read.parquet(out["summary"]).count() == 2
