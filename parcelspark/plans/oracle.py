@@ -297,9 +297,9 @@ FROM geo""",
 
     "q12_best_link": f"""WITH {LINKS_CTE} SELECT idu, id_adr, type_lien FROM best""",
 
-    "q13_anti_missing_ids": f"""WITH {ADDR_SALES_CTE}, {LINKS_CTE}
-SELECT DISTINCT parcel_id AS idu FROM addr_sales s
-WHERE parcel_id IS NOT NULL AND parcel_id <> ''
+    "q13_anti_missing_ids": f"""WITH {GEOCODE_CTE}
+SELECT DISTINCT parcel_id AS idu FROM t2 s
+WHERE lon1 IS NULL AND lon2 IS NULL AND parcel_id IS NOT NULL AND parcel_id <> ''
   AND NOT EXISTS (SELECT 1 FROM links l WHERE l.idu = s.parcel_id)""",
 
     "q14_merge_keep_last": f"""WITH {LINKS_CTE},

@@ -135,8 +135,15 @@ def q12_best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_anti_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parcel ids of sales that the stored link table does not know yet."""
-    return geocode.missing_link_ids(address_sales(spark, sf_dir), td.link_rows(spark, sf_dir))
+    """Parcel ids of sales still without coordinates after the two address tiers that the stored
+    link table does not know yet (the ids to request from the link service)."""
+    ref = address_reference(spark, sf_dir)
+    tiers12 = geocode.geocode_cascade(
+        address_sales(spark, sf_dir).drop("longitude", "latitude"),
+        geocode.dedupe_reference(ref, "address_key"), geocode.dedupe_reference(ref, "address_key_no_suffix"),
+        geocode.dedupe_reference(ref, "cle_interop"), links=None)
+    unmatched = tiers12.where(F.col("longitude").isNull())
+    return geocode.missing_link_ids(unmatched, td.link_rows(spark, sf_dir))
 
 
 def q14_merge_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
