@@ -233,3 +233,30 @@ def test_csv_copies(built):
     spark, d, out = built
     csv_rows = spark.read.option("header", True).csv(out["summary"] + "_csv").count()
     assert csv_rows == spark.read.parquet(out["summary"]).count() == 2
+
+
+def test_served_reads_validate_and_answer(built):
+    from parcelspark.operators import serving, summary
+    spark, d, out = built
+    yearly = spark.read.parquet(out["sales_yearly"])
+    summ = spark.read.parquet(out["summary"])
+    quarters = spark.read.parquet(out["sales_quartier_yearly"])
+    feats = spark.read.text(out["quarters_geojson"])
+    with pytest.raises(LookupError):
+        summary.overview(summ, yearly, 1990)
+    with pytest.raises(ValueError):
+        serving.validate("median_income_eur", "quartier")
+    with pytest.raises(LookupError):
+        serving.validate("median_price_m2", "region")
+    with pytest.raises(LookupError):
+        serving.validate("no_such_metric", "arrondissement")
+    ov = summary.overview(summ, yearly)
+    assert [r["arrondissement"] for r in ov.collect()] == [1, 16]
+    assert {r["arrondissement"]: r["rank_by_price"] for r in ov.collect()}[16] is not None
+    qfeats = serving.reference_layer(spark, str(d / "gold"), "quartier").select(
+        F.col("properties")["quartier_id"].alias("quartier_id"),
+        F.col("properties")["arrondissement"].cast("int").alias("arrondissement"), "geometry")
+    layer = serving.map_layer("quartier", "transactions", features=qfeats, yearly=quarters).collect()
+    assert {r["quartier_id"]: r["metric_value"] for r in layer} == {"7510101": 2.0, "7511661": 1.0}
+    stops = serving.legend_stops(ov.withColumn("metric_value", F.col("median_price_m2"))).first()
+    assert stops["stop_low"] <= stops["stop_mid"] <= stops["stop_high"]
