@@ -157,8 +157,13 @@ OCTAGON_CELL = 0.5  # tile side for the unit-spaced octagons
 def q02_sales_quarter_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales points attached to quarter polygons (point in polygon), then the metric block per
     quarter x district x year for sales inside a quarter."""
+    # the attach reads its points twice (distinct coordinates, join back): materialise the
+    # pruned sales once instead of running the four-table join twice
+    pts = materialize(cleaned_sales(spark, sf_dir).select(
+        "arrondissement", "year", "transaction_id", "price_per_m2", "sale_value_eur",
+        "built_surface_m2", "rooms", "property_type", "longitude", "latitude"))
     located = spatial.attach_points(
-        cleaned_sales(spark, sf_dir), td.octagon_features(spark, sf_dir),
+        pts, td.octagon_features(spark, sf_dir),
         x="longitude", y="latitude", feature_id="feature_id", order="feature_id",
         mapping={"feature_id": "quartier_id", "name": "quartier_name"}, cell=OCTAGON_CELL)
     located = located.withColumn("quartier_id", F.col("quartier_id").cast("string"))
