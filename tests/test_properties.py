@@ -130,3 +130,28 @@ def test_overlay_leaves_and_reenters_concave_polygon(spark):
     assert out[11]["parts"] == 1 and abs(out[11]["length"] - 2.0) < 1e-12      # boundary counts, vertices kept
     assert json.loads(out[11]["geometry"]["coordinates"]) == [[1.0, 1.0], [1.0, 2.5], [1.0, 3.0]]
     assert out[13]["parts"] == 2 and abs(out[13]["length"] - 3.0) < 1e-12      # 0.5 + 2.5
+
+
+def test_metric_block_invariant_to_order_and_partitions(spark):
+    from parcelspark.operators.metrics import sales_metrics
+    from parcelspark.plans.queries import cleaned_sales
+    base = cleaned_sales(spark, "/root/testdata/sf0.001")
+    a = sales_metrics(base, ["arrondissement", "year"], apartment="STANDARD", house="ECONOMY")
+    b = sales_metrics(base.repartition(13, "transaction_id").orderBy(F.rand(5)), ["arrondissement", "year"],
+                      apartment="STANDARD", house="ECONOMY")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_missing_link_table_reads_empty(spark, tmp_path):
+    from parcelspark.sources.readers import read_links
+    from parcelspark.sinks.writers import write_links_versioned
+    empty = read_links(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and "id_adr" in empty.columns
+    first = spark.createDataFrame([("p1", "a", "GEO", "1", "1", 1)], empty.schema)
+    write_links_versioned(first, str(tmp_path / "links"))
+    import time
+    time.sleep(0.01)
+    second = geocode.merge_links(read_links(spark, str(tmp_path / "links")),
+                                 spark.createDataFrame([("p2", "b", None, "2", "1", 1)], empty.schema))
+    write_links_versioned(second, str(tmp_path / "links"))
+    assert sorted(r["idu"] for r in read_links(spark, str(tmp_path / "links")).collect()) == ["p1", "p2"]
