@@ -24,7 +24,8 @@ def start_sales_ingest(spark: SparkSession, bronze_dir: str, silver_path: str, c
                        sep: str = ",", trigger_once: bool = False) -> StreamingQuery:
     raw = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("sep", sep)
                 .option("pathGlobFilter", "*.csv").csv(bronze_dir))
-    year = F.regexp_extract(F.input_file_name(), YEAR_IN_NAME, 1)
+    # the year comes from the file name (20xx); files without one are skipped
+    year = F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1)
     typed = raw.withColumn("year", F.when(year != "", year.cast("int"))).where(F.col("year").isNotNull())
     writer = (clean_raw_sales(typed).writeStream.format("parquet").option("path", silver_path)
               .option("checkpointLocation", checkpoint).partitionBy("year").outputMode("append"))
