@@ -163,15 +163,20 @@ def cell_exposure(cells: DataFrame, districts: DataFrame, *, feature_id: str, ce
     prepared = (cells.select(F.col(category).cast("int").alias("_cat"), cx.alias("_cx"), cy.alias("_cy"),
                              area.alias("_area"))
                      .where(F.col("_area") > 0))
-    located = attach_points(prepared, districts, x="_cx", y="_cy", feature_id=feature_id,
-                            order=feature_id, mapping={feature_id: "_district"}, cell=cell,
-                            project=project)
-    per = located.where(F.col("_district").isNotNull()).groupBy("_district").agg(
-        F.count(F.lit(1)).alias("noise_cell_count"),
+    # pre-aggregate per cell centre before the spatial join: only distinct centres are located
+    # and joined back, and the per-district sums add up the per-centre partial sums
+    per_centre = prepared.groupBy("_cx", "_cy").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.sum("_area").alias("_total"),
         F.sum((F.col("_cat") % 10) * F.col("_area")).alias("_noise"),
         F.sum(F.expr("_cat div 10") * F.col("_area")).alias("_air"),
         F.sum(F.when(F.col("_cat") % 10 == 3, F.col("_area")).otherwise(0.0)).alias("_high"))
+    located = attach_points(per_centre, districts, x="_cx", y="_cy", feature_id=feature_id,
+                            order=feature_id, mapping={feature_id: "_district"}, cell=cell,
+                            project=project)
+    per = located.where(F.col("_district").isNotNull()).groupBy("_district").agg(
+        F.sum("_n").alias("noise_cell_count"),
+        *[F.sum(c).alias(c) for c in ["_total", "_noise", "_air", "_high"]])
     ids = districts.select(F.col(feature_id).alias("_district")).distinct()
     out = ids.join(per, "_district", "left")
     total = F.coalesce(F.col("_total"), F.lit(1.0))
