@@ -6,6 +6,12 @@ DOUBLE literals (DECIMAL literals would change the average's precision).
 
 from __future__ import annotations
 
+from ..functions.text import STREET_TOKEN_ALIASES as STREET_ALIASES
+from ..operators.metrics import METRIC_COLUMNS as METRICS
+from ..operators.serving import METRIC_CATALOG as CATALOG_ROWS
+from ..operators.summary import COMPARE_METRICS
+from ..operators.summary import MEDIAN_FILL, NEUTRAL_ENVIRONMENT_DEFAULTS as ENV_FILL
+
 
 def r(expr: str, n: int = 2) -> str:
     scale = f"{10 ** n}.0::DOUBLE"
@@ -360,12 +366,6 @@ QOL_EXPR = r("10.0::DOUBLE * (0.3::DOUBLE * {0} + 0.3::DOUBLE * {1} + 0.25::DOUB
     clip_sql("1.0::DOUBLE - (high_noise_share_pct / 100.0::DOUBLE)", 0.0, 1.0),
     clip_sql("1.0::DOUBLE - (environmental_pressure_index / 100.0::DOUBLE)", 0.0, 1.0)), 2)
 
-METRICS = ["transactions", "median_price_m2", "median_sale_value_eur", "median_surface_m2",
-           "median_rooms", "apartment_share_pct", "house_share_pct"]
-MEDIAN_FILL = ["reference_rent_eur_m2", "reference_rent_majorated_eur_m2",
-               "reference_rent_minorated_eur_m2", "median_income_eur", "poverty_rate_pct",
-               "first_quartile_income_eur", "third_quartile_income_eur", "share_taxable_pct"]
-ENV_FILL = {"noise_score": 2.0, "air_score": 2.0, "high_noise_share_pct": 50.0}
 MONTHS_EXPR = r("median_price_m2 / (median_income_eur / 12.0::DOUBLE)")
 
 SUMMARY_CTE = f"""{SALES_CTE}, {INCOME_CTE}, {RENT_CTE}, {SOCIAL_CTE}, {OCTAGON_CTE}, {CELLS_CTE},
@@ -473,9 +473,6 @@ CITY_SQL = f"""SELECT count(DISTINCT arrondissement) AS arrondissement_count,
        {r('median(estimated_50m2_rent_effort_pct)', 1)} AS estimated_50m2_rent_effort_pct
 FROM summary"""
 
-COMPARE_METRICS = ["median_price_m2", "median_income_eur", "reference_rent_majorated_eur_m2",
-                   "social_units_financed", "quality_of_life_score", "months_income_for_1sqm",
-                   "estimated_50m2_rent_effort_pct"]
 
 ORACLE.update({
     "q18_summary": f"WITH {SUMMARY_CTE} SELECT * FROM summary",
@@ -584,18 +581,6 @@ clip AS (
 
 
 LATEST = "(SELECT max(year) FROM sales_yearly)"
-CATALOG_ROWS = [
-    ("median_price_m2", "Prix median au m²", "EUR/m²", True),
-    ("transactions", "Transactions retenues", "count", True),
-    ("median_surface_m2", "Surface mediane", "m²", True),
-    ("median_income_eur", "Revenu median", "EUR/an", False),
-    ("reference_rent_majorated_eur_m2", "Loyer majore moyen", "EUR/m²", False),
-    ("social_units_financed", "Logements sociaux finances", "count", True),
-    ("social_units_financed_5y", "Logements sociaux finances sur 5 ans", "count", False),
-    ("months_income_for_1sqm", "Mois de revenu pour 1 m²", "months", False),
-    ("estimated_50m2_rent_effort_pct", "Effort locatif estime pour 50 m²", "%", False),
-    ("quality_of_life_score", "Qualite de vie", "/10", False),
-]
 LEVEL_ROWS = [("arrondissement", "Arrondissements", None), ("quartier", "Quartiers", 3),
               ("street", "Rues", 3), ("building", "Batiments", 3)]
 MICRO = ("median_price_m2", "transactions", "median_surface_m2")
@@ -727,9 +712,6 @@ def fold_sql(expr: str) -> str:
     return f"trim(regexp_replace(regexp_replace(upper({out}), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-STREET_ALIASES = {"ALL": "ALLEE", "AV": "AVENUE", "BD": "BOULEVARD", "BLD": "BOULEVARD", "CHE": "CHEMIN",
-                  "CRS": "COURS", "FG": "FAUBOURG", "IMP": "IMPASSE", "PAS": "PASSAGE", "PL": "PLACE",
-                  "QU": "QUAI", "RLE": "RUELLE", "RTE": "ROUTE", "SQ": "SQUARE", "VLA": "VILLA"}
 
 
 def street_sql(expr: str) -> str:
