@@ -155,3 +155,27 @@ def test_missing_link_table_reads_empty(spark, tmp_path):
                                  spark.createDataFrame([("p2", "b", None, "2", "1", 1)], empty.schema))
     write_links_versioned(second, str(tmp_path / "links"))
     assert sorted(r["idu"] for r in read_links(spark, str(tmp_path / "links")).collect()) == ["p1", "p2"]
+
+
+def test_cell_exposure_golden(spark):
+    sq = lambda x0, y0, x1, y1: str([[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]])
+    districts = spark.createDataFrame(
+        [(1, {"type": "Polygon", "coordinates": sq(0, 0, 2, 2)}),
+         (2, {"type": "Polygon", "coordinates": sq(2, 0, 4, 2)}),
+         (3, {"type": "Polygon", "coordinates": sq(10, 10, 11, 11)})],       # no cells
+        "arrondissement int, geometry struct<type: string, coordinates: string>")
+    cells = spark.createDataFrame([
+        (23, 0.0, 0.0, 1.0, 1.0),      # district 1: noise 3, air 2, area 1
+        (11, 0.0, 1.0, 1.0, 2.0),      # district 1: noise 1, air 1, area 1
+        (32, 1.5, 0.5, 2.5, 1.5),      # centre (2, 1) on the shared border: district 1 wins, area 1
+        (13, 3.0, 0.0, 3.0, 2.0),      # zero area: skipped
+        (12, 20.0, 20.0, 21.0, 21.0),  # outside every district
+        (21, 2.5, 0.0, 3.5, 2.0)],     # district 2: noise 1, air 2, area 2
+        "category int, minx double, miny double, maxx double, maxy double")
+    out = {r["arrondissement"]: r for r in spatial.cell_exposure(
+        cells, districts, feature_id="arrondissement", cell=1.0).collect()}
+    d1, d2, d3 = out[1], out[2], out[3]
+    assert d1["noise_cell_count"] == 3 and d1["noise_score"] == 2.0          # (3 + 1 + 2) / 3
+    assert d1["air_score"] == 2.0 and d1["high_noise_share_pct"] == 33.33    # (2 + 1 + 3) / 3
+    assert d2["noise_cell_count"] == 1 and d2["noise_score"] == 1.0 and d2["air_score"] == 2.0
+    assert (d3["noise_score"], d3["air_score"], d3["high_noise_share_pct"], d3["noise_cell_count"]) == (0.0, 0.0, 0.0, 0)
