@@ -85,6 +85,15 @@ def polygon_table(features: DataFrame, feature_id: str, order: str, attrs: list[
             .where(F.size("edges") > 0)
 
 
+def suggest_cell(polys: DataFrame) -> float:
+    """Tile side from the layer itself: half the median bbox side of its polygons (one scalar
+    action over the polygon table). Typical polygons then span a handful of tiles, so neither the
+    tile table nor the candidate pairs per point grow large; results do not depend on it."""
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    med = polys.agg(F.percentile_approx(side, 0.5).alias("m")).first()["m"]
+    return float(med) / 2.0 if med else 1.0
+
+
 def _tiles(polys: DataFrame, cell: float) -> DataFrame:
     c = F.lit(float(cell))
     return polys.select(
@@ -106,12 +115,13 @@ def _bounded(tiles: DataFrame, polys: DataFrame, cell: float):
 
 
 def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs: list[str],
-                  cell: float) -> DataFrame:
+                  cell: float | None = None) -> DataFrame:
     """For each distinct non-null (x, y): the attrs of the first covering polygon by order.
 
-    Returns (x, y, attrs...) for located coordinates only.
+    Returns (x, y, attrs...) for located coordinates only. ``cell=None`` picks the tile side from
+    the polygons (``suggest_cell``).
     """
-    c = float(cell)
+    c = float(cell) if cell else suggest_cell(polys)
     coords = (points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
                     .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()
                            & ~F.isnan("_x") & ~F.isnan("_y"))
@@ -134,7 +144,7 @@ def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs:
 
 
 def attach_points(points: DataFrame, features: DataFrame, *, x: str, y: str, feature_id: str,
-                  order: str, mapping: dict[str, str], cell: float, project=None,
+                  order: str, mapping: dict[str, str], cell: float | None = None, project=None,
                   geometry: str = "geometry") -> DataFrame:
     """Left-attach polygon attributes (``mapping``: feature column -> output column) to every
     point row; rows with missing coordinates or outside all polygons get NULLs."""
@@ -147,7 +157,7 @@ def attach_points(points: DataFrame, features: DataFrame, *, x: str, y: str, fea
     return joined.drop("_x", "_y")
 
 
-def cell_exposure(cells: DataFrame, districts: DataFrame, *, feature_id: str, cell: float,
+def cell_exposure(cells: DataFrame, districts: DataFrame, *, feature_id: str, cell: float | None = None,
                   category: str = "category", project=None) -> DataFrame:
     """Area-weighted noise/air exposure per district from classified rectangular cells.
 

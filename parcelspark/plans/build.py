@@ -19,9 +19,8 @@ from ..session import materialize
 from ..sinks import writers
 from ..sources import readers
 
-# ---- fixed values: tile sizes of the spatial joins -------------------------------------------
-CELL_DEGREES = 0.005   # grid for WGS84 point-in-polygon and overlay joins (about 400 m)
-CELL_METRES = 500.0    # grid for the Lambert-93 cell-centre join
+# ---- fixed values: tile size of the street overlay grid ----------------------------------------
+CELL_DEGREES = 0.005   # about 400 m; point-in-polygon joins size their grid from each layer
 # ---------------------------------------------------------------------------------------------
 
 
@@ -80,12 +79,11 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
         geocode.missing_link_ids(geo.where(F.col("longitude").isNull()), links), f"{gold}/links_to_fetch")
     geo = materialize(geo)
     geo = spatial.attach_points(geo, quarters, x="longitude", y="latitude", feature_id="quartier_id",
-                                order="quartier_order", mapping={"quartier_id": "quartier_id", "name": "quartier_name"},
-                                cell=CELL_DEGREES)
+                                order="quartier_order", mapping={"quartier_id": "quartier_id", "name": "quartier_name"})
     geo = materialize(geo)  # the next attach reads it twice (distinct coordinates, join back)
     geo = spatial.attach_points(geo, iris, x="longitude", y="latitude", feature_id="iris_code", order="iris_order",
                                 mapping={"iris_code": "iris_code", "iris_name": "iris_name", "iris_type": "iris_type",
-                                         "arrondissement": "iris_arrondissement"}, cell=CELL_DEGREES)
+                                         "arrondissement": "iris_arrondissement"})
     geo = sales.micro_geography_keys(geo)
     geo_path = write(geo, f"{silver}/sales_geocoded", partition_by="year")
     geo = readers.read_table(spark, geo_path)
@@ -104,7 +102,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
     social = metrics.social_metrics(themes.prepare_social(readers.read_social(spark, bronze.social)))
     if bronze.cells:
         env = spatial.cell_exposure(readers.read_cells(spark, bronze.cells), districts,
-                                    feature_id="arrondissement", cell=CELL_METRES, project=lambert93)
+                                    feature_id="arrondissement", project=lambert93)
     else:
         env = summary.neutral_environment(districts)
 

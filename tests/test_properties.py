@@ -179,3 +179,17 @@ def test_cell_exposure_golden(spark):
     assert d1["air_score"] == 2.0 and d1["high_noise_share_pct"] == 33.33    # (2 + 1 + 3) / 3
     assert d2["noise_cell_count"] == 1 and d2["noise_score"] == 1.0 and d2["air_score"] == 2.0
     assert (d3["noise_score"], d3["air_score"], d3["high_noise_share_pct"], d3["noise_cell_count"]) == (0.0, 0.0, 0.0, 0)
+
+
+def test_point_in_polygon_with_adaptive_cell(spark):
+    rng = random.Random(99)
+    polys = [_polygon(rng, rng.randint(0, 3), rng.randint(0, 3)) for _ in range(5)]
+    feats = spark.createDataFrame(
+        [(i, {"type": "Polygon", "coordinates": str([p + [p[0]]])}) for i, p in enumerate(polys)],
+        "fid int, geometry struct<type: string, coordinates: string>")
+    pts = [(j, rng.randint(-16, 64) / 16, rng.randint(-16, 64) / 16) for j in range(200)]
+    df = spark.createDataFrame(pts, "pid int, x double, y double")
+    got = {r["pid"]: r["hit"] for r in spatial.attach_points(
+        df, feats, x="x", y="y", feature_id="fid", order="fid", mapping={"fid": "hit"}).collect()}
+    for pid, x, y in pts:
+        assert got[pid] == next((i for i, p in enumerate(polys) if _inside(x, y, p)), None)
