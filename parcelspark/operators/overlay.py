@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import _bounded, covers_expr, polygon_table
+from .spatial import _bounded, covers_expr, polygon_table, suggest_cell
 
 LINE_JSON = "array<array<double>>"
 MULTILINE_JSON = "array<array<array<double>>>"
@@ -69,11 +69,12 @@ def _point_at(t: str, a: str, b: str) -> Column:
 
 
 def clip_lines(lines: DataFrame, polygons: DataFrame, *, line_id: str, feature_id: str,
-               cell: float, geometry: str = "geometry", poly_geometry: str = "geometry") -> DataFrame:
+               cell: float | None = None, geometry: str = "geometry",
+               poly_geometry: str = "geometry") -> DataFrame:
     """(line_id, feature_id, geometry STRUCT<type, coordinates>, length, parts) per pair with a
-    lineal intersection."""
-    c = float(cell)
+    lineal intersection. ``cell=None`` sizes the grid from the polygons."""
     polys = polygon_table(polygons, feature_id, feature_id, [], poly_geometry)
+    c = float(cell) if cell else suggest_cell(polys)
     segs = line_segments(lines, line_id, geometry)
     seg_tiles = (segs.select("*",
                              F.explode(F.sequence(F.floor(F.least("ax", "bx") / c),
@@ -132,7 +133,7 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, *, line_id: str, feature_i
                       "length", F.size("parts").alias("parts"))
 
 
-def street_reference(streets: DataFrame, districts: DataFrame, *, cell: float,
+def street_reference(streets: DataFrame, districts: DataFrame, *, cell: float | None = None,
                      street_id: str = "feature_id", district_id: str = "arrondissement",
                      district_insee: str = "insee_code", props: str = "properties") -> DataFrame:
     """Street lines -> one row per (street, district) with the street's lineal part inside the

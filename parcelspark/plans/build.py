@@ -19,9 +19,6 @@ from ..session import materialize
 from ..sinks import writers
 from ..sources import readers
 
-# ---- fixed values: tile size of the street overlay grid ----------------------------------------
-CELL_DEGREES = 0.005   # about 400 m; point-in-polygon joins size their grid from each layer
-# ---------------------------------------------------------------------------------------------
 
 
 @dataclass
@@ -61,7 +58,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
     # ids are generated once and materialised: the overlay reads the features twice
     street_feats = materialize(readers.read_geojson(spark, bronze.streets)
                                .withColumn("feature_id", F.monotonically_increasing_id()))
-    streets = materialize(overlay.street_reference(street_feats, districts, cell=CELL_DEGREES))
+    streets = materialize(overlay.street_reference(street_feats, districts))
 
     # sales: Silver transactions, district x year metrics
     tx = sales.clean_raw_sales(readers.read_sales(spark, bronze.sales))
