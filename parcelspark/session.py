@@ -21,6 +21,11 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # delete checkpoint files once the checkpointed DataFrame is garbage collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # keep the driver's status store small in long sessions (no UI reads it)
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "10000",
 }
 
 
