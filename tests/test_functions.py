@@ -3,8 +3,6 @@
 import re
 import unicodedata
 
-import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.functions import codes, numeric, text
