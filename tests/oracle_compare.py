@@ -41,6 +41,17 @@ def table_hash(columns, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16], lines
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "date": "DATE"}
+
+
+def type_diff(df, con, sql):
+    """Columns whose Spark type differs from the DuckDB type of the SQL twin."""
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (SPARK_TO_DUCK.get(t, t), duck.get(c)) for c, t in df.dtypes
+            if SPARK_TO_DUCK.get(t, t) != duck.get(c)}
+
+
 def duckdb_con(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -76,10 +87,13 @@ def main(argv):
         orows = res.fetchall()
         h1, l1 = table_hash(cols, rows)
         h2, l2 = table_hash(ocols, orows)
-        ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2
+        types = type_diff(df, con, oracle[name])
+        ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2 and not types
         bad += not ok
         print(f"{name}: {'OK ' if ok else 'BAD'} rows={len(rows)}/{len(orows)} {dt:.1f}s")
         if not ok:
+            if types:
+                print("  types (spark, duck):", types)
             if sorted(cols) != sorted(ocols):
                 print("  cols spark:", sorted(cols), "\n  cols duck: ", sorted(ocols))
             s1, s2 = set(l1), set(l2)
