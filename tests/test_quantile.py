@@ -68,3 +68,18 @@ def test_kth_smallest_both_paths(spark, monkeypatch):
     monkeypatch.setattr(quantile, "HOT_GROUP_ROWS", 10)
     big = quantile.kth_smallest(df.repartition(7), "v", k).first()
     assert small["value"] == big["value"] == expected and small["n"] == big["n"] == 501
+
+
+def test_approx_medians_close(spark):
+    from parcelspark.operators.quantile import approx_medians
+    pdf, sdf = _frame(spark, n=3000, seed=5)
+    got = {r["g"]: r["ma"] for r in approx_medians(sdf, ["g"], {"ma": "a"}).collect()}
+    exp = pdf.groupby("g")["a"].median().to_dict()
+    assert all(abs(got[g] - exp[g]) <= 30 for g in exp)   # one rank step on sparse groups
+
+
+def test_scale_conf_sizes_partitions():
+    from parcelspark.session import scale_conf
+    conf = scale_conf(100e12, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) > 300_000
+    assert scale_conf(1e6, 8)["spark.sql.shuffle.partitions"] == "24"
