@@ -145,7 +145,9 @@ def street_reference(streets: DataFrame, districts: DataFrame, *, cell: float |
     raw_name = text.join_nonempty(p["c_desi"], p["c_liaison"], p["l_voie"])
     named = streets.select(
         F.col(street_id).alias("_sid"), "geometry",
-        text.first_truthy(p["n_sq_vo"], p["c_voie_vp"], p["c_voie"], p["objectid"]).alias("street_ref_id"),
+        # first truthy id; like a Python ``or`` chain, the last one is taken as text even if falsy
+        F.coalesce(text.first_truthy(p["n_sq_vo"], p["c_voie_vp"], p["c_voie"]),
+                   F.coalesce(p["objectid"], F.lit("None"))).alias("street_ref_id"),
         text.normalize_street_name(raw_name).alias("street_name"),
         raw_name.alias("_raw"), p["l_longmin"].alias("_long"))
     display = F.trim(F.coalesce(F.when(F.col("_long") != "", F.col("_long")), F.col("_raw")))
