@@ -48,3 +48,22 @@ def test_no_python_evaluation(spark, name):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "median_price_m2" in df.columns
+
+
+def test_filters_and_pruning_reach_the_scans(spark):
+    import contextlib
+    import io
+    from parcelspark.plans.queries import cleaned_sales
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        cleaned_sales(spark, SF).explain("formatted")
+    sections = buf.getvalue().split("Scan parquet")[1:]
+    lineitem = next(s for s in sections if "lineitem.parquet" in s.split("ReadSchema")[0])
+    part = next(s for s in sections if "part.parquet" in s.split("ReadSchema")[0])
+    pushed = lambda sec: sec.split("PushedFilters:")[1].split("\n")[0]
+    schema = lambda sec: sec.split("ReadSchema:")[1].split("\n")[0]
+    assert "EqualTo(l_linestatus,F)" in pushed(lineitem) and "GreaterThan(l_quantity,10.0)" in pushed(lineitem)
+    assert "GreaterThan(l_extendedprice,10000.0)" in pushed(lineitem)
+    assert "In(p_type" in pushed(part)
+    for unused in ["l_discount", "l_tax", "l_returnflag", "l_shipdate"]:
+        assert unused not in schema(lineitem)
