@@ -67,3 +67,9 @@ def test_filters_and_pruning_reach_the_scans(spark):
     assert "In(p_type" in pushed(part)
     for unused in ["l_discount", "l_tax", "l_returnflag", "l_shipdate"]:
         assert unused not in schema(lineitem)
+
+
+def test_spatial_first_match_is_a_hash_aggregate(spark):
+    plan = _plan(QUERIES["q15_point_in_polygon"](spark, SF))
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert "min(_ord" in plan
