@@ -52,13 +52,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session leaves it unset (local tests) do we create a private scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="parcelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    target = configured or tempfile.mkdtemp(prefix="parcelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not configured:
+        try:
+            spark.conf.set("spark.checkpoint.dir", target)
+        except Exception:  # a session that does not allow setting it at runtime
+            pass
+    try:
+        context = spark.sparkContext
+    except Exception:  # Spark Connect: the server reads spark.checkpoint.dir itself
+        return target
+    context.setCheckpointDir(target)
+    return target
 
 
 def materialize(df):
