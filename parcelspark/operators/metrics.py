@@ -37,8 +37,9 @@ def sales_metrics(df: DataFrame, keys: list[str], *, tx: str = "transaction_id",
     """The metric block per group: distinct transactions, exact medians of price/m2, value,
     surface and rooms, apartment and house share in % (round 1), all metrics round 2.
 
-    ``extra_medians`` / ``extra_aggs`` add grain-specific columns to the same two passes (the
-    street and building grains), so no separate aggregate + join per extra column is needed;
+    ``extra_medians`` / ``extra_aggs`` add grain-specific columns to the same count and median
+    aggregates (the street and building grains), so no separate aggregate + join per extra column
+    is needed;
     ``carry`` names the extra input columns they read. The pruned input is materialised once
     because three passes read it (group sizes, counts, medians).
     """

@@ -46,7 +46,7 @@ KINDS = dict(apartment=td.APARTMENT_STANDIN, house=td.HOUSE_STANDIN)
 
 def q03_sales_street_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Street x district x year metrics with distinct buildings, geocoded transactions and
-    median coordinates, in one aggregate pass plus the median pass."""
+    median coordinates (the extra columns ride along in the metric block's aggregates)."""
     return metrics.street_sales_metrics(micro_sales(spark, sf_dir), **KINDS)
 
 
