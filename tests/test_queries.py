@@ -73,3 +73,8 @@ def test_spatial_first_match_is_a_hash_aggregate(spark):
     plan = _plan(QUERIES["q15_point_in_polygon"](spark, SF))
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
     assert "min(_ord" in plan
+
+
+def test_every_query_documents_its_work():
+    missing = [name for name, fn in QUERIES.items() if not (fn.__doc__ or "").strip()]
+    assert not missing, missing
