@@ -105,6 +105,19 @@ def _last_row_per_key(rows: DataFrame, key: str, order_cols: list[str]) -> DataF
                .select(key, "_r.*")
 
 
+def _merge_properties(features: DataFrame, rows: DataFrame, key: str, how: str) -> DataFrame:
+    """Feature properties updated with the matching row's values (a row overrides every column
+    it has; a feature without a row keeps its own), as a dict update would do."""
+    feats = features.select(*[F.col(c).alias(c if c in (key, "geometry") else f"_f_{c}")
+                              for c in features.columns])
+    joined = feats.join(rows.withColumn("_has_row", F.lit(True)), key, how)
+    own = [c for c in features.columns if c not in (key, "geometry")]
+    merged = [F.when(F.col("_has_row"), F.col(c)).otherwise(F.col(f"_f_{c}")).alias(c)
+              if c in rows.columns else F.col(f"_f_{c}").alias(c) for c in own]
+    rest = [c for c in rows.columns if c != key and c not in own]
+    return joined.select(key, "geometry", *merged, *rest)
+
+
 def map_quarters(features: DataFrame, quarter_yearly: DataFrame, metric: str,
                  year: int | None = None) -> DataFrame:
     """Every quarter feature, with the selected year's row of that quarter when there is one
@@ -113,9 +126,7 @@ def map_quarters(features: DataFrame, quarter_yearly: DataFrame, metric: str,
     sel = _resolve_year(quarter_yearly, year)
     rows = _last_row_per_key(quarter_yearly.where(F.col("year") == sel).drop("year"),
                              "quartier_id", ["quartier_name", "arrondissement"])
-    feats = features.select("quartier_id", F.col("arrondissement").alias("_feat_arr"), "geometry")
-    out = feats.join(rows, "quartier_id", "left")
-    out = out.withColumn("arrondissement", F.coalesce(F.col("arrondissement"), F.col("_feat_arr"))).drop("_feat_arr")
+    out = _merge_properties(features, rows, "quartier_id", "left")
     return _tag(out.withColumn("metric_value", F.col(metric).cast("double")), metric, "quartier", sel)
 
 
@@ -127,14 +138,11 @@ def map_streets(street_features: DataFrame, street_yearly: DataFrame, metric: st
     sel = _resolve_year(street_yearly, year)
     rows = _last_row_per_key(street_yearly.where(F.col("year") == sel).drop("year"),
                              "street_key", ["street_name", "arrondissement", "commune_insee"])
-    feats = street_features.select("street_ref_id", "street_key", "display_name",
-                                   F.col("street_name").alias("_feat_name"), "geometry")
-    out = feats.join(rows, "street_key")
+    out = _merge_properties(street_features, rows, "street_key", "inner")
     out = out.withColumn("name", F.coalesce(F.when(F.col("display_name") != "", F.col("display_name")),
                                             F.when(F.col("street_name") != "", F.col("street_name")),
                                             F.col("street_key")))
-    return _tag(out.drop("_feat_name").withColumn("metric_value", F.col(metric).cast("double")),
-                metric, "street", sel)
+    return _tag(out.withColumn("metric_value", F.col(metric).cast("double")), metric, "street", sel)
 
 
 def map_buildings(building_yearly: DataFrame, metric: str, year: int | None = None) -> DataFrame:
