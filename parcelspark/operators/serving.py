@@ -92,8 +92,8 @@ def map_districts(features: DataFrame, overview_rows: DataFrame, metric: str) ->
     missing = features.join(overview_rows, "arrondissement", "left_anti").limit(1).count()
     if missing:
         raise LookupError("district feature without an overview row")
-    feats = features.select("arrondissement", "geometry")
-    out = feats.join(overview_rows, "arrondissement").withColumn("metric_value", F.col(metric).cast("double"))
+    out = _merge_properties(features, overview_rows, "arrondissement", "inner") \
+        .withColumn("metric_value", F.col(metric).cast("double"))
     return _tag(out, metric, "arrondissement", F.col("selected_sales_year"))
 
 
