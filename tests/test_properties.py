@@ -193,3 +193,17 @@ def test_point_in_polygon_with_adaptive_cell(spark):
         df, feats, x="x", y="y", feature_id="fid", order="fid", mapping={"fid": "hit"}).collect()}
     for pid, x, y in pts:
         assert got[pid] == next((i for i, p in enumerate(polys) if _inside(x, y, p)), None)
+
+
+def test_feature_collection_is_bounded(spark, monkeypatch):
+    import json as _json
+    from parcelspark.sinks import writers
+    feats = spark.createDataFrame(
+        [(i, {"type": "Point", "coordinates": f"[{i}, 0]"}) for i in range(5)],
+        "fid int, geometry struct<type: string, coordinates: string>")
+    doc = _json.loads(writers.feature_collection(feats).first()["value"])
+    assert len(doc["features"]) == 5 and doc["features"][0]["geometry"]["type"] == "Point"
+    monkeypatch.setattr(writers, "FEATURE_COLLECTION_MAX_FEATURES", 3)
+    import pytest as _pytest
+    with _pytest.raises(ValueError):
+        writers.feature_collection(feats)
