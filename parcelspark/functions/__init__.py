@@ -1,0 +1 @@
+"""Column expressions (no UDFs): numbers, text, codes, geometry."""

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: cleaning, aggregates, geocoding, spatial joins, summary, serving."""

@@ -1,0 +1 @@
+"""The full build and the registered queries with their SQL twins."""

@@ -1,0 +1 @@
+"""Readers for Bronze inputs and stored tables, and the source catalogue."""

@@ -1,0 +1 @@
+"""Incremental ingestion with Structured Streaming."""
