@@ -6,19 +6,74 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelspark.llm import near_dedup
+from parcelspark.llm import mixing, near_dedup, packing, quality_model, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length buckets of least padding and token-budget batches over all documents."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents by gradient-boosted trees over their statistics."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 2-word shingles at similarity 0.8."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words every document gives to a mix of all sources at weights 5, 2, 1."""
+    return (mixing.mix(table(spark, sf_dir, "documents"))
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition coverage and quality verdict of all documents."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_length_buckets": op1_length_buckets,
+    "op4_quality_trees": op4_quality_trees,
     "op5_near_dedup": op5_near_dedup,
+    "op6_fair_queue_mix": op6_fair_queue_mix,
+    "op10_repetition_rules": op10_repetition_rules,
+}
+WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+MIX_SQL = f"""
+WITH d AS (SELECT doc_id, source, {WORDS_SQL} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+r AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+w AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM r),
+p AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+                 - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w),
+t AS (SELECT source, rank, source_size,
+             least(cap, coalesce(first_value(CASE WHEN rate * weight <= cap THEN rate END IGNORE NULLS)
+                                 OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+                                 * weight, cap)) AS target FROM p),
+q AS (SELECT d.doc_id, d.size, d.h, t.rank, t.source_size, t.target,
+             sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.h, d.doc_id, d.size
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CAST(epoch * source_size + upto AS DOUBLE) / target AS vft
+      FROM q, (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0 AND target > 0),
+c AS (SELECT *, sum(size) OVER (ORDER BY vft, rank, epoch, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM e),
+k AS (SELECT doc_id, rank, sum(size) AS taken FROM c WHERE run <= (SELECT sum(size) FROM d) GROUP BY doc_id, rank)
+SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, CAST(q.source_size AS BIGINT) AS source_size, q.target,
+       CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.rank = k.rank
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_fair_queue_mix": MIX_SQL,
 }
-ORACLE: dict[str, str] = {}
