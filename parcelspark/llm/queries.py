@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelspark.llm import mixing, near_dedup, packing, quality_model, quality_rules
+from parcelspark.llm import chat_format, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,20 @@ def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op8_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (id -1) made of control strings, formatted and read back."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(told.unionByName(probe)))
+
+
+def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: fixed patterns and sliding-window entropy."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition coverage and quality verdict of all documents."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -45,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_trees": op4_quality_trees,
     "op5_near_dedup": op5_near_dedup,
     "op6_fair_queue_mix": op6_fair_queue_mix,
+    "op8_chat_segments": op8_chat_segments,
+    "op9_secret_entropy": op9_secret_entropy,
     "op10_repetition_rules": op10_repetition_rules,
 }
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
