@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelspark.llm import chat_format, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan
+from parcelspark.llm import chat_format, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: strict patterns and spans accepted by weak supervision."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents by gradient-boosted trees over their statistics."""
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +61,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_length_buckets": op1_length_buckets,
+    "op2_pii_votes": op2_pii_votes,
     "op4_quality_trees": op4_quality_trees,
     "op5_near_dedup": op5_near_dedup,
     "op6_fair_queue_mix": op6_fair_queue_mix,
