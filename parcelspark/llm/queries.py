@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelspark.llm import chat_format, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
+from parcelspark.llm import chat_format, fingerprint, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, with likeness."""
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one (id -1) made of control strings, formatted and read back."""
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_trees": op4_quality_trees,
     "op5_near_dedup": op5_near_dedup,
     "op6_fair_queue_mix": op6_fair_queue_mix,
+    "op7_fingerprints": op7_fingerprints,
     "op8_chat_segments": op8_chat_segments,
     "op9_secret_entropy": op9_secret_entropy,
     "op10_repetition_rules": op10_repetition_rules,
