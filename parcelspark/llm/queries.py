@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelspark.llm import chat_format, fingerprint, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
+from parcelspark.llm import chat_format, fingerprint, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents after noisy-channel deobfuscation."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents by gradient-boosted trees over their statistics."""
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +73,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_length_buckets": op1_length_buckets,
     "op2_pii_votes": op2_pii_votes,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_trees": op4_quality_trees,
     "op5_near_dedup": op5_near_dedup,
     "op6_fair_queue_mix": op6_fair_queue_mix,

@@ -74,12 +74,13 @@ class Tokens:
         return np.repeat(np.arange(self.n_docs), np.diff(self.first))
 
 
-def tokenize(texts: list[bytes]) -> Tokens:
+def tokenize(texts: list[bytes], between: np.ndarray = IS_SPACE) -> Tokens:
+    """Words of the texts: maximal runs of bytes outside the table ``between`` (newline must be in it)."""
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     doc_end = np.cumsum(lengths + 1) - 1
     doc_start = doc_end - lengths
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = IS_SPACE[buf]
+    space = between[buf]
     before = np.empty_like(space)
     before[0] = True
     before[1:] = space[:-1]
