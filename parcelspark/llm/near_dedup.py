@@ -316,7 +316,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = stored(docs.mapInArrow(_sign(shingle, "doc_id"), "doc_id long, n long, s1 long, s2 long, sig binary"),
                     "signed")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
+    # stored, so that the join below reads two plain exchanges and a large class can be split
+    classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     member = stored(full.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
                     .select("doc_id", "node", "n", "s1"), "members")
     reps = (full.join(member.where("doc_id = node").select("doc_id", "s1").distinct(), ["doc_id", "s1"])
