@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from parcelspark.llm import textkit as tk
 from parcelspark.llm.graph import connected_components
@@ -390,3 +390,14 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = (pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
             .select("a", "b", "set_a", "set_b"))
     return both.mapInArrow(_exact_pairs(percent), "a long, b long")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` that stay: the smallest id of each component, with all columns.
+
+    Rows that repeat an id keep the one with the smallest text; rows without an id stay.
+    """
+    stay = near_duplicates(docs, shingle, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("stay__")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id").cast("long") == F.col("stay__"))
+    first = named.withColumn("place__", F.row_number().over(Window.partitionBy("stay__").orderBy("text")))
+    return first.where("place__ = 1").select(*[docs[c] for c in docs.columns]).union(docs.where(F.col("doc_id").isNull()))

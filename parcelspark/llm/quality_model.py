@@ -169,3 +169,16 @@ def score(docs: DataFrame, forest: Forest, cutoff: float = 0.3) -> DataFrame:
               .mapInArrow(run, "doc_id long, score double"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, forest: Forest, cutoff: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` whose text scores at least ``cutoff``, with all their columns, in one pass."""
+    arrow_rows(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = tk.arrow_bytes(batch.column("text"))
+            keep = [forest.probability(features(texts[lo:hi])) >= cutoff for lo, hi in tk.byte_batches(texts)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, dtype=bool)))
+
+    return docs.mapInArrow(run, docs.schema)
