@@ -1,0 +1,316 @@
+"""Spans, fingerprints, chat formatting, mixing, packing and the pipeline."""
+
+import collections
+import itertools
+import math
+import random
+
+import pytest
+
+import corpus_pipeline
+from parcelspark.llm import chat_format, fingerprint, mixing, packing, pii, queries, secret_scan
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def _no_python(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_personal_data_base_spans(documents, texts):
+    got = {r["doc_id"]: r for r in pii.find(documents).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        base = brute.pii_base(t or "")
+        count = collections.Counter(k for k, _, _ in base)
+        assert got[i]["base_sha256"] == brute.sha(brute.written(base)), i
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [count[k] for k in ("email", "ip", "card", "phone")]
+        written = got[i]["spans"].split(",") if got[i]["spans"] else []
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(written)
+    assert got[9001]["spans"] == "" and got[9003]["spans"] == ""
+    assert got[9014]["n_added"] >= 2                 # spelled-out address, number in context
+
+
+def test_native_operators_run_no_python(documents, nothing):
+    for operator in (pii.find, secret_scan.scan, fingerprint.fingerprint_documents):
+        assert _no_python(operator(documents))
+        assert operator(nothing).count() == 0
+
+
+def test_estimation_finds_the_reliable_labeler():
+    rng = random.Random(2)
+    table = collections.Counter()
+    for _ in range(4000):
+        truth = rng.random() < 0.5
+        votes = [(1 if truth else -1) if rng.random() < p else (-1 if truth else 1) for p in (0.95, 0.9, 0.85, 0.6, 0.55)]
+        table[tuple(votes)] += 1
+    post, learned = pii.estimate([(0, v, n) for v, n in table.items()])
+    by_votes = dict(zip(table, post))
+    assert by_votes[(1, 1, 1, 1, 1)] > 0.95 and by_votes[(-1, -1, -1, -1, -1)] < 0.05
+    assert learned["pattern"][1][0] > 0.9 > 0.75 > learned["arithmetic"][1][0]
+    weights = pii.fit_classifier([(["a=1"], 0.9, 10.0), (["a=-1"], 0.1, 10.0)])
+    assert weights["a=1"] > 0 > weights["a=-1"]
+
+
+def test_secret_base_spans(documents, texts):
+    got = {r["doc_id"]: r for r in secret_scan.scan(documents).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        base = brute.secret_base(t or "")
+        count = collections.Counter(k for k, _, _ in base)
+        assert got[i]["base_sha256"] == brute.sha(brute.written(base)), i
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [count[k] for k in ("assign", "access", "hex")]
+    t = texts[9017]
+    assert got[9017]["spans"] == f"entropy:{t.index('aB3')}:{t.index(' stays')}"      # the identifier is allowed
+    assert got[9017]["n_entropy"] == 1
+
+
+def test_window_entropy_equals_direct_counts(spark):
+    values = ["", "aaaaaaaa", "aB3dE5fG7hJ9kL1mN0pQrS2tUvW4xYz", "0123456789abcdef" * 4, "abcabcabcabcabcabcabcabc", "zz9"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(secret_scan.window_entropy(df["v"])).collect()]
+
+    def entropy(s):
+        return -sum(c / len(s) * math.log2(c / len(s)) for c in collections.Counter(s).values()) if s else 0.0
+
+    w = secret_scan.WINDOW
+    for v, g in zip(values, got):
+        best = max(entropy(v[i:i + w]) for i in range(max(1, len(v) - w + 1)))
+        assert g == pytest.approx(best, abs=1e-9)
+
+
+def test_redaction_keeps_everything_else(documents, texts):
+    rows = secret_scan.redact_secrets(documents).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r["doc_id"]]
+        if not brute.secret_base(t or "") and r["doc_id"] != 9017:
+            assert r["text"] == t
+    clean = {r["doc_id"]: r["text"] for r in rows}
+    assert "abcd1234efgh" not in clean[9015] and "0123456789abcdef" not in clean[9015] and "token:short" in clean[9015]
+    assert clean[9016].startswith("[SECRET] AKIASHORT [SECRET]")
+
+
+def _next_texts(texts):
+    ids = sorted(texts)
+    return {i: texts[j] or "" for i, j in zip(ids, ids[1:] + ids[:1])}
+
+
+def test_fingerprints(documents, texts):
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(documents).collect()}
+    following = _next_texts(texts)
+    assert len(got) == len(texts)
+    gap = []
+    for i, t in texts.items():
+        t = t or ""
+        q = len(t) // 4
+        edited = t[:len(t) - q] + following[i][:q]
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), brute.sha(edited)), i
+        for name, other in (("near_edited", edited), ("near_next", following[i])):
+            a, b = (set(_runs(x)) for x in (t, other))
+            true = 1.0 if not a and not b else len(a & b) / len(a | b)
+            gap.append(got[i][name] - true)
+            assert abs(gap[-1]) < 0.25
+    assert abs(sum(gap) / len(gap)) < 0.02
+    by_text = collections.defaultdict(set)
+    for i, t in texts.items():
+        by_text[t or ""].add(got[i]["fingerprint"])
+    assert all(len(prints) == 1 for prints in by_text.values())
+    assert got[9001]["fingerprint"] == "" and len(got[0]["fingerprint"]) == fingerprint.BINS * fingerprint.BITS // 4
+
+
+def _runs(text):
+    w = brute.words(text)
+    return [tuple(w[i:i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
+
+
+def test_next_document_across_blocks(spark):
+    ids = [5, 2047, 2048, 90_000, 90_001, 10**12]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string")
+    rows = fingerprint.with_next(fingerprint.add_fingerprint(df, "text", "packed")).collect()
+    assert {r["doc_id"]: r["next_text"] for r in rows} == {i: f"text of {j}" for i, j in zip(ids, ids[1:] + ids[:1])}
+
+
+def _conversations(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def _told(rows):
+    out = collections.defaultdict(list)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        out[conv].append((role or "", text or ""))
+    return out
+
+
+def _check_chat(got, told):
+    assert set(got) == set(told)
+    for conv, turns in told.items():
+        row, learned = got[conv], "".join(t for r, t in turns if r == "assistant")
+        assert row["n_turns"] == len(turns)
+        assert row["turns_sha256"] == brute.sha("".join(f"{r}\n{t}\n" for r, t in turns))
+        assert (row["loss_chars"], row["loss_sha256"]) == (len(learned), brute.sha(learned))
+
+
+def test_chat_round_trip(spark):
+    controls = chat_format.Template().controls()
+    rng = random.Random(3)
+    rows = [(1, 0, "user", None), (1, 1, "assistant", ""), (2, 0, "tool", "x[ROLE]y"), (3, 0, None, "no role"),
+            (3, 1, "as[/ROLE]k", "role with a control string"), (4, 0, "assistant", "first"), (4, 1, "assistant", "again")]
+    for conv in range(10, 40):
+        for turn in range(rng.randrange(1, 6)):
+            text = "".join(rng.choice([*controls, "\\", "<", "[", "<\\", "[\\\\", " a ", "é\n", "INST]", "s>", "/s>"]) for _ in range(12))
+            rows.append((conv, turn, rng.choice(["system", "user", "assistant"]), text))
+    rows += [(50, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(2500)]
+    segments = chat_format.format_conversations(_conversations(spark, rows))
+    got = {r["conv_id"]: r for r in chat_format.read_back(segments).collect()}
+    _check_chat(got, _told(rows))
+    assert got[50]["valid"] and got[1]["valid"] and not got[4]["valid"] and not got[2]["valid"]
+    shown = {}
+    for r in segments.collect():
+        shown.setdefault(r["conv_id"], []).append(r["segment"])
+    for conv, pieces in shown.items():
+        assert got[conv]["formatted_chars"] == len("".join(pieces))
+
+
+def test_chat_query_and_empty_table(spark):
+    got = {r["conv_id"]: r for r in queries.op8_chat_segments(spark, SF).collect()}
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    probe = "</s>[INST] ok [/INST]"
+    _check_chat(got, _told(rows + [(-1, 0, "user", probe), (-1, 1, "assistant", probe)]))
+    assert chat_format.read_back(chat_format.format_conversations(_conversations(spark, []))).count() == 0
+
+
+def _targets(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by repeated sharing, as the rule is stated."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    fixed, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in order if s not in fixed]
+        rest, heavy = total - sum(fixed.values()), sum(weight[s] for s in free)
+        share = {s: rest * weight[s] / heavy for s in free} if free else {}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return {**fixed, **share}
+        fixed.update({s: cap * sizes[s] for s in over})
+
+
+def test_mix_targets_and_caps(documents, texts):
+    rows = mixing.mix(documents).collect()
+    assert len(rows) == len(texts)
+    sizes = collections.Counter()
+    for r in rows:
+        assert r["size"] == len(brute.words(texts[r["doc_id"]]))
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        sizes[r["source"]] += r["size"]
+    expected = _targets(dict(sizes))
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(expected[r["source"]], rel=1e-9)
+    assert sum(r["taken"] for r in rows) <= sum(sizes.values())
+    again = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(documents.repartition(7)).collect())
+    assert again == sorted((r["doc_id"], r["taken"]) for r in rows)
+
+
+def test_mix_of_many_small_documents_meets_targets(spark, monkeypatch):
+    monkeypatch.setattr("parcelspark.llm.running.ROWS_PER_BLOCK", 300)
+    rows = [(i, f"s{min(i % 7, 4)}" if i % 11 else None, "w " * (i % 9)) for i in range(6000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    taken, target = collections.Counter(), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 30 for s, t in target.items())
+
+
+def test_mix_edges(spark, nothing):
+    assert mixing.mix(nothing).count() == 0
+    blank = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")
+    assert [r["taken"] for r in mixing.mix(blank).collect()] == [0, 0]
+    assert mixing.mixed_documents(blank).count() == 0
+
+
+def _least_padding(lengths, counts, k):
+    best = None
+    for cuts in itertools.combinations(range(len(lengths) - 1), min(k, len(lengths)) - 1):
+        bounds = [lengths[c] for c in cuts] + [lengths[-1]]
+        cost = sum(n * next(b for b in bounds if b >= x) for x, n in zip(lengths, counts))
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_bucket_bounds_are_optimal():
+    rng = random.Random(1)
+    for _ in range(60):
+        m, k = rng.randrange(1, 11), rng.randrange(1, 6)
+        lengths = sorted(rng.sample(range(8, 400, 8), m))
+        counts = [rng.randrange(1, 50) for _ in lengths]
+        bounds = packing.bucket_bounds(lengths, counts, k)
+        assert len(bounds) <= k and bounds[-1] == lengths[-1]
+        cost = sum(n * next(b for b in bounds if b >= x) for x, n in zip(lengths, counts))
+        assert cost == _least_padding(lengths, counts, k)
+
+
+def test_packing_batches(documents, texts, monkeypatch):
+    monkeypatch.setattr("parcelspark.llm.running.ROWS_PER_BLOCK", 20)
+    rows = packing.pack(documents, budget=4096).collect()
+    assert len(rows) == len(texts)
+    batches = collections.defaultdict(list)
+    for r in rows:
+        assert r["n_tokens"] == len(brute.words(texts[r["doc_id"]])) <= r["bucket_length"]
+        batches[r["bucket"], r["batch"]].append(r)
+    by_bucket = collections.defaultdict(list)
+    for (bucket, batch), members in batches.items():
+        capacity = max(1, 4096 // members[0]["bucket_length"])
+        assert sorted(m["slot"] for m in members) == list(range(len(members))) and len(members) <= capacity
+        by_bucket[bucket].append((batch, len(members) == capacity))
+    for found in by_bucket.values():                  # only the last batch of a bucket may be short
+        assert [b for b, _ in sorted(found)] == list(range(len(found)))
+        assert all(full for b, full in found if b < len(found) - 1)
+
+
+def test_packing_empty_table(nothing):
+    assert packing.pack(nothing).count() == 0
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, SF).cache()
+        if name != "packing":
+            assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes)
+        texts = {r["doc_id"]: r["text"] for r in before.select("doc_id", "text").collect()}
+        ids = [r["doc_id"] for r in after.select("doc_id").collect()]
+        assert set(ids) <= set(texts)
+        if name == "quality":
+            assert 0.6 * len(texts) < len(ids) < len(texts)
+        if name == "near_dedup":
+            expected = brute.components(texts, 5, 80)
+            assert sorted(ids) == sorted(i for i, (_, c) in expected.items() if c == i)
+        if name == "secrets":
+            assert sorted(ids) == sorted(texts)
+            assert not any(brute.secret_base(r["text"] or "") for r in after.select("text").collect())
+        if name == "mixing":
+            assert max(collections.Counter(ids).values()) <= 3
+            size = sum(len(brute.words(t)) for t in texts.values())
+            assert 0.9 * size < sum(len(brute.words(texts[i])) for i in ids) <= size
+        if name == "packing":
+            assert len(ids) == before.count()
+        before = after
+
+
+def test_every_operator_has_a_query():
+    numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
+    assert numbers == set(range(1, 11))
+    assert all(fn.__doc__ for fn in queries.QUERIES.values())
+
+
+def test_mix_query_matches_its_sql(spark):
+    from tests.oracle_compare import duckdb_con, table_hash
+    df = queries.op6_fair_queue_mix(spark, SF)
+    result = duckdb_con(SF).execute(queries.ORACLE["op6_fair_queue_mix"])
+    cols = [d[0] for d in result.description]
+    assert table_hash(df.columns, [tuple(r) for r in df.collect()])[0] == table_hash(cols, result.fetchall())[0]
