@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, numeric, text
+from ..session import materialize
 from .quantile import exact_medians
 
 # ---- fixed values (domain rules of the reference pipeline) ---------------------------------
@@ -62,11 +63,12 @@ def dedupe_reference(ref: DataFrame, key: str, *, id_col: str = "cle_interop",
 def best_links(links: DataFrame) -> DataFrame:
     """Best address link per parcel: non-empty address id, then priority (GEO, BAN, other),
     address count ascending (missing last), address id ascending. ``type_lien`` is the first
-    non-null value in that order, independently of ``id_adr`` (pandas groupby ``first``)."""
+    non-null value in that order, independently of ``id_adr`` (pandas groupby ``first``). Links
+    without a parcel id are left out."""
     prio = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LINK_PRIORITY.items() for x in kv]),
                                        F.col("type_lien")), F.lit(LINK_OTHER_PRIORITY))
     nb = F.coalesce(numeric.parse_number(F.col("nb_adr")), F.lit(float(LINK_MISSING_COUNT)))
-    valid = (links.where(F.col("id_adr").isNotNull() & (F.col("id_adr") != ""))
+    valid = (links.where(F.col("idu").isNotNull() & F.col("id_adr").isNotNull() & (F.col("id_adr") != ""))
                   .withColumn("_order", F.struct(prio.alias("p"), nb.alias("n"), F.col("id_adr").alias("a"))))
     return valid.groupBy("idu").agg(
         F.min_by("id_adr", "_order").alias("id_adr"),
@@ -86,23 +88,26 @@ def missing_link_ids(parcel_ids: DataFrame, links: DataFrame, col: str = "parcel
 def merge_links(existing: DataFrame, delivered: DataFrame, order_col: str = "seq") -> DataFrame:
     """Append a delivered batch to the link table; on duplicate (idu, id_adr, type_lien) the
     last row wins: delivered after existing, and inside a batch the higher ``order_col`` (the
-    stored row order). Keys compare NULL-safely (pandas treats NaN keys as equal). One hash
-    aggregate with partial aggregation; no window over a whole key."""
+    stored row order). The result keeps a row order in ``order_col`` (delivered rows continue after
+    the stored ones), so it can be stored and merged again. NULL keys compare equal, as groups do.
+    One aggregate with partial aggregation; no window over a whole key."""
     cols = ["idu", "id_adr", "type_lien", "nb_adr", "nb_parc"]
-    both = (existing.select(*cols, F.col(order_col).alias("_seq")).withColumn("_batch", F.lit(0))
-            .unionByName(delivered.select(*cols, F.col(order_col).alias("_seq"))
-                         .withColumn("_batch", F.lit(1))))
-    key = [F.coalesce(F.col(c), F.lit("\u0000")).alias(f"_k{i}")
-           for i, c in enumerate(["idu", "id_adr", "type_lien"])]
-    return (both.groupBy(*key)
-                .agg(F.max_by(F.struct(*cols), F.struct("_batch", "_seq")).alias("_r"))
-                .select("_r.*"))
+    after = F.coalesce(existing.agg(F.max(order_col)).scalar() + 1, F.lit(0)).cast("long")
+    both = (existing.select(*cols, F.col(order_col).cast("long").alias(order_col))
+            .unionByName(delivered.select(*cols, (after + F.col(order_col)).cast("long").alias(order_col))))
+    return (both.groupBy("idu", "id_adr", "type_lien")
+                .agg(F.max_by(F.struct("nb_adr", "nb_parc", order_col), order_col).alias("_r"))
+                .select("idu", "id_adr", "type_lien", "_r.*"))
 
 
 def geocode_cascade(sales: DataFrame, with_suffix: DataFrame, without_suffix: DataFrame,
                     by_interop: DataFrame, links: DataFrame | None) -> DataFrame:
     """Attach ``matched_cle_interop``, ``longitude``, ``latitude``, ``geocode_source``.
 
+    The sales with tier 1 applied, and those still open after tier 2, are each materialised: both are read as
+    matched and as unmatched rows, so the joins before them run once. Lookup tables are read once
+    each.
+
     Tier 1: full address key; tier 2 (rows without coordinates): key without suffix; tier 3
     (still without coordinates, with a parcel): best link of the parcel -> address id ->
     coordinates. In tier 3 the id is kept even when it has no coordinates, and only rows that
@@ -118,6 +123,7 @@ def geocode_cascade(sales: DataFrame, with_suffix: DataFrame, without_suffix: Da
                    F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"),
                    F.when(F.col("_id").isNotNull(), F.lit(SOURCE_ADDRESS)).alias("geocode_source"))
     out_cols = t1.columns
+    t1 = materialize(t1)
     done1 = t1.where(F.col("longitude").isNotNull())
     rest1 = t1.where(F.col("longitude").isNull()).drop("matched_cle_interop", "longitude", "latitude")
 
@@ -127,14 +133,16 @@ def geocode_cascade(sales: DataFrame, with_suffix: DataFrame, without_suffix: Da
                    F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"),
                    F.when(F.col("_id").isNotNull(), F.lit(SOURCE_ADDRESS))
                     .otherwise(F.col("geocode_source")).alias("geocode_source")).select(*out_cols)
+    t2 = materialize(t2) if links is not None else t2
     if links is None:  # no link table: tier 3 cannot apply
         return done1.unionByName(t2)
     done2 = t2.where(F.col("longitude").isNotNull() | F.col("parcel_id").isNull())
     rest2 = t2.where(F.col("longitude").isNull() & F.col("parcel_id").isNotNull())
 
     best = best_links(links).select(F.col("idu").alias("_idu"), F.col("id_adr").alias("_adr"))
+    # links get their coordinates before the join, so parcels without a link never share a NULL key
+    best = lookup(best, by_interop, "_adr")
     t3 = rest2.join(best, rest2["parcel_id"] == best["_idu"], "left").drop("_idu")
-    t3 = lookup(t3, by_interop, "_adr")
     t3 = t3.select(*[c for c in rest2.columns if c not in ("matched_cle_interop", "longitude",
                                                            "latitude", "geocode_source")],
                    F.col("_adr").alias("matched_cle_interop"),

@@ -16,6 +16,9 @@ from ..session import materialize
 from .quantile import exact_medians
 
 # ---- fixed values: output names of the metric block ----------------------------------------
+STREET_KEYS = ["street_key", "street_name", "arrondissement", "commune_insee", "year"]
+BUILDING_KEYS = ["building_id", "building_id_source", "building_label", "arrondissement",
+                 "commune_insee", "street_name", "house_number", "house_suffix", "year"]
 METRIC_COLUMNS = [
     "transactions", "median_price_m2", "median_sale_value_eur", "median_surface_m2",
     "median_rooms", "apartment_share_pct", "house_share_pct",
@@ -40,20 +43,23 @@ def sales_metrics(df: DataFrame, keys: list[str], *, tx: str = "transaction_id",
     ``extra_medians`` / ``extra_aggs`` add grain-specific columns to the same count and median
     aggregates (the street and building grains), so no separate aggregate + join per extra column
     is needed;
-    ``carry`` names the extra input columns they read. The pruned input is materialised once
-    because three passes read it (group sizes, counts, medians).
+    ``carry`` names the extra input columns they read. The input is read twice (counts, then
+    medians), so pass a stored table or one that is cheap to read; only the aggregated counts, one
+    row per group, are materialised, and they also tell which groups are large.
     """
     needed = dict.fromkeys([*keys, tx, price, value, surface, rooms, kind,
                             *(extra_medians or {}).values(), *(carry or [])])
-    data = materialize(_not_null_keys(df, keys).select(*needed))
-    counts = data.groupBy(*keys).agg(
+    data = _not_null_keys(df, keys).select(*needed)
+    counts = materialize(data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.count_distinct(tx).alias("transactions"),
         F.avg(indicator(F.col(kind) == apartment)).alias("_apt"),
         F.avg(indicator(F.col(kind) == house)).alias("_house"),
-        *(extra_aggs or []))
+        *(extra_aggs or [])))
     medians = exact_medians(data, keys, {
         "median_price_m2": price, "median_sale_value_eur": value,
-        "median_surface_m2": surface, "median_rooms": rooms, **(extra_medians or {})})
+        "median_surface_m2": surface, "median_rooms": rooms, **(extra_medians or {})},
+        sizes=counts.select(*keys, "_rows"))
     out = counts.join(medians, keys, "left")
     share = lambda c: round_half_even(round_half_even(F.col(c) * 100.0, 1), 2)
     rounded = {m: round_half_even(m, 2) for m in METRIC_COLUMNS[1:5]}
@@ -66,9 +72,9 @@ def sales_metrics(df: DataFrame, keys: list[str], *, tx: str = "transaction_id",
 
 def street_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
     """Street x year: metric block + distinct buildings, geocoded transactions, median lon/lat."""
-    keys = ["street_key", "street_name", "arrondissement", "commune_insee", "year"]
+    keys = STREET_KEYS
     m = sales_metrics(
-        df.where(F.col(keys[0]).isNotNull()), keys, **kinds,
+        df, keys, **kinds,
         extra_medians={"longitude": "longitude", "latitude": "latitude"}, carry=["building_id"],
         extra_aggs=[F.count_distinct("building_id").alias("buildings"),
                     F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
@@ -79,10 +85,9 @@ def street_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
 
 def building_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
     """Building x year (9 keys): metric block + geocoded transactions, median lon/lat, parcels."""
-    keys = ["building_id", "building_id_source", "building_label", "arrondissement",
-            "commune_insee", "street_name", "house_number", "house_suffix", "year"]
+    keys = BUILDING_KEYS
     m = sales_metrics(
-        df.where(F.col(keys[0]).isNotNull()), keys, **kinds,
+        df, keys, **kinds,
         extra_medians={"longitude": "longitude", "latitude": "latitude"}, carry=["parcel_id"],
         extra_aggs=[F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
                      .alias("geocoded_transactions"),
@@ -96,14 +101,14 @@ def income_metrics(df: DataFrame, *, district: str = "arrondissement", block_id:
                    q1: str = "DEC_Q121", q3: str = "DEC_Q321", taxable: str = "DEC_PIMP21") -> DataFrame:
     """Per district: count of blocks, medians of median/Q1/Q3 income, means of poverty and
     taxable share, rounded to 2."""
-    data = materialize(_not_null_keys(df, [district]).select(
-        district, block_id, median_income, poverty, q1, q3, taxable))
-    counts = data.groupBy(district).agg(
+    data = _not_null_keys(df, [district]).select(district, block_id, median_income, poverty, q1, q3, taxable)
+    counts = materialize(data.groupBy(district).agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.count(block_id).alias("iris_count"),
-        F.avg(poverty).alias("poverty_rate_pct"), F.avg(taxable).alias("share_taxable_pct"))
+        F.avg(poverty).alias("poverty_rate_pct"), F.avg(taxable).alias("share_taxable_pct")))
     med = exact_medians(data, [district], {
         "median_income_eur": median_income, "first_quartile_income_eur": q1,
-        "third_quartile_income_eur": q3})
+        "third_quartile_income_eur": q3}, sizes=counts.select(district, "_rows"))
     out = counts.join(med, district, "left")
     r = lambda c: round_half_even(c, 2).alias(c)
     return out.select(F.col(district).alias("arrondissement"), "iris_count", r("median_income_eur"),
@@ -151,11 +156,6 @@ def five_year_sum(df: DataFrame, value: str = "social_units_financed", year: str
     return recent.groupBy(key).agg(F.sum(value).alias(out))
 
 
-def sorted_years(df: DataFrame, year: str = "year") -> DataFrame:
-    """Sorted distinct years as one array (bounded: one entry per year)."""
-    return df.agg(F.sort_array(F.collect_set(year)).alias("years"))
-
-
 def coverage(geocoded: DataFrame) -> DataFrame:
     """Spatial coverage counters of the geocoded sales (one row): rows, distinct transactions,
     rows per geocode source, geocoded rows, rows attached to a quarter / census block, distinct
@@ -164,11 +164,11 @@ def coverage(geocoded: DataFrame) -> DataFrame:
     The street / building yearly row counts are the number of distinct group keys of those
     aggregates, so no metric aggregate is needed here. One global aggregate with partial
     aggregation, distinct counts pre-aggregated by key."""
-    street_keys = ["street_key", "street_name", "arrondissement", "commune_insee", "year"]
-    building_keys = ["building_id", "building_id_source", "building_label", "arrondissement",
-                     "commune_insee", "street_name", "house_number", "house_suffix", "year"]
-    streets = _not_null_keys(geocoded, street_keys).select(*street_keys).distinct()
-    buildings = _not_null_keys(geocoded, building_keys).select(*building_keys).distinct()
+    # one row per group key, counted twice (names and yearly rows) by one aggregate each
+    streets = _not_null_keys(geocoded, STREET_KEYS).groupBy(*STREET_KEYS).agg(F.lit(1).alias("_one"))
+    buildings = _not_null_keys(geocoded, BUILDING_KEYS).groupBy(*BUILDING_KEYS).agg(F.lit(1).alias("_one"))
+    street_counts = streets.agg(F.struct(F.count_distinct("street_key").alias("names"), F.count("_one").alias("rows"))).scalar()
+    building_counts = buildings.agg(F.struct(F.count_distinct("building_id").alias("names"), F.count("_one").alias("rows"))).scalar()
     c = F.col
     base = geocoded.agg(
         F.count(F.lit(1)).alias("input_rows"),
@@ -180,8 +180,6 @@ def coverage(geocoded: DataFrame) -> DataFrame:
         F.count_if(c("iris_code").isNotNull()).alias("iris_rows"))
     return base.select(
         "*",
-        streets.agg(F.count_distinct("street_key")).scalar().alias("street_count"),
-        streets.agg(F.count(F.lit(1))).scalar().alias("street_year_rows"),
-        buildings.agg(F.count_distinct("building_id")).scalar().alias("building_count"),
-        buildings.agg(F.count(F.lit(1))).scalar().alias("building_year_rows"),
+        street_counts["names"].alias("street_count"), street_counts["rows"].alias("street_year_rows"),
+        building_counts["names"].alias("building_count"), building_counts["rows"].alias("building_year_rows"),
         round_half_even(F.try_divide(c("geocoded_rows") * 100.0, c("input_rows")), 2).alias("geocoded_rate_pct"))

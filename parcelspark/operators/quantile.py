@@ -35,20 +35,22 @@ from ..session import checkpoint_dir
 
 # Groups above this many rows take the distributed rank-selection path.
 HOT_GROUP_ROWS = 1_000_000
-# The hot-key list is broadcast only up to this many keys (at most rows / HOT_GROUP_ROWS exist).
-HOT_KEYS_BROADCAST_MAX = 100_000
 
 
 def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str],
-                  hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                  hot_rows: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Exact median of each ``values`` column (``out_name -> input column``) per ``keys``.
 
     Returns one row per group with columns ``keys + list(values)`` (NULL where a group has no
     non-null value). Small groups go through the built-in aggregate, hot groups through
-    ``rank_medians``; the hot-key count is one scalar action.
+    ``rank_medians``; which groups are hot does not change the result. Keys must not be NULL.
+    ``sizes`` (keys and ``_rows``, one row per group) saves the counting pass when the caller
+    has it already; the hot-key count is one scalar action over it.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else \
-        df.agg(F.count(F.lit(1)).alias("_rows"))
+    hot_rows = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else \
+            df.agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > hot_rows).select(*keys) if keys else \
         sizes.where(F.col("_rows") > hot_rows)
     n_hot = hot.count()
@@ -56,10 +58,11 @@ def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str],
         return small_group_medians(df, keys, values)
     if not keys:
         return rank_medians(df, keys, values)
-    hot_side = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST_MAX else hot
-    cold = df.join(hot_side, keys, "left_anti")
-    warm = df.join(hot_side, keys, "left_semi")
-    return small_group_medians(cold, keys, values).unionByName(rank_medians(warm, keys, values))
+    cold = df.join(hot, keys, "left_anti")
+    warm = df.join(hot, keys, "left_semi")
+    # a hot group without any value has no rank: the group list brings it back with NULLs
+    ranked = hot.join(rank_medians(warm, keys, values), keys, "left").select(*keys, *values)
+    return small_group_medians(cold, keys, values).unionByName(ranked)
 
 
 def rank_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
@@ -108,18 +111,16 @@ def small_group_medians(df: DataFrame, keys: list[str], values: dict[str, str])
 
 def kth_smallest(df: DataFrame, col: str, k_from_n) -> DataFrame:
     """One-row DataFrame ``(n, value)``: the k-th smallest non-null value (1-based), with
-    ``k_from_n`` a function of the count Column. Up to ``HOT_GROUP_ROWS`` values a sorted array
-    is used (bounded); beyond, the value is found by the same rank selection as the medians."""
+    ``k_from_n`` a function of the count Column, by the same rank selection as the medians: equal
+    values are pre-aggregated, then ranked inside range partitions. ``value`` is NULL without
+    values."""
     v = F.col(col).cast("double")
     values = df.select(v.alias("_v")).where(F.col("_v").isNotNull())
-    n = values.count()
-    if n <= HOT_GROUP_ROWS:
-        return values.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_v")).alias("_s")) \
-            .select("n", F.when(F.col("n") > 0, F.element_at("_s", k_from_n(F.col("n")).cast("int"))).alias("value"))
     checkpoint_dir(df.sparkSession)
     weighted = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_w"))
     ranged = (weighted.repartitionByRange("_v").withColumn("_blk", F.spark_partition_id())
                       .checkpoint(eager=True))
+    n = ranged.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
     running = Window.partitionBy("_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranged.withColumn("_hi", F.sum("_w").over(running))
     blocks = (ranged.groupBy("_blk").agg(F.sum("_w").alias("_cnt"))
@@ -129,11 +130,3 @@ def kth_smallest(df: DataFrame, col: str, k_from_n) -> DataFrame:
     hit = (ranked.join(blocks.select("_blk", "_k"), "_blk")
                  .where((F.col("_k") >= F.col("_hi") - F.col("_w") + 1) & (F.col("_k") <= F.col("_hi"))))
     return hit.agg(F.lit(n).cast("long").alias("n"), F.max("_v").alias("value"))
-
-
-def approx_medians(df: DataFrame, keys: list[str], values: dict[str, str], accuracy: int = 10000) -> DataFrame:
-    """Opt-in approximate medians (bounded sketch per group, rank error about 1/accuracy) for
-    coarse keys where an exact answer is not required. Never used by the library's operators,
-    which all compute exact medians."""
-    aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(name) for name, c in values.items()]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)

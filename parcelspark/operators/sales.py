@@ -26,6 +26,19 @@ RAW_SALES_COLUMNS = [
     "No plan", "Reference document", "Identifiant de document", "Type local",
     "Surface reelle bati", "Nombre pieces principales",
 ]
+# the stored geocoded sales: column of the working table -> stored name, in order
+GEOCODED_COLUMNS = {
+    "year": "year", "date_mutation": "Date mutation", "reference_document": "Reference document",
+    "document_id": "Identifiant de document", "arrondissement": "arrondissement",
+    "commune_insee": "commune_insee", "house_number": "house_number", "house_suffix": "house_suffix",
+    "street_key": "street_key", "street_name": "street_name", "sale_value_eur": "sale_value_eur",
+    "built_surface_m2": "built_surface_m2", "price_per_m2": "price_per_m2", "property_type": "Type local",
+    "parcel_id": "parcel_id", "building_id": "building_id", "building_id_source": "building_id_source",
+    "building_label": "building_label", "matched_cle_interop": "matched_cle_interop",
+    "geocode_source": "geocode_source", "longitude": "longitude", "latitude": "latitude",
+    "quartier_id": "quartier_id", "quartier_name": "quartier_name", "iris_code": "iris_code",
+    "iris_name": "iris_name", "iris_type": "iris_type",
+}
 # ---------------------------------------------------------------------------------------------
 
 

@@ -56,7 +56,8 @@ def validate(metric: str, level: str) -> None:
 
 def metadata(spark, sales_yearly: DataFrame, social_yearly: DataFrame, rents_yearly: DataFrame) -> DataFrame:
     """One row per (map level, supported metric) with the metric's label, unit and year
-    support, and the latest / available years of each theme (scalar subqueries)."""
+    support, the latest / available years of each theme (scalar subqueries), and when it was made.
+    The theme tables are read for their years only."""
     rows = [(lvl, lvl_label, key, label, unit, yr)
             for lvl, lvl_label, supported in MAP_LEVELS
             for key, label, unit, yr in METRIC_CATALOG if supported is None or key in supported]
@@ -68,7 +69,10 @@ def metadata(spark, sales_yearly: DataFrame, social_yearly: DataFrame, rents_yea
         sales_yearly.agg(F.max("year")).scalar().alias("latest_sales_year"),
         social_yearly.agg(F.max("year")).scalar().alias("latest_social_year"),
         rents_yearly.agg(F.max("year")).scalar().alias("latest_rent_year"),
-        sales_yearly.agg(years).scalar().alias("available_sales_years"))
+        sales_yearly.agg(years).scalar().alias("available_sales_years"),
+        social_yearly.agg(years).scalar().alias("available_social_years"),
+        rents_yearly.agg(years).scalar().alias("available_rent_years"),
+        F.current_timestamp().alias("generated_at"))
 
 
 def _resolve_year(yearly: DataFrame, year: int | None):
@@ -80,8 +84,11 @@ def _resolve_year(yearly: DataFrame, year: int | None):
 
 
 def _tag(df: DataFrame, metric: str, level: str, year_col) -> DataFrame:
-    supports_year = dict((k, y) for k, _, _, y in METRIC_CATALOG)[metric]
-    return df.select("*", F.lit(level).alias("map_level"), F.lit(metric).alias("selected_metric"),
+    """Add the layer's header: level and metric with their labels, unit, year support and year."""
+    label, unit, supports_year = {k: (lab, u, y) for k, lab, u, y in METRIC_CATALOG}[metric]
+    return df.select("*", F.lit(level).alias("map_level"), F.lit(LEVEL_LABELS[level]).alias("level_label"),
+                     F.lit(metric).alias("selected_metric"), F.lit(label).alias("metric_label"),
+                     F.lit(unit).alias("metric_unit"), F.lit(supports_year).alias("supports_year"),
                      (year_col if supports_year else F.lit(None)).cast("int").alias("metric_year"))
 
 

@@ -40,6 +40,18 @@ def district_table(features: DataFrame, props: str = "properties") -> DataFrame:
         round_half_even(p["surface"].cast("double"), 2).alias("surface_m2"))
 
 
+def district_layer(features: DataFrame, props: str = "properties") -> DataFrame:
+    """District polygons as the served layer: typed properties with surface and perimeter (round 2),
+    and the geometry."""
+    p = F.col(props)
+    return features.select(
+        p["c_ar"].cast("double").cast("int").alias("arrondissement"),
+        p["c_arinsee"].cast("double").cast("int").alias("insee_code"),
+        p["l_aroff"].alias("name"), p["l_ar"].alias("label"),
+        round_half_even(p["surface"].cast("double"), 2).alias("surface_m2"),
+        round_half_even(p["perimetre"].cast("double"), 2).alias("perimeter_m"), "geometry")
+
+
 def neutral_environment(districts: DataFrame) -> DataFrame:
     """Environment table used when the noise layer is skipped: defaults for every district."""
     d = NEUTRAL_ENVIRONMENT_DEFAULTS
@@ -151,8 +163,14 @@ def overview(summary: DataFrame, sales_yearly: DataFrame, year: int | None = Non
 
 
 def timeline(sales_yearly: DataFrame, social_yearly: DataFrame, rents_yearly: DataFrame,
-             district: int) -> DataFrame:
-    """One district's yearly series of the three themes in long form (theme, year, metric, value)."""
+             district: int, districts: DataFrame) -> DataFrame:
+    """One district's yearly series of the three themes in long form (district and its name, theme,
+    year, metric, value). ``districts`` (arrondissement, name) knows the districts; an unknown one is
+    a LookupError."""
+    known = districts.where(F.col("arrondissement") == district).select("name").limit(1).collect()
+    if not known:
+        raise LookupError(f"unknown district: {district}")
+
     def long(df, theme):
         cols = [c for c in df.columns if c not in ("arrondissement", "year")]
         stack = "stack({}, {}) as (metric, value)".format(
@@ -160,25 +178,44 @@ def timeline(sales_yearly: DataFrame, social_yearly: DataFrame, rents_yearly: Da
         return (df.where(F.col("arrondissement") == district)
                   .select(F.lit(theme).alias("theme"), "year", F.expr(stack)))
     return (long(sales_yearly, "sales").unionByName(long(social_yearly, "social"))
-            .unionByName(long(rents_yearly, "rents")).orderBy("theme", "year", "metric"))
+            .unionByName(long(rents_yearly, "rents"))
+            .select(F.lit(district).alias("arrondissement"), F.lit(known[0]["name"]).cast("string").alias("name"),
+                    "theme", "year", "metric", "value")
+            .orderBy("theme", "year", "metric"))
 
 
+# ---- fixed values: compared metrics -----------------------------------------------------------
 COMPARE_METRICS = ["median_price_m2", "median_income_eur", "reference_rent_majorated_eur_m2",
                    "social_units_financed", "quality_of_life_score", "months_income_for_1sqm",
                    "estimated_50m2_rent_effort_pct"]
+# -----------------------------------------------------------------------------------------------
+
+
+def compared_rows(overview_rows: DataFrame, left: int, right: int) -> DataFrame:
+    """The two districts' overview rows, with ``side`` (``left``, ``right``). An unknown district is a
+    LookupError."""
+    rows = overview_rows.where(F.col("arrondissement").isin(left, right))
+    known = {r["arrondissement"] for r in rows.select("arrondissement").distinct().collect()}
+    for district in (left, right):
+        if district not in known:
+            raise LookupError(f"unknown district: {district}")
+    sides = F.array(F.when(F.col("arrondissement") == left, "left"), F.when(F.col("arrondissement") == right, "right"))
+    return rows.select("*", F.explode(F.array_compact(sides)).alias("side"))
 
 
 def compare(overview_rows: DataFrame, left: int, right: int) -> DataFrame:
     """Metric by metric: left value, right value and delta (round 2); metrics where either
-    side is missing are omitted. Conditional aggregation, no cross join."""
+    side is missing are omitted. Each line carries the selected sales year and both names.
+    Conditional aggregation, no cross join; an unknown district is a LookupError."""
     stack = "stack({}, {}) as (metric, value)".format(
         len(COMPARE_METRICS), ", ".join(f"'{c}', cast(`{c}` as double)" for c in COMPARE_METRICS))
-    long = (overview_rows.where(F.col("arrondissement").isin(left, right))
-                         .select("arrondissement", F.expr(stack)))
+    long = compared_rows(overview_rows, left, right).select("side", "name", "selected_sales_year", F.expr(stack))
+    on = lambda side, col: F.max(F.when(F.col("side") == side, F.col(col)))
     pair = long.groupBy("metric").agg(
-        F.max(F.when(F.col("arrondissement") == left, F.col("value"))).alias("left_value"),
-        F.max(F.when(F.col("arrondissement") == right, F.col("value"))).alias("right_value"))
+        F.max("selected_sales_year").alias("sales_year"), on("left", "name").alias("left_name"),
+        on("right", "name").alias("right_name"), on("left", "value").alias("left_value"),
+        on("right", "value").alias("right_value"))
     return (pair.where(F.col("left_value").isNotNull() & F.col("right_value").isNotNull())
                 .withColumn("delta", round_half_even(F.col("left_value") - F.col("right_value"), 2))
-                .select(F.lit(left).alias("left"), F.lit(right).alias("right"), "metric",
-                        "left_value", "right_value", "delta"))
+                .select("sales_year", F.lit(left).alias("left"), "left_name", F.lit(right).alias("right"), "right_name",
+                        "metric", "left_value", "right_value", "delta"))

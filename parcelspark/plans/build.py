@@ -34,6 +34,7 @@ class BronzeInputs:
     quarters: str              # quarter polygons (GeoJSON)
     streets: str               # street lines (GeoJSON)
     cells: str | None = None   # classified pollution cells (Parquet), None = skip noise
+    geojson_lines: bool = False  # layers hold one feature per line (split over tasks) instead of one document
 
 
 def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
@@ -46,17 +47,20 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
         return writers.write_table(df, path, partition_by=partition_by,
                                    csv_path=f"{path}_csv" if csv_copies else None)
 
+    def layer(path: str) -> DataFrame:
+        return readers.read_geojson(spark, path, lines=bronze.geojson_lines)
+
     # reference layers
-    district_feats = readers.read_geojson(spark, bronze.districts)
+    district_feats = layer(bronze.districts)
     districts = materialize(summary.district_table(district_feats).join(
         district_feats.select(F.col("properties")["c_ar"].cast("double").cast("int").alias("arrondissement"),
                               "geometry"), "arrondissement"))
-    quarters = materialize(readers.quarter_table(readers.read_geojson(spark, bronze.quarters))
+    quarters = materialize(readers.quarter_table(layer(bronze.quarters))
                            .withColumn("quartier_order", F.col("quartier_id").cast("long")))
     iris = materialize(readers.read_iris(spark, bronze.iris)
                        .withColumn("iris_order", F.col("iris_code").cast("long")))
     # ids are generated once and materialised: the overlay reads the features twice
-    street_feats = materialize(readers.read_geojson(spark, bronze.streets)
+    street_feats = materialize(layer(bronze.streets)
                                .withColumn("feature_id", F.monotonically_increasing_id()))
     streets = materialize(overlay.street_reference(street_feats, districts))
 
@@ -72,9 +76,9 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
     geo = geocode.geocode_cascade(
         tx, geocode.dedupe_reference(ref, "address_key"), geocode.dedupe_reference(ref, "address_key_no_suffix"),
         geocode.dedupe_reference(ref, "cle_interop"), links)
+    geo = materialize(geo)
     out["links_to_fetch"] = write(
         geocode.missing_link_ids(geo.where(F.col("longitude").isNull()), links), f"{gold}/links_to_fetch")
-    geo = materialize(geo)
     geo = spatial.attach_points(geo, quarters, x="longitude", y="latitude", feature_id="quartier_id",
                                 order="quartier_order", mapping={"quartier_id": "quartier_id", "name": "quartier_name"})
     geo = materialize(geo)  # the next attach reads it twice (distinct coordinates, join back)
@@ -82,8 +86,11 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
                                 mapping={"iris_code": "iris_code", "iris_name": "iris_name", "iris_type": "iris_type",
                                          "arrondissement": "iris_arrondissement"})
     geo = sales.micro_geography_keys(geo)
-    geo_path = write(geo, f"{silver}/sales_geocoded", partition_by="year")
-    geo = readers.read_table(spark, geo_path)
+    # the working columns (transaction id, address keys) stay in an inner table for the metrics
+    geo = readers.read_table(spark, write(geo, f"{silver}/sales_geocoded_working", partition_by="year"))
+    geocoded = geo.select(*[F.col(c).alias(name) for c, name in sales.GEOCODED_COLUMNS.items()])
+    write(geocoded, f"{silver}/sales_geocoded", partition_by="year")
+    out["sales_geocoded"] = write(geocoded, f"{gold}/sales_geocoded", partition_by="year")
 
     quarter_yearly = metrics.sales_metrics(geo.where(F.col("quartier_id").isNotNull()),
                                            ["quartier_id", "quartier_name", "arrondissement", "year"])
@@ -108,8 +115,9 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
               "sales_building_yearly": building_yearly, "income": income, "rents_yearly": rents,
               "social_yearly": social, "noise": env}
     for name, df in tables.items():
-        out[name] = write(df, f"{gold}/{name}", partition_by="year")
-        tables[name] = readers.read_table(spark, out[name])
+        stored = readers.read_table(spark, write(df, f"{silver}/{name}", partition_by="year"))
+        out[name] = write(stored, f"{gold}/{name}", partition_by="year")
+        tables[name] = stored
 
     summ = summary.district_summary(districts.drop("geometry"), tables["sales_yearly"], tables["income"],
                                     tables["rents_yearly"], tables["social_yearly"], tables["noise"])
@@ -124,7 +132,7 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
         writers.dashboard_document(summ, city, tables["sales_yearly"], tables["social_yearly"],
                                    tables["rents_yearly"], readers.read_json(spark, cover_path), catalog),
         f"{gold}/dashboard")
-    out["districts_geojson"] = writers.write_geojson_lines(districts, f"{gold}/arrondissements.geojsonl")
+    out["districts_geojson"] = writers.write_geojson_lines(summary.district_layer(district_feats), f"{gold}/arrondissements.geojsonl")
     out["quarters_geojson"] = writers.write_geojson_lines(quarters.drop("quartier_order"), f"{gold}/quartiers.geojsonl")
     out["streets_geojson"] = writers.write_geojson_lines(streets, f"{gold}/streets.geojsonl")
     out["iris_geojson"] = writers.write_geojson_lines(iris.drop("iris_order"), f"{gold}/iris.geojsonl")

@@ -92,15 +92,14 @@ def dedupe(key: str) -> str:
 
 LINKS_CTE = """
 links AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS idu,
-         CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN ''
-              ELSE 'P' || (o_orderkey % 2500) END AS id_adr,
-         CASE o_orderpriority WHEN '1-URGENT' THEN 'GEO' WHEN '2-HIGH' THEN 'BAN'
-              WHEN '4-NOT SPECIFIED' THEN 'OTHER' WHEN '5-LOW' THEN 'BAN' END AS type_lien,
-         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED'
-              THEN CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) END AS nb_adr,
-         '1' AS nb_parc, o_orderkey AS seq
-  FROM orders WHERE o_orderstatus IN ('F', 'O')
+  SELECT CAST(user_id AS VARCHAR) AS idu,
+         CASE WHEN event_type = 'signup' AND event_id % 2 = 1 THEN ''
+              ELSE 'P' || (event_id % (SELECT count(*) FROM part)) END AS id_adr,
+         CASE event_type WHEN 'purchase' THEN 'GEO' WHEN 'view' THEN 'BAN'
+              WHEN 'click' THEN 'OTHER' WHEN 'signup' THEN 'BAN' END AS type_lien,
+         CASE WHEN event_type <> 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS nb_adr,
+         '1' AS nb_parc, event_id AS seq
+  FROM events
 ),
 ranked_links AS (
   SELECT *, CASE type_lien WHEN 'GEO' THEN 0 WHEN 'BAN' THEN 1 ELSE 9 END AS prio,
@@ -310,14 +309,14 @@ WHERE lon1 IS NULL AND lon2 IS NULL AND parcel_id IS NOT NULL AND parcel_id <> '
 
     "q14_merge_keep_last": f"""WITH {LINKS_CTE},
 both_batches AS (
-  SELECT idu, id_adr, type_lien, nb_adr, nb_parc, 0 AS batch, seq FROM links
+  SELECT idu, id_adr, type_lien, nb_adr, nb_parc, seq FROM links
   UNION ALL
-  SELECT CAST(user_id AS VARCHAR), event_type, NULL, CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR),
-         CAST(event_id AS VARCHAR), 1, event_id FROM events
+  SELECT CAST(o_custkey AS VARCHAR), o_orderpriority, NULL, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR),
+         CAST(o_orderkey AS VARCHAR), (SELECT max(seq) FROM links) + 1 + o_orderkey FROM orders
 )
 SELECT idu, id_adr, type_lien,
-       first(nb_adr ORDER BY batch DESC, seq DESC) AS nb_adr,
-       first(nb_parc ORDER BY batch DESC, seq DESC) AS nb_parc
+       first(nb_adr ORDER BY seq DESC) AS nb_adr,
+       first(nb_parc ORDER BY seq DESC) AS nb_parc, max(seq) AS seq
 FROM both_batches GROUP BY idu, id_adr, type_lien""",
 
     "q02_sales_quarter_year": f"""WITH {SALES_CTE}, {OCTAGON_CTE},
@@ -497,12 +496,14 @@ SELECT *, {QOL_EXPR} AS quality_of_life_score FROM ind""",
     "q20_city_rollup": f"WITH {SUMMARY_CTE} {CITY_SQL}",
     "q21_overview_rank": f"WITH {overview_sql('1998')} SELECT * FROM overview",
     "q22_timeline": f"""WITH {SALES_CTE}, {RENT_CTE}, {SOCIAL_CTE},
-sales_yearly AS (SELECT arrondissement, year, {metric_block()} FROM sales GROUP BY arrondissement, year)
+sales_yearly AS (SELECT arrondissement, year, {metric_block()} FROM sales GROUP BY arrondissement, year),
+series AS (
 {long_sql('sales_yearly', 'sales', METRICS, 'arrondissement = 7')}
 UNION ALL
 {long_sql('social', 'social', ['program_count', 'social_units_financed', 'pla_i_units', 'plus_units', 'pls_units'], 'arrondissement = 7')}
 UNION ALL
-{long_sql('rent', 'rents', ['reference_rent_eur_m2', 'reference_rent_majorated_eur_m2', 'reference_rent_minorated_eur_m2', 'rent_reference_count'], 'arrondissement = 7')}""",
+{long_sql('rent', 'rents', ['reference_rent_eur_m2', 'reference_rent_majorated_eur_m2', 'reference_rent_minorated_eur_m2', 'rent_reference_count'], 'arrondissement = 7')})
+SELECT 7 AS arrondissement, (SELECT n_name FROM nation WHERE n_nationkey = 6) AS name, theme, year, metric, value FROM series""",
     "q23_compare": f"""WITH {overview_sql('(SELECT max(year) FROM sales_yearly)')},
 lng AS ({long_sql('overview', 'x', COMPARE_METRICS, 'arrondissement IN (3, 11)').replace("'x' AS theme, year,", "arrondissement,")}),
 pair AS (
@@ -510,7 +511,9 @@ pair AS (
          max(CASE WHEN arrondissement = 11 THEN value END) AS right_value
   FROM lng GROUP BY metric
 )
-SELECT 3 AS "left", 11 AS "right", metric, left_value, right_value,
+SELECT (SELECT max(selected_sales_year) FROM overview) AS sales_year, 3 AS "left",
+       (SELECT n_name FROM nation WHERE n_nationkey = 2) AS left_name, 11 AS "right",
+       (SELECT n_name FROM nation WHERE n_nationkey = 10) AS right_name, metric, left_value, right_value,
        {r('left_value - right_value')} AS delta
 FROM pair WHERE left_value IS NOT NULL AND right_value IS NOT NULL""",
     "q40_neutral_environment": """SELECT CAST(n_nationkey + 1 AS INTEGER) AS arrondissement, 2.0::DOUBLE AS noise_score,
@@ -587,8 +590,9 @@ MICRO = ("median_price_m2", "transactions", "median_surface_m2")
 
 ORACLE.update({
     "q24_map_district": f"""WITH {overview_sql(LATEST)}
-SELECT arrondissement, name, CAST(median_price_m2 AS DOUBLE) AS metric_value,
-       'arrondissement' AS map_level, 'median_price_m2' AS selected_metric,
+SELECT arrondissement, name, 3.41::DOUBLE AS perimeter_m, CAST(median_price_m2 AS DOUBLE) AS metric_value,
+       'arrondissement' AS map_level, 'Arrondissements' AS level_label, 'median_price_m2' AS selected_metric, 'Prix median au m²' AS metric_label,
+       'EUR/m²' AS metric_unit, true AS supports_year,
        selected_sales_year AS metric_year, 'Polygon' AS geometry_type
 FROM overview""",
 
@@ -606,8 +610,9 @@ last AS (SELECT quartier_id, max(arrondissement) AS arrondissement,
                 arg_max(transactions, arrondissement) AS transactions FROM sel GROUP BY quartier_id)
 SELECT CAST(n_nationkey AS VARCHAR) AS quartier_id,
        CAST(coalesce(last.arrondissement, n_nationkey + 1) AS INTEGER) AS arrondissement,
-       CAST(last.transactions AS DOUBLE) AS metric_value, 'quartier' AS map_level,
-       'transactions' AS selected_metric, CAST((SELECT max(year) FROM qy) AS INTEGER) AS metric_year
+       CAST(last.transactions AS DOUBLE) AS metric_value,
+       'quartier' AS map_level, 'Quartiers' AS level_label, 'transactions' AS selected_metric, 'Transactions retenues' AS metric_label,
+       'count' AS metric_unit, true AS supports_year, CAST((SELECT max(year) FROM qy) AS INTEGER) AS metric_year
 FROM nation LEFT JOIN last ON last.quartier_id = CAST(n_nationkey AS VARCHAR)""",
 
     "q26_map_street": f"""WITH {MICRO_CTE}, {OCTAGON_CTE}, {segments_cte('part', 'p_partkey')}, {clip_cte('p_partkey')},
@@ -624,16 +629,18 @@ pieces AS (
   FROM clip c JOIN part p USING (p_partkey)
 )
 SELECT pieces.street_ref_id, pieces.street_key, pieces.name, last.arrondissement,
-       CAST(last.median_price_m2 AS DOUBLE) AS metric_value, 'street' AS map_level,
-       'median_price_m2' AS selected_metric, CAST((SELECT max(year) FROM sy) AS INTEGER) AS metric_year
+       CAST(last.median_price_m2 AS DOUBLE) AS metric_value,
+       'street' AS map_level, 'Rues' AS level_label, 'median_price_m2' AS selected_metric, 'Prix median au m²' AS metric_label,
+       'EUR/m²' AS metric_unit, true AS supports_year, CAST((SELECT max(year) FROM sy) AS INTEGER) AS metric_year
 FROM pieces JOIN last USING (street_key)""",
 
     "q27_map_building": f"""WITH {MICRO_CTE},
 b AS (SELECT {BUILDING_KEYS}, median(longitude) AS longitude, median(latitude) AS latitude,
              {r('median(built_surface_m2)')} AS median_surface_m2 FROM micro GROUP BY {BUILDING_KEYS})
 SELECT building_id, coalesce(nullif(building_label, ''), building_id) AS name, longitude, latitude,
-       CAST(median_surface_m2 AS DOUBLE) AS metric_value, 'building' AS map_level,
-       'median_surface_m2' AS selected_metric, CAST((SELECT max(year) FROM b) AS INTEGER) AS metric_year
+       CAST(median_surface_m2 AS DOUBLE) AS metric_value,
+       'building' AS map_level, 'Batiments' AS level_label, 'median_surface_m2' AS selected_metric, 'Surface mediane' AS metric_label,
+       'm²' AS metric_unit, true AS supports_year, CAST((SELECT max(year) FROM b) AS INTEGER) AS metric_year
 FROM b WHERE year = (SELECT max(year) FROM b) AND longitude IS NOT NULL AND latitude IS NOT NULL""",
 
     "q28_legend_stops": f"""WITH {overview_sql(LATEST)},
@@ -651,7 +658,9 @@ SELECT lv.level, lv.level_label, cat.metric, cat.label, cat.unit, cat.supports_y
        (SELECT max(year) FROM sales) AS latest_sales_year,
        (SELECT max(year) FROM social) AS latest_social_year,
        (SELECT max(year) FROM rent) AS latest_rent_year,
-       (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM sales) AS available_sales_years
+       (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM sales) AS available_sales_years,
+       (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM social) AS available_social_years,
+       (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) FROM rent) AS available_rent_years
 FROM lv JOIN cat ON NOT lv.micro OR cat.metric IN {MICRO}""",
 })
 
@@ -665,7 +674,7 @@ g AS (
 loc AS ({locate_sql('g', 'g_longitude', 'g_latitude')}),
 edges_all AS (SELECT * FROM edges),
 gq AS (SELECT g.*, loc.k AS quartier_id FROM g LEFT JOIN loc ON g.g_longitude = loc.px AND g.g_latitude = loc.py),
-iris_edges AS (SELECT e.* FROM edges e JOIN nation n ON n.n_nationkey = e.k WHERE n.n_regionkey <> 0),
+iris_edges AS (SELECT e.* FROM edges e JOIN nation n ON n.n_nationkey = e.k ),
 iloc AS (
   SELECT px, py, min(k) FILTER (WHERE hit) AS k FROM (
     SELECT p.g_longitude AS px, p.g_latitude AS py, e.k,
@@ -844,7 +853,7 @@ FROM nation""",
        '75' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 3, '0') || '000AB'
          || lpad(CAST(o_orderkey % 9999 AS VARCHAR), 4, '0') AS parcel_id
 FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE c_nationkey + 70 = 75 AND year(o_orderdate) BETWEEN 2000 AND 2099
+WHERE c_nationkey % 5 = 2 AND c_nationkey < 20 AND year(o_orderdate) BETWEEN 2000 AND 2099
   AND o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
   AND o_custkey % 200 > 10 AND o_totalprice > 10000
   AND o_totalprice / (o_custkey % 200) BETWEEN 1000 AND 50000""",

@@ -1,5 +1,6 @@
 """Registered queries over the driver's test tables: each maps a SURVEY §7.4 analogue onto the
-library's operators. Every callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame."""
+library's operators. Every callable takes ``(spark, sf_dir)`` and returns a DataFrame; operators that
+look at group sizes or store intermediate tables run those jobs while the plan is built."""
 
 from __future__ import annotations
 
@@ -214,9 +215,10 @@ def sales_yearly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def district_summary(spark: SparkSession, sf_dir: str, sales_yearly: DataFrame | None = None) -> DataFrame:
     sales_yearly = sales_yearly if sales_yearly is not None else sales_yearly_table(spark, sf_dir)
+    # district grain: the yearly tables are read several times, as the build rereads its Gold tables
     return summary.district_summary(
         districts(spark, sf_dir), sales_yearly, income(spark, sf_dir),
-        rents(spark, sf_dir), social(spark, sf_dir), environment(spark, sf_dir))
+        materialize(rents(spark, sf_dir)), materialize(social(spark, sf_dir)), environment(spark, sf_dir))
 
 
 def overview_rows(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
@@ -256,7 +258,7 @@ TIMELINE_DISTRICT = 7
 def q22_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One district's sales, social and rent series in long form."""
     return summary.timeline(q01_sales_district_year(spark, sf_dir), social(spark, sf_dir),
-                            rents(spark, sf_dir), TIMELINE_DISTRICT)
+                            rents(spark, sf_dir), TIMELINE_DISTRICT, districts(spark, sf_dir))
 
 
 COMPARE_PAIR = (3, 11)
@@ -269,31 +271,32 @@ def q23_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q29_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage counters of the geocoded sales after attaching quarters and census blocks
-    (two point-in-polygon joins on the geocoded coordinates)."""
+    (two point-in-polygon joins on the geocoded coordinates; the octagons stand in for both layers)."""
     feats = td.octagon_features(spark, sf_dir)
     geo = materialize(geocoded_sales(spark, sf_dir))  # read by both spatial joins and the counters
     geo = spatial.attach_points(geo, feats, x="longitude", y="latitude", feature_id="feature_id",
                                 order="feature_id", mapping={"feature_id": "quartier_id", "name": "quartier_name"},
                                 cell=OCTAGON_CELL)
-    geo = spatial.attach_points(geo, feats.where(F.col("region") != 0), x="longitude", y="latitude",
+    geo = spatial.attach_points(geo, feats, x="longitude", y="latitude",
                                 feature_id="feature_id", order="feature_id",
                                 mapping={"feature_id": "iris_code", "region": "iris_type"}, cell=OCTAGON_CELL)
     return metrics.coverage(materialize(geo))
 
 
+MAP_HEADER = ["map_level", "level_label", "selected_metric", "metric_label", "metric_unit", "supports_year", "metric_year"]
+
+
 def district_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Octagon features with their typed district attributes (id, INSEE code)."""
-    feats = td.octagon_features(spark, sf_dir)
-    return feats.select("geometry", *[F.col(c) for c in ["arrondissement"]],
-                        F.col("properties")["c_arinsee"].cast("int").alias("insee_code"))
+    """Octagon features as the served district layer."""
+    return summary.district_layer(td.octagon_features(spark, sf_dir))
 
 
 def q24_map_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District map layer for the latest sales year, metric = median price per m2."""
     layer = serving.map_layer("arrondissement", "median_price_m2",
                               features=district_features(spark, sf_dir), overview=overview_rows(spark, sf_dir))
-    return layer.select("arrondissement", "name", "metric_value", "map_level", "selected_metric",
-                        "metric_year", F.col("geometry.type").alias("geometry_type"))
+    return layer.select("arrondissement", "name", "perimeter_m", "metric_value", *MAP_HEADER,
+                        F.col("geometry.type").alias("geometry_type"))
 
 
 def q25_map_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,8 +305,7 @@ def q25_map_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("feature_id").cast("string").alias("quartier_id"), "arrondissement", "geometry")
     layer = serving.map_layer("quartier", "transactions", features=feats,
                               yearly=q02_sales_quarter_year(spark, sf_dir))
-    return layer.select("quartier_id", "arrondissement", "metric_value", "map_level",
-                        "selected_metric", "metric_year")
+    return layer.select("quartier_id", "arrondissement", "metric_value", *MAP_HEADER)
 
 
 def street_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,15 +318,13 @@ def q26_map_street(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest year, metric = median price per m2."""
     layer = serving.map_layer("street", "median_price_m2", features=street_features(spark, sf_dir),
                               yearly=q03_sales_street_year(spark, sf_dir))
-    return layer.select("street_ref_id", "street_key", "name", "arrondissement", "metric_value",
-                        "map_level", "selected_metric", "metric_year")
+    return layer.select("street_ref_id", "street_key", "name", "arrondissement", "metric_value", *MAP_HEADER)
 
 
 def q27_map_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Building map layer as points (rows with coordinates), metric = median surface."""
     layer = serving.map_layer("building", "median_surface_m2", yearly=q04_sales_building_year(spark, sf_dir))
-    return layer.select("building_id", "name", "longitude", "latitude", "metric_value", "map_level",
-                        "selected_metric", "metric_year")
+    return layer.select("building_id", "name", "longitude", "latitude", "metric_value", *MAP_HEADER)
 
 
 def q28_legend_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,9 +333,10 @@ def q28_legend_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q37_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric catalogue per map level with latest and available years."""
-    return serving.metadata(spark, q01_sales_district_year(spark, sf_dir), social(spark, sf_dir),
-                            rents(spark, sf_dir))
+    """Metric catalogue per map level with latest and available years of the three themes (all but the
+    time of the run). The sales years are those of the district x year groups."""
+    years = cleaned_sales(spark, sf_dir).where(F.col("arrondissement").isNotNull()).select("year").distinct()
+    return serving.metadata(spark, years, social(spark, sf_dir), rents(spark, sf_dir)).drop("generated_at")
 
 
 def q30_text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,44 +89,43 @@ def address_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# ---- fixed values: link type stand-ins by order priority ------------------------------------
-LINK_TYPE_BY_PRIORITY = {"1-URGENT": "GEO", "2-HIGH": "BAN", "4-NOT SPECIFIED": "OTHER", "5-LOW": "BAN"}
+# ---- fixed values: link types of the event types ---------------------------------------------
+LINK_TYPE_BY_EVENT = {"purchase": "GEO", "view": "BAN", "click": "OTHER", "signup": "BAN"}
 # ---------------------------------------------------------------------------------------------
 
 
 def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders of status F or O as the stored parcel -> address link table: parcel = customer,
-    address = part id derived from the order key, link type from the order priority
-    (3-MEDIUM has none), address count from the total price (missing for priority 4); orders
-    of status O with priority 5 carry an empty address (the negative cache). ``seq`` is the
-    row order of the stored table (order key)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O"))
-    ltype = F.try_element_at(F.create_map(*[F.lit(x) for kv in LINK_TYPE_BY_PRIORITY.items() for x in kv]),
-                             F.col("o_orderpriority"))
-    empty = (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "5-LOW")
-    return o.select(
-        F.col("o_custkey").cast("string").alias("idu"),
+    """events as the stored parcel -> address link table: parcel = user, address = the part at the
+    event's place among all parts, link type from the event type (``error`` has none), address
+    count from the value (missing for ``click``); ``signup`` events of odd id carry an empty address (the
+    negative cache). ``seq`` is the row order of the stored table (event id)."""
+    e = table(spark, sf_dir, "events")
+    n_parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
+    ltype = F.try_element_at(F.create_map(*[F.lit(x) for kv in LINK_TYPE_BY_EVENT.items() for x in kv]),
+                             F.col("event_type"))
+    empty = (F.col("event_type") == "signup") & (F.col("event_id") % 2 == 1)
+    return e.select(
+        F.col("user_id").cast("string").alias("idu"),
         F.when(empty, F.lit("")).otherwise(
-            F.concat(F.lit("P"), (F.col("o_orderkey") % 2500).cast("string"))).alias("id_adr"),
+            F.concat(F.lit("P"), (F.col("event_id") % n_parts).cast("string"))).alias("id_adr"),
         ltype.alias("type_lien"),
-        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED",
-               F.floor(F.col("o_totalprice") / 100000).cast("string")).alias("nb_adr"),
+        F.when(F.col("event_type") != "click", F.floor(F.col("value")).cast("string")).alias("nb_adr"),
         F.lit("1").alias("nb_parc"),
-        F.col("o_orderkey").alias("seq"),
+        F.col("event_id").alias("seq"),
     )
 
 
 def delivered_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a delivered link batch: parcel = user, address = event type, no link type,
-    address count = value, ``seq`` = event id (delivery order)."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
-        F.col("user_id").cast("string").alias("idu"),
-        F.col("event_type").alias("id_adr"),
+    """orders as a delivered link batch: parcel = customer, address = order priority, no link type,
+    address count from the total price, ``seq`` = order key (delivery order)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_custkey").cast("string").alias("idu"),
+        F.col("o_orderpriority").alias("id_adr"),
         F.lit(None).cast("string").alias("type_lien"),
-        F.floor(F.col("value") * 100).cast("string").alias("nb_adr"),
-        F.col("event_id").cast("string").alias("nb_parc"),
-        F.col("event_id").alias("seq"),
+        F.floor(F.col("o_totalprice") / 1000).cast("string").alias("nb_adr"),
+        F.col("o_orderkey").cast("string").alias("nb_parc"),
+        F.col("o_orderkey").alias("seq"),
     )
 
 
@@ -364,7 +363,7 @@ def national_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("RUE").alias("Type de voie"),
         F.col("c_name").alias("Voie"),
         F.concat(F.lit("75"), F.lpad(n1, 3, "0")).alias("Code postal"),
-        (F.col("c_nationkey") + 70).cast("string").alias("Code departement"),
+        (F.col("c_nationkey") % 5 + 73).cast("string").alias("Code departement"),
         F.lpad(n1, 3, "0").alias("Code commune"),
         F.lit("").alias("Prefixe de section"),
         F.lit("AB").alias("Section"),

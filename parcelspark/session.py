@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,6 +27,8 @@ BASE_CONF = {
     "spark.ui.retainedTasks": "10000",
 }
 
+_LOCAL_SCRATCH: dict[str, str] = {}      # application id -> scratch folder of a local session
+
 
 def build_session(master: str | None = None, app_name: str = "parcelspark",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
@@ -46,22 +47,20 @@ def build_session(master: str | None = None, app_name: str = "parcelspark",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and intermediate tables.
+    """Shared folder for lineage cuts and intermediate tables: ``spark.checkpoint.dir``.
 
-    On a cluster this is the shared location named by ``spark.checkpoint.dir``. Only when the
-    session leaves it unset (local tests) do we create a private scratch folder.
+    A session that leaves it unset gets one private scratch folder for its whole life, but only
+    on a local master, where one machine runs everything. Off local mode an unset folder is an
+    error: executors on other machines could not read a folder of this one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="parcelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if not configured:
-        try:
-            spark.conf.set("spark.checkpoint.dir", target)
-        except Exception:  # a session that does not allow setting it at runtime
-            pass
-    try:
-        context = spark.sparkContext
-    except Exception:  # Spark Connect: the server reads spark.checkpoint.dir itself
-        return target
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if target is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="parcelspark-ckpt-")
+        target = _LOCAL_SCRATCH[context.applicationId]
     context.setCheckpointDir(target)
     return target
 

@@ -2,8 +2,7 @@
 
 Tables go to Parquet (optionally also CSV with header), partitioned by ``year`` where the table
 has one, so served reads of one year prune the other partitions. GeoJSON layers are written one
-feature per line (splittable, no single-task document); a FeatureCollection wrapper is only
-built for layers whose row count is checked to be small.
+feature per line (splittable, no single-task document).
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURE_COLLECTION_MAX_FEATURES = 100_000
+from ..sources.readers import commit_list
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: str | None = None,
@@ -48,17 +47,6 @@ def write_geojson_lines(df: DataFrame, path: str, geometry: str = "geometry",
     return path
 
 
-def feature_collection(df: DataFrame, geometry: str = "geometry",
-                       properties: list[str] | str | None = None) -> DataFrame:
-    """One-row FeatureCollection text for a small layer; refuses layers above the bound."""
-    n = df.count()
-    if n > FEATURE_COLLECTION_MAX_FEATURES:
-        raise ValueError(f"{n} features: write GeoJSON lines instead of one document")
-    lines = feature_lines(df, geometry, properties)
-    return lines.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
-                              F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-
-
 def write_json_document(df: DataFrame, path: str) -> str:
     """A one-row (document) DataFrame of nested structs / arrays as a JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)
@@ -87,7 +75,9 @@ def dashboard_document(summary: DataFrame, city: DataFrame, sales_yearly: DataFr
 
 def write_links_versioned(df: DataFrame, base_path: str) -> str:
     """Write the merged link table as a new ``version=<n>`` folder next to the one being read
-    (never over it); readers pick the newest committed version."""
-    path = f"{base_path.rstrip('/')}/version={int(time.time() * 1000)}"
+    (never over it), then add its number to the commit list; readers see listed versions only."""
+    version = int(time.time() * 1000)
+    path = f"{base_path.rstrip('/')}/version={version}"
     df.write.mode("error").parquet(path)
+    df.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(commit_list(base_path))
     return path

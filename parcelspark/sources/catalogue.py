@@ -30,5 +30,6 @@ def load_sources(spark: SparkSession, yaml_path: str, root: str = "") -> DataFra
 
 
 def list_sources(catalogue: DataFrame) -> DataFrame:
-    """The source listing served to users (name, label, group, kind, summary, paths)."""
-    return catalogue.select("name", "label", "group", "kind", "summary", "target_path", "filtered_path")
+    """The source listing served to users (name, label, group, kind, location, file, summary, paths)."""
+    return catalogue.select("name", "label", "group", "kind", "url", "target_file", "summary", "target_path",
+                            "filtered_path")

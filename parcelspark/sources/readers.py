@@ -8,9 +8,11 @@ reader is lazy; file listing, splitting and column pruning are Spark's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import reduce
+
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators.sales import RAW_SALES_COLUMNS
@@ -20,6 +22,15 @@ FEATURE_SCHEMA = ("type string, geometry struct<type string, coordinates string>
 COLLECTION_SCHEMA = ("features array<struct<type: string, geometry: struct<type: string, coordinates: string>, "
                      "properties: map<string, string>>>")
 YEAR_IN_NAME = r"(20\d{2})"
+SPARK_PART = r"^part-"
+HEADER_FILES_PER_JOB = 200     # header lines are fetched for so many files at once
+
+# ---- fixed values: input column names ---------------------------------------------------------
+ADDRESS_COLUMNS = ["cle_interop", "commune_insee", "voie_nom", "numero", "suffixe", "long", "lat",
+                   "certification_commune"]
+RENT_COLUMNS = ["Année", "Loyers de référence", "Loyers de référence majorés",
+                "Loyers de référence minorés", "Numéro INSEE du quartier"]
+# -----------------------------------------------------------------------------------------------
 
 
 def _csv(spark: SparkSession, path, sep: str, **options) -> DataFrame:
@@ -29,12 +40,51 @@ def _csv(spark: SparkSession, path, sep: str, **options) -> DataFrame:
     return reader.csv(path)
 
 
+def _folder() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+
+
+def source_year() -> Column:
+    """The ``20xx`` year of the file a row comes from (text): from the file's own name, or from its
+    folder where Spark wrote the file. Spark's names (``part-<number>-<id>``) hold chance digits, so
+    they are never searched. NULL without a year."""
+    own = F.when(~F.col("_metadata.file_name").rlike(SPARK_PART),
+                 F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1))
+    return F.coalesce(F.nullif(own, F.lit("")), F.nullif(F.regexp_extract(_folder(), YEAR_IN_NAME, 1), F.lit("")))
+
+
+def source_name() -> Column:
+    """Name of the file a row comes from, without its ending; the folder's value where Spark wrote it."""
+    return F.when(F.col("_metadata.file_name").rlike(SPARK_PART), F.regexp_replace(_folder(), r"^.*=", "")) \
+        .otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+
+
+def list_files(spark: SparkSession, paths) -> list[str]:
+    """Paths of the data files under ``paths`` (a listing; no content is read)."""
+    return sorted(r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect())
+
+
+def files_by_header(spark: SparkSession, paths) -> dict[str, list[str]]:
+    """Data files grouped by their first line. Each file is one task that stops after that line;
+    empty files are left out."""
+    files, groups = list_files(spark, paths), {}
+    for at in range(0, len(files), HEADER_FILES_PER_JOB):
+        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value")
+                  for f in files[at:at + HEADER_FILES_PER_JOB]]
+        for row in reduce(DataFrame.unionByName, firsts).collect():
+            groups.setdefault(row["value"], []).append(row["file"])
+    return groups
+
+
 def filter_national_sales(spark: SparkSession, path: str, department_code: str, out_path: str,
                           sep: str = "|", partition_by: str | None = None) -> str:
     """National sales text -> rows of one department (text compare, so ``075`` != ``75``),
-    written as comma-separated CSV with header under ``out_path`` (one folder per value of
-    ``partition_by`` when given, e.g. the yearly file name)."""
+    written as comma-separated CSV with header under ``out_path``. ``partition_by`` writes one folder
+    per value of that column; a column the text does not have is filled with the source file's name,
+    so the yearly names survive as folder names."""
     rows = _csv(spark, path, sep).where(F.col("Code departement") == department_code)
+    if partition_by and partition_by not in rows.columns:
+        rows = rows.withColumn(partition_by, source_name())
     writer = rows.write.mode("overwrite").option("header", True)
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -43,23 +93,25 @@ def filter_national_sales(spark: SparkSession, path: str, department_code: str,
 
 
 def read_sales(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
-    """Yearly sales files: the 18 used columns, all text, plus ``year`` taken from the file name
-    (``20xx``) or, for Spark-written folders, from the folder name; files without a year are
-    skipped. A missing path raises Spark's own error."""
-    df = _csv(spark, paths, sep)
-    name_year = F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    year = F.coalesce(F.nullif(name_year, F.lit("")), F.nullif(F.regexp_extract(folder, YEAR_IN_NAME, 1), F.lit("")))
-    return (df.select(*[F.col(f"`{c}`") for c in RAW_SALES_COLUMNS], year.alias("_year"))
-              .where(F.col("_year").isNotNull())
-              .withColumn("year", F.col("_year").cast("int")).drop("_year"))
+    """Yearly sales files: the 18 used columns by name, all text, plus ``year`` (``source_year``);
+    files without a year are skipped. Files may order their columns differently: those with one
+    header are read together, and the groups are joined by column name. A missing path raises
+    Spark's own error, a missing column too."""
+    def read(files: list[str]) -> DataFrame:
+        return (_csv(spark, files, sep).select(*[F.col(f"`{c}`") for c in RAW_SALES_COLUMNS], source_year().alias("_year"))
+                .where(F.col("_year").isNotNull())
+                .withColumn("year", F.col("_year").cast("int")).drop("_year"))
+
+    groups = files_by_header(spark, paths)
+    if not groups:
+        names = ", ".join(f"`{c}` string" for c in RAW_SALES_COLUMNS)
+        return spark.createDataFrame([], f"{names}, year int")
+    return reduce(DataFrame.unionByName, [read(files) for files in groups.values()])
 
 
 def read_addresses(spark: SparkSession, path: str) -> DataFrame:
     """Address reference CSV (``;``, BOM handled by the reader), the 8 used columns."""
-    cols = ["cle_interop", "commune_insee", "voie_nom", "numero", "suffixe", "long", "lat",
-            "certification_commune"]
-    return _csv(spark, path, ";").select(*cols)
+    return _csv(spark, path, ";").select(*ADDRESS_COLUMNS)
 
 
 def read_iris(spark: SparkSession, path: str, department: str = "75") -> DataFrame:
@@ -77,16 +129,18 @@ def read_iris(spark: SparkSession, path: str, department: str = "75") -> DataFra
 
 
 def read_income(spark: SparkSession, folder: str) -> DataFrame:
-    """Income table: the ``.csv`` file(s) of an extracted archive whose name does not start
-    with ``meta_``; ``;`` separated, all text."""
-    df = _csv(spark, folder, ";", pathGlobFilter="*.csv")
-    return df.where(~F.col("_metadata.file_name").startswith("meta_"))
+    """Income table: the ``.csv`` file(s) of an extracted archive (any letter case) whose name does
+    not start with ``meta_``; ``;`` separated, all text. The other files are never opened, so the
+    header is the table's."""
+    files = [f for f in list_files(spark, folder)
+             if f.lower().endswith(".csv") and not f.rsplit("/", 1)[-1].startswith("meta_")]
+    if not files:
+        raise FileNotFoundError(f"no income table in {folder}")
+    return _csv(spark, files, ";")
 
 
 def read_rents(spark: SparkSession, path: str) -> DataFrame:
-    cols = ["Année", "Loyers de référence", "Loyers de référence majorés",
-            "Loyers de référence minorés", "Numéro INSEE du quartier"]
-    return _csv(spark, path, ";").select(*[F.col(f"`{c}`") for c in cols])
+    return _csv(spark, path, ";").select(*[F.col(f"`{c}`") for c in RENT_COLUMNS])
 
 
 def read_social(spark: SparkSession, path: str) -> DataFrame:
@@ -127,15 +181,22 @@ LINK_SCHEMA = "idu string, id_adr string, type_lien string, nb_adr string, nb_pa
 
 
 def read_links(spark: SparkSession, base_path: str) -> DataFrame:
-    """Newest version of the stored parcel -> address link table (``version=<n>`` folders are
-    discovered as a partition column; only committed files are visible); an empty typed table
-    when nothing was stored yet."""
+    """Newest complete version of the stored parcel -> address link table: the highest one in the
+    commit list, which ``sinks.writers.write_links_versioned`` extends after a version's files are all
+    written. An empty typed table when nothing was stored yet; any other error is raised."""
     try:
-        stored = spark.read.parquet(base_path)
-    except AnalysisException:
+        commits = spark.read.parquet(commit_list(base_path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LINK_SCHEMA)
-    newest = stored.agg(F.max("version")).scalar()
-    return stored.where(F.col("version") == newest).drop("version")
+    newest = commits.agg(F.max("version")).first()[0]
+    return spark.read.schema(LINK_SCHEMA).parquet(f"{base_path.rstrip('/')}/version={newest}")
+
+
+def commit_list(base_path: str) -> str:
+    """Folder of the complete versions' numbers, next to the link table."""
+    return f"{base_path.rstrip('/')}-commits"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sales import RAW_SALES_COLUMNS, clean_raw_sales
-from ..sources.readers import YEAR_IN_NAME
+from ..sources.readers import source_year
 
 RAW_SCHEMA = ", ".join(f"`{c}` string" for c in RAW_SALES_COLUMNS)
 
@@ -23,10 +23,10 @@ RAW_SCHEMA = ", ".join(f"`{c}` string" for c in RAW_SALES_COLUMNS)
 def start_sales_ingest(spark: SparkSession, bronze_dir: str, silver_path: str, checkpoint: str,
                        sep: str = ",", trigger_once: bool = False) -> StreamingQuery:
     raw = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("sep", sep)
+                .option("enforceSchema", False)   # a file with other columns fails loudly
                 .option("pathGlobFilter", "*.csv").csv(bronze_dir))
-    # the year comes from the file name (20xx); files without one are skipped
-    year = F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1)
-    typed = raw.withColumn("year", F.when(year != "", year.cast("int"))).where(F.col("year").isNotNull())
+    # the year comes from the file's own name or its folder; files without one are skipped
+    typed = raw.withColumn("year", source_year().cast("int")).where(F.col("year").isNotNull())
     writer = (clean_raw_sales(typed).writeStream.format("parquet").option("path", silver_path)
               .option("checkpointLocation", checkpoint).partitionBy("year").outputMode("append"))
     writer = writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime="1 minute")

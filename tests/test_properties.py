@@ -155,6 +155,80 @@ def test_missing_link_table_reads_empty(spark, tmp_path):
                                  spark.createDataFrame([("p2", "b", None, "2", "1", 1)], empty.schema))
     write_links_versioned(second, str(tmp_path / "links"))
     assert sorted(r["idu"] for r in read_links(spark, str(tmp_path / "links")).collect()) == ["p1", "p2"]
+    time.sleep(0.01)
+    # a second batch merges into the merged table: its row replaces the stored one, the order goes on
+    third = geocode.merge_links(read_links(spark, str(tmp_path / "links")), spark.createDataFrame(
+        [("p1", "a", "GEO", "9", "9", 0), (None, None, None, "0", "0", 1), (None, None, None, "5", "5", 2)], empty.schema))
+    write_links_versioned(third, str(tmp_path / "links"))
+    rows = {r["idu"]: r for r in read_links(spark, str(tmp_path / "links")).collect()}
+    assert set(rows) == {"p1", "p2", None} and rows["p1"]["nb_adr"] == "9" and rows[None]["nb_adr"] == "5"
+    assert rows["p2"]["seq"] < rows["p1"]["seq"] < rows[None]["seq"]
+    # files of a version that was never committed stay unseen
+    first.write.parquet(str(tmp_path / "links" / "version=99999999999999"))
+    assert read_links(spark, str(tmp_path / "links")).count() == 3
+    assert geocode.best_links(read_links(spark, str(tmp_path / "links"))).where("idu IS NULL").count() == 0
+
+
+def _sales_file(path, rows, columns):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join([",".join(columns)] + [",".join(r[c] for c in columns) for r in rows]) + "\n", encoding="utf-8")
+
+
+def test_sales_files_by_name_and_year_of_the_right_string(spark, tmp_path):
+    from parcelspark.operators.sales import RAW_SALES_COLUMNS
+    from parcelspark.sources.readers import read_sales
+    row = lambda tag: {c: f"{tag} {c}" for c in RAW_SALES_COLUMNS}
+    d = tmp_path / "sales"
+    _sales_file(d / "valeursfoncieres=2024" / "part-02012-ab.csv", [row("a")], RAW_SALES_COLUMNS)
+    _sales_file(d / "valeursfoncieres=2023" / "part-00003-ab2031cd-c000.csv", [row("b")], RAW_SALES_COLUMNS[::-1])
+    got = {r["year"]: r for r in read_sales(spark, str(d)).collect()}
+    assert set(got) == {2024, 2023}
+    for year, tag in ((2024, "a"), (2023, "b")):
+        assert all(got[year][c] == f"{tag} {c}" for c in RAW_SALES_COLUMNS)
+    e = tmp_path / "yearly"
+    _sales_file(e / "valeursfoncieres-2022-paris.csv", [row("c")], ["extra", *RAW_SALES_COLUMNS][1:])
+    _sales_file(e / "valeursfoncieres-paris.csv", [row("d")], RAW_SALES_COLUMNS)
+    assert [r["year"] for r in read_sales(spark, str(e)).collect()] == [2022]
+
+
+def test_national_filter_keeps_the_yearly_file_names(spark, tmp_path):
+    from parcelspark.operators.sales import RAW_SALES_COLUMNS
+    from parcelspark.sources.readers import filter_national_sales, read_sales
+    row = {**{c: "x" for c in RAW_SALES_COLUMNS}, "Code departement": "75"}
+    _sales_file(tmp_path / "national" / "valeursfoncieres-2021.txt", [row, {**row, "Code departement": "69"}], RAW_SALES_COLUMNS)
+    out = filter_national_sales(spark, str(tmp_path / "national"), "75", str(tmp_path / "city"), sep=",", partition_by="source")
+    assert [r["year"] for r in read_sales(spark, out).collect()] == [2021]
+
+
+def test_income_reader_never_opens_the_meta_file(spark, tmp_path):
+    from parcelspark.sources.readers import read_income
+    d = tmp_path / "income"
+    d.mkdir()
+    (d / "meta_a.csv").write_text("COD;LIB\n1;2\n", encoding="utf-8")
+    (d / "base.CSV").write_text("IRIS;DEC_MED21\n751010101;30000\n", encoding="utf-8")
+    got = read_income(spark, str(d))
+    assert got.columns == ["IRIS", "DEC_MED21"] and got.count() == 1
+
+
+def test_unknown_districts_are_errors(spark):
+    import pytest as _pytest
+    from parcelspark.operators import summary
+    ov = spark.createDataFrame([(1, "a", 2024, 5.0)], "arrondissement int, name string, selected_sales_year int, v double")
+    for c in summary.COMPARE_METRICS:
+        ov = ov.withColumn(c, F.col("v"))
+    with _pytest.raises(LookupError):
+        summary.compare(ov, 1, 99)
+    yearly = spark.createDataFrame([(1, 2024, 3.0)], "arrondissement int, year int, m double")
+    with _pytest.raises(LookupError):
+        summary.timeline(yearly, yearly, yearly, 99, ov)
+    assert {r["name"] for r in summary.timeline(yearly, yearly, yearly, 1, ov).collect()} == {"a"}
+    line = summary.compare(ov, 1, 1).first()
+    assert (line["left_name"], line["right_name"], line["sales_year"], line["delta"]) == ("a", "a", 2024, 0.0)
+
+
+def test_checkpoint_folder_is_one_per_session(spark):
+    from parcelspark.session import checkpoint_dir
+    assert checkpoint_dir(spark) == checkpoint_dir(spark)
 
 
 def test_cell_exposure_golden(spark):
@@ -193,17 +267,3 @@ def test_point_in_polygon_with_adaptive_cell(spark):
         df, feats, x="x", y="y", feature_id="fid", order="fid", mapping={"fid": "hit"}).collect()}
     for pid, x, y in pts:
         assert got[pid] == next((i for i, p in enumerate(polys) if _inside(x, y, p)), None)
-
-
-def test_feature_collection_is_bounded(spark, monkeypatch):
-    import json as _json
-    from parcelspark.sinks import writers
-    feats = spark.createDataFrame(
-        [(i, {"type": "Point", "coordinates": f"[{i}, 0]"}) for i in range(5)],
-        "fid int, geometry struct<type: string, coordinates: string>")
-    doc = _json.loads(writers.feature_collection(feats).first()["value"])
-    assert len(doc["features"]) == 5 and doc["features"][0]["geometry"]["type"] == "Point"
-    monkeypatch.setattr(writers, "FEATURE_COLLECTION_MAX_FEATURES", 3)
-    import pytest as _pytest
-    with _pytest.raises(ValueError):
-        writers.feature_collection(feats)

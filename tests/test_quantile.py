@@ -56,7 +56,7 @@ def test_global_median(spark):
     assert out == float(pdf["a"].median())
 
 
-def test_kth_smallest_both_paths(spark, monkeypatch):
+def test_kth_smallest(spark):
     import random
     from parcelspark.operators import quantile
     rng = random.Random(3)
@@ -64,18 +64,28 @@ def test_kth_smallest_both_paths(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     k = lambda n: F.floor(n / 2) + 1
     expected = sorted(v for v in vals if v is not None)[len([v for v in vals if v is not None]) // 2]
-    small = quantile.kth_smallest(df, "v", k).first()
-    monkeypatch.setattr(quantile, "HOT_GROUP_ROWS", 10)
-    big = quantile.kth_smallest(df.repartition(7), "v", k).first()
-    assert small["value"] == big["value"] == expected and small["n"] == big["n"] == 501
-
-
-def test_approx_medians_close(spark):
-    from parcelspark.operators.quantile import approx_medians
-    pdf, sdf = _frame(spark, n=3000, seed=5)
-    got = {r["g"]: r["ma"] for r in approx_medians(sdf, ["g"], {"ma": "a"}).collect()}
-    exp = pdf.groupby("g")["a"].median().to_dict()
-    assert all(abs(got[g] - exp[g]) <= 30 for g in exp)   # one rank step on sparse groups
+    got = quantile.kth_smallest(df.repartition(7), "v", k).first()
+    assert got["value"] == expected and got["n"] == 501
+    none = quantile.kth_smallest(df.where("v IS NULL"), "v", k).first()
+    assert none["value"] is None and none["n"] == 0
+
+
+def test_large_groups_of_nulls_stay(spark):
+    rows = [(0, None)] * 30 + [(1, float(i)) for i in range(30)] + [(2, 4.0)]
+    df = spark.createDataFrame(rows, "g int, a double")
+    for bound in (1, 10, 1000):
+        got = {r["g"]: r["ma"] for r in exact_medians(df, ["g"], {"ma": "a"}, hot_rows=bound).collect()}
+        assert got == {0: None, 1: 14.5, 2: 4.0}
+
+
+def test_metric_queries_do_not_depend_on_the_bound(spark, monkeypatch):
+    from parcelspark.operators import quantile
+    from parcelspark.plans.queries import QUERIES
+    for name in ("q01_sales_district_year", "q03_sales_street_year", "q05_income_by_district", "q10_reference_dedupe"):
+        expected = sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(quantile, "HOT_GROUP_ROWS", 1)
+            assert sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == expected
 
 
 def test_scale_conf_sizes_partitions():
