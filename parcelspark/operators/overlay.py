@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import _bounded, covers_expr, polygon_table, suggest_cell
+from .spatial import covers_expr, polygon_table, polygon_tiles, suggest_cell, tile_side, used_levels
 
 LINE_JSON = "array<array<double>>"
 MULTILINE_JSON = "array<array<array<double>>>"
@@ -68,6 +68,26 @@ def _point_at(t: str, a: str, b: str) -> Column:
              .otherwise(F.col(a) + F.col(t) * (F.col(b) - F.col(a))))
 
 
+def segment_tiles(segs: DataFrame, cell: float) -> DataFrame:
+    """Tiles along each segment's path on the grid of ``level``: per tile column only the rows the
+    segment passes there, so a long diagonal meets tiles in proportion to its length. The passed range
+    is widened by a rounding margin."""
+    c = tile_side(F.col("level"), cell)
+    columns = segs.withColumn("gx", F.explode(F.sequence(F.floor(F.least("ax", "bx") / c),
+                                                         F.floor(F.greatest("ax", "bx") / c))))
+    dx = F.col("bx") - F.col("ax")
+
+    def height(x: Column) -> Column:
+        inside = F.least(F.greatest(x, F.least("ax", "bx")), F.greatest("ax", "bx"))
+        return F.col("ay") + (inside - F.col("ax")) / F.when(dx != 0, dx) * (F.col("by") - F.col("ay"))
+
+    y0, y1 = height(F.col("gx") * c), height((F.col("gx") + 1) * c)
+    low = F.when(dx == 0, F.least("ay", "by")).otherwise(F.least(y0, y1))
+    high = F.when(dx == 0, F.greatest("ay", "by")).otherwise(F.greatest(y0, y1))
+    margin = (F.abs("ay") + F.abs("by") + c) * 1e-9
+    return columns.withColumn("gy", F.explode(F.sequence(F.floor((low - margin) / c), F.floor((high + margin) / c))))
+
+
 def clip_lines(lines: DataFrame, polygons: DataFrame, *, line_id: str, feature_id: str,
                cell: float | None = None, geometry: str = "geometry",
                poly_geometry: str = "geometry") -> DataFrame:
@@ -76,24 +96,14 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, *, line_id: str, feature_i
     polys = polygon_table(polygons, feature_id, feature_id, [], poly_geometry)
     c = float(cell) if cell else suggest_cell(polys)
     segs = line_segments(lines, line_id, geometry)
-    seg_tiles = (segs.select("*",
-                             F.explode(F.sequence(F.floor(F.least("ax", "bx") / c),
-                                                  F.floor(F.greatest("ax", "bx") / c))).alias("gx"))
-                     .select("*", F.explode(F.sequence(F.floor(F.least("ay", "by") / c),
-                                                       F.floor(F.greatest("ay", "by") / c))).alias("gy")))
-    poly_tiles = polys.select("_fid", "minx", "miny", "maxx", "maxy",
-                              F.explode(F.sequence(F.floor(F.col("minx") / c), F.floor(F.col("maxx") / c))).alias("gx"),
-                              F.col("miny").alias("_y0"), F.col("maxy").alias("_y1")) \
-        .select("_fid", "minx", "miny", "maxx", "maxy", "gx",
-                F.explode(F.sequence(F.floor(F.col("_y0") / c), F.floor(F.col("_y1") / c))).alias("gy"))
-    poly_tiles, poly_side = _bounded(poly_tiles, polys, c)
+    seg_tiles = segment_tiles(segs.withColumn("level", F.explode(used_levels(polys, c))), c)
     seg_key = ["_lid", "part", "seq"]
-    pairs = (seg_tiles.join(poly_tiles, ["gx", "gy"])
+    pairs = (seg_tiles.join(polygon_tiles(polys, c), ["level", "gx", "gy"])
                       .where((F.greatest("ax", "bx") >= F.col("minx")) & (F.least("ax", "bx") <= F.col("maxx"))
                              & (F.greatest("ay", "by") >= F.col("miny")) & (F.least("ay", "by") <= F.col("maxy")))
                       .select(*seg_key, "ax", "ay", "bx", "by", "_fid")
                       .dropDuplicates([*seg_key, "_fid"]))
-    cut = pairs.join(poly_side.select("_fid", "edges"), "_fid").withColumn("cuts", F.expr(CUTS_SQL))
+    cut = pairs.join(polys.select("_fid", "edges"), "_fid").withColumn("cuts", F.expr(CUTS_SQL))
     intervals = (cut.select(*seg_key, "_fid", "ax", "ay", "bx", "by", "edges",
                             F.explode(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2),
                                                   lambda i: F.struct(F.col("cuts")[i].alias("t0"),

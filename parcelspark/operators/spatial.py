@@ -7,13 +7,14 @@ and parts, so the even-odd rule handles holes and multipolygons.
 Point-in-polygon plan (no cartesian product):
 1. distinct point coordinates (the answer depends only on the coordinates, so duplicates and
    hot coordinates are resolved once; a left join brings the answer back to every row);
-2. each polygon's bounding box is tiled with square cells of side ``cell``; a point meets only the
-   polygons whose tiles share its cell (equi join on ``(gx, gy)``), then the inclusive bbox test;
+2. each polygon's bounding box is tiled with square cells on the grid of its level (side ``cell``,
+   doubled per level), at most nine tiles each; a point looks up its cell on every level that
+   occurs (equi join on ``(level, gx, gy)``), then takes the inclusive bbox test;
 3. exact boundary-inclusive test: point on an edge, or an odd number of ray crossings;
 4. first match wins by feature order (``min`` of a unique numeric order), a partial hash
    aggregate per coordinate; attributes join back by that order.
-The polygon side (tiles and edge arrays) is broadcast only when a row count shows it is under the
-configured bounds; beyond them both joins are shuffle joins that AQE can split on skew.
+No side is forced to be broadcast: adaptive execution chooses from the measured sizes, and shuffle
+joins can be split on skew.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast bounds for the polygon side (rows of tiles and total edges).
-BROADCAST_MAX_TILES = 2_000_000
-BROADCAST_MAX_EDGES = 2_000_000
+from ..session import materialize
 
 POLYGON_JSON = "array<array<array<double>>>"
 MULTIPOLYGON_JSON = "array<array<array<array<double>>>>"
@@ -94,24 +93,30 @@ def suggest_cell(polys: DataFrame) -> float:
     return float(med) / 2.0 if med else 1.0
 
 
-def _tiles(polys: DataFrame, cell: float) -> DataFrame:
-    c = F.lit(float(cell))
-    return polys.select(
-        "_fid", "minx", "miny", "maxx", "maxy",
-        F.explode(F.sequence(F.floor(F.col("minx") / c), F.floor(F.col("maxx") / c))).alias("gx"),
-        F.col("miny").alias("_miny"), F.col("maxy").alias("_maxy"),
-    ).select("_fid", "minx", "miny", "maxx", "maxy", "gx",
-             F.explode(F.sequence(F.floor(F.col("_miny") / c), F.floor(F.col("_maxy") / c))).alias("gy"))
+def level_of(side: Column, cell: float) -> Column:
+    """Grid level of a shape: tiles double per level, and a shape of level n spans at most three tiles
+    of its level in either direction."""
+    return F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(cell)) / (2.0 * cell))), F.lit(0)).cast("int")
 
 
-def _bounded(tiles: DataFrame, polys: DataFrame, cell: float):
-    """Broadcast the polygon side only when a row count shows it is under the bounds."""
-    stats = polys.agg(
-        F.coalesce(F.sum((F.floor(F.col("maxx") / cell) - F.floor(F.col("minx") / cell) + 1)
-                         * (F.floor(F.col("maxy") / cell) - F.floor(F.col("miny") / cell) + 1)), F.lit(0)).alias("t"),
-        F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("e")).first()
-    small = stats["t"] <= BROADCAST_MAX_TILES and stats["e"] <= BROADCAST_MAX_EDGES
-    return (F.broadcast(tiles), F.broadcast(polys)) if small else (tiles, polys)
+def tile_side(level: Column, cell: float) -> Column:
+    return F.lit(float(cell)) * F.pow(F.lit(2.0), level)
+
+
+def polygon_tiles(polys: DataFrame, cell: float) -> DataFrame:
+    """(_fid, bbox, level, gx, gy): the tiles of each polygon's bounding box on the grid of its level.
+    At most nine tiles per polygon, however unequal the polygons' sizes are."""
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    leveled = polys.select("_fid", "minx", "miny", "maxx", "maxy", level_of(side, cell).alias("level"))
+    c = tile_side(F.col("level"), cell)
+    return (leveled.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / c), F.floor(F.col("maxx") / c))))
+            .withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / c), F.floor(F.col("maxy") / c)))))
+
+
+def used_levels(polys: DataFrame, cell: float) -> Column:
+    """The levels that occur (an array; a few entries), as a scalar subquery."""
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    return polys.agg(F.collect_set(level_of(side, cell)).alias("levels")).scalar()
 
 
 def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs: list[str],
@@ -126,20 +131,20 @@ def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs:
                     .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()
                            & ~F.isnan("_x") & ~F.isnan("_y"))
                     .distinct()
-                    .withColumn("gx", F.floor(F.col("_x") / c))
-                    .withColumn("gy", F.floor(F.col("_y") / c)))
-    tiles, poly_side = _bounded(_tiles(polys, c), polys, c)
-    cand = (coords.join(tiles, ["gx", "gy"])
+                    .withColumn("level", F.explode(used_levels(polys, c)))
+                    .withColumn("gx", F.floor(F.col("_x") / tile_side(F.col("level"), c)))
+                    .withColumn("gy", F.floor(F.col("_y") / tile_side(F.col("level"), c))))
+    cand = (coords.join(polygon_tiles(polys, c), ["level", "gx", "gy"])
                   .where(F.col("_x").between(F.col("minx"), F.col("maxx"))
                          & F.col("_y").between(F.col("miny"), F.col("maxy")))
                   .select("_x", "_y", "_fid"))
-    hits = (cand.join(poly_side.select("_fid", "_ord", "edges"), "_fid")
+    hits = (cand.join(polys.select("_fid", "_ord", "edges"), "_fid")
                 .where(covers_expr("_x", "_y")))
     # first match = smallest feature order (unique per feature, numeric): min() keeps the
     # aggregation buffer fixed width, so this stays a hash aggregate with partial aggregation
     # (a struct or string buffer would force a sort of all candidate pairs); attributes join back
     best = hits.groupBy("_x", "_y").agg(F.min("_ord").alias("_ord"))
-    attrs_side = poly_side.select("_ord", *attrs)
+    attrs_side = polys.select("_ord", *attrs)
     return best.join(attrs_side, "_ord").select("_x", "_y", *attrs)
 
 
@@ -153,8 +158,12 @@ def attach_points(points: DataFrame, features: DataFrame, *, x: str, y: str, fea
                          *[F.col(src).alias(dst) for src, dst in mapping.items()])
     found = locate_points(points, polys, x=x, y=y, attrs=list(mapping.values()), cell=cell)
     base = points.drop(*[d for d in mapping.values() if d in points.columns])
-    joined = base.join(found, (base[x] == found["_x"]) & (base[y] == found["_y"]), "left")
-    return joined.drop("_x", "_y")
+    # rows without coordinates take no part in the join, where they would share one NULL key
+    placed = base.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    joined = placed.join(found, (placed[x] == found["_x"]) & (placed[y] == found["_y"]), "left").drop("_x", "_y")
+    nowhere = base.where(F.col(x).isNull() | F.col(y).isNull())
+    kinds = dict(found.dtypes)
+    return joined.unionByName(nowhere.select("*", *[F.lit(None).cast(kinds[d]).alias(d) for d in mapping.values()]))
 
 
 def cell_exposure(cells: DataFrame, districts: DataFrame, *, feature_id: str, cell: float | None = None,
@@ -175,12 +184,12 @@ def cell_exposure(cells: DataFrame, districts: DataFrame, *, feature_id: str, ce
                      .where(F.col("_area") > 0))
     # pre-aggregate per cell centre before the spatial join: only distinct centres are located
     # and joined back, and the per-district sums add up the per-centre partial sums
-    per_centre = prepared.groupBy("_cx", "_cy").agg(
+    per_centre = materialize(prepared.groupBy("_cx", "_cy").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("_area").alias("_total"),
         F.sum((F.col("_cat") % 10) * F.col("_area")).alias("_noise"),
         F.sum(F.expr("_cat div 10") * F.col("_area")).alias("_air"),
-        F.sum(F.when(F.col("_cat") % 10 == 3, F.col("_area")).otherwise(0.0)).alias("_high"))
+        F.sum(F.when(F.col("_cat") % 10 == 3, F.col("_area")).otherwise(0.0)).alias("_high")))
     located = attach_points(per_centre, districts, x="_cx", y="_cy", feature_id=feature_id,
                             order=feature_id, mapping={feature_id: "_district"}, cell=cell,
                             project=project)

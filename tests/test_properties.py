@@ -267,3 +267,24 @@ def test_point_in_polygon_with_adaptive_cell(spark):
         df, feats, x="x", y="y", feature_id="fid", order="fid", mapping={"fid": "hit"}).collect()}
     for pid, x, y in pts:
         assert got[pid] == next((i for i, p in enumerate(polys) if _inside(x, y, p)), None)
+
+
+def test_one_huge_polygon_among_small_ones(spark):
+    # adaptive grid: the big square would span millions of the small squares' tiles
+    square = lambda x, y, a: str([[[x, y], [x + a, y], [x + a, y + a], [x, y + a], [x, y]]])
+    shapes = [(i, i * 0.01, 0.0, 0.01) for i in range(20)] + [(99, -500.0, -500.0, 1000.0)]
+    feats = spark.createDataFrame([(i, {"type": "Polygon", "coordinates": square(x, y, a)}) for i, x, y, a in shapes],
+                                  "fid int, geometry struct<type: string, coordinates: string>")
+    polys = spatial.polygon_table(feats, "fid", "fid", [])
+    assert spatial.polygon_tiles(polys, spatial.suggest_cell(polys)).groupBy("_fid").count().agg(F.max("count")).first()[0] <= 9
+    pts = [(0, 0.005, 0.005), (1, 0.155, 0.002), (2, 400.0, -450.0), (3, 600.0, 0.0), (4, None, 1.0)]
+    got = {r["pid"]: r["hit"] for r in spatial.attach_points(
+        spark.createDataFrame(pts, "pid int, x double, y double"), feats, x="x", y="y", feature_id="fid", order="fid",
+        mapping={"fid": "hit"}).collect()}
+    assert got == {0: 0, 1: 15, 2: 99, 3: None, 4: None}
+    from parcelspark.operators.overlay import clip_lines
+    lines = spark.createDataFrame([(7, {"type": "LineString", "coordinates": "[[-499, -499], [0.005, 0.005], [600, 0.005]]"})],
+                                  "lid int, geometry struct<type: string, coordinates: string>")
+    clipped = {r["fid"]: r["length"] for r in clip_lines(lines, feats, line_id="lid", feature_id="fid").collect()}
+    assert set(clipped) == {*range(20), 99}
+    assert abs(clipped[99] - (499.005 * 2 ** 0.5 + 499.995)) < 1e-6 and abs(clipped[5] - 0.01) < 1e-9
