@@ -864,3 +864,45 @@ WHERE c_nationkey % 5 = 2 AND c_nationkey < 20 AND year(o_orderdate) BETWEEN 200
 ORACLE["q41_overview_city"] = f"""WITH {overview_sql('1998')}
 {CITY_SQL.replace('FROM summary', 'FROM overview')[:-len('FROM overview')]}, CAST(1998 AS INTEGER) AS selected_sales_year
 FROM overview"""
+
+
+ORACLE.update({
+    "q42_sales_block_year": f"""WITH {SALES_CTE}, {OCTAGON_CTE},
+loc AS ({locate_sql('sales', 'longitude', 'latitude')}),
+b AS (
+  SELECT s.* EXCLUDE (arrondissement), CAST(loc.k AS VARCHAR) AS iris_code, n.n_name AS iris_name,
+         'T' || n.n_regionkey AS iris_type, CAST(loc.k + 1 AS INTEGER) AS arrondissement
+  FROM sales s JOIN loc ON s.longitude = loc.px AND s.latitude = loc.py JOIN nation n ON n.n_nationkey = loc.k
+)
+SELECT iris_code, iris_name, iris_type, arrondissement, year, {metric_block()}
+FROM b GROUP BY iris_code, iris_name, iris_type, arrondissement, year""",
+    "q43_address_file": f"""WITH {REF_CTE}
+SELECT cle_interop, commune_insee, house_number, house_suffix, street_name, long, lat, certification FROM ref""",
+    "q44_income_file": ORACLE["q05_income_by_district"],
+    "q45_rent_file": ORACLE["q06_rent_by_district_year"],
+    "q46_social_file": ORACLE["q07_social_by_district_year"],
+    "q47_quarter_layer": """SELECT '751' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || '01' AS quartier_id,
+       CAST(n_nationkey + 1 AS INTEGER) AS quartier_code, CAST(n_nationkey + 1 AS INTEGER) AS arrondissement,
+       n_name AS name, 0.88::DOUBLE AS surface_m2, 3.41::DOUBLE AS perimeter_m, 'Polygon' AS geometry_type FROM nation""",
+    "q48_block_file": """SELECT '751' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || '0101' AS iris_code, n_name AS iris_name,
+       'T' || n_regionkey AS iris_type, CAST(n_nationkey + 1 AS INTEGER) AS arrondissement,
+       '751' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') AS commune_insee, 8 AS n_edges
+FROM nation WHERE n_regionkey <> 0""",
+    "q49_cell_file": ORACLE["q16_weighted_exposure"],
+    "q50_link_batches": f"""WITH {LINKS_CTE},
+one AS (
+  SELECT idu, id_adr, type_lien, nb_adr, nb_parc, seq FROM links
+  UNION ALL
+  SELECT CAST(o_custkey AS VARCHAR), o_orderpriority, NULL, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR),
+         CAST(o_orderkey AS VARCHAR), (SELECT max(seq) FROM links) + 1 + o_orderkey FROM orders
+),
+two AS (
+  SELECT * FROM one
+  UNION ALL
+  SELECT CAST(o_custkey AS VARCHAR), '', NULL, '0', CAST(o_orderkey AS VARCHAR), (SELECT max(seq) FROM one) + 1 + o_orderkey
+  FROM orders
+)
+SELECT idu, id_adr, type_lien, first(nb_adr ORDER BY seq DESC) AS nb_adr,
+       first(nb_parc ORDER BY seq DESC) AS nb_parc, max(seq) AS seq
+FROM two GROUP BY idu, id_adr, type_lien""",
+})

@@ -453,6 +453,93 @@ def q40_neutral_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.neutral_environment(districts(spark, sf_dir))
 
 
+def q42_sales_block_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales points attached to census-block polygons, then the metric block per block x year."""
+    pts = materialize(cleaned_sales(spark, sf_dir).select(
+        "year", "transaction_id", "price_per_m2", "sale_value_eur", "built_surface_m2", "rooms",
+        "property_type", "longitude", "latitude"))
+    blocks = td.octagon_features(spark, sf_dir).withColumn("block_type", F.concat(F.lit("T"), F.col("region").cast("string")))
+    located = materialize(spatial.attach_points(
+        pts, blocks, x="longitude", y="latitude", feature_id="feature_id", order="feature_id",
+        mapping={"feature_id": "iris_code", "name": "iris_name", "block_type": "iris_type", "arrondissement": "arrondissement"}))
+    return _metrics(located.withColumn("iris_code", F.col("iris_code").cast("string")),
+                    ["iris_code", "iris_name", "iris_type", "arrondissement", "year"])
+
+
+def _as_text(df: DataFrame, path: str) -> str:
+    """Rows written as the ``;`` separated text the readers expect."""
+    df.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return path
+
+
+def q43_address_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address reference text written, read and prepared: normalised parts, numbers, certification."""
+    from ..sources import readers
+    path = _as_text(td.address_rows(spark, sf_dir), _scratch(spark, "q43"))
+    return geocode.prepare_address_reference(readers.read_addresses(spark, path)).select(
+        "cle_interop", "commune_insee", "house_number", "house_suffix", "street_name", "long", "lat", "certification")
+
+
+def q44_income_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Income table written as text, read and aggregated per district."""
+    from ..sources import readers
+    path = _as_text(td.income_rows(spark, sf_dir), _scratch(spark, "q44"))
+    return metrics.income_metrics(themes.prepare_income(readers.read_income(spark, path)))
+
+
+def q45_rent_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rent-cap text written, read and aggregated per district x year."""
+    from ..sources import readers
+    path = _as_text(td.rent_rows(spark, sf_dir), _scratch(spark, "q45"))
+    return metrics.rent_metrics(themes.prepare_rents(readers.read_rents(spark, path)))
+
+
+def q46_social_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Social-housing text written, read and aggregated per district x year."""
+    from ..sources import readers
+    path = _as_text(td.social_rows(spark, sf_dir), _scratch(spark, "q46"))
+    return metrics.social_metrics(themes.prepare_social(readers.read_social(spark, path)))
+
+
+def q47_quarter_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter polygons written as GeoJSON lines, read back and typed."""
+    from ..sinks import writers
+    from ..sources import readers
+    path = writers.write_geojson_lines(td.quarter_features(spark, sf_dir), _scratch(spark, "q47"), properties="properties")
+    table_ = readers.quarter_table(readers.read_geojson(spark, path, lines=True))
+    return table_.select("quartier_id", "quartier_code", "arrondissement", "name", "surface_m2", "perimeter_m",
+                         F.col("geometry.type").alias("geometry_type"))
+
+
+def q48_block_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Census-block text with polygons as GeoJSON text written, read, edges counted."""
+    from ..sources import readers
+    path = _as_text(td.block_shapes(spark, sf_dir), _scratch(spark, "q48"))
+    blocks = readers.read_iris(spark, path)
+    return blocks.select("iris_code", "iris_name", "iris_type", "arrondissement", "commune_insee",
+                         F.size(spatial.ring_edges(spatial.polygon_rings("geometry"))).alias("n_edges"))
+
+
+def q49_cell_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified cells stored, read and turned into district exposure."""
+    from ..sources import readers
+    path = _scratch(spark, "q49")
+    td.cell_rows(spark, sf_dir).write.parquet(path)
+    return spatial.cell_exposure(readers.read_cells(spark, path), td.octagon_features(spark, sf_dir), feature_id="feature_id")
+
+
+def q50_link_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link table stored, two delivered batches merged through storage, the newest version read."""
+    from ..sinks import writers
+    from ..sources import readers
+    base = _scratch(spark, "q50")
+    writers.write_links_versioned(td.link_rows(spark, sf_dir), base)
+    batch = td.delivered_link_rows(spark, sf_dir)
+    for part in (batch, batch.withColumn("id_adr", F.lit("")).withColumn("nb_adr", F.lit("0"))):
+        writers.write_links_versioned(geocode.merge_links(readers.read_links(spark, base), part), base)
+    return readers.read_links(spark, base)
+
+
 QUERIES = {
     "q01_sales_district_year": q01_sales_district_year,
     "q02_sales_quarter_year": q02_sales_quarter_year,
@@ -495,4 +582,13 @@ QUERIES = {
     "q39_gold_sinks": q39_gold_sinks,
     "q40_neutral_environment": q40_neutral_environment,
     "q41_overview_city": q41_overview_city,
+    "q42_sales_block_year": q42_sales_block_year,
+    "q43_address_file": q43_address_file,
+    "q44_income_file": q44_income_file,
+    "q45_rent_file": q45_rent_file,
+    "q46_social_file": q46_social_file,
+    "q47_quarter_layer": q47_quarter_layer,
+    "q48_block_file": q48_block_file,
+    "q49_cell_file": q49_cell_file,
+    "q50_link_batches": q50_link_batches,
 }

@@ -219,6 +219,30 @@ def octagon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"))
 
 
+def quarter_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation octagons with quarter properties (id ``751`` + 2-digit district + 2-digit number)."""
+    feats = octagon_features(spark, sf_dir)
+    k1 = F.col("arrondissement").cast("string")
+    props = F.create_map(
+        F.lit("c_quinsee"), F.concat(F.lit("751"), F.lpad(k1, 2, "0"), F.lit("01")), F.lit("c_qu"), k1,
+        F.lit("c_ar"), k1, F.lit("l_qu"), F.col("name"), F.lit("surface"), F.lit("0.875"), F.lit("perimetre"), F.lit("3.414"))
+    return feats.select(props.alias("properties"), "geometry")
+
+
+def block_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation octagons as census-block text rows, the polygon as GeoJSON text; region 0 lies in
+    another department."""
+    feats = octagon_features(spark, sf_dir)
+    k1 = F.lpad(F.col("arrondissement").cast("string"), 2, "0")
+    dep = F.when(F.col("region") == 0, F.lit("92")).otherwise(F.lit("75"))
+    return feats.select(
+        F.concat(dep, F.lit("1"), k1, F.lit("0101")).alias("CODE_IRIS"), F.col("name").alias("NOM_IRIS"),
+        F.concat(F.lit("T"), F.col("region").cast("string")).alias("TYP_IRIS"), dep.alias("DEP"),
+        F.concat(dep, F.lit("1"), k1).alias("INSEE_COM"),
+        F.to_json(F.struct(F.col("geometry.type").alias("type"),
+                           F.from_json("geometry.coordinates", "array<array<array<double>>>").alias("coordinates"))).alias("Geo Shape"))
+
+
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as points on binary fractions: x = (e % 641) / 128, y = (7e % 641) / 128."""
     e = table(spark, sf_dir, "events")
