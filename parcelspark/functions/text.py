@@ -81,18 +81,16 @@ def _fold_parts():
 def ascii_fold(col) -> Column:
     """NFKD + drop non-ASCII, per code point (see module docstring).
 
-    Pure-ASCII strings (one cheap regex test) pass through untouched; otherwise characters with
-    a multi-character expansion (found by a ``translate`` that deletes them and a length
-    compare) are expanded first, then the one-character table and the non-ASCII removal apply.
+    Pure-ASCII strings (one cheap regex test) pass through untouched. Otherwise the characters
+    with a multi-character expansion that the string really holds (distinct ones, usually none or a
+    few) are replaced one after the other, then the one-character table and the non-ASCII removal apply.
     """
     src, dst, multi, multi_chars = _fold_parts()
     text = _c(col)
     multi_map = F.create_map(*[F.lit(x) for kv in multi.items() for x in kv])
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(multi_map, ch), ch)), "")
-    has_multi = F.length(F.translate(text, multi_chars, "")) < F.length(text)
-    folded = F.regexp_replace(F.translate(F.when(has_multi, expanded).otherwise(text), src, dst),
-                              r"[^\x00-\x7F]", "")
+    present = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{multi_chars}]"), F.lit(0)))
+    expanded = F.aggregate(present, text, lambda acc, ch: F.replace(acc, ch, F.try_element_at(multi_map, ch)))
+    folded = F.regexp_replace(F.translate(expanded, src, dst), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 

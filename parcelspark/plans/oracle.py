@@ -6,11 +6,37 @@ DOUBLE literals (DECIMAL literals would change the average's precision).
 
 from __future__ import annotations
 
-from ..functions.text import STREET_TOKEN_ALIASES as STREET_ALIASES
-from ..operators.metrics import METRIC_COLUMNS as METRICS
-from ..operators.serving import METRIC_CATALOG as CATALOG_ROWS
-from ..operators.summary import COMPARE_METRICS
-from ..operators.summary import MEDIAN_FILL, NEUTRAL_ENVIRONMENT_DEFAULTS as ENV_FILL
+# ---- fixed values, written out here so that the twins do not share the library's tables ----------
+METRICS = ["transactions", "median_price_m2", "median_sale_value_eur", "median_surface_m2", "median_rooms",
+           "apartment_share_pct", "house_share_pct"]
+STREET_ALIASES = {
+    "ALL": "ALLEE", "AV": "AVENUE", "BD": "BOULEVARD", "BLD": "BOULEVARD", "CHE": "CHEMIN", "CRS": "COURS",
+    "FG": "FAUBOURG", "IMP": "IMPASSE", "PAS": "PASSAGE", "PL": "PLACE", "QU": "QUAI", "RLE": "RUELLE",
+    "RTE": "ROUTE", "SQ": "SQUARE", "VLA": "VILLA",
+}
+CATALOG_ROWS = [
+    ("median_price_m2", "Prix median au m²", "EUR/m²", True),
+    ("transactions", "Transactions retenues", "count", True),
+    ("median_surface_m2", "Surface mediane", "m²", True),
+    ("median_income_eur", "Revenu median", "EUR/an", False),
+    ("reference_rent_majorated_eur_m2", "Loyer majore moyen", "EUR/m²", False),
+    ("social_units_financed", "Logements sociaux finances", "count", True),
+    ("social_units_financed_5y", "Logements sociaux finances sur 5 ans", "count", False),
+    ("months_income_for_1sqm", "Mois de revenu pour 1 m²", "months", False),
+    ("estimated_50m2_rent_effort_pct", "Effort locatif estime pour 50 m²", "%", False),
+    ("quality_of_life_score", "Qualite de vie", "/10", False),
+]
+COMPARE_METRICS = ["median_price_m2", "median_income_eur", "reference_rent_majorated_eur_m2",
+                   "social_units_financed", "quality_of_life_score", "months_income_for_1sqm",
+                   "estimated_50m2_rent_effort_pct"]
+MEDIAN_FILL = ["reference_rent_eur_m2", "reference_rent_majorated_eur_m2", "reference_rent_minorated_eur_m2",
+               "median_income_eur", "poverty_rate_pct", "first_quartile_income_eur", "third_quartile_income_eur",
+               "share_taxable_pct"]
+ENV_FILL = {"noise_score": 2.0, "air_score": 2.0, "high_noise_share_pct": 50.0}
+# Lambert-93 as published by the mapping agency: exponent, constant, pole, first eccentricity
+LAMBERT_N, LAMBERT_C, LAMBERT_XS, LAMBERT_YS = "0.7256077650532670", "11754255.4260960", "700000.0", "12655612.0498760"
+GRS80_E = "0.0818191910428158"
+# ---------------------------------------------------------------------------------------------
 
 
 def r(expr: str, n: int = 2) -> str:
@@ -709,15 +735,8 @@ def _q(text: str) -> str:
 
 
 def fold_sql(expr: str) -> str:
-    """DuckDB twin of normalize_text built from the same rule-generated fold tables."""
-    from ..functions.text import ascii_fold_tables
-    single, multi = ascii_fold_tables()
-    out = f"coalesce({expr}, '')"
-    for ch, rep in multi.items():
-        out = f"replace({out}, {_q(ch)}, {_q(rep)})"
-    src = "".join(single)
-    dst = "".join(single[c] for c in single)
-    out = f"regexp_replace(translate({out}, {_q(src)}, {_q(dst)}), '[^\\x00-\\x7F]', '', 'g')"
+    """DuckDB twin of normalize_text for texts whose folded characters are accented letters."""
+    out = f"regexp_replace(strip_accents(coalesce({expr}, '')), '[^\\x00-\\x7F]', '', 'g')"
     return f"trim(regexp_replace(regexp_replace(upper({out}), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
@@ -737,15 +756,12 @@ def zfill(expr: str, n: int) -> str:
 
 
 def _lambert_sql() -> tuple[str, str]:
-    import math
-    from ..functions import geo
-    phi = "radians(lat)"
-    esin = f"({geo.E!r} * sin({phi}))"
-    t = f"(tan({math.pi / 4!r} - {phi} / 2) / pow((1 - {esin}) / (1 + {esin}), {geo.E / 2!r}))"
-    rho = f"({geo.GRS80_A * geo.F_CONST!r} * pow({t}, {geo.N!r}))"
-    theta = f"({geo.N!r} * radians(lon - {geo.LON_0!r}))"
-    return (f"{geo.FALSE_EASTING!r} + {rho} * sin({theta})",
-            f"{geo.FALSE_NORTHING + geo.RHO_0!r} - {rho} * cos({theta})")
+    """Published form: isometric latitude, then x = Xs + C exp(-n L) sin(theta), y = Ys - C exp(-n L) cos(theta)."""
+    num = lambda v: f"{v}::DOUBLE"
+    phi, e, n = "radians(lat)", num(GRS80_E), num(LAMBERT_N)
+    iso = f"(ln(tan(pi() / 4 + {phi} / 2)) - {e} / 2 * ln((1 + {e} * sin({phi})) / (1 - {e} * sin({phi}))))"
+    radius, theta = f"({num(LAMBERT_C)} * exp(-{n} * {iso}))", f"({n} * radians(lon - 3.0::DOUBLE))"
+    return (f"{num(LAMBERT_XS)} + {radius} * sin({theta})", f"{num(LAMBERT_YS)} - {radius} * cos({theta})")
 
 
 _LX, _LY = _lambert_sql()

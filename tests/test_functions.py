@@ -91,3 +91,26 @@ def test_round_half_even_matches_numpy(spark):
 def test_clip_keeps_null(spark):
     got = [r[0] for r in _col(spark, [-1.0, 0.5, 2.0, None], "double").select(numeric.clip("v", 0, 1)).collect()]
     assert got == [0.0, 0.5, 1.0, None]
+
+
+def test_lambert93_published_points(spark):
+    """Defining parameters: the origin (3 E, 46.5 N) has the false coordinates; on the central meridian
+    the easting stays; the radius at the origin is Ys - Y0 of the published constants."""
+    from parcelspark.functions import geo
+    df = spark.createDataFrame([(3.0, 46.5), (3.0, 49.0), (3.0, 44.0)], "lon double, lat double")
+    x, y = geo.lambert93("lon", "lat")
+    rows = df.select(x.alias("x"), y.alias("y")).collect()
+    assert abs(rows[0]["x"] - 700000.0) < 1e-6 and abs(rows[0]["y"] - 6600000.0) < 1e-6
+    assert all(abs(r["x"] - 700000.0) < 1e-6 for r in rows)
+    assert abs(geo.N - 0.7256077650532670) < 1e-12
+    assert abs(geo.GRS80_A * geo.F_CONST - 11754255.4260960) < 1e-5
+    assert abs(geo.FALSE_NORTHING + geo.RHO_0 - 12655612.0498760) < 1e-5
+
+
+def test_ascii_fold_of_expanding_characters(spark):
+    import unicodedata
+    from parcelspark.functions.text import ascii_fold
+    texts = ["wait… ﬁn ½ ﬃ…", "plain", "Œuvre ß é", "", "№ 5 ㎏"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(ascii_fold("t")).collect()]
+    assert got == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
