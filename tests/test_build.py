@@ -149,11 +149,18 @@ def built(spark, tmp_path_factory):
         {"Arrondissement": "16", "Année du financement - agrément": "", "Nombre total de logements financés": "7",
          "Identifiant livraison": "p8"}], scols, ";")
 
+    # two equal cells around a point of district 1 (air 2, noise 3 and air 1, noise 1); none in district 16
+    from parcelspark.functions.geo import lambert93
+    x, y = lambert93("lon", "lat")
+    at = spark.createDataFrame([(2.32, 48.864)], "lon double, lat double").select(x.alias("x"), y.alias("y")).first()
+    spark.createDataFrame([(c, at["x"] - 5.0, at["y"] - 5.0, at["x"] + 5.0, at["y"] + 5.0) for c in (23, 11)],
+                          "category int, minx double, miny double, maxx double, maxy double").write.parquet(str(d / "cells"))
+
     bronze = BronzeInputs(
         sales=str(d / "sales"), addresses=str(d / "adresses.csv"), links=str(d / "links"),
         iris=str(d / "iris.csv"), income=str(d / "income"), rents=str(d / "rents.csv"),
         social=str(d / "social.csv"), districts=str(d / "districts.geojson"),
-        quarters=str(d / "quarters.geojson"), streets=str(d / "streets.geojson"), cells=None)
+        quarters=str(d / "quarters.geojson"), streets=str(d / "streets.geojson"), cells=str(d / "cells"))
     out = build(spark, bronze, str(d / "silver"), str(d / "gold"), csv_copies=True)
     return spark, d, out
 
@@ -165,6 +172,27 @@ def test_silver_sales_filters(built):
     assert tx.where(F.col("arrondissement") == 16).first()["sale_value_eur"] == 1250000.5
 
 
+def test_stored_geocoded_sales_have_their_columns(built):
+    from parcelspark.operators.sales import GEOCODED_COLUMNS
+    spark, d, out = built
+    for path in (str(d / "silver" / "sales_geocoded"), out["sales_geocoded"]):
+        assert sorted(spark.read.parquet(path).columns) == sorted(GEOCODED_COLUMNS.values())
+    assert len(GEOCODED_COLUMNS) == 27
+
+
+def test_silver_holds_every_table(built):
+    spark, d, _ = built
+    for name in ("sales_yearly", "sales_quartier_yearly", "sales_iris_yearly", "sales_street_yearly",
+                 "sales_building_yearly", "income", "rents_yearly", "social_yearly", "noise"):
+        assert spark.read.parquet(str(d / "silver" / name)).columns
+
+
+def test_district_layer_has_its_perimeter(built):
+    spark, d, out = built
+    feats = [json.loads(r["value"])["properties"] for r in spark.read.text(out["districts_geojson"]).collect()]
+    assert {f["arrondissement"]: f["perimeter_m"] for f in feats} == {1: 5.0, 16: 6.0}
+
+
 def test_geocode_tiers(built):
     spark, d, _ = built
     geo = {r["house_number"]: r for r in spark.read.parquet(str(d / "silver" / "sales_geocoded")).collect()}
@@ -216,8 +244,9 @@ def test_summary_and_themes(built):
     assert s[1]["program_count"] == 1 and s[1]["social_units_financed"] == 15.0
     assert s[16]["social_units_financed"] == 0 and s[16]["program_count"] == 0
     assert s[16]["reference_rent_eur_m2"] == 20.0 and s[1]["reference_rent_eur_m2"] == 30.5
-    assert s[1]["noise_score"] == 2.0 and s[1]["environmental_pressure_index"] == 50.0
-    assert s[1]["quality_of_life_score"] == 5.0
+    assert s[1]["noise_score"] == 2.0 and s[1]["air_score"] == 1.5 and s[1]["high_noise_share_pct"] == 50.0
+    assert s[1]["environmental_pressure_index"] == 40.0 and s[1]["quality_of_life_score"] == 5.9
+    assert s[16]["noise_cell_count"] == 0 and s[16]["noise_score"] == 0.0
     assert s[1]["sales_year"] == 2024 and s[1]["year_rent"] == 2024
     assert s[1]["transactions"] == 5 and s[16]["transactions"] == 1
 

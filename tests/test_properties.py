@@ -221,7 +221,9 @@ def test_unknown_districts_are_errors(spark):
     yearly = spark.createDataFrame([(1, 2024, 3.0)], "arrondissement int, year int, m double")
     with _pytest.raises(LookupError):
         summary.timeline(yearly, yearly, yearly, 99, ov)
-    assert {r["name"] for r in summary.timeline(yearly, yearly, yearly, 1, ov).collect()} == {"a"}
+    more = yearly.union(spark.createDataFrame([(1, 2022, 1.0), (1, 2023, 2.0)], yearly.schema))
+    served = [(r["name"], r["theme"], r["year"]) for r in summary.timeline(more, more, more, 1, ov).collect()]
+    assert served == [("a", t, y) for t in ("rents", "sales", "social") for y in (2022, 2023, 2024)]     # served order
     line = summary.compare(ov, 1, 1).first()
     assert (line["left_name"], line["right_name"], line["sales_year"], line["delta"]) == ("a", "a", 2024, 0.0)
 
