@@ -82,14 +82,18 @@ def ascii_fold(col) -> Column:
     """NFKD + drop non-ASCII, per code point (see module docstring).
 
     Pure-ASCII strings (one cheap regex test) pass through untouched. Otherwise the characters
-    with a multi-character expansion that the string really holds (distinct ones, usually none or a
-    few) are replaced one after the other, then the one-character table and the non-ASCII removal apply.
+    with a multi-character expansion that the string really holds (a ``translate`` that deletes them
+    tells whether there are any; then the distinct ones among its non-ASCII characters) are replaced
+    one after the other, and the one-character table and the non-ASCII removal apply.
     """
     src, dst, multi, multi_chars = _fold_parts()
     text = _c(col)
     multi_map = F.create_map(*[F.lit(x) for kv in multi.items() for x in kv])
-    present = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{multi_chars}]"), F.lit(0)))
-    expanded = F.aggregate(present, text, lambda acc, ch: F.replace(acc, ch, F.try_element_at(multi_map, ch)))
+    rare = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""))
+    present = F.filter(rare, lambda ch: F.try_element_at(multi_map, ch).isNotNull())
+    has_multi = F.length(F.translate(text, multi_chars, "")) < F.length(text)
+    expanded = F.when(has_multi, F.aggregate(
+        present, text, lambda acc, ch: F.replace(acc, ch, F.try_element_at(multi_map, ch)))).otherwise(text)
     folded = F.regexp_replace(F.translate(expanded, src, dst), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
