@@ -109,6 +109,84 @@ SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, CAST(q.source_size AS BIGINT) A
 FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.rank = k.rank
 """
 
+
+LINK_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                                     ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS start, doc_id AS node FROM d UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.node) AS component_id, d.doc_id = min(r.node) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.start = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*(<SYS>>|</SYS>>|s>|/s>)|\[\\*(INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])'))
+         + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                ELSE 20 + length(role) + len(regexp_extract_all(role, '<\\*(<SYS>>|</SYS>>|s>|/s>)|\[\\*(INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])'))
+           END AS chars,
+         CASE role WHEN 'system' THEN 'S' WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' ELSE 'X' END AS letter
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars,
+       regexp_matches(string_agg(letter, '' ORDER BY turn, role, text), '^S?(UA)*U?$') AS valid
+FROM f GROUP BY conv_id
+"""
+
+
+def _rules_sql() -> str:
+    """Base counts, coverage shares and verdict of the repetition rules."""
+    lengths = quality_rules.COVERAGE_NGRAMS
+    last = max(lengths)
+    leads = ", ".join(f"lead(w, {i}) OVER p AS w{i}" for i in range(1, last))
+
+    def gram(n: int) -> str:
+        return " || ' ' || ".join(["w", *[f"w{i}" for i in range(1, n)]])
+
+    twice = ", ".join(f"w{n - 1} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, {gram(n)}) > 1 AS d{n}" for n in (3, *lengths))
+    inside = ", ".join(f"max(d{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}"
+                       for n in (3, *lengths))
+    chars = ", ".join(f"coalesce(sum(length(w)) FILTER (WHERE c{n}), 0) AS k{n}" for n in lengths)
+    shares = ", ".join(f"CAST(coalesce(k{n}, 0) AS DOUBLE) / greatest(coalesce(word_chars, 0), 1) AS dup_{n}gram_share" for n in lengths)
+    largest = ", ".join([*[f"dup_{n}gram_share" for n in lengths], "dup_line_share"])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w0 AS (SELECT doc_id, unnest(list_zip(ws, range(1, len(ws) + 1))) AS x
+       FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)),
+w1 AS (SELECT doc_id, x[1] AS w, x[2] AS i FROM w0),
+w2 AS (SELECT *, {leads} FROM w1 WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+w3 AS (SELECT doc_id, i, w, {twice} FROM w2),
+w4 AS (SELECT doc_id, w, {inside} FROM w3),
+w5 AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE c3) AS n_repeat_words, {chars}
+       FROM w4 GROUP BY doc_id),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+l1 AS (SELECT doc_id, line, count(*) AS n FROM l0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
+l2 AS (SELECT doc_id, sum(n - 1) AS n_dup_lines, sum(CASE WHEN n > 1 THEN n * length(line) ELSE 0 END) AS dup_chars FROM l1 GROUP BY doc_id),
+r AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+             {shares}, CAST(coalesce(dup_chars, 0) AS DOUBLE) / greatest(length(text), 1) AS dup_line_share
+      FROM d LEFT JOIN w5 USING (doc_id) LEFT JOIN l2 USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+SELECT *, NOT base_failed AND greatest({largest}) <= 0.30::DOUBLE AND n_symbols <= 0.10::DOUBLE * n_words AS kept FROM v
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op5_near_dedup": LINK_SQL,
     "op6_fair_queue_mix": MIX_SQL,
+    "op8_chat_segments": CHAT_SQL,
+    "op10_repetition_rules": _rules_sql(),
 }
