@@ -215,13 +215,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
 def _cross_bayes(needed: list[int], percent: int) -> Callable:
     """Per block: pairs of different components, similar sizes, not met in an earlier band, that
     pass the sequential test. One row per block: its surviving nodes and their pairs."""
-    first = (tk.constants(24, BANDS)).astype(tk.U64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for block in _blocks(batches, ["bucket", "i", "j", "chunk", "node", "component", "n", "main", "sig"]):
+        for block in _blocks(batches, ["bucket", "i", "j", "chunk", "node", "component", "n", "sig"]):
             sig = np.frombuffer(b"".join(block["sig"]), dtype=np.uint16).reshape(-1, N_HASHES)
-            node, comp, n, chunk, main = (np.array(block[k]) for k in ("node", "component", "n", "chunk", "main"))
+            node, comp, n, chunk = (np.array(block[k]) for k in ("node", "component", "n", "chunk"))
             i, j = block["i"][0], block["j"][0]
             rows = np.flatnonzero(chunk == i)
             cols = rows if i == j else np.flatnonzero(chunk == j)
@@ -242,7 +240,7 @@ def _cross_bayes(needed: list[int], percent: int) -> Callable:
             if not len(left_rows):
                 continue
             right_rows = np.concatenate(right)
-            used, where = np.unique(np.concatenate([left_rows, right_rows]), return_inverse=True)
+            used = np.unique(np.concatenate([left_rows, right_rows]))
             pairs = np.stack([node[left_rows], node[right_rows]], axis=1).astype(np.int64)
             out.append((block["bucket"][0], i, j, node[used].tolist(), pairs.tobytes()))
             if len(out) >= 64:
@@ -325,8 +323,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = stored(reps, "reps")
 
     bands = reps.select("doc_id", "sig").mapInArrow(_bands, "bucket long, node long")
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("members")).where("members > 1")
-    multi = stored(bands.join(buckets.select("bucket", "rep"), "bucket"), "buckets")
+    # per-bucket results are stored before they are joined back: a join of two plain exchanges can be split
+    # where one bucket holds very many rows
+    buckets = stored(bands.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("members"))
+                     .where("members > 1").select("bucket", "rep"), "minima")
+    multi = stored(bands.join(buckets, "bucket"), "buckets")
 
     # full sets of every text that shares a bucket
     nodes = multi.select("node").distinct()
@@ -349,10 +350,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     tagged = stored(multi.select("bucket", "node").join(label, "node", "left")
                     .select("bucket", "node", F.coalesce("component", "node").alias("component")), "tagged")
     per = tagged.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    mixed = (per.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top"),
-                                       F.sum("c").alias("m"))
-             .where("k > 1").select("bucket", F.col("top.component").alias("big"), F.col("top.c").alias("dom"),
-                                    (F.col("m") - F.col("top.c")).alias("rest")))
+    mixed = stored(per.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top"),
+                                             F.sum("c").alias("m"))
+                   .where("k > 1").select("bucket", F.col("top.component").alias("big"), F.col("top.c").alias("dom"),
+                                          (F.col("m") - F.col("top.c")).alias("rest")), "mixed")
     rows = tagged.join(mixed, "bucket").withColumn("main", F.col("component") == F.col("big"))
     n_rest = F.ceil(F.col("rest") / CHUNK).cast("int")
     n_main = F.ceil(F.col("dom") / CHUNK).cast("int")
@@ -362,11 +363,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     others = F.when(F.col("main"), F.sequence(F.lit(0), n_rest - 1)).otherwise(F.sequence(F.lit(0), n_rest + n_main - 1))
     spread = (rows.withColumn("chunk", own).withColumn("other", F.explode(others))
               .select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-                      "chunk", "node", "component", "main")
+                      "chunk", "node", "component")
               .join(sig, "node"))
     block_schema = "bucket long, i int, j int, nodes array<long>, pairs binary"
     found = stored(spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-                   .select("bucket", "i", "j", "chunk", "node", "component", "n", "main", "sig")
+                   .select("bucket", "i", "j", "chunk", "node", "component", "n", "sig")
                    .mapInArrow(_cross_bayes(needed, percent), block_schema), "survivors")
     wanted = found.select("bucket", "i", "j", F.posexplode("nodes").alias("pos", "node"),
                           "pairs").select("bucket", "i", "j", "node",
