@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parcelspark.llm.store import stored
+
 BINS, BITS, SHINGLE = 128, 8, 5
 BIN_SHIFT = 63 - 7                      # hashes use 63 bits; the top 7 name the bin
 PER_LONG = 64 // BITS
@@ -80,7 +82,8 @@ def written(packed: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Add ``next_text`` and ``next_packed`` of the row that follows by doc_id (after the last: the first).
+    """Add ``packed`` (the fingerprint of ``text``), and ``next_text`` and ``next_packed`` of the row that follows
+    by doc_id (after the last: the first).
 
     Ids are cut into blocks of ``BLOCK``, so a block holds few documents whatever the table's size. The
     first row of the next non-empty block joins each block as a closing row, found from one id per
@@ -88,18 +91,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     block = F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(1 << 62)))
     docs = docs.withColumn("block__", block)
-    firsts = docs.groupBy("block__").agg(F.coalesce(F.min("doc_id"), F.lit(None).cast("long")).alias("first__"))
+    # stored, so that its size is known when the join with the documents is planned
+    firsts = stored(docs.groupBy("block__").agg(F.min("doc_id").alias("first__")), "firsts")
     order = Window.orderBy("block__")
     following = firsts.select("block__", F.lead("block__").over(order).alias("to__"),
                               F.first("block__").over(order).alias("wrap__"))
     following = following.select("block__", F.coalesce("to__", "wrap__").alias("to__"))
     heads = (docs.join(firsts.withColumnRenamed("block__", "to__"),
                        (F.col("block__") == F.col("to__")) & F.col("doc_id").eqNullSafe(F.col("first__")))
-             .groupBy("to__").agg(F.min(F.struct("text", "packed")).alias("head__")))
+             .groupBy("to__").agg(F.min("text").alias("text")))
     closing = following.join(heads, "to__").select(
-        F.lit(None).cast("long").alias("doc_id"), F.col("head__.text").alias("text"),
-        F.col("head__.packed").alias("packed"), "block__", F.lit(True).alias("closing__"))
-    rows = docs.withColumn("closing__", F.lit(False)).unionByName(closing)
+        F.lit(None).cast("long").alias("doc_id"), "text", "block__", F.lit(True).alias("closing__"))
+    rows = add_fingerprint(docs.withColumn("closing__", F.lit(False)).unionByName(closing), "text", "packed")
     w = Window.partitionBy("block__").orderBy("closing__", "doc_id", "text")
     return (rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_packed", F.lead("packed").over(w))
             .where(~F.col("closing__")).drop("closing__", "block__"))
@@ -116,7 +119,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(add_fingerprint(slim, "text", "packed"))
+    rows = with_next(slim)
     n = F.length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("tail", F.floor(n / 4).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("tail")),
