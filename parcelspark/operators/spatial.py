@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+MAX_LEVEL = 62          # tiles of this level are 2**62 times the base side: any layer fits
+
 POLYGON_JSON = "array<array<array<double>>>"
 MULTIPOLYGON_JSON = "array<array<array<array<double>>>>"
 
@@ -96,7 +98,8 @@ def suggest_cell(polys: DataFrame) -> float:
 def level_of(side: Column, cell: float) -> Column:
     """Grid level of a shape: tiles double per level, and a shape of level n spans at most three tiles
     of its level in either direction."""
-    return F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(cell)) / (2.0 * cell))), F.lit(0)).cast("int")
+    level = F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(cell)) / (2.0 * cell))), F.lit(0))
+    return F.least(level, F.lit(MAX_LEVEL)).cast("int")
 
 
 def tile_side(level: Column, cell: float) -> Column:
@@ -114,9 +117,10 @@ def polygon_tiles(polys: DataFrame, cell: float) -> DataFrame:
 
 
 def used_levels(polys: DataFrame, cell: float) -> Column:
-    """The levels that occur (an array; a few entries), as a scalar subquery."""
+    """The levels that occur (an array; a few entries): one scalar action over the polygon table."""
     side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    return polys.agg(F.collect_set(level_of(side, cell)).alias("levels")).scalar()
+    mask = polys.select(level_of(side, cell).alias("level")).agg(F.bit_or(F.expr("shiftleft(1L, level)"))).first()[0] or 0
+    return F.array(*[F.lit(n) for n in range(MAX_LEVEL + 1) if mask >> n & 1]).cast("array<int>")
 
 
 def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs: list[str],
