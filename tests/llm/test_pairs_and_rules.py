@@ -206,6 +206,20 @@ def test_disguised_spellings_are_restored(decoder, written, meant):
     assert decoder.text(written) == meant
 
 
+@pytest.mark.parametrize("written, meant", [("1d107", "idiot"), ("455h0l3", "asshole"), ("d13", "die"), ("57up1d!!!", "stupid!!!"),
+                                            ("a$$", "ass"), ("s" * 130 + "tupid", "stupid"),
+                                            ("5tu" + "u" * 60 + "p1d", "stupid")])
+def test_words_disguised_strongly_or_at_the_end_are_restored(decoder, written, meant):
+    assert toxicity.disguised([written.encode()]).all()
+    assert decoder.text(written) == meant
+
+
+@pytest.mark.parametrize("written", ["9f86d081884c7d65", "Zk39QpXw7LmT2vRb8NcYdF5hGj4S", "covid19", "10th", "$100k",
+                                     "9c1185a5c5e9fc54612808977ee8f548b2258d31" * 50])
+def test_keys_and_numbers_are_left_as_written(decoder, written):
+    assert decoder.text(written) == written
+
+
 def test_plain_text_is_left_alone(decoder, texts):
     plain = "The quick brown fox, and 12 of 345 dogs; schön été niño. A | b | c!"
     assert not toxicity.disguised([plain.encode()])[0] or decoder.text(plain) == plain
