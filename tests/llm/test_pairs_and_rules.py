@@ -214,6 +214,16 @@ def test_words_disguised_strongly_or_at_the_end_are_restored(decoder, written, m
     assert decoder.text(written) == meant
 
 
+@pytest.mark.parametrize("written, meant", [("you are a s t u p i d i d i o t", "you are a stupid idiot"), ("a t r a s h", "a trash"),
+                                            ("s.t.u.p.i.d i.d.i.o.t", "stupid idiot"), ("d i e", "die"),
+                                            ("1 d 1 0 t", "idiot")])
+def test_spaced_out_words_are_split(spark, decoder, written, meant):
+    docs, labels = _labelled_split(spark, "/root/testdata/sf0.1")
+    words = toxicity.word_costs(toxicity.training_rows(docs, labels)[0])
+    assert toxicity.disguised([written.encode()]).all()
+    assert toxicity.Decoder(np.array(decoder.costs), words).text(written) == meant
+
+
 @pytest.mark.parametrize("written", ["9f86d081884c7d65", "Zk39QpXw7LmT2vRb8NcYdF5hGj4S", "covid19", "10th", "$100k",
                                      "9c1185a5c5e9fc54612808977ee8f548b2258d31" * 50])
 def test_keys_and_numbers_are_left_as_written(decoder, written):
