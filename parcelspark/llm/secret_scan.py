@@ -22,9 +22,10 @@ WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 # largest window entropy (bits) that is still ordinary, per character class
 LIMITS = {"hex": 3.0, "lower": 3.6, "mixed": 3.8}
+JOINT = "[=/_-]+"
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",   # identifiers, not keys
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|test",
+    r"(?i)(?<![a-z0-9])(?:example|sample|dummy|placeholder|changeme|test)(?![a-z0-9])|xxxx",
     r"(?i)0123456789|abcdefghij",
     r"^[0-9+/_=-]*$",
     r"^[A-Za-z/_=+-]*$",
@@ -72,11 +73,20 @@ def allowed(value: Column) -> Column:
     return verdict
 
 
-def suspicious(value: Column) -> Column:
-    """Whether a candidate string has a window above the limit of its character class."""
+def high(value: Column) -> Column:
+    """Whether a string has a window above the limit of its character class."""
     limit = (F.when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), LIMITS["hex"])
              .when(value.rlike("[a-z]") & value.rlike("[A-Z]"), LIMITS["mixed"]).otherwise(LIMITS["lower"]))
-    return ~allowed(value) & (window_entropy(value) >= limit)
+    return window_entropy(value) >= limit
+
+
+def suspicious(value: Column) -> Column:
+    """Whether a candidate string is high and not allowed. A candidate that the list allows for one of
+    its pieces (between '=', '/' and other joints) is still suspicious if another piece is not allowed,
+    has the length of a window and is high."""
+    pieces = F.filter(F.split(value, JOINT), lambda v: F.length(v) >= WINDOW)
+    behind = F.exists(pieces, lambda v: ~allowed(v) & high(v))
+    return F.when(allowed(value), (F.size(pieces) > 0) & behind).otherwise(high(value))
 
 
 def with_secret_spans(docs: DataFrame) -> DataFrame:

@@ -67,6 +67,18 @@ def test_secret_base_spans(documents, texts):
     assert got[9017]["n_entropy"] == 1
 
 
+@pytest.mark.parametrize("text, found", [
+    ("latest_key=Zk39QpXw7LmT2vRb8NcYdF5hGj4S", True), ("/contest/9fQzWk3LmT2vRb8NcYdF5hGj4S", True),
+    ("test/Zk39QpXw7LmT2vRb8NcYdF5hGj4S", True), ("my_example_key_Zk39QpXw7LmT2vRb8NcYdF5hGj4S", True),
+    ("123e4567-e89b-12d3-a456-426614174000", False), ("latest/sample-of-the-test/page-12345", False),
+    ("0123456789abcdefghijklmnop", False)])
+def test_ordinary_words_in_front_do_not_hide_a_secret(spark, text, found):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert (secret_scan.scan(df).first()["n_entropy"] == 1) == found
+    clean = secret_scan.redact_secrets(df).first()["text"]
+    assert ("hGj4S" not in clean) if found else clean == text
+
+
 def test_window_entropy_equals_direct_counts(spark):
     values = ["", "aaaaaaaa", "aB3dE5fG7hJ9kL1mN0pQrS2tUvW4xYz", "0123456789abcdef" * 4, "abcabcabcabcabcabcabcabc", "zz9"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
