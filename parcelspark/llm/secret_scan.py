@@ -90,7 +90,8 @@ def suspicious(value: Column) -> Column:
 
 
 def with_secret_spans(docs: DataFrame) -> DataFrame:
-    """Add ``base`` and ``added`` span arrays to ``docs(text)``; null texts are empty."""
+    """Add ``base`` and ``added`` span arrays to ``docs(text)``; null texts are empty. An added span
+    can overlap base spans, but they never cover all of it."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = F.filter(sp.regex_spans(text, ASSIGN, 0, r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
                       lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= MIN_VALUE)
@@ -99,7 +100,7 @@ def with_secret_spans(docs: DataFrame) -> DataFrame:
     digit_in_run = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20}"
     found = F.filter(sp.regex_spans(text, CANDIDATE, 3, digit_in_run), lambda s: suspicious(s["value"]))
     with_base = docs.withColumn("base", sp.by_start(F.concat(assign, access, hexes))).withColumn("found", found)
-    return (with_base.withColumn("added", F.filter("found", lambda s: ~sp.overlaps(s, F.col("base")))).drop("found"))
+    return (with_base.withColumn("added", F.filter("found", lambda s: ~sp.covered(s, F.col("base")))).drop("found"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

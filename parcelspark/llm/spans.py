@@ -36,6 +36,12 @@ def overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["stop"]) & (span["start"] < o["stop"]))
 
 
+def covered(span: Column, others: Column) -> Column:
+    """Whether ``others`` (by start) together cover all of ``span``."""
+    reach = F.aggregate(others, span["start"], lambda at, o: F.when(o["start"] <= at, F.greatest(at, o["stop"])).otherwise(at))
+    return reach >= span["stop"]
+
+
 def leftmost(spans: Column) -> Column:
     """Spans in order of start (longer first), without those that overlap an earlier kept one."""
     def step(acc: Column, span: Column) -> Column:
