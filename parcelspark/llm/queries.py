@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelspark.llm import chat_format, fingerprint, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
+from parcelspark.llm import (chat_format, fingerprint, html_blocks, mixing, near_dedup, packing, pii, quality_model, quality_rules,
+                             resampling, secret_scan, spelling, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,21 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by classified text blocks."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the word distribution of the benchmark texts."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_length_buckets": op1_length_buckets,
     "op2_pii_votes": op2_pii_votes,
@@ -81,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_segments": op8_chat_segments,
     "op9_secret_entropy": op9_secret_entropy,
     "op10_repetition_rules": op10_repetition_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_html_blocks": op12_html_blocks,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -184,9 +203,69 @@ SELECT *, NOT base_failed AND greatest({largest}) <= 0.30::DOUBLE AND n_symbols
 """
 
 
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a string expression; reads the table of ``_crc_table_sql``."""
+    octets = f"list_transform(range(1, length(hex({text})), 2), lambda i: ('0x' || substr(hex({text}), i, 2))::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            "lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)")
+
+
+def _crc_table_sql() -> str:
+    step = "i"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda x: xor(x >> 1, (x & 1) * 3988292384))[1]"
+    return f"crc_table AS (SELECT list({step} ORDER BY i) AS crc_t FROM (SELECT unnest(range(256))::BIGINT AS i))"
+
+
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+RESAMPLE_SQL = rf"""
+WITH {_crc_table_sql()},
+w AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+f AS (SELECT doc_id, unnest(ws) AS word FROM w),
+v AS (SELECT word, {_crc_sql("word")} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM b), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN v USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+                                         / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))
+                          AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+d AS (SELECT f.doc_id, sum(gain) AS weight FROM f JOIN v USING (word) JOIN g USING (bucket) GROUP BY f.doc_id),
+h AS (SELECT w.doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || substr(sha256('2024:' || w.doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN d ON d.doc_id = w.doc_id),
+r AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n_features >= 20)
+SELECT r.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM k) THEN place END AS rank
+FROM r LEFT JOIN k ON k.doc_id = r.doc_id
+"""
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE {_crc_table_sql()},
+a AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all({FOLDED}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+      FROM documents),
+b AS (SELECT doc, run, count(*) AS n FROM a WHERE length(run) >= 7 GROUP BY doc, run),
+c AS (SELECT run, n, {_crc_sql("doc || ':' || run")} AS h FROM b, crc_table),
+e AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT x.word, y.word AS near, y.n FROM x JOIN x y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+      UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.rest
+      UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.rest),
+m AS (SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(near, (-n, near)) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form,
+             CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN m ON m.word = v.word),
+r AS (SELECT word, word AS reached, 0 AS step FROM f
+      UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.reached WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(reached, step) AS root FROM r GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON z.word = f.word
+"""
+
 ORACLE: dict[str, str] = {
     "op5_near_dedup": LINK_SQL,
     "op6_fair_queue_mix": MIX_SQL,
     "op8_chat_segments": CHAT_SQL,
     "op10_repetition_rules": _rules_sql(),
+    "op11_spelling_variants": SPELLING_SQL,
+    "op13_importance_resampling": RESAMPLE_SQL,
 }
