@@ -19,11 +19,13 @@ from parcelspark.llm.store import arrow_rows
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-# Largest shares of characters inside duplicated n-grams (any measured length) and inside repeated
-# lines. A short document that says one passage twice reaches 10 to 25 percent, so tighter limits would
-# drop clean short texts.
-MAX_COVERAGE = 0.30
-MAX_SYMBOLS_PER_WORD = 0.10
+# Largest shares of word characters inside duplicated n-grams, by n, and of characters inside repeated lines.
+# A longer duplicated n-gram is stronger evidence, so its limit is lower; each length can decide alone.
+MAX_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+MAX_LINE_SHARE = 0.20
+# Characters that may be duplicated in any text: one sentence said twice must not condemn a short text.
+# In a text of n characters the rule is duplicated <= share * n + GRACE, so in long texts the shares decide.
+GRACE_CHARS = 160
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHARES = [f"dup_{n}gram_share" for n in COVERAGE_NGRAMS] + ["dup_line_share"]
@@ -37,24 +39,26 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             per_word = np.maximum(s["word_chars"], 1)
             shares = [s[f"dup_{n}gram_chars"] / per_word for n in COVERAGE_NGRAMS]
             shares.append(s["dup_line_chars"] / np.maximum(s["n_chars"], 1))
+            failed = s["dup_line_chars"] - GRACE_CHARS > MAX_LINE_SHARE * s["n_chars"]
+            for n, most in MAX_SHARE.items():
+                failed |= s[f"dup_{n}gram_chars"] - GRACE_CHARS > most * s["word_chars"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(lo, hi - lo)] + [pa.array(s[c].astype(np.int64)) for c in COUNTS]
-                + [pa.array(x) for x in shares], names=["doc_id", *COUNTS, *SHARES])
+                + [pa.array(x) for x in [*shares, failed]], names=["doc_id", *COUNTS, *SHARES, "coverage_failed"])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, coverage shares and verdict of every row of ``docs(doc_id, text)``.
 
     ``base_failed``: fewer than 50 words, or more than half of the words inside repeated 3-word
-    windows. ``kept``: not base_failed, every n-gram and line coverage within its limit, and few
-    symbols per word. Null and empty texts have zero counts and fail. Rows are judged one by one,
+    windows. ``coverage_failed``: the duplicated characters of some n-gram length, or of lines, exceed their
+    share of the text by more than ``GRACE_CHARS``. ``kept``: neither. Symbols are counted, but decide nothing.
+    Null and empty texts have zero counts and fail the base rules. Rows are judged one by one,
     so repeated rows get equal results; other columns are ignored.
     """
     arrow_rows(docs.sparkSession)
-    schema = ", ".join(["doc_id long", *[f"{c} long" for c in COUNTS], *[f"{c} double" for c in SHARES]])
+    schema = ", ".join(["doc_id long", *[f"{c} long" for c in COUNTS], *[f"{c} double" for c in SHARES], "coverage_failed boolean"])
     out = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
            .mapInArrow(_measure, schema))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    good = F.greatest(*SHARES) <= MAX_COVERAGE
-    good = good & (F.col("n_symbols") <= MAX_SYMBOLS_PER_WORD * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~(F.col("base_failed") | F.col("coverage_failed")))
