@@ -52,16 +52,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOC
     ``doc_id, source, size, source_size, target, copies, taken``.
 
     Null and empty texts have size 0 and are not taken. Null sources form one source, the last.
-    Ties in hash order go by doc_id, then size; identical rows are interchangeable. Reruns agree.
-    An empty table gives an empty result. Other columns are ignored.
+    Ties in hash order go by doc_id, then size; identical rows are interchangeable. Rows without an
+    id take part by the digest of their text. Reruns agree. An empty table gives an empty result. Other columns are ignored.
     """
     slim = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                              n_words(F.col("text").cast("string")).alias("size")), "sizes")
+                              n_words(F.col("text").cast("string")).alias("size"),
+                              shuffle_key(F.col("doc_id"), F.col("text")).alias("shuffle")), "sizes")
     sources = stored(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     rows, budget = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     digits = block_digits(rows)
 
-    queued = with_running_sum(slim.withColumn("shuffle", shuffle_key(F.col("doc_id"))), ["source"], "size", "upto",
+    queued = with_running_sum(slim, ["source"], "size", "upto",
                               digits, ties=("doc_id", "size"))
     placed = queued.join(sources, queued["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = stored(placed, "queues")
@@ -109,9 +110,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOC
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` repeated by their copies in the mix. Rows that share an id get the copies
-    of one of them (the largest number)."""
-    plan = mix(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
-    joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")))
-    return (joined.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+    """The rows of ``docs`` repeated by their copies in the mix, with all columns, whatever their names. Rows
+    that share an id get the copies of one of them (the largest number). Null and empty texts are not taken;
+    an empty table gives an empty result."""
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+    plan = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    told = docs.select(row, F.col("doc_id").cast("long").alias("id"))
+    joined = told.join(plan, F.col("id").eqNullSafe(F.col("doc_id")))
+    return joined.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

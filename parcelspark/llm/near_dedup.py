@@ -3,8 +3,8 @@
 Plan:
 
 1. One Arrow pass makes each text's shingle set, its 128-bit fingerprint and a MinHash signature.
-   Texts with equal sets form one class, represented by its smallest id; all further work is on
-   representatives, so groups of copies cost one row.
+   Texts with equal sets form one class with a number of its own; all further work is on classes, so
+   groups of copies cost one row, and rows that share an id but not the text stay apart.
 2. Signatures are cut into bands; rows of equal band form buckets. Bucket minima are partial
    aggregates. Only buckets with two or more members go on.
 3. Star round: every member is compared with the smallest member of each of its buckets. Signature
@@ -16,7 +16,7 @@ Plan:
    taken in the first band it shares. Members of the bucket's largest component are never compared
    with each other, so a large group of linked copies costs its strays only. Survivors of the same
    sequential test are checked on the full sets, by block.
-5. Components of all links, joined back to every document.
+5. Components of all links; the smallest id of each component, joined back to every document.
 
 No bucket, candidate list or group is capped, and no pair rows are emitted for a group.
 """
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from parcelspark.llm import textkit as tk
 from parcelspark.llm.graph import connected_components
@@ -105,27 +105,34 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64), pa.int64())
 
 
-def _sign(shingle: int, id_col: str) -> Callable:
+def _sums(sets: list[np.ndarray]) -> np.ndarray:
+    """Two independent 64-bit sums over each set (2 x sets); equal sets have equal sums."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    full = np.flatnonzero(n)
+    sums = np.zeros((2, len(sets)), dtype=tk.U64)
+    if len(full):
+        joined, offsets = np.concatenate([sets[i] for i in full]), np.cumsum(n[full]) - n[full]
+        sums[0, full] = np.add.reduceat(tk.mix64(joined + tk.U64(101)), offsets)
+        sums[1, full] = np.add.reduceat(tk.mix64(joined ^ tk.U64(0x5DEECE66D1234567)), offsets)
+    return sums
+
+
+def _sign(shingle: int, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.arrow_bytes(batch.column("text"))
-            ids = batch.column(id_col)
             for lo, hi in tk.byte_batches(texts):
                 sets = shingle_sets(texts[lo:hi], shingle)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
                 sig: list[bytes | None] = [None] * len(sets)
-                sums = np.zeros((2, len(sets)), dtype=tk.U64)
                 if len(full):
-                    some = [sets[i] for i in full]
-                    for i, row in zip(full, signatures(some)):
+                    for i, row in zip(full, signatures([sets[i] for i in full])):
                         sig[i] = row.tobytes()
-                    joined, offsets = np.concatenate(some), np.cumsum(n[full]) - n[full]
-                    sums[0, full] = np.add.reduceat(tk.mix64(joined + tk.U64(101)), offsets)
-                    sums[1, full] = np.add.reduceat(tk.mix64(joined ^ tk.U64(0x5DEECE66D1234567)), offsets)
+                sums = _sums(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n), _longs(sums[0]), _longs(sums[1]),
-                     pa.array(sig, pa.binary())], names=["doc_id", "n", "s1", "s2", "sig"])
+                    [*[batch.column(c).slice(lo, hi - lo) for c in keep], pa.array(n), _longs(sums[0]), _longs(sums[1]),
+                     pa.array(sig, pa.binary())], names=[*keep, "n", "s1", "s2", "sig"])
     return run
 
 
@@ -183,9 +190,11 @@ def _sets(shingle: int) -> Callable:
         for batch in batches:
             texts = tk.arrow_bytes(batch.column("text"))
             for lo, hi in tk.byte_batches(texts):
-                sets = [s.tobytes() for s in shingle_sets(texts[lo:hi], shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo),
-                                                  pa.array(sets, pa.binary())], names=["node", "shingles"])
+                sets = shingle_sets(texts[lo:hi], shingle)
+                sums = _sums(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo), _longs(sums[0]), _longs(sums[1]),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s1", "s2", "shingles"])
     return run
 
 
@@ -297,30 +306,19 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s
     return total[left, right].astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
-
-    Texts are linked when 100 * |A & B| >= percent * |A | B| over their sets of distinct
-    ``shingle``-word runs (A-Z folded; a shorter text is one shingle). Components are those of the
-    link graph. Null, empty and wordless texts have no shingles and are components of their own.
-    Rows with a null ``doc_id`` take part in no link and have a null component. Repeated rows and
-    ties keep their smallest id. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs(doc_id, text, ...)`` with ``n, s1, s2`` instead of their text, and one row per class:
+    ``n, s1, s2, node, first`` (its smallest id), ``group`` (its component), ``component_id``."""
+    arrow_rows(docs.sparkSession)
     needed = min_matches(percent / 100)
-
-    signed = stored(docs.mapInArrow(_sign(shingle, "doc_id"), "doc_id long, n long, s1 long, s2 long, sig binary"),
-                    "signed")
+    keep = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join([*[f"{c} {dict(docs.dtypes)[c]}" for c in keep], "n long, s1 long, s2 long, sig binary"])
+    signed = stored(docs.mapInArrow(_sign(shingle, keep), kinds), "signed")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    # stored, so that the join below reads two plain exchanges and a large class can be split
-    classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    member = stored(full.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
-                    .select("doc_id", "node", "n", "s1"), "members")
-    reps = (full.join(member.where("doc_id = node").select("doc_id", "s1").distinct(), ["doc_id", "s1"])
-            .dropDuplicates(["doc_id"]).select("doc_id", "n", "sig"))
-    reps = stored(reps, "reps")
+    # numbered as they are written, so the numbers stay the same for every later read
+    classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("sig").alias("sig"))
+                     .withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.select(F.col("node").alias("doc_id"), "n", "sig")
 
     bands = reps.select("doc_id", "sig").mapInArrow(_bands, "bucket long, node long")
     # per-bucket results are stored before they are joined back: a join of two plain exchanges can be split
@@ -329,12 +327,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                      .where("members > 1").select("bucket", "rep"), "minima")
     multi = stored(bands.join(buckets, "bucket"), "buckets")
 
-    # full sets of every text that shares a bucket
-    nodes = multi.select("node").distinct()
-    texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text")
-    sets = stored(texts.mapInArrow(_sets(shingle), "node long, shingles binary")
-                  .join(member.select(F.col("doc_id").alias("node"), "n").distinct(), "node")
-                  .where(F.length("shingles") == 8 * F.col("n")).select("node", "shingles"), "sets")
+    # full sets of every class that shares a bucket, from the text of its smallest id
+    wanted = multi.select("node").distinct().join(classes.select("node", F.col("first").alias("doc_id"), "s1", "s2"), "node")
+    wanted = stored(wanted, "wanted")
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(_sets(shingle), "doc_id long, s1 long, s2 long, shingles binary")
+                  .join(wanted, ["doc_id", "s1", "s2"]).groupBy("doc_id", "s1", "s2", "node")
+                  .agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "sets")
 
     # star round
     stars = multi.where("node <> rep").select(F.col("node").alias("b"), F.col("rep").alias("a")).distinct()
@@ -377,12 +376,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
              .mapInArrow(_cross_exact(percent), "a long, b long"))
 
     component = connected_components(star_links.select("a", "b").union(cross))
-    placed = (member.select("doc_id", "node", "n", "s1").distinct()
-              .join(component, "node", "left")
-              .select("doc_id", "s1", "n", F.coalesce("component", "node").alias("component_id")))
-    return (signed.select("doc_id", "n", "s1").join(placed.select("doc_id", "s1", "component_id"), ["doc_id", "s1"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "doc_id").alias("component_id"))
+    labelled = stored(classes.select("n", "s1", "s2", "node", "first").join(component, "node", "left")
+                      .withColumn("group", F.coalesce("component", "node")).drop("component"), "labelled")
+    lowest = stored(labelled.groupBy("group").agg(F.min("first").alias("component_id")), "lowest")
+    return signed.drop("sig"), stored(labelled.join(lowest, "group"), "placed")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
+
+    Texts are linked when 100 * |A & B| >= percent * |A | B| over their sets of distinct
+    ``shingle``-word runs (A-Z folded; a shorter text is one shingle). Components are those of the
+    link graph of texts: rows that share an id but not the text are linked by their texts only. Null,
+    empty and wordless texts have no shingles and are components of their own. Rows with a null
+    ``doc_id`` take part in no link and have a null component. Repeated rows and ties keep their
+    smallest id. An empty table gives an empty result. Other columns are ignored.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed, classes = _grouped(slim, shingle, percent)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return (signed.join(classes.select("n", "s1", "s2", "component_id"), ["n", "s1", "s2"], "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
@@ -394,11 +408,22 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` that stay: the smallest id of each component, with all columns.
+    """Rows of ``docs`` that stay: of each component the row of smallest id (ties: smallest text digest), with
+    all columns, whatever their names.
 
-    Rows that repeat an id keep the one with the smallest text; rows without an id stay.
+    Null, empty and wordless texts are linked with nothing; of rows with equal id and equal text one stays.
+    Rows without an id all stay. An empty table gives an empty result.
     """
-    stay = near_duplicates(docs, shingle, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("stay__")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id").cast("long") == F.col("stay__"))
-    first = named.withColumn("place__", F.row_number().over(Window.partitionBy("stay__").orderBy("text")))
-    return first.where("place__ = 1").select(*[docs[c] for c in docs.columns]).union(docs.where(F.col("doc_id").isNull()))
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+    told = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    told = told.withColumn("digest", F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("")))
+    signed, classes = _grouped(told.select("doc_id", "digest", "text"), shingle, percent)
+    named = signed.where("doc_id IS NOT NULL")
+    linked = (named.join(classes.select("n", "s1", "s2", "group"), ["n", "s1", "s2"])
+              .groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("stay")).select("stay.*"))
+    alone = named.where("n = 0").select("doc_id", "digest").distinct()
+    stay = stored(linked.unionAll(alone), "stay")
+    # equal ids and texts can differ in other columns: the pick among them is the same in every run
+    picked = (told.join(stay, ["doc_id", "digest"]).groupBy("doc_id", "digest")
+              .agg(F.min_by("row", F.xxhash64("row")).alias("row")))
+    return picked.select("row.*").unionAll(told.where("doc_id IS NULL").select("row.*"))

@@ -63,27 +63,37 @@ def padded(tokens: Column, multiple: int = MULTIPLE) -> Column:
     return (F.greatest(F.ceil(tokens / multiple), F.lit(1)) * multiple).cast("long")
 
 
-def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, multiple: int = MULTIPLE) -> DataFrame:
+def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, multiple: int = MULTIPLE,
+         keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``:
-    ``doc_id, n_tokens, bucket, bucket_length, batch, slot``.
+    ``doc_id, n_tokens, bucket, bucket_length, batch, slot``; with ``keep``, also ``copy`` and the columns
+    of ``docs`` it names.
 
     Tokens are whitespace words. A row of bucket b is padded to ``bucket_length``; batches count from
-    0 inside their bucket. Null and empty texts have no tokens and go to the shortest bucket.
-    Repeated rows get slots of their own. The histogram that comes to the driver has one row per
-    distinct padded length. Other columns are ignored.
+    0 inside their bucket. ``copy`` numbers rows of equal id (without an id: of equal text) and length
+    from 1. Null and empty texts have no tokens and go to the shortest bucket. Repeated rows get slots of
+    their own. The histogram that comes to the driver has one row per distinct padded length. An empty
+    table gives an empty result. Other columns are ignored.
     """
-    slim = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text").cast("string")).alias("n_tokens"))
-                  .withColumn("length", padded(F.col("n_tokens"), multiple)), "lengths")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text").cast("string")).alias("n_tokens"),
+                       shuffle_key(F.col("doc_id"), F.col("text")).alias("shuffle"), F.lit(1).cast("long").alias("one"),
+                       *([kept] if keep else [])).withColumn("length", padded(F.col("n_tokens"), multiple))
+    slim = stored(rows.drop("kept"), "lengths")
     histogram = sorted((r["length"], r["n"]) for r in slim.groupBy("length").agg(F.count("*").alias("n")).collect())
     bounds = bucket_bounds([x for x, _ in histogram], [n for _, n in histogram], n_buckets) or [multiple]
     digits = block_digits(sum(n for _, n in histogram))
     bucket = sum(((F.col("length") > b).cast("int") for b in bounds[:-1]), F.lit(0))
     length = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
-    placed = (slim.withColumn("bucket", bucket).withColumn("bucket_length", length)
-              .withColumn("shuffle", shuffle_key(F.col("doc_id"))).withColumn("one", F.lit(1).cast("long")))
-    numbered = with_running_sum(placed, ["bucket"], "one", "place", digits, ties=("doc_id", "n_tokens"))
-    rows = F.greatest(F.floor(F.lit(budget) / F.col("bucket_length")), F.lit(1))
-    return (numbered.withColumn("rows", rows)
+
+    def placed(part: DataFrame) -> DataFrame:
+        return part.withColumn("bucket", bucket).withColumn("bucket_length", length)
+
+    numbered = with_running_sum(placed(rows if keep else slim), ["bucket"], "one", "place", digits, ties=("doc_id", "n_tokens"),
+                                light=placed(slim), repeat="copy" if keep else None)
+    per_batch = F.greatest(F.floor(F.lit(budget) / F.col("bucket_length")), F.lit(1))
+    return (numbered.withColumn("rows", per_batch)
             .select("doc_id", "n_tokens", "bucket", "bucket_length",
                     F.floor((F.col("place") - 1) / F.col("rows")).cast("long").alias("batch"),
-                    F.pmod(F.col("place") - 1, F.col("rows")).cast("long").alias("slot")))
+                    F.pmod(F.col("place") - 1, F.col("rows")).cast("long").alias("slot"),
+                    *(["copy", *[F.col(f"kept.`{c}`") for c in keep]] if keep else [])))

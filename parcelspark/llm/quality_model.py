@@ -172,7 +172,8 @@ def score(docs: DataFrame, forest: Forest, cutoff: float = 0.3) -> DataFrame:
 
 
 def accepted(docs: DataFrame, forest: Forest, cutoff: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` whose text scores at least ``cutoff``, with all their columns, in one pass."""
+    """Rows of ``docs`` whose text scores at least ``cutoff``, with all their columns, whatever their names, in
+    one pass. Null and empty texts are scored from their zero statistics."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +182,6 @@ def accepted(docs: DataFrame, forest: Forest, cutoff: float = 0.3) -> DataFrame:
             keep = [forest.probability(features(texts[lo:hi])) >= cutoff for lo, hi in tk.byte_batches(texts)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+    told = docs.select(row, F.col("text").cast("string").alias("text"))
+    return told.mapInArrow(run, told.schema).select("row.*")

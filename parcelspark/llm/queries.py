@@ -104,7 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 MIX_SQL = f"""
-WITH d AS (SELECT doc_id, source, {WORDS_SQL} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, {WORDS_SQL} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 r AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM r),
@@ -179,7 +179,7 @@ def _rules_sql() -> str:
                        for n in (3, *lengths))
     chars = ", ".join(f"coalesce(sum(length(w)) FILTER (WHERE c{n}), 0) AS k{n}" for n in lengths)
     shares = ", ".join(f"CAST(coalesce(k{n}, 0) AS DOUBLE) / greatest(coalesce(word_chars, 0), 1) AS dup_{n}gram_share" for n in lengths)
-    largest = ", ".join([*[f"dup_{n}gram_share" for n in lengths], "dup_line_share"])
+    limits = " OR ".join(f"coalesce(k{n}, 0) - 160 > {0.15 - 0.01 * (n - 5):.2f}::DOUBLE * coalesce(word_chars, 0)" for n in lengths)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w0 AS (SELECT doc_id, unnest(list_zip(ws, range(1, len(ws) + 1))) AS x
@@ -196,10 +196,11 @@ l2 AS (SELECT doc_id, sum(n - 1) AS n_dup_lines, sum(CASE WHEN n > 1 THEN n * le
 r AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
              CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-             {shares}, CAST(coalesce(dup_chars, 0) AS DOUBLE) / greatest(length(text), 1) AS dup_line_share
+             {shares}, CAST(coalesce(dup_chars, 0) AS DOUBLE) / greatest(length(text), 1) AS dup_line_share,
+             {limits} OR coalesce(dup_chars, 0) - 160 > 0.20::DOUBLE * length(text) AS coverage_failed
       FROM d LEFT JOIN w5 USING (doc_id) LEFT JOIN l2 USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
-SELECT *, NOT base_failed AND greatest({largest}) <= 0.30::DOUBLE AND n_symbols <= 0.10::DOUBLE * n_words AS kept FROM v
+SELECT *, NOT base_failed AND NOT coverage_failed AS kept FROM v
 """
 
 
