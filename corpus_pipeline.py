@@ -17,28 +17,33 @@ ORACLE_SQL = None
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents it rejects go."""
+    """Quality classifier: documents it rejects go. Null and empty texts are scored like any text, rows one by
+    one; an empty table stays empty, extra columns stay as they are."""
     return quality_model.accepted(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup over 5-word shingles: one document of each group stays."""
+    """MinHash near-dedup over 5-word shingles: one document of each group stays. Null, empty and wordless
+    texts are in no group; of rows with equal id and text one stays; rows without an id all stay."""
     return near_dedup.deduplicated(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan: secrets are replaced by a mark; n_chars is counted anew where the text changed."""
+    """Secret scan: secrets are replaced by a mark; n_chars is counted anew where the text changed. No row
+    goes; null and empty texts stay as they are."""
     return secret_scan.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Weighted fair queueing: each document as often as the mix takes it (not at all, or repeated)."""
+    """Weighted fair queueing: each document as often as the mix takes it (not at all, or repeated). Null and
+    empty texts hold no words and are not taken; null sources are one source."""
     return mixing.mixed_documents(docs)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets of least padding and token-budget batches."""
-    return packing.pack(docs)
+    """Length buckets of least padding and token-budget batches. The result is the training data: each row
+    carries its text and source, the number of its copy in the mix, and its bucket, batch and slot."""
+    return packing.pack(docs, keep=("source", "text"))
 
 
 STAGES = [
