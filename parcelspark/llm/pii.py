@@ -135,19 +135,25 @@ def _arithmetic(s: Column, digits: Column) -> Column:
     return (F.when(s["rank"] == 0, 0)
             .when(s["rank"] == 1, F.when(small_octets(s["value"]), 1).otherwise(-1))
             .when(s["rank"] == 2, F.when(luhn(digits), 1).otherwise(-1))
-            .when(s["rank"] == 3, F.when(F.length(digits).between(9, 15) & ~digits.rlike(r"^(\d)\1+$"), 1).otherwise(-1))
+            .when(s["rank"] == 3, F.when(F.length(digits).between(9, 15) & ~digits.rlike(r"^(\d)\1+$")
+                                         & (s["value"].startswith("+") | digits.rlike("^[2-9]..[2-9]")), 1).otherwise(-1))
             .when(s["rank"] == 4, F.when(~digits.rlike("0000$") & ~digits.rlike("^...00"), 1).otherwise(-1))
             .otherwise(F.when(F.length(F.replace(s["value"], F.lit(" "))).between(15, 34), 1).otherwise(-1)))
 
 
-def estimate(patterns: list[tuple], rounds: int = 40) -> tuple[list[float], dict[str, dict[int, tuple[float, float]]]]:
+Reliabilities = dict[str, dict[int, tuple[float, float]]]
+
+
+def estimate(patterns: list[tuple], rounds: int = 40, start: list[float] | None = None,
+             known: Reliabilities | None = None, strength: float = 10.0) -> tuple[list[float], Reliabilities]:
     """Dawid-Skene with a binary truth over counted vote patterns ``(rank, votes, count)``.
 
     Returns the posterior of every pattern and, per labeler and vote, P(vote | personal) and
-    P(vote | not). Starts from the share of positive votes; counts are smoothed by one.
+    P(vote | not). Starts from the posteriors ``start``, or from the share of positive votes. Counts are
+    smoothed by one, and by ``strength`` imagined votes of each truth as in ``known``.
     """
-    post = [(sum(v > 0 for v in votes) + 0.5) / (sum(v != 0 for v in votes) + 1.0) for _, votes, _ in patterns]
-    tables: dict[str, dict[int, tuple[float, float]]] = {}
+    post = start or [(sum(v > 0 for v in votes) + 0.5) / (sum(v != 0 for v in votes) + 1.0) for _, votes, _ in patterns]
+    tables: Reliabilities = {}
     for _ in range(rounds):
         total = [1.0, 1.0]
         for p, (_, _, n) in zip(post, patterns):
@@ -155,7 +161,7 @@ def estimate(patterns: list[tuple], rounds: int = 40) -> tuple[list[float], dict
             total[1] += (1 - p) * n
         prior = total[0] / sum(total)
         for k, name in enumerate(LABELERS):
-            seen = {v: [1.0, 1.0] for v in (-1, 0, 1)}
+            seen = {v: [1.0 + strength * known[name][v][c] if known else 1.0 for c in (0, 1)] for v in (-1, 0, 1)}
             for p, (_, votes, n) in zip(post, patterns):
                 seen[votes[k]][0] += p * n
                 seen[votes[k]][1] += (1 - p) * n
@@ -172,6 +178,20 @@ def estimate(patterns: list[tuple], rounds: int = 40) -> tuple[list[float], dict
     return post, tables
 
 
+def reliabilities(patterns: list[tuple]) -> tuple[list[float], dict[int, Reliabilities]]:
+    """Posterior of every pattern ``(rank, votes, count)``, and each kind's own reliabilities of the labelers: a
+    context word can be telling for one kind and say little for another. A kind starts from what the labelers
+    do over all kinds, which also steadies it where it has few candidates."""
+    pooled, known = estimate(patterns)
+    posts, tables = [0.0] * len(patterns), {}
+    for kind in sorted({rank for rank, _, _ in patterns}):
+        own = [i for i, (rank, _, _) in enumerate(patterns) if rank == kind]
+        fresh, tables[kind] = estimate([patterns[i] for i in own], start=[pooled[i] for i in own], known=known)
+        for i, p in zip(own, fresh):
+            posts[i] = p
+    return posts, tables
+
+
 def fit_classifier(rows: list[tuple[list[str], float, float]], steps: int = 400, rate: float = 0.5,
                    decay: float = 1e-3) -> dict[str, float]:
     """Logistic regression on one-hot features ``(names, soft label, weight)`` by full gradient steps.
@@ -205,8 +225,8 @@ def train(cands: DataFrame) -> dict[str, float]:
     counted = (cands.select(F.explode("cands").alias("c")).groupBy("c.rank", *[f"c.{v}" for v in LABELERS], "c.length")
                .agg(F.count("*").alias("n")).collect())
     rows = sorted((r["rank"], tuple(r[v] for v in LABELERS), r["length"], r["n"]) for r in counted)
-    post, _ = estimate([(rank, votes, n) for rank, votes, _, n in rows])
-    return fit_classifier([(_names(rank, votes, length), p, float(n)) for (rank, votes, length, n), p in zip(rows, post)])
+    posts, _ = reliabilities([(rank, votes, n) for rank, votes, _, n in rows])
+    return fit_classifier([(_names(rank, votes, length), p, float(n)) for (rank, votes, length, n), p in zip(rows, posts)])
 
 
 def probability(c: Column, weights: dict[str, float]) -> Column:

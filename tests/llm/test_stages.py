@@ -232,3 +232,61 @@ def test_keys_behind_names_and_paths(spark):
             (3, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEkQ9p1"), (4, "uuid 123e4567-e89b-12d3-a456-426614174000")]
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "latest_key=[SECRET]", 2: "https://x.org/contest/[SECRET]?a=1", 3: "[SECRET]", 4: rows[3][1]}
+
+
+# ---------------------------------------------------------------- loose personal data against labels
+
+def loose_corpus(seed, n):
+    """Texts with one loose form each, true or look-alike; 30 percent of either lack the words in front that
+    tell them apart. As many texts hold a strict form. Returns rows and (kind, true) by id."""
+    rng = random.Random(seed)
+
+    def d(k):
+        return "".join(rng.choice("0123456789") for _ in range(k))
+
+    def pick(*of):
+        return rng.choice(of)
+
+    def prose():
+        return " ".join(pick("the", "house", "stood", "by", "water", "and", "many", "people", "came", "there") for _ in range(rng.randrange(4, 10)))
+
+    kinds = [("email", True, lambda: f"{pick('joe', 'anna', 'max.b', 'info')} [at] {pick('example', 'mailbox', 'posta')} [dot] {pick('com', 'org', 'de', 'fr')}",
+              ("write to ", "contact ", "mail me: ")),
+             ("email", False, lambda: f"x{d(1)} (at) {pick('noon', 'page', 'line')}.{pick('then', 'we', 'next')}", ("meet ", "seen ")),
+             ("phone", True, lambda: f"({rng.randrange(201, 990)}) {rng.randrange(201, 990)}-{d(4)}", ("call ", "phone ", "my cell: ")),
+             ("phone", False, lambda: f"{d(3)}.{d(3)}.{d(4)}", ("version ", "section ", "isbn ")),
+             ("ssn", True, lambda: f"{rng.randrange(101, 660)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", ("ssn ", "social security number ")),
+             ("ssn", False, lambda: f"{pick('000', '666', '9' + d(2), d(3))}-{pick('00', d(2))}-{pick('0000', d(4))}", ("order ", "page ", "id ")),
+             ("iban", True, lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", ("IBAN ", "my bank account ", "konto ")),
+             ("iban", False, lambda: f"{pick('XK', 'QZ', 'ZZ', 'AB')}{d(2)} {d(4)} {d(4)} {d(4)}", ("release ", "order "))]
+    rows, truth = [], {}
+    for i in range(n):
+        kind, true, form, words = rng.choice(kinds)
+        rows.append((i, f"{prose()} {rng.choice(words) if rng.random() < 0.7 else ''}{form()} {prose()}"))
+        truth[i] = (kind, true)
+    strict = (" mail joe@example.com ", " call +1 415 555 2671 ", " card 4111 1111 1111 1111 ", " host 10.0.0.1 ")
+    rows += [(n + i, prose() + rng.choice(strict) + prose()) for i in range(n)]
+    return rows, truth
+
+
+@pytest.mark.parametrize("seed, n", [(1, 400), (2, 120)])
+def test_loose_forms_recall_and_precision(spark, seed, n):
+    rows, truth = loose_corpus(seed, n)
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = {"email": (0.95, 0.95), "phone": (0.95, 0.7), "ssn": (0.95, 0.8), "iban": (0.95, 0.95)}
+    for kind, (recall, precision) in least.items():
+        true = [i for i, (k, t) in truth.items() if k == kind and t]
+        hits = [i for i, (k, _) in truth.items() if k == kind and kind in got[i]]
+        assert len(set(true) & set(hits)) >= recall * len(true), kind
+        assert len(set(true) & set(hits)) >= precision * len(hits), kind
+
+
+def test_reliabilities_are_estimated_per_kind():
+    """Context tells for kind 0 and is noise for kind 1: its estimated weight differs."""
+    patterns = [(0, (1, 1, 1, 1, 1), 40), (0, (-1, -1, -1, -1, 1), 40), (0, (1, 1, 1, 0, 1), 5),
+                (1, (1, 1, 1, 1, 1), 20), (1, (1, 1, -1, 1, 1), 20), (1, (-1, -1, 1, -1, 1), 20), (1, (-1, -1, -1, -1, 1), 20)]
+    posts, tables = pii.reliabilities(patterns)
+    def telling(kind):
+        yes, no = tables[kind]["context"][1]
+        return yes / no
+    assert telling(0) > 5 > telling(1) and posts[0] > 0.9 > 0.1 > posts[1]
