@@ -88,7 +88,7 @@ def ascii_fold(col) -> Column:
     """
     src, dst, multi, multi_chars = _fold_parts()
     text = _c(col)
-    multi_map = F.create_map(*[F.lit(x) for kv in multi.items() for x in kv])
+    multi_map = _literal_map(multi)
     rare = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""))
     present = F.filter(rare, lambda ch: F.try_element_at(multi_map, ch).isNotNull())
     has_multi = F.length(F.translate(text, multi_chars, "")) < F.length(text)
@@ -104,13 +104,15 @@ def normalize_text(col) -> Column:
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
-def _alias_map(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+def _literal_map(mapping: dict[str, str]) -> Column:
+    """A constant map parsed from one text literal: Catalyst folds it into one value, and each use adds two
+    literals to a plan instead of two per entry. Entries are parted by control characters."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in mapping.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def normalize_street_name(col) -> Column:
     """normalize_text, then every space-separated token goes through the alias table."""
-    aliases = _alias_map(STREET_TOKEN_ALIASES)
+    aliases = _literal_map(STREET_TOKEN_ALIASES)
     tokens = F.transform(F.split(normalize_text(col), " "),
                          lambda t: F.coalesce(F.try_element_at(aliases, t), t))
     return F.array_join(tokens, " ")  # '' splits to [''] and joins back to ''
@@ -123,7 +125,7 @@ def _let(value: Column, body) -> Column:
 
 def normalize_house_suffix(col) -> Column:
     """NULL -> '', else normalised text mapped through the suffix aliases."""
-    aliases = _alias_map(SUFFIX_ALIASES)
+    aliases = _literal_map(SUFFIX_ALIASES)
     mapped = _let(normalize_text(col), lambda n: F.coalesce(F.try_element_at(aliases, n), n))
     return F.when(_c(col).isNull(), F.lit("")).otherwise(mapped)
 

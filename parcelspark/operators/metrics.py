@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import indicator, round_half_even
-from ..session import materialize
+from ..functions.numeric import round_half_even
+from ..session import stored
+from .histogram import KIND, TRANSACTION, Grain, group_metrics, value_histogram
 from .quantile import exact_medians
 
 # ---- fixed values: output names of the metric block ----------------------------------------
@@ -31,69 +32,100 @@ def _not_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(cond)
 
 
-def sales_metrics(df: DataFrame, keys: list[str], *, tx: str = "transaction_id",
-                  price: str = "price_per_m2", value: str = "sale_value_eur",
-                  surface: str = "built_surface_m2", rooms: str = "rooms",
-                  kind: str = "property_type", apartment: str = "Appartement",
-                  house: str = "Maison", extra_medians: dict[str, str] | None = None,
-                  extra_aggs: list | None = None, carry: list[str] | None = None) -> DataFrame:
-    """The metric block per group: distinct transactions, exact medians of price/m2, value,
-    surface and rooms, apartment and house share in % (round 1), all metrics round 2.
-
-    ``extra_medians`` / ``extra_aggs`` add grain-specific columns to the same count and median
-    aggregates (the street and building grains), so no separate aggregate + join per extra column
-    is needed;
-    ``carry`` names the extra input columns they read. The input is read twice (counts, then
-    medians), so pass a stored table or one that is cheap to read; only the aggregated counts, one
-    row per group, are materialised, and they also tell which groups are large.
-    """
-    needed = dict.fromkeys([*keys, tx, price, value, surface, rooms, kind,
-                            *(extra_medians or {}).values(), *(carry or [])])
-    data = _not_null_keys(df, keys).select(*needed)
-    counts = materialize(data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_distinct(tx).alias("transactions"),
-        F.avg(indicator(F.col(kind) == apartment)).alias("_apt"),
-        F.avg(indicator(F.col(kind) == house)).alias("_house"),
-        *(extra_aggs or [])))
-    medians = exact_medians(data, keys, {
-        "median_price_m2": price, "median_sale_value_eur": value,
-        "median_surface_m2": surface, "median_rooms": rooms, **(extra_medians or {})},
-        sizes=counts.select(*keys, "_rows"))
-    out = counts.join(medians, keys, "left")
+# medians of the metric block: output name -> metric of the histogram
+MEDIANS = {"median_price_m2": "price_m2", "median_sale_value_eur": "sale_value", "median_surface_m2": "surface",
+           "median_rooms": "rooms"}
+
+
+def block_grain(keys: list[str], *, tx: str = "transaction_id", price: str = "price_per_m2",
+                value: str = "sale_value_eur", surface: str = "built_surface_m2", rooms: str = "rooms",
+                kind: str = "property_type", more_values: dict[str, str] | None = None,
+                more_labels: dict | None = None) -> Grain:
+    """What the metric block needs of each sale at one grain; ``more_values`` and ``more_labels`` add a
+    grain's own metrics."""
+    return Grain(keys, {"price_m2": price, "sale_value": value, "surface": surface, "rooms": rooms, **(more_values or {})},
+                 {TRANSACTION: tx, KIND: F.coalesce(F.col(kind), F.lit("")), **(more_labels or {})})
+
+
+def metric_block(histogram: DataFrame, grain: str, keys: list[str], *, apartment: str = "Appartement", house: str = "Maison",
+                 more_medians: dict[str, str] | None = None, more_distinct: dict[str, str] | None = None) -> DataFrame:
+    """The metric block of one grain of a stored histogram: distinct transactions, exact medians of price/m2,
+    value, surface and rooms, apartment and house share in % (round 1), all metrics round 2; then the grain's
+    own distinct counts and medians as they are."""
+    own = group_metrics(histogram, grain, keys, medians={**MEDIANS, **(more_medians or {})},
+                        distinct={"transactions": TRANSACTION, **(more_distinct or {})},
+                        shares={"_apt": apartment, "_house": house})
     share = lambda c: round_half_even(round_half_even(F.col(c) * 100.0, 1), 2)
-    rounded = {m: round_half_even(m, 2) for m in METRIC_COLUMNS[1:5]}
-    extras = [c for c in out.columns if c not in keys and c not in METRIC_COLUMNS
-              and not c.startswith("_")]
-    return out.select(*keys, "transactions", *[rounded[m].alias(m) for m in METRIC_COLUMNS[1:5]],
-                      share("_apt").alias("apartment_share_pct"),
-                      share("_house").alias("house_share_pct"), *extras)
+    return own.select(*keys, "transactions", *[round_half_even(m, 2).alias(m) for m in MEDIANS],
+                      share("_apt").alias("apartment_share_pct"), share("_house").alias("house_share_pct"),
+                      *(more_distinct or {}), *(more_medians or {}))
 
 
-def street_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
+def sales_metrics(df: DataFrame, keys: list[str], *, apartment: str = "Appartement", house: str = "Maison",
+                  **columns) -> DataFrame:
+    """The metric block of ``df`` per group. The input is read once, into a stored histogram of this grain."""
+    return metric_block(stored(value_histogram(df, {"group": block_grain(keys, **columns)}), "histogram"), "group", keys,
+                        apartment=apartment, house=house)
+
+
+GEOCODED_TRANSACTION = "geocoded_transaction"
+PLACE_MEDIANS = {"longitude": "longitude", "latitude": "latitude"}
+STREET_DISTINCT = {"buildings": "building", "geocoded_transactions": GEOCODED_TRANSACTION}
+BUILDING_DISTINCT = {"geocoded_transactions": GEOCODED_TRANSACTION, "parcel_count": "parcel"}
+
+
+def street_grain() -> Grain:
+    geocoded = F.when(F.col("longitude").isNotNull(), F.col("transaction_id"))
+    return block_grain(STREET_KEYS, more_values=PLACE_MEDIANS, more_labels={"building": "building_id", GEOCODED_TRANSACTION: geocoded})
+
+
+def building_grain() -> Grain:
+    geocoded = F.when(F.col("longitude").isNotNull(), F.col("transaction_id"))
+    return block_grain(BUILDING_KEYS, more_values=PLACE_MEDIANS, more_labels={GEOCODED_TRANSACTION: geocoded, "parcel": "parcel_id"})
+
+
+def street_block(histogram: DataFrame, grain: str = "street", **kinds) -> DataFrame:
     """Street x year: metric block + distinct buildings, geocoded transactions, median lon/lat."""
-    keys = STREET_KEYS
-    m = sales_metrics(
-        df, keys, **kinds,
-        extra_medians={"longitude": "longitude", "latitude": "latitude"}, carry=["building_id"],
-        extra_aggs=[F.count_distinct("building_id").alias("buildings"),
-                    F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
-                     .alias("geocoded_transactions")])
-    return m.select(*keys, "buildings", "geocoded_transactions", "longitude", "latitude",
-                    *METRIC_COLUMNS)
+    m = metric_block(histogram, grain, STREET_KEYS, more_medians=PLACE_MEDIANS, more_distinct=STREET_DISTINCT, **kinds)
+    return m.select(*STREET_KEYS, "buildings", "geocoded_transactions", "longitude", "latitude", *METRIC_COLUMNS)
 
 
-def building_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
+def building_block(histogram: DataFrame, grain: str = "building", **kinds) -> DataFrame:
     """Building x year (9 keys): metric block + geocoded transactions, median lon/lat, parcels."""
-    keys = BUILDING_KEYS
-    m = sales_metrics(
-        df, keys, **kinds,
-        extra_medians={"longitude": "longitude", "latitude": "latitude"}, carry=["parcel_id"],
-        extra_aggs=[F.count_distinct(F.when(F.col("longitude").isNotNull(), F.col("transaction_id")))
-                     .alias("geocoded_transactions"),
-                    F.count_distinct("parcel_id").alias("parcel_count")])
-    return m.select(*keys, "geocoded_transactions", "longitude", "latitude", "parcel_count",
-                    *METRIC_COLUMNS)
+    m = metric_block(histogram, grain, BUILDING_KEYS, more_medians=PLACE_MEDIANS, more_distinct=BUILDING_DISTINCT, **kinds)
+    return m.select(*BUILDING_KEYS, "geocoded_transactions", "longitude", "latitude", "parcel_count", *METRIC_COLUMNS)
+
+
+def street_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
+    """``street_block`` of sales that are read once."""
+    return street_block(stored(value_histogram(df, {"street": street_grain()}), "histogram"), **kinds)
+
+
+def building_sales_metrics(df: DataFrame, **kinds) -> DataFrame:
+    """``building_block`` of sales that are read once."""
+    return building_block(stored(value_histogram(df, {"building": building_grain()}), "histogram"), **kinds)
+
+
+# the five grains of the market tables
+MARKET_GRAINS = {
+    "arrondissement": lambda: block_grain(["arrondissement", "year"]),
+    "quartier": lambda: block_grain(["quartier_id", "quartier_name", "arrondissement", "year"]),
+    "iris": lambda: block_grain(["iris_code", "iris_name", "iris_type", "arrondissement", "year"]),
+    "street": street_grain, "building": building_grain}
+
+
+def market_histogram(geocoded: DataFrame, grains: tuple[str, ...] = tuple(MARKET_GRAINS)) -> DataFrame:
+    """The histogram of geocoded and attached sales at all five grains, in one pass."""
+    return value_histogram(geocoded, {name: MARKET_GRAINS[name]() for name in grains})
+
+
+def market_table(histogram: DataFrame, grain: str, **kinds) -> DataFrame:
+    """The yearly market table of one grain, from the stored histogram."""
+    if grain == "street":
+        return street_block(histogram, **kinds)
+    if grain == "building":
+        return building_block(histogram, **kinds)
+    return metric_block(histogram, grain, MARKET_GRAINS[grain]().keys, **kinds)
 
 
 def income_metrics(df: DataFrame, *, district: str = "arrondissement", block_id: str = "IRIS",
@@ -102,14 +134,11 @@ def income_metrics(df: DataFrame, *, district: str = "arrondissement", block_id:
     """Per district: count of blocks, medians of median/Q1/Q3 income, means of poverty and
     taxable share, rounded to 2."""
     data = _not_null_keys(df, [district]).select(district, block_id, median_income, poverty, q1, q3, taxable)
-    counts = materialize(data.groupBy(district).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(block_id).alias("iris_count"),
-        F.avg(poverty).alias("poverty_rate_pct"), F.avg(taxable).alias("share_taxable_pct")))
-    med = exact_medians(data, [district], {
+    out = exact_medians(data, [district], {
         "median_income_eur": median_income, "first_quartile_income_eur": q1,
-        "third_quartile_income_eur": q3}, sizes=counts.select(district, "_rows"))
-    out = counts.join(med, district, "left")
+        "third_quartile_income_eur": q3},
+        aggs=(F.count(block_id).alias("iris_count"), F.avg(poverty).alias("poverty_rate_pct"),
+              F.avg(taxable).alias("share_taxable_pct")))
     r = lambda c: round_half_even(c, 2).alias(c)
     return out.select(F.col(district).alias("arrondissement"), "iris_count", r("median_income_eur"),
                       r("poverty_rate_pct"), r("first_quartile_income_eur"),

@@ -27,7 +27,7 @@ merges it in one task, so a group holding a third of a 100 TB table would be fin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -38,31 +38,30 @@ HOT_GROUP_ROWS = 1_000_000
 
 
 def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str],
-                  hot_rows: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """Exact median of each ``values`` column (``out_name -> input column``) per ``keys``.
-
-    Returns one row per group with columns ``keys + list(values)`` (NULL where a group has no
-    non-null value). Small groups go through the built-in aggregate, hot groups through
-    ``rank_medians``; which groups are hot does not change the result. Keys must not be NULL.
-    ``sizes`` (keys and ``_rows``, one row per group) saves the counting pass when the caller
-    has it already; the hot-key count is one scalar action over it.
+                  hot_rows: int | None = None, aggs: tuple = ()) -> DataFrame:
+    """Exact median of each ``values`` column (``out_name -> input column``) per ``keys``, and other
+    aggregates ``aggs`` of bounded state.
+
+    Returns one row per group with columns ``keys``, the aggregates and ``list(values)`` (NULL where a group
+    has no non-null value). Small groups go through the built-in aggregate, hot groups through
+    ``rank_medians``; which groups are hot does not change the result. Keys must not be NULL. An input with
+    no more rows than the bound has no hot group: one count without a shuffle tells.
     """
     hot_rows = HOT_GROUP_ROWS if hot_rows is None else hot_rows
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else \
-            df.agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > hot_rows).select(*keys) if keys else \
-        sizes.where(F.col("_rows") > hot_rows)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return small_group_medians(df, keys, values)
+    if df.count() <= hot_rows:
+        return small_group_medians(df, keys, values, aggs)
     if not keys:
-        return rank_medians(df, keys, values)
+        ranked = rank_medians(df, keys, values)
+        return df.agg(*aggs).crossJoin(ranked) if aggs else ranked      # one row each
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return small_group_medians(df, keys, values, aggs)
     cold = df.join(hot, keys, "left_anti")
     warm = df.join(hot, keys, "left_semi")
     # a hot group without any value has no rank: the group list brings it back with NULLs
-    ranked = hot.join(rank_medians(warm, keys, values), keys, "left").select(*keys, *values)
-    return small_group_medians(cold, keys, values).unionByName(ranked)
+    groups = warm.groupBy(*keys).agg(*aggs) if aggs else hot
+    ranked = groups.join(rank_medians(warm, keys, values), keys, "left").select(*groups.columns, *values)
+    return small_group_medians(cold, keys, values, aggs).unionByName(ranked)
 
 
 def rank_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
@@ -75,8 +74,13 @@ def rank_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> Data
               .select(*keys, F.col("_mv.m").alias("_m"), F.col("_mv.v").alias("_v"))
               .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     weighted = long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    return rank_weighted(weighted, keys, names)
 
-    checkpoint_dir(df.sparkSession)
+
+def rank_weighted(weighted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Steps 2 to 5 of the rank selection on pre-aggregated rows ``(keys, _m, _v, _w)``: value ``_v`` of
+    metric number ``_m`` occurs ``_w`` times. One median per name, in the order of the numbers."""
+    checkpoint_dir(weighted.sparkSession)
     ranged = (weighted.repartitionByRange(*keys, "_m", "_v")
                       .withColumn("_blk", F.spark_partition_id())
                       .checkpoint(eager=True))
@@ -102,11 +106,16 @@ def rank_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> Data
         *[F.avg(F.when(F.col("_m") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)])
 
 
-def small_group_medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+def median_of(col: str) -> Column:
+    """Built-in exact median of a column, NaN left out."""
+    value = F.col(col).cast("double")
+    return F.median(F.when(~F.isnan(value), value))
+
+
+def small_group_medians(df: DataFrame, keys: list[str], values: dict[str, str], aggs: tuple = ()) -> DataFrame:
     """Built-in exact ``median`` per group; use only where group sizes are bounded."""
-    aggs = [F.median(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(name)
-            for name, c in values.items()]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    medians = [median_of(c).alias(name) for name, c in values.items()]
+    return df.groupBy(*keys).agg(*aggs, *medians) if keys else df.agg(*aggs, *medians)
 
 
 def kth_smallest(df: DataFrame, col: str, k_from_n) -> DataFrame:

@@ -2,8 +2,8 @@
 
 All inputs here are district-grain tables (one row per district, or per district x year), so
 their size is bounded by the domain (20 districts, a few years) no matter how many sales,
-addresses or cells produced them. Latest years are scalar subqueries; column medians for the
-fills come from one global aggregate over the materialised summary (a handful of scalars).
+addresses or cells produced them. Latest years are scalar subqueries and the column medians for the fills
+are windows over the district table, all in one plan; pass stored tables where they are costly to make.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, round_half_even, safe_ratio
-from ..session import materialize
 from .metrics import METRIC_COLUMNS, five_year_sum
-from .quantile import small_group_medians
+from .quantile import median_of
 
 # ---- fixed values (domain rules of the reference pipeline) ---------------------------------
 QUALITY_OF_LIFE_WEIGHTS = {"noise_norm": 0.30, "air_norm": 0.30, "high_noise_norm": 0.25, "env_norm": 0.15}
@@ -100,16 +99,12 @@ def district_summary(districts: DataFrame, sales_yearly: DataFrame, income: Data
     for part in [sales_latest, income, rents_latest, social_latest, social_5y, environment]:
         s = s.join(part, "arrondissement", "left")
     s = s.select(*s.columns, ls.alias("sales_year"), lr.alias("rent_year"), lso.alias("social_year"))
-    s = materialize(s)  # district grain: a handful of rows, read by the fill aggregate and below
-
-    meds = small_group_medians(s, [], {c: c for c in MEDIAN_FILL + list(NEUTRAL_ENVIRONMENT_DEFAULTS)}).first()
-    for c in ZERO_FILL:
-        s = s.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-    for c in MEDIAN_FILL:
-        if meds[c] is not None:
-            s = s.withColumn(c, F.coalesce(F.col(c), F.lit(meds[c])))
-    for c, default in NEUTRAL_ENVIRONMENT_DEFAULTS.items():
-        s = s.withColumn(c, F.coalesce(F.col(c), F.lit(meds[c] if meds[c] is not None else default)))
+    # column medians over the whole district table (bounded by the number of districts), in the same plan
+    whole = Window.partitionBy()
+    medians = {c: median_of(c).over(whole) for c in MEDIAN_FILL + list(NEUTRAL_ENVIRONMENT_DEFAULTS)}
+    fills = {**{c: [F.lit(0)] for c in ZERO_FILL}, **{c: [medians[c]] for c in MEDIAN_FILL},
+             **{c: [medians[c], F.lit(default)] for c, default in NEUTRAL_ENVIRONMENT_DEFAULTS.items()}}
+    s = s.select(*[F.coalesce(c, *fills[c]).alias(c) if c in fills else F.col(c) for c in s.columns])
 
     tx = F.when(F.col("transactions") != 0, F.col("transactions"))
     s = (s.withColumn("months_income_for_1sqm", months_income_for_1sqm())

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import lambert93
 from ..operators import geocode, metrics, overlay, sales, serving, spatial, summary, themes
+from ..operators.histogram import write_histogram
 from ..session import materialize
 from ..sinks import writers
 from ..sources import readers
@@ -68,7 +69,6 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
     tx = sales.clean_raw_sales(readers.read_sales(spark, bronze.sales))
     tx_path = write(tx, f"{silver}/sales_transactions", partition_by="year")
     tx = readers.read_table(spark, tx_path)
-    sales_yearly = metrics.sales_metrics(tx, ["arrondissement", "year"])
 
     # geocoding cascade, spatial attachment, micro keys
     ref = materialize(geocode.prepare_address_reference(readers.read_addresses(spark, bronze.addresses)))
@@ -92,12 +92,8 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
     write(geocoded, f"{silver}/sales_geocoded", partition_by="year")
     out["sales_geocoded"] = write(geocoded, f"{gold}/sales_geocoded", partition_by="year")
 
-    quarter_yearly = metrics.sales_metrics(geo.where(F.col("quartier_id").isNotNull()),
-                                           ["quartier_id", "quartier_name", "arrondissement", "year"])
-    iris_yearly = metrics.sales_metrics(geo.where(F.col("iris_code").isNotNull()),
-                                        ["iris_code", "iris_name", "iris_type", "arrondissement", "year"])
-    street_yearly = metrics.street_sales_metrics(geo)
-    building_yearly = metrics.building_sales_metrics(geo)
+    # one pass over the sales; the yearly tables of all five grains are read from the histogram
+    histogram = readers.read_table(spark, write_histogram(metrics.market_histogram(geo), f"{silver}/sales_histogram"))
     cover = metrics.coverage(geo)
 
     # theme tables
@@ -110,10 +106,9 @@ def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
     else:
         env = summary.neutral_environment(districts)
 
-    tables = {"sales_yearly": sales_yearly, "sales_quartier_yearly": quarter_yearly,
-              "sales_iris_yearly": iris_yearly, "sales_street_yearly": street_yearly,
-              "sales_building_yearly": building_yearly, "income": income, "rents_yearly": rents,
-              "social_yearly": social, "noise": env}
+    tables = {"sales_yearly": metrics.market_table(histogram, "arrondissement"),
+              **{f"sales_{grain}_yearly": metrics.market_table(histogram, grain) for grain in ("quartier", "iris", "street", "building")},
+              "income": income, "rents_yearly": rents, "social_yearly": social, "noise": env}
     for name, df in tables.items():
         stored = readers.read_table(spark, write(df, f"{silver}/{name}", partition_by="year"))
         out[name] = write(stored, f"{gold}/{name}", partition_by="year")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import postal_code_to_district
-from ..session import materialize
+from ..session import materialize, stored, stored_together
 from ..operators import geocode, metrics, overlay, sales, serving, spatial, summary, themes
 from . import testdata as td
 
@@ -207,24 +207,22 @@ def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  feature_id="arrondissement", cell=OCTAGON_CELL)
 
 
-def sales_yearly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Gold district x year table, materialised: the summary, the overview and the map read
-    it several times (the build writes and rereads it the same way)."""
-    return materialize(q01_sales_district_year(spark, sf_dir))
+def theme_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables the summary joins, stored side by side: they do not depend on one another, and some are
+    read several times (as the build rereads its Gold tables)."""
+    makers = {"sales": q01_sales_district_year, "income": income, "rents": rents, "social": social, "environment": environment}
+    return stored_together({name: lambda make=make: make(spark, sf_dir) for name, make in makers.items()})
 
 
-def district_summary(spark: SparkSession, sf_dir: str, sales_yearly: DataFrame | None = None) -> DataFrame:
-    sales_yearly = sales_yearly if sales_yearly is not None else sales_yearly_table(spark, sf_dir)
-    # district grain: the yearly tables are read several times, as the build rereads its Gold tables
-    return summary.district_summary(
-        districts(spark, sf_dir), sales_yearly, income(spark, sf_dir),
-        materialize(rents(spark, sf_dir)), materialize(social(spark, sf_dir)), environment(spark, sf_dir))
+def district_summary(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    t = tables or theme_tables(spark, sf_dir)
+    return summary.district_summary(districts(spark, sf_dir), t["sales"], t["income"], t["rents"], t["social"], t["environment"])
 
 
 def overview_rows(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     """Overview rows (district grain), materialised for consumers that read them repeatedly."""
-    sy = sales_yearly_table(spark, sf_dir)
-    return materialize(summary.overview(district_summary(spark, sf_dir, sy), sy, year))
+    t = theme_tables(spark, sf_dir)
+    return stored(summary.overview(district_summary(spark, sf_dir, t), t["sales"], year), "overview")
 
 
 def q18_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +246,8 @@ OVERVIEW_YEAR = 1998
 
 def q21_overview_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overview for a chosen sales year: that year's sales block, months of income, price rank."""
-    sy = sales_yearly_table(spark, sf_dir)
-    return summary.overview(district_summary(spark, sf_dir, sy), sy, OVERVIEW_YEAR)
+    t = theme_tables(spark, sf_dir)
+    return summary.overview(district_summary(spark, sf_dir, t), t["sales"], OVERVIEW_YEAR)
 
 
 TIMELINE_DISTRICT = 7
@@ -443,9 +441,7 @@ def q39_gold_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q41_overview_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City block of the overview for the chosen sales year."""
-    sy = sales_yearly_table(spark, sf_dir)
-    return summary.overview_city(materialize(summary.overview(district_summary(spark, sf_dir, sy), sy,
-                                                              OVERVIEW_YEAR)))
+    return summary.overview_city(overview_rows(spark, sf_dir, OVERVIEW_YEAR))
 
 
 def q40_neutral_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,9 +455,9 @@ def q42_sales_block_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         "year", "transaction_id", "price_per_m2", "sale_value_eur", "built_surface_m2", "rooms",
         "property_type", "longitude", "latitude"))
     blocks = td.octagon_features(spark, sf_dir).withColumn("block_type", F.concat(F.lit("T"), F.col("region").cast("string")))
-    located = materialize(spatial.attach_points(
+    located = spatial.attach_points(
         pts, blocks, x="longitude", y="latitude", feature_id="feature_id", order="feature_id",
-        mapping={"feature_id": "iris_code", "name": "iris_name", "block_type": "iris_type", "arrondissement": "arrondissement"}))
+        mapping={"feature_id": "iris_code", "name": "iris_name", "block_type": "iris_type", "arrondissement": "arrondissement"})
     return _metrics(located.withColumn("iris_code", F.col("iris_code").cast("string")),
                     ["iris_code", "iris_name", "iris_type", "arrondissement", "year"])
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -65,6 +67,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
+def stored(df, label: str):
+    """Write ``df`` as Parquet to a folder of its own under the checkpoint folder and reread it.
+
+    Like ``materialize``, for tables that later passes read in part: columns and rows are pruned.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_together(tables: dict) -> dict:
+    """``stored`` for independent tables (label -> function that makes the DataFrame), side by side: their
+    jobs share the cluster instead of waiting for one another's last tasks and plans."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+        running = {label: pool.submit(lambda make=make, label=label: stored(make(), label)) for label, make in tables.items()}
+        return {label: job.result() for label, job in running.items()}
+
+
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and continue from the written copy.
 
