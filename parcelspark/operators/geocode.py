@@ -89,15 +89,22 @@ def merge_links(existing: DataFrame, delivered: DataFrame, order_col: str = "seq
     """Append a delivered batch to the link table; on duplicate (idu, id_adr, type_lien) the
     last row wins: delivered after existing, and inside a batch the higher ``order_col`` (the
     stored row order). The result keeps a row order in ``order_col`` (delivered rows continue after
-    the stored ones), so it can be stored and merged again. NULL keys compare equal, as groups do.
+    the stored ones), so it can be stored and merged again. A batch need not have an order: rows
+    without one, or with NULL, come after the stored rows and before the ordered ones, and among
+    themselves the largest (nb_adr, nb_parc) wins, so that reruns agree. NULL keys compare equal, as groups do.
     One aggregate with partial aggregation; no window over a whole key."""
     cols = ["idu", "id_adr", "type_lien", "nb_adr", "nb_parc"]
     after = F.coalesce(existing.agg(F.max(order_col)).scalar() + 1, F.lit(0)).cast("long")
-    both = (existing.select(*cols, F.col(order_col).cast("long").alias(order_col))
-            .unionByName(delivered.select(*cols, (after + F.col(order_col)).cast("long").alias(order_col))))
+    own = F.col(order_col).cast("long") if order_col in delivered.columns else F.lit(None).cast("long")
+    # rows without an order stand right behind the stored ones; where there are any, the ordered ones follow them
+    shift = delivered.agg(F.when(F.count_if(own.isNull()) > 0, 1).otherwise(0)).scalar()
+    place = F.when(own.isNull(), after).otherwise(after + shift + own)
+    both = (existing.select(*cols, F.coalesce(F.col(order_col).cast("long"), F.lit(-1).cast("long")).alias(order_col))
+            .unionByName(delivered.select(*cols, place.alias(order_col))))
+    last = F.struct(order_col, "nb_adr", "nb_parc")
     return (both.groupBy("idu", "id_adr", "type_lien")
-                .agg(F.max_by(F.struct("nb_adr", "nb_parc", order_col), order_col).alias("_r"))
-                .select("idu", "id_adr", "type_lien", "_r.*"))
+                .agg(F.max(last).alias("_r"))
+                .select("idu", "id_adr", "type_lien", "_r.nb_adr", "_r.nb_parc", f"_r.{order_col}"))
 
 
 def geocode_cascade(sales: DataFrame, with_suffix: DataFrame, without_suffix: DataFrame,

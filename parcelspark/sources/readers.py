@@ -8,26 +8,29 @@ reader is lazy; file listing, splitting and column pruning are Spark's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators.sales import RAW_SALES_COLUMNS
+from .records import read_features, read_quoted_csv
 
 FEATURE_SCHEMA = ("type string, geometry struct<type string, coordinates string>, "
                   "properties map<string, string>")
-COLLECTION_SCHEMA = ("features array<struct<type: string, geometry: struct<type: string, coordinates: string>, "
-                     "properties: map<string, string>>>")
 YEAR_IN_NAME = r"(20\d{2})"
 SPARK_PART = r"^part-"
-HEADER_FILES_PER_JOB = 200     # header lines are fetched for so many files at once
 
 # ---- fixed values: input column names ---------------------------------------------------------
 ADDRESS_COLUMNS = ["cle_interop", "commune_insee", "voie_nom", "numero", "suffixe", "long", "lat",
                    "certification_commune"]
+IRIS_COLUMNS = ["CODE_IRIS", "NOM_IRIS", "TYP_IRIS", "INSEE_COM", "DEP", "Geo Shape"]
 RENT_COLUMNS = ["Année", "Loyers de référence", "Loyers de référence majorés",
                 "Loyers de référence minorés", "Numéro INSEE du quartier"]
 # -----------------------------------------------------------------------------------------------
@@ -61,18 +64,58 @@ def source_name() -> Column:
 
 def list_files(spark: SparkSession, paths) -> list[str]:
     """Paths of the data files under ``paths`` (a listing; no content is read)."""
-    return sorted(r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect())
+    return sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the time of a block."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def first_lines(spark: SparkSession, paths, known: list[str] | None = None) -> dict[str, str]:
+    """First line of every data file under ``paths``; empty files are left out.
+
+    One scan with one file to a task: a task hands on its first row and stops reading, so a file costs
+    one read buffer however long it is. What comes to the driver is one line per file.
+    """
+    files = known if known is not None else list_files(spark, paths)
+    if not files:
+        return {}
+    whole = str(1 << 60)
+    with _settings(spark, spark__sql__files__maxPartitionBytes=whole, spark__sql__files__openCostInBytes=whole,
+                   spark__sql__execution__arrow__maxRecordsPerBatch="1"):
+        lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+        # where a cluster's settings deal files otherwise, every row is looked at instead
+        alone = lines.rdd.getNumPartitions() == len(files)
+
+        def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in batches:
+                names, starts = batch.column("file").to_pylist(), batch.column("at").to_pylist()
+                new = [i for i, f in enumerate(names) if starts[i] == 0 and f != (names[i - 1] if i else last)]
+                if new:
+                    yield batch.take(pa.array(new)).select(["file", "value"])
+                    if alone:
+                        return
+                last = names[-1] if names else last
+
+        return {unquote(r["file"]): r["value"] for r in lines.mapInArrow(heads, "file string, value string").collect()}
 
 
 def files_by_header(spark: SparkSession, paths) -> dict[str, list[str]]:
-    """Data files grouped by their first line. Each file is one task that stops after that line;
-    empty files are left out."""
-    files, groups = list_files(spark, paths), {}
-    for at in range(0, len(files), HEADER_FILES_PER_JOB):
-        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value")
-                  for f in files[at:at + HEADER_FILES_PER_JOB]]
-        for row in reduce(DataFrame.unionByName, firsts).collect():
-            groups.setdefault(row["value"], []).append(row["file"])
+    """Data files grouped by their first line; empty files are left out."""
+    groups: dict[str, list[str]] = {}
+    for file, line in sorted(first_lines(spark, paths).items()):
+        groups.setdefault(line, []).append(file)
     return groups
 
 
@@ -116,8 +159,9 @@ def read_addresses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_iris(spark: SparkSession, path: str, department: str = "75") -> DataFrame:
     """Census-block CSV with its polygon as GeoJSON text in ``Geo Shape``; blocks of the
-    department only; typed attributes and a ``geometry`` struct."""
-    df = _csv(spark, path, ";", quote='"', escape='"', multiLine=True).where(F.col("DEP") == department)
+    department only; typed attributes and a ``geometry`` struct. Fields may hold line breaks; one file is
+    read by many tasks."""
+    df = read_quoted_csv(spark, path, IRIS_COLUMNS).where(F.col("DEP") == department)
     geo = F.col("Geo Shape")
     return df.select(
         F.col("CODE_IRIS").alias("iris_code"), F.col("NOM_IRIS").alias("iris_name"),
@@ -149,12 +193,11 @@ def read_social(spark: SparkSession, path: str) -> DataFrame:
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """GeoJSON features as rows (``type``, ``geometry`` with raw coordinates text,
-    ``properties`` map). A FeatureCollection file is one JSON document (read whole, fine for
-    reference layers); ``lines=True`` reads one feature per line, which splits across tasks."""
+    ``properties`` map), from FeatureCollection documents or (``lines=True``) one feature per line. Either
+    way one file is read by many tasks."""
     if lines:
         return spark.read.schema(FEATURE_SCHEMA).json(path)
-    fc = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", True).json(path)
-    return fc.select(F.explode("features").alias("f")).select("f.*")
+    return read_features(spark, path, FEATURE_SCHEMA)
 
 
 def quarter_table(features: DataFrame) -> DataFrame:
@@ -183,17 +226,32 @@ LINK_SCHEMA = "idu string, id_adr string, type_lien string, nb_adr string, nb_pa
 def read_links(spark: SparkSession, base_path: str) -> DataFrame:
     """Newest complete version of the stored parcel -> address link table: the highest one in the
     commit list, which ``sinks.writers.write_links_versioned`` extends after a version's files are all
-    written. An empty typed table when nothing was stored yet; any other error is raised."""
+    written. An empty typed table when nothing was stored yet. Versions without a list are an error, as taking
+    them for nothing would request every known link again; any other error is raised."""
     try:
-        commits = spark.read.parquet(commit_list(base_path))
+        newest = spark.read.schema("version long").parquet(commit_list(base_path)).agg(F.max("version")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        newest = None
+    if newest is None:
+        if _exists(spark, f"{base_path.rstrip('/')}/version=*"):
+            raise FileNotFoundError(f"{base_path} holds versions, but {commit_list(base_path)} lists none: the list is lost, or no write ended")
         return spark.createDataFrame([], LINK_SCHEMA)
-    newest = commits.agg(F.max("version")).first()[0]
     return spark.read.schema(LINK_SCHEMA).parquet(f"{base_path.rstrip('/')}/version={newest}")
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern matches anything (a listing)."""
+    try:
+        spark.read.format("binaryFile").load(pattern)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def commit_list(base_path: str) -> str:
     """Folder of the complete versions' numbers, next to the link table."""
     return f"{base_path.rstrip('/')}-commits"
