@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import covers_expr, polygon_table, polygon_tiles, suggest_cell, tile_side, used_levels
+from .spatial import covers_expr, layer_shape, polygon_table, polygon_tiles, suggest_cell, tile_side
 
 LINE_JSON = "array<array<double>>"
 MULTILINE_JSON = "array<array<array<double>>>"
@@ -96,7 +96,7 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, *, line_id: str, feature_i
     polys = polygon_table(polygons, feature_id, feature_id, [], poly_geometry)
     c = float(cell) if cell else suggest_cell(polys)
     segs = line_segments(lines, line_id, geometry)
-    seg_tiles = segment_tiles(segs.withColumn("level", F.explode(used_levels(polys, c))), c)
+    seg_tiles = segment_tiles(segs.withColumn("level", F.explode(layer_shape(polys, c)[0])), c)
     seg_key = ["_lid", "part", "seq"]
     pairs = (seg_tiles.join(polygon_tiles(polys, c), ["level", "gx", "gy"])
                       .where((F.greatest("ax", "bx") >= F.col("minx")) & (F.least("ax", "bx") <= F.col("maxx"))

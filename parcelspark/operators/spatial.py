@@ -10,7 +10,9 @@ Point-in-polygon plan (no cartesian product):
 2. each polygon's bounding box is tiled with square cells on the grid of its level (side ``cell``,
    doubled per level), at most nine tiles each; a point looks up its cell on every level that
    occurs (equi join on ``(level, gx, gy)``), then takes the inclusive bbox test;
-3. exact boundary-inclusive test: point on an edge, or an odd number of ray crossings;
+3. exact boundary-inclusive test: point on an edge, or an odd number of ray crossings; a polygon with few edges
+   is walked whole, one with many keeps its edges in bands of y (``edge_bands``), and a point meets only
+   the edges of its bands, whose crossings are summed;
 4. first match wins by feature order (``min`` of a unique numeric order), a partial hash
    aggregate per coordinate; attributes join back by that order.
 No side is forced to be broadcast: adaptive execution chooses from the measured sizes, and shuffle
@@ -48,29 +50,81 @@ def ring_edges(rings: Column, project=None) -> Column:
         return F.struct(x.alias("x"), y.alias("y"))
 
     def edges_of(ring):
+        # each point beside the next one, the last beside the first: linear in the ring's points
         pts = F.transform(ring, point)
-        n = F.size(pts)
-        return F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(pts[i]["x"].alias("x1"), pts[i]["y"].alias("y1"),
-                               pts[(i + 1) % n]["x"].alias("x2"), pts[(i + 1) % n]["y"].alias("y2")))
+        following = F.concat(F.slice(pts, F.lit(2), F.size(ring)), F.slice(pts, F.lit(1), F.lit(1)))
+        return F.zip_with(pts, following, lambda a, b: F.struct(
+            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
     all_edges = F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), edges_of))
     return F.filter(all_edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
 
 
-def covers_expr(px: str, py: str, edges: str = "edges") -> Column:
-    """Boundary-inclusive point-in-polygon over an edge array (even-odd rule).
+def touches_expr(px: str, py: str, edges: str = "edges") -> Column:
+    """Whether the point lies on one of the edges."""
+    on_edge = (f"(e.x2 - e.x1) * ({py} - e.y1) - (e.y2 - e.y1) * ({px} - e.x1) = 0 "
+               f"AND {px} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
+               f"AND {py} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)")
+    return F.expr(f"exists({edges}, e -> {on_edge})")
+
+
+def odd_crossings_expr(px: str, py: str, edges: str = "edges") -> Column:
+    """Whether the ray to the right crosses an odd number of the edges.
 
     The division sits inside the CASE that guarantees y1 != y2, so ANSI mode never divides by 0.
     """
     crossing = (f"CASE WHEN (e.y1 > {py}) <> (e.y2 > {py}) "
                 f"THEN {px} < e.x1 + ({py} - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) ELSE false END")
-    on_edge = (f"(e.x2 - e.x1) * ({py} - e.y1) - (e.y2 - e.y1) * ({px} - e.x1) = 0 "
-               f"AND {px} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
-               f"AND {py} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)")
-    return F.expr(f"exists({edges}, e -> {on_edge}) "
-                  f"OR aggregate({edges}, false, (acc, e) -> acc <> ({crossing}))")
+    return F.expr(f"aggregate({edges}, false, (acc, e) -> acc <> ({crossing}))")
+
+
+def covers_expr(px: str, py: str, edges: str = "edges") -> Column:
+    """Boundary-inclusive point-in-polygon over an edge array (even-odd rule)."""
+    return touches_expr(px, py, edges) | odd_crossings_expr(px, py, edges)
+
+
+BAND_EDGES = 64         # polygons with more edges are kept in bands of about half as many
+
+
+def band_count(n_edges: Column) -> Column:
+    """Bands of the finest level: a power of two, so that a band holds about ``BAND_EDGES / 2`` short edges."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n_edges, F.lit(1)) * 2.0 / BAND_EDGES)))
+
+
+def edge_bands(polys: DataFrame) -> DataFrame:
+    """``_fid, level, band, edges`` of polygons: bands double their height per level, and an edge lies on the
+    level where its own height fits, so in two bands at most. A point's ray and a touching edge share the
+    point's y, hence a band of every level that the edge can be on."""
+    bottom, height = F.col("miny"), (F.col("maxy") - F.col("miny")) / band_count(F.size("edges"))
+    one = polys.select("_fid", bottom.alias("bottom"), height.alias("height"), F.explode("edges").alias("e"))
+    lo, hi = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    leveled = one.withColumn("level", band_level(hi - lo, F.col("height")))
+    placed = leveled.withColumn("band", F.explode(F.sequence(band_of(lo, "bottom", "height", "level"), band_of(hi, "bottom", "height", "level"))))
+    return placed.groupBy("_fid", "level", "band").agg(F.collect_list("e").alias("edges"))
+
+
+def band_level(extent: Column, height: Column) -> Column:
+    return F.when(extent > height, F.ceil(F.log2(extent / height))).otherwise(F.lit(0)).cast("int")
+
+
+def band_of(y: Column, bottom: str, height: str, level: str) -> Column:
+    """Number of the band that holds ``y``; monotone in ``y``. A polygon without height has one band."""
+    tall = F.col(height) * F.pow(F.lit(2.0), F.col(level))
+    return F.when(tall > 0, F.floor((y - F.col(bottom)) / F.when(tall > 0, tall))).otherwise(F.lit(0)).cast("long")
+
+
+def banded_hits(cand: DataFrame, polys: DataFrame) -> DataFrame:
+    """``_x, _y, _ord`` of the candidate pairs (_x, _y, _fid) whose point a polygon with many edges covers."""
+    bands = edge_bands(polys)
+    levels = bands.groupBy("_fid").agg(F.sort_array(F.collect_set("level")).alias("levels"))     # a few per polygon
+    heads = polys.select("_fid", "_ord", F.col("miny").alias("bottom"),
+                         ((F.col("maxy") - F.col("miny")) / band_count(F.size("edges"))).alias("height")).join(levels, "_fid")
+    asked = (cand.join(heads, "_fid").withColumn("level", F.explode("levels"))
+             .withColumn("band", band_of(F.col("_y"), "bottom", "height", "level")))
+    met = asked.join(bands, ["_fid", "level", "band"]).select(
+        "_x", "_y", "_ord", touches_expr("_x", "_y").alias("on"), odd_crossings_expr("_x", "_y").cast("int").alias("odd"))
+    return (met.groupBy("_x", "_y", "_ord").agg(F.max("on").alias("on"), F.sum("odd").alias("odd"))
+            .where(F.col("on") | (F.col("odd") % 2 == 1)).select("_x", "_y", "_ord"))
 
 
 def polygon_table(features: DataFrame, feature_id: str, order: str, attrs: list[str],
@@ -116,11 +170,14 @@ def polygon_tiles(polys: DataFrame, cell: float) -> DataFrame:
             .withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / c), F.floor(F.col("maxy") / c)))))
 
 
-def used_levels(polys: DataFrame, cell: float) -> Column:
-    """The levels that occur (an array; a few entries): one scalar action over the polygon table."""
+def layer_shape(polys: DataFrame, cell: float) -> tuple[Column, int]:
+    """The grid levels that occur (an array; a few entries) and the most edges of a polygon: one scalar action
+    over the polygon table."""
     side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    mask = polys.select(level_of(side, cell).alias("level")).agg(F.bit_or(F.expr("shiftleft(1L, level)"))).first()[0] or 0
-    return F.array(*[F.lit(n) for n in range(MAX_LEVEL + 1) if mask >> n & 1]).cast("array<int>")
+    row = polys.select(level_of(side, cell).alias("level"), F.size("edges").alias("n")).agg(
+        F.bit_or(F.expr("shiftleft(1L, level)")), F.max("n")).first()
+    mask = row[0] or 0
+    return F.array(*[F.lit(n) for n in range(MAX_LEVEL + 1) if mask >> n & 1]).cast("array<int>"), row[1] or 0
 
 
 def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs: list[str],
@@ -131,19 +188,23 @@ def locate_points(points: DataFrame, polys: DataFrame, *, x: str, y: str, attrs:
     the polygons (``suggest_cell``).
     """
     c = float(cell) if cell else suggest_cell(polys)
+    levels, most_edges = layer_shape(polys, c)
     coords = (points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
                     .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()
                            & ~F.isnan("_x") & ~F.isnan("_y"))
                     .distinct()
-                    .withColumn("level", F.explode(used_levels(polys, c)))
+                    .withColumn("level", F.explode(levels))
                     .withColumn("gx", F.floor(F.col("_x") / tile_side(F.col("level"), c)))
                     .withColumn("gy", F.floor(F.col("_y") / tile_side(F.col("level"), c))))
     cand = (coords.join(polygon_tiles(polys, c), ["level", "gx", "gy"])
                   .where(F.col("_x").between(F.col("minx"), F.col("maxx"))
                          & F.col("_y").between(F.col("miny"), F.col("maxy")))
                   .select("_x", "_y", "_fid"))
-    hits = (cand.join(polys.select("_fid", "_ord", "edges"), "_fid")
-                .where(covers_expr("_x", "_y")))
+    few = polys.where(F.size("edges") <= BAND_EDGES) if most_edges > BAND_EDGES else polys
+    hits = (cand.join(few.select("_fid", "_ord", "edges"), "_fid")
+                .where(covers_expr("_x", "_y")).select("_x", "_y", "_ord"))
+    if most_edges > BAND_EDGES:
+        hits = hits.unionAll(banded_hits(cand, polys.where(F.size("edges") > BAND_EDGES)))
     # first match = smallest feature order (unique per feature, numeric): min() keeps the
     # aggregation buffer fixed width, so this stays a hash aggregate with partial aggregation
     # (a struct or string buffer would force a sort of all candidate pairs); attributes join back

@@ -2,8 +2,10 @@
 the known ids, scores stay in range; plus the streaming ingest and the source catalogue."""
 
 import csv
+import json
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -290,3 +292,125 @@ def test_one_huge_polygon_among_small_ones(spark):
     clipped = {r["fid"]: r["length"] for r in clip_lines(lines, feats, line_id="lid", feature_id="fid").collect()}
     assert set(clipped) == {*range(20), 99}
     assert abs(clipped[99] - (499.005 * 2 ** 0.5 + 499.995)) < 1e-6 and abs(clipped[5] - 0.01) < 1e-9
+
+
+def _star(n, seed, big=1.0):
+    """Coordinates (integers, so that the plain test is exact) of a jagged ring with a jagged hole."""
+    import math
+    import random
+    rng = random.Random(seed)
+
+    def ring(lo, hi, m):
+        pts = []
+        for i in range(m):
+            r = rng.uniform(lo, hi)
+            pts.append([round(r * math.cos(2 * math.pi * i / m)), round(r * math.sin(2 * math.pi * i / m))])
+        return pts + [pts[0]]
+
+    return [ring(7e5 * big, 1e6 * big, n), ring(1e5 * big, 3e5 * big, max(3, n // 4))]
+
+
+def _covered(x, y, rings):
+    """Plain even-odd rule with the boundary inside, in exact integers."""
+    odd = False
+    for r in rings:
+        for (x1, y1), (x2, y2) in zip(r, r[1:]):
+            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y):
+                left = (x - x1) * (y2 - y1) < (y - y1) * (x2 - x1)
+                odd ^= left if y2 > y1 else not left and (x - x1) * (y2 - y1) != (y - y1) * (x2 - x1)
+    return odd
+
+
+def test_polygons_with_many_edges_keep_them_in_bands(spark):
+    import random
+    rng = random.Random(8)
+    comb = [[[x, (x % 2) * 900] for x in range(301)] + [[300, -5], [0, -5], [0, 0]]]           # edges as tall as the polygon
+    shapes = {1: _star(900, 1), 2: _star(40, 2, 0.05), 3: comb, 4: _star(12, 3), 5: [[[0, 7], [50, 7], [90, 7], [0, 7]] * 30]}
+    feats = spark.createDataFrame([(i, {"type": "Polygon", "coordinates": json.dumps(r)}) for i, r in shapes.items()],
+                                  "fid int, geometry struct<type: string, coordinates: string>")
+    polys = spatial.polygon_table(feats, "fid", "fid", [])
+    assert spatial.layer_shape(polys, 1.0)[1] > spatial.BAND_EDGES
+    bands = spatial.edge_bands(polys.where("_fid = 1")).select(F.size("edges").alias("n"))
+    assert bands.agg(F.max("n")).first()[0] < 300 and bands.agg(F.sum("n")).first()[0] <= 3 * 1125
+    pts = [(rng.randrange(-10 ** 6, 10 ** 6), rng.randrange(-10 ** 6, 10 ** 6)) for _ in range(250)]
+    pts += [(rng.randrange(-9, 310), rng.randrange(-9, 910)) for _ in range(120)]
+    pts += [tuple(p) for r in shapes.values() for ring in r for p in rng.choices(ring, k=9)]       # vertices
+    pts += [(20, 7), (95, 7), (300, 2), (0, 0)]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "pid int, x double, y double")
+    for only in ([1, 2, 3, 4, 5], [3, 5], [1], [5]):
+        got = {r["pid"]: r["hit"] for r in spatial.attach_points(df, feats.where(F.col("fid").isin(only)), x="x", y="y", feature_id="fid",
+                                                                 order="fid", mapping={"fid": "hit"}).collect()}
+        for i, (x, y) in enumerate(pts):
+            assert got[i] == next((k for k in only if _covered(x, y, shapes[k])), None), (only, x, y)
+
+
+def test_a_point_costs_a_band_not_the_polygon(spark):
+    feats = spark.createDataFrame([(1, {"type": "Polygon", "coordinates": json.dumps(_star(100_000, 4))})],
+                                  "fid int, geometry struct<type: string, coordinates: string>")
+    polys = spatial.polygon_table(feats, "fid", "fid", []).cache()
+    assert polys.select(F.size("edges")).first()[0] > 100_000
+    bands = spatial.edge_bands(polys).cache()
+    # edges met by points all over the polygon: those of their bands on each level
+    df = spark.range(500).select((F.rand(1) * 2e6 - 1e6).alias("_x"), (F.rand(2) * 2e6 - 1e6).alias("_y"), F.lit(1).alias("_fid"))
+    heads = polys.select("_fid", F.col("miny").alias("bottom"),
+                         ((F.col("maxy") - F.col("miny")) / spatial.band_count(F.size("edges"))).alias("height"))
+    asked = df.join(heads, "_fid").withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(20)]))) \
+        .withColumn("band", spatial.band_of(F.col("_y"), "bottom", "height", "level"))
+    met = asked.join(bands, ["_fid", "level", "band"]).groupBy("_x", "_y").agg(F.sum(F.size("edges")).alias("n"))
+    mean = met.agg(F.avg("n")).first()[0]
+    assert mean < 0.25 * 125_000
+    assert spatial.banded_hits(df, polys).count() > 100
+
+
+def test_link_batches_without_an_order(spark, tmp_path):
+    from parcelspark.sources.readers import commit_list, read_links
+    from parcelspark.sinks.writers import write_links_versioned
+    schema = "idu string, id_adr string, type_lien string, nb_adr string, nb_parc string"
+    stored = spark.createDataFrame([("p", "a", "GEO", "1", "1", 0), ("r", "c", None, "5", "1", 1), ("s", "d", None, "7", "1", None)], schema + ", seq long")
+    batch = [("p", "a", "GEO", "2", "9"), ("q", "b", "BAN", "3", "1"), ("q", "b", "BAN", "3", "0")]
+    merged = geocode.merge_links(stored, spark.createDataFrame(batch, schema))
+    rows = {r["idu"]: (r["nb_adr"], r["nb_parc"]) for r in merged.collect()}
+    assert rows == {"p": ("2", "9"), "q": ("3", "1"), "r": ("5", "1"), "s": ("7", "1")}
+    assert merged.where("seq IS NULL").count() == 0
+    mixed = spark.createDataFrame([(*batch[0], None), ("p", "a", "GEO", "4", "4", 0)], schema + ", seq long")
+    assert {r["nb_adr"] for r in geocode.merge_links(stored, mixed).where("idu = 'p'").collect()} == {"4"}
+    # versions whose list is lost are not taken for an empty table
+    base = str(tmp_path / "links")
+    write_links_versioned(merged, base)
+    assert read_links(spark, base).count() == 4
+    import os
+    os.rename(commit_list(base), str(tmp_path / "elsewhere"))
+    with pytest.raises(FileNotFoundError):
+        read_links(spark, base)
+
+
+def test_histograms_of_years_add_up(spark, tmp_path):
+    from parcelspark.operators import metrics
+    from parcelspark.operators.histogram import group_metrics, write_histogram
+    from parcelspark.plans import queries as q
+    from parcelspark.operators import quantile
+    base = q.micro_sales(spark, "/root/testdata/sf0.001").withColumn("quartier_id", F.col("supplier_id")) \
+        .withColumn("quartier_name", F.lit("n")).withColumn("iris_code", F.when(F.col("rooms") > 9, "x")) \
+        .withColumn("iris_name", F.lit("n")).withColumn("iris_type", F.lit("t")).cache()
+    years = sorted(r[0] for r in base.select("year").distinct().collect())
+    whole = write_histogram(metrics.market_histogram(base), str(tmp_path / "whole"))
+    parts = str(tmp_path / "parts")
+    for y in [*years, years[0]]:                             # one year twice: it replaces its own rows only
+        write_histogram(metrics.market_histogram(base.where(F.col("year") == y)), parts)
+    for grain in metrics.MARKET_GRAINS:
+        tables = [sorted(map(str, metrics.market_table(spark.read.parquet(p), grain, **q.KINDS).collect())) for p in (whole, parts)]
+        assert tables[0] == tables[1] and tables[0]
+    direct = sorted(map(str, metrics.street_sales_metrics(base, **q.KINDS).collect()))
+    assert direct == sorted(map(str, metrics.market_table(spark.read.parquet(parts), "street", **q.KINDS).collect()))
+    assert {r["year"] for r in spark.read.parquet(parts).select("year").distinct().collect()} == set(years)
+    # NULL keys count at no grain that has them
+    assert spark.read.parquet(whole).where("grain = 'iris' AND iris_code IS NULL").count() == 0
+    hist = spark.read.parquet(whole)
+    usual = sorted(map(str, metrics.market_table(hist, "arrondissement", **q.KINDS).collect()))
+    before, quantile.HOT_GROUP_ROWS = quantile.HOT_GROUP_ROWS, 20
+    try:
+        assert sorted(map(str, metrics.market_table(hist, "arrondissement", **q.KINDS).collect())) == usual
+    finally:
+        quantile.HOT_GROUP_ROWS = before
