@@ -186,15 +186,18 @@ def _exact_pairs(percent: int) -> Callable:
 
 
 def _sets(shingle: int) -> Callable:
+    """Shingle sets of texts, each with the class it is wanted for; a text of another class (a row that
+    shares the id only) gives nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.arrow_bytes(batch.column("text"))
+            wanted = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(tk.U64) for c in ("s1", "s2")])
             for lo, hi in tk.byte_batches(texts):
                 sets = shingle_sets(texts[lo:hi], shingle)
-                sums = _sums(sets)
+                own = np.flatnonzero((_sums(sets) == wanted[:, lo:hi]).all(axis=0))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), _longs(sums[0]), _longs(sums[1]),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s1", "s2", "shingles"])
+                    [batch.column("node").slice(lo, hi - lo).take(pa.array(own)), pa.array([sets[i].tobytes() for i in own], pa.binary())],
+                    names=["node", "shingles"])
     return run
 
 
@@ -330,10 +333,10 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     # full sets of every class that shares a bucket, from the text of its smallest id
     wanted = multi.select("node").distinct().join(classes.select("node", F.col("first").alias("doc_id"), "s1", "s2"), "node")
     wanted = stored(wanted, "wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(shingle), "doc_id long, s1 long, s2 long, shingles binary")
-                  .join(wanted, ["doc_id", "s1", "s2"]).groupBy("doc_id", "s1", "s2", "node")
-                  .agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "sets")
+    # repeated rows become one where the join has put them together; the sets, larger than the texts, are not moved
+    texts = (docs.select("doc_id", "text", F.xxhash64("text").alias("digest64")).join(wanted, "doc_id")
+             .groupBy("doc_id", "node", "s1", "s2", "digest64").agg(F.first("text").alias("text")))
+    sets = stored(texts.select("node", "s1", "s2", "text").mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
     # star round
     stars = multi.where("node <> rep").select(F.col("node").alias("b"), F.col("rep").alias("a")).distinct()
