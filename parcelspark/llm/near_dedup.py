@@ -333,8 +333,9 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     # full sets of every class that shares a bucket, from the text of its smallest id
     wanted = multi.select("node").distinct().join(classes.select("node", F.col("first").alias("doc_id"), "s1", "s2"), "node")
     wanted = stored(wanted, "wanted")
-    # repeated rows become one where the join has put them together; the sets, larger than the texts, are not moved
-    texts = (docs.select("doc_id", "text", F.xxhash64("text").alias("digest64")).join(wanted, "doc_id")
+    # repeated rows become one where the join has put them together; the sets, larger than the texts, are not moved.
+    # The grouping needs the rows dealt by id at every size, so the join deals them, also where one side is small.
+    texts = (docs.select("doc_id", "text", F.xxhash64("text").alias("digest64")).join(wanted.hint("merge"), "doc_id")
              .groupBy("doc_id", "node", "s1", "s2", "digest64").agg(F.first("text").alias("text")))
     sets = stored(texts.select("node", "s1", "s2", "text").mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
