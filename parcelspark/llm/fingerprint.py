@@ -16,7 +16,7 @@ from parcelspark.llm.store import stored
 BINS, BITS, SHINGLE = 128, 8, 5
 BIN_SHIFT = 63 - 7                      # hashes use 63 bits; the top 7 name the bin
 PER_LONG = 64 // BITS
-BLOCK = 2048                            # ids per window block when looking for the next document
+BLOCK, CELL_BITS = 2048, 11             # documents per window block when looking for the next one; ids of a cell
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -81,31 +81,62 @@ def written(packed: Column) -> Column:
     return F.array_join(F.transform(packed, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
+def id_blocks(docs: DataFrame) -> DataFrame:
+    """The blocks of about ``BLOCK`` documents that follow each other by (has_id, place): (has_id, cell, part, block,
+    first, to_part, to_block). ``docs`` has ``has_id``, ``place`` and ``cell``, the place without its last bits.
+
+    Cells are counted, dealt by ranges that are written once, and joined into blocks by running counts inside a
+    range. So no task sees the ids of all documents, however sparse they are; only one row per range meets in one
+    task, to find the block behind a range's last one (behind the last range: the first block).
+    """
+    cells = docs.groupBy("has_id", "cell").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    cells = stored(cells.repartitionByRange("has_id", "cell").withColumn("part", F.spark_partition_id()), "cells")
+    along = Window.partitionBy("part").orderBy("has_id", "cell")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("block", F.floor(before / BLOCK))
+    heads = cells.groupBy("part", "block").agg(F.min(F.struct("has_id", "cell", "first")).alias("head"))
+    inside = Window.partitionBy("part").orderBy("block")
+    following = heads.select("part", "block", "head", F.lead("block").over(inside).alias("inner"))
+    ranges = heads.groupBy("part").agg(F.min("block").alias("entry"))
+    ring = Window.orderBy("part")                     # one row per range
+    ranges = ranges.select("part", F.coalesce(F.lead("part").over(ring), F.first("part").over(ring)).alias("next_part"))
+    links = following.join(ranges, "part").select(
+        "part", "block", "head", F.when(F.col("inner").isNotNull(), F.col("part")).otherwise(F.col("next_part")).alias("to_part"),
+        F.coalesce("inner", F.lit(0)).alias("to_block"))
+    return stored(cells.join(links, ["part", "block"]).select(
+        "has_id", "cell", "part", "block", (F.struct("has_id", "cell", "first") == F.col("head")).alias("is_head"), "first",
+        "to_part", "to_block"), "id_blocks")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Add ``packed`` (the fingerprint of ``text``), and ``next_text`` and ``next_packed`` of the row that follows
     by doc_id (after the last: the first).
 
-    Ids are cut into blocks of ``BLOCK``, so a block holds few documents whatever the table's size. The
-    first row of the next non-empty block joins each block as a closing row, found from one id per
-    block. Rows with one id follow each other by text; null ids come first.
+    Ids are cut into blocks of about ``BLOCK`` documents, also where they are sparse. The first row of the next
+    block joins each block as a closing row, found from one cell per block. Rows with one id follow each other by
+    text; rows without an id come first, in the order of a hash of their texts.
     """
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(1 << 62)))
-    docs = docs.withColumn("block__", block)
-    # stored, so that its size is known when the join with the documents is planned
-    firsts = stored(docs.groupBy("block__").agg(F.min("doc_id").alias("first__")), "firsts")
-    order = Window.orderBy("block__")
-    following = firsts.select("block__", F.lead("block__").over(order).alias("to__"),
-                              F.first("block__").over(order).alias("wrap__"))
-    following = following.select("block__", F.coalesce("to__", "wrap__").alias("to__"))
-    heads = (docs.join(firsts.withColumnRenamed("block__", "to__"),
-                       (F.col("block__") == F.col("to__")) & F.col("doc_id").eqNullSafe(F.col("first__")))
-             .groupBy("to__").agg(F.min("text").alias("text")))
-    closing = following.join(heads, "to__").select(
-        F.lit(None).cast("long").alias("doc_id"), "text", "block__", F.lit(True).alias("closing__"))
-    rows = add_fingerprint(docs.withColumn("closing__", F.lit(False)).unionByName(closing), "text", "packed")
-    w = Window.partitionBy("block__").orderBy("closing__", "doc_id", "text")
+    columns = docs.columns
+    place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    docs = (docs.withColumn("has_id", F.col("doc_id").isNotNull()).withColumn("place", place)
+            .withColumn("cell", F.shiftright("place", CELL_BITS)))
+    blocks = id_blocks(docs.select("has_id", "place", "cell"))
+    members = blocks.select("has_id", "cell", "part", "block")
+    heads = blocks.where("is_head").select("has_id", "cell", F.col("first").alias("place"), "part", "block")
+    texts = (docs.select("has_id", "cell", "place", "text").join(heads, ["has_id", "cell", "place"])
+             .groupBy("part", "block").agg(F.min("text").alias("text")))
+    ahead = blocks.where("is_head").select(F.col("part").alias("own_part"), F.col("block").alias("own_block"),
+                                           F.col("to_part").alias("part"), F.col("to_block").alias("block"))
+    closing = ahead.join(texts, ["part", "block"]).select(
+        F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("boolean").alias("has_id"),
+        F.lit(None).cast("long").alias("place"), F.col("own_part").alias("part"), F.col("own_block").alias("block"),
+        F.lit(True).alias("closing__"))
+    own = docs.join(members, ["has_id", "cell"]).select(*columns, "has_id", "place", "part", "block",
+                                                        F.lit(False).alias("closing__"))
+    rows = add_fingerprint(own.unionByName(closing), "text", "packed")
+    w = Window.partitionBy("part", "block").orderBy("closing__", "has_id", "place", "text")
     return (rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_packed", F.lead("packed").over(w))
-            .where(~F.col("closing__")).drop("closing__", "block__"))
+            .where(~F.col("closing__")).drop("closing__", "has_id", "place", "part", "block"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -115,7 +146,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter of code points replaced by the first as many of the next
     document. Null texts are empty; texts without words have an empty fingerprint; a text of fewer
     than ``SHINGLE`` words is one shingle. Repeated rows get equal fingerprints; a single row is its own
-    next document. Other columns are ignored.
+    next document. Rows without an id come before the others. Other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
