@@ -1,5 +1,7 @@
 """Near-duplicates, components, quality rules, quality and toxicity models."""
 
+import itertools
+import math
 import random
 
 import numpy as np
@@ -230,6 +232,71 @@ def test_keys_and_numbers_are_left_as_written(decoder, written):
     assert decoder.text(written) == written
 
 
+def _split_cost(decoder, words):
+    total = 0.0
+    for w in words:
+        spelled, a, b = toxicity.NEW_WORD_COST, 0, 0
+        for c in (ord(x) - 96 for x in w):
+            spelled += decoder.costs[a][b][c]
+            a, b = b, c
+        total += min(spelled + decoder.costs[a][b][0], decoder.words.get(w, math.inf))
+    return total
+
+
+def test_splits_cost_as_little_as_the_best_of_all_splits(decoder):
+    rng = random.Random(5)
+    known = toxicity.Decoder(np.array(decoder.costs), {w: rng.uniform(3, 9) for w in ("the", "cat", "bad", "at", "tea", "e")})
+    for _ in range(100):
+        s = "".join(rng.choice("theacbd") for _ in range(rng.randint(1, 9)))
+        cuts = [[j for j, cut in enumerate(marks, 1) if cut] for marks in itertools.product((0, 1), repeat=len(s) - 1)]
+        every = [[s[a:b] for a, b in zip([0, *c], [*c, len(s)])] for c in cuts]
+        got = known._split(s)
+        assert "".join(got) == s
+        assert _split_cost(known, got) == pytest.approx(min(_split_cost(known, words) for words in every))
+    assert known._split("q" * 90) == ["q" * 90]             # unknown words have any length
+
+
+def _all_readings(decoder, written):
+    """(cost, text) of every path through the lattice of ``written``, each walked on its own."""
+    inside = [i for i, c in enumerate(written) if c.isalpha()]
+    readings = [(0.0, 0, 0, "", "")]
+    for i, char in enumerate(written):
+        after = []
+        options = [(char, 0.0)] if char.isalpha() else [(c, toxicity.SWAP_COST) for c in toxicity.LEET.get(char, "")]
+        drop = toxicity.REPEAT_COST if char * 3 in written[max(0, i - 2):i + 3] else toxicity.DOUBLE_COST
+        between = bool(inside) and inside[0] <= i < inside[-1]
+        keep = toxicity.KEEP_COST.get(char, 0.0) + (toxicity.INNER_COST if char.isdigit() and between else 0.0)
+        for cost, a, b, seen, text in readings:
+            for letter, extra in options:
+                c = ord(letter) - 96
+                after.append((cost + extra + decoder.costs[a][b][c], b, c, letter, text + letter))
+                if letter == seen:
+                    after.append((cost + extra + drop, a, b, seen, text))
+            if char in "*!|":
+                after.append((cost + toxicity.GAP_COST, a, b, seen, text))
+            if char in toxicity.KEEP_COST:
+                after.append((cost + keep + (decoder.costs[a][b][0] if b else 0.0), b or a, 0, "", text + char))
+        readings = after
+    return [(cost + (decoder.costs[a][b][0] if b else 0.0), text) for cost, a, b, _, text in readings]
+
+
+def test_decoding_equals_the_best_of_all_readings(decoder):
+    rng = random.Random(9)
+    changed = 0
+    for _ in range(300):
+        written = "".join(rng.choice("idotsa105!@$*") for _ in range(rng.randint(2, 6)))
+        if not any(c.isalpha() for c in written):
+            continue
+        start = 0.0 if written.strip("!*|+").isalpha() else toxicity.KEY_START
+        cost, text = min(_all_readings(decoder, written))
+        expected = written if cost >= start + len(written) * toxicity.KEY_COST else text
+        got = decoder.restore(written, key=True)
+        changed += got != written
+        costs = {t: min(c for c, u in _all_readings(decoder, written) if u == t) for t in {got}} if got != written else {}
+        assert got == expected or costs[got] == pytest.approx(cost), written
+    assert changed > 50
+
+
 def test_plain_text_is_left_alone(decoder, texts):
     plain = "The quick brown fox, and 12 of 345 dogs; schön été niño. A | b | c!"
     assert not toxicity.disguised([plain.encode()])[0] or decoder.text(plain) == plain

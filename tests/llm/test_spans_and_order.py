@@ -6,6 +6,8 @@ import math
 import random
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parcelspark.llm import chat_format, fingerprint, mixing, packing, pii, queries, secret_scan
@@ -156,6 +158,66 @@ def test_next_document_across_blocks(spark):
     assert {r["doc_id"]: r["next_text"] for r in rows} == {i: f"text of {j}" for i, j in zip(ids, ids[1:] + ids[:1])}
 
 
+def test_next_document_among_sparse_repeated_and_missing_ids(spark):
+    rng = random.Random(11)
+    ids = [rng.getrandbits(64) - 2**63 for _ in range(9000)] + list(range(6000)) + [77] * 3      # sparse, dense, repeated
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)] + [(None, f"lost {n}") for n in range(5000)]
+    got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    following = {r["text"]: r["next_text"] for r in got}
+    assert len(got) == len(following) == len(rows)
+    own = [t for _, t in sorted(r for r in rows if r[0] is not None)]
+    assert all(following[a] == b for a, b in zip(own, own[1:]))
+    place, walked = own[-1], []
+    for _ in range(5001):                             # after the last id: all rows without one, then the first id
+        place = following[place]
+        walked.append(place)
+    assert {t for t in walked[:5000]} == {f"lost {n}" for n in range(5000)} and walked[5000] == own[0]
+
+
+def test_blocks_stay_small_and_ranges_are_dealt_to_many_tasks(spark):
+    df = spark.range(0, 40_000).select((F.col("id") * 2**40).alias("place"), F.lit(True).alias("has_id"))
+    df = df.withColumn("cell", F.shiftright("place", fingerprint.CELL_BITS))
+    sizes = fingerprint.id_blocks(df).groupBy("part", "block").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= fingerprint.BLOCK and sizes[1] >= 40_000 / fingerprint.BLOCK
+
+
+def _plain_fingerprint(text):
+    """Bins of one hash per shingle, empty ones filled by the densest rank, packed, as plain loops."""
+    def chain(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed=seed)
+        return seed
+
+    wide = lambda x: x.to_bytes(8, "little")
+    w = [wide(xxhash.xxh64_intdigest(x.encode(), seed=42)) for x in brute.words(text)]
+    if not w:
+        return ""
+    k = fingerprint.SHINGLE
+    short = [chain([len(w).to_bytes(4, "little"), wide(chain(w))]) >> 1]
+    hashes = [chain(w[i:i + k]) >> 1 for i in range(len(w) - k + 1)] or short
+    bins = {}
+    for h in hashes:
+        j = h >> fingerprint.BIN_SHIFT
+        bins[j] = min(bins.get(j, h), h)
+    filled, full = [], sorted(bins)
+
+    def rank(j, b, at):
+        h = chain([j.to_bytes(4, "little"), b.to_bytes(4, "little")])
+        signed = h - 2**64 if h >= 2**63 else h
+        return (signed & -fingerprint.BINS) | at
+
+    for j in range(fingerprint.BINS):
+        filled.append(bins[j if j in bins else min((rank(j, b, at), b) for at, b in enumerate(full))[1]])
+    return "".join(f"{v & (2**fingerprint.BITS - 1):0{fingerprint.BITS // 4}X}" for v in filled)
+
+
+def test_fingerprints_equal_plain_one_permutation_minhash(documents, texts):
+    got = fingerprint.add_fingerprint(documents.select("doc_id", "text"), "text", "packed")
+    got = got.select("doc_id", fingerprint.written(F.col("packed")).alias("f"))
+    for r in got.collect():
+        assert (r["f"] or "") == _plain_fingerprint(texts[r["doc_id"]] or ""), r["doc_id"]
+
+
 def _conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
