@@ -24,7 +24,7 @@ from ..sources import readers
 
 @dataclass
 class BronzeInputs:
-    sales: str                 # yearly sales files (glob or folder)
+    sales: str | list[str]     # yearly sales files (glob or folder, or several)
     addresses: str             # address reference CSV
     links: str                 # versioned parcel -> address link table folder
     iris: str                  # census blocks CSV with GeoJSON shapes
@@ -38,6 +38,40 @@ class BronzeInputs:
     geojson_lines: bool = False  # layers hold one feature per line (split over tasks) instead of one document
 
 
+# ---- fixed values: catalogue names of the build's inputs ------------------------------------------
+CATALOGUE_INPUTS = {"addresses": "adresses_ban", "iris": "iris_paris", "income": "insee_filosofi_2021", "rents": "paris_loyers",
+                    "social": "paris_social_housing", "districts": "reference_arrondissements", "quarters": "quartier_paris",
+                    "streets": "voie_paris"}
+# -----------------------------------------------------------------------------------------------
+
+
+def bronze_from_catalogue(spark: SparkSession, catalogue: DataFrame, links: str, cells: str | None = None,
+                          inputs: dict[str, str] | None = None, geojson_lines: bool = False) -> BronzeInputs:
+    """The build's inputs as the catalogue (``sources.catalogue.load_sources``) names them.
+
+    ``inputs`` maps an input to its catalogue name. Archives are read as extracted: the target path without
+    ``.zip``. Sales are all entries with a filtered file; where that file is not there yet, it is filtered from the
+    extracted national file by the entry's department and delimiter. Unknown names and missing files are one
+    error that lists them all, raised before anything is written.
+    """
+    entries = {r["name"]: r for r in catalogue.collect()}                # configuration: a few rows
+    extracted = lambda entry: entry["target_path"].removesuffix(".zip")
+    names = {**CATALOGUE_INPUTS, **(inputs or {})}
+    wrong = [f"{role}: no entry {name}" for role, name in names.items() if name not in entries]
+    paths = {role: extracted(entries[name]) for role, name in names.items() if name in entries}
+    wrong += [f"{role}: no file {path}" for role, path in paths.items() if not readers.exists(spark, path)]
+    sales_entries = [e for e in entries.values() if e["filtered_path"]]
+    open_entries = [e for e in sales_entries if not readers.exists(spark, e["filtered_path"])]
+    wrong += [f"sales: no file {e['filtered_path']} or {extracted(e)}" for e in open_entries if not readers.exists(spark, extracted(e))]
+    wrong += [] if sales_entries else ["sales: no entry with a filtered file"]
+    if wrong:
+        raise FileNotFoundError("; ".join(wrong))
+    for e in open_entries:
+        readers.filter_national_sales(spark, extracted(e), e["department_code"], e["filtered_path"], sep=e["delimiter"])
+    return BronzeInputs(sales=[e["filtered_path"] for e in sales_entries], links=links, cells=cells,
+                        geojson_lines=geojson_lines, **paths)
+
+
 def build(spark: SparkSession, bronze: BronzeInputs, silver: str, gold: str,
           csv_copies: bool = False) -> dict[str, str]:
     """Run the build; returns name -> written path. ``csv_copies`` also writes every table as

@@ -922,3 +922,10 @@ SELECT idu, id_adr, type_lien, first(nb_adr ORDER BY seq DESC) AS nb_adr,
        first(nb_parc ORDER BY seq DESC) AS nb_parc, max(seq) AS seq
 FROM two GROUP BY idu, id_adr, type_lien""",
 })
+
+
+# order of the written table: by bytes, NULLs first
+ORACLE["q51_gold_in_order"] = f"""SELECT
+  row_number() OVER (ORDER BY {', '.join(f'{c.strip()} ASC NULLS FIRST' for c in STREET_KEYS.split(','))}) AS position,
+  {STREET_KEYS}, transactions, median_price_m2
+FROM ({ORACLE["q03_sales_street_year"]})"""

@@ -439,6 +439,14 @@ def q39_gold_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "arrondissement", F.col("year").cast("int").alias("year"), *metrics.METRIC_COLUMNS)
 
 
+def q51_gold_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street x year metrics written as a globally ordered Gold table and read back with their places."""
+    from ..sinks import writers
+    from ..sources import readers
+    path = writers.write_table(q03_sales_street_year(spark, sf_dir), _scratch(spark, "q51"), order=metrics.STREET_KEYS)
+    return readers.read_in_order(spark, path).select("position", *metrics.STREET_KEYS, "transactions", "median_price_m2")
+
+
 def q41_overview_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City block of the overview for the chosen sales year."""
     return summary.overview_city(overview_rows(spark, sf_dir, OVERVIEW_YEAR))
@@ -587,4 +595,5 @@ QUERIES = {
     "q48_block_file": q48_block_file,
     "q49_cell_file": q49_cell_file,
     "q50_link_batches": q50_link_batches,
+    "q51_gold_in_order": q51_gold_in_order,
 }

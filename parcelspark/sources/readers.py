@@ -15,7 +15,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
@@ -235,13 +235,13 @@ def read_links(spark: SparkSession, base_path: str) -> DataFrame:
             raise
         newest = None
     if newest is None:
-        if _exists(spark, f"{base_path.rstrip('/')}/version=*"):
+        if exists(spark, f"{base_path.rstrip('/')}/version=*"):
             raise FileNotFoundError(f"{base_path} holds versions, but {commit_list(base_path)} lists none: the list is lost, or no write ended")
         return spark.createDataFrame([], LINK_SCHEMA)
     return spark.read.schema(LINK_SCHEMA).parquet(f"{base_path.rstrip('/')}/version={newest}")
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
+def exists(spark: SparkSession, pattern: str) -> bool:
     """Whether a path pattern matches anything (a listing)."""
     try:
         spark.read.format("binaryFile").load(pattern)
@@ -262,6 +262,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_in_order(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """A table written with an order (``sinks.writers.write_table``), with each row's ``position`` from 1.
+
+    A row's place is its row number in its file behind the rows of all earlier files; only one row per file
+    meets in one task. A table with partition folders counts folder by folder, in the order of their names.
+    """
+    rows = spark.read.parquet(path)
+    file, number = F.col("_metadata.file_path"), F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    piece = F.regexp_extract(F.col("_metadata.file_name"), r"[-.]c(\d+)\.", 1).cast("long")
+    folder = F.regexp_extract(file, r"^(.*)/", 1)
+    sizes = rows.groupBy(file.alias("_file"), folder.alias("_folder"), number.alias("_number"), piece.alias("_piece")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_folder", "_number", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    placed = rows.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(starts, "_file").select(*rows.columns, (F.col("_start") + F.col("_row") + 1).alias(position))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON document table written by ``sinks.writers.write_json_document``."""
     return spark.read.json(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.operators.sales import RAW_SALES_COLUMNS
-from parcelspark.plans.build import BronzeInputs, build
+from parcelspark.plans.build import CATALOGUE_INPUTS, BronzeInputs, bronze_from_catalogue, build
 from parcelspark.sinks.writers import write_links_versioned
 
 
@@ -38,8 +38,13 @@ def _fc(features):
 
 
 @pytest.fixture(scope="module")
-def built(spark, tmp_path_factory):
-    d = tmp_path_factory.mktemp("bronze")
+def bronze_folder(tmp_path_factory):
+    return tmp_path_factory.mktemp("bronze")
+
+
+@pytest.fixture(scope="module")
+def built(spark, bronze_folder):
+    d = bronze_folder
     (d / "sales").mkdir()
     opera = {"No voie": "0012", "B/T/Q": "B", "Type de voie": "AV", "Voie": "DE L'OPÉRA"}
     sales = [
@@ -289,3 +294,62 @@ def test_served_reads_validate_and_answer(built):
     assert {r["quartier_id"]: r["metric_value"] for r in layer} == {"7510101": 2.0, "7511661": 1.0}
     stops = serving.legend_stops(ov.withColumn("metric_value", F.col("median_price_m2"))).first()
     assert stops["stop_low"] <= stops["stop_mid"] <= stops["stop_high"]
+
+
+def _catalogue(path, folder, files, sales_text):
+    entry = lambda name, **kv: f"  {name}:\n" + "".join(f"    {k}: '{v}'\n" for k, v in {
+        "label": name, "group": "g", "kind": "file", "url": "none", "target_dir": folder, "summary": "s", **kv}.items())
+    path.write_text("sources:\n" + "".join(entry(CATALOGUE_INPUTS[role], target_file=f) for role, f in files.items())
+                    + entry("sales_2024", target_file=f"{sales_text}.zip", filtered_file="filtered-2024.csv",
+                            department_code="75", delimiter="|"), encoding="utf-8")
+    return str(path)
+
+
+def test_build_inputs_from_the_catalogue_alone(built, tmp_path):
+    from parcelspark.sources.catalogue import load_sources
+    from parcelspark.sources.readers import read_sales
+    spark, d, _ = built
+    files = {"addresses": "adresses.csv", "iris": "iris.csv", "income": "income.zip", "rents": "rents.csv", "social": "social.csv",
+             "districts": "districts.geojson", "quarters": "quarters.geojson", "streets": "streets.geojson"}
+    with open(d / "sales" / "valeursfoncieres-2024-paris.csv", encoding="utf-8-sig", newline="") as fh:
+        rows = list(csv.DictReader(fh))
+    other = dict(rows[0], **{"Code departement": "69"})
+    _csv(d / "national-2024.txt", rows + [other], RAW_SALES_COLUMNS, "|")
+    links = str(d / "links")
+
+    with pytest.raises(FileNotFoundError, match="gone.csv.*lost-2024.txt"):
+        bad = _catalogue(tmp_path / "bad.yaml", str(d), {**files, "rents": "gone.csv"}, "lost-2024.txt")
+        bronze_from_catalogue(spark, load_sources(spark, bad), links)
+    with pytest.raises(FileNotFoundError, match="no entry"):
+        bronze_from_catalogue(spark, load_sources(spark, bad), links, inputs={"streets": "unknown"})
+
+    good = load_sources(spark, _catalogue(tmp_path / "good.yaml", str(d), files, "national-2024.txt"))
+    for _ in range(2):                                  # the second time the filtered file is there already
+        bronze = bronze_from_catalogue(spark, good, links, cells=str(d / "cells"))
+        assert bronze == BronzeInputs(
+            sales=[str(d / "filtered-2024.csv")], links=links, cells=str(d / "cells"),
+            **{role: str(d / f).removesuffix(".zip") for role, f in files.items()})
+    kept = read_sales(spark, bronze.sales)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, read_sales(spark, str(d / "sales")).collect()))
+
+
+def test_ordered_tables_keep_their_order_over_files(spark, tmp_path):
+    from parcelspark.sinks.writers import write_table
+    from parcelspark.sources.readers import read_in_order
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).cast("int").alias("year"), F.lit("x" * 50).alias("v"))
+    df = df.withColumn("k", F.when(F.col("k") > 0, F.col("k"))).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "300")
+    try:
+        whole = write_table(df, str(tmp_path / "whole"), order=["k"])
+        years = write_table(df, str(tmp_path / "years"), partition_by="year", order=["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(list((tmp_path / "whole").glob("part-*"))) > 10
+    expected = sorted(df.select("k").collect(), key=lambda r: (r["k"] is not None, r["k"]))
+    got = sorted(read_in_order(spark, whole).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(1, 5001)) and [r["k"] for r in got] == [r["k"] for r in expected]
+    rows = sorted(read_in_order(spark, years).collect(), key=lambda r: r["position"])
+    assert [(r["year"], r["k"] or 0) for r in rows] == sorted((r["year"], r["k"] or 0) for r in rows) and len(rows) == 5000
+    assert read_in_order(spark, write_table(df.limit(0), str(tmp_path / "none"), order=["k"])).count() == 0
