@@ -44,7 +44,9 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 def features(texts: pa.Array, max_n: int, buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words of each text, and per n-gram length the owner and the bucket of every feature (owners ascend)."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), GAPS)
+    # a slice is copied first: cast and lower-cased while it shares its column's buffers, Arrow reads its bytes from the wrong place
+    own = texts.take(pa.array(np.arange(len(texts))))
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(own, "").cast(pa.large_string())), GAPS)
     words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists)
     solid = pc.not_equal(pc.binary_length(words), 0)         # a gap at an end leaves an empty piece
     coded = words.filter(solid).dictionary_encode()

@@ -187,6 +187,33 @@ def test_slices_cover_all_texts():
     assert [v for p in parts for v in p.to_pylist()] == column.to_pylist() and len(parts) > 1
 
 
+@pytest.mark.parametrize("max_n", [1, 3])
+def test_features_of_slices_are_those_of_their_texts(max_n):
+    """Every slice of a column, with and without nulls, gives what its texts give alone."""
+    import pyarrow as pa
+    for rows in (["x y z", "q", "A b", "", "c D e f", "b\u00dcB 9\x00k"], ["x y", None, "a B c", "\n\u0130 d", None, "e"]):
+        alone = [resampling.features(pa.array([t], pa.string()), max_n, 10_000) for t in rows]
+        for limit in (1, 6, 12, 1000):
+            at = 0
+            for part in resampling.slices(pa.array(rows, pa.string()), limit):
+                n_words, grams = resampling.features(part, max_n, 10_000)
+                for i in range(len(part)):
+                    assert n_words[i] == alone[at][0][0]
+                    assert [b[o == i].tolist() for o, b in grams] == [b.tolist() for _, b in alone[at][1]]
+                    at += 1
+            assert at == len(rows)
+
+
+def test_resampling_of_batches_beyond_one_slice(spark):
+    """Long texts without nulls, so that a batch is cut into several slices."""
+    rows = [(i, " ".join(f"Word{(i * 31 + j * j) % 997} und{j % 13}" for j in range(30_000))) for i in range(30)]
+    assert sum(len(t) for _, t in rows) > 2 * resampling.SLICE_BYTES
+    target = ["word5 und3 word7 " * 5, "und1"]
+    got = resampling.resample(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1),
+                              spark.createDataFrame([(t,) for t in target], "text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_resample(rows, target, 1)
+
+
 # ---------------------------------------------------------------- HTML extraction
 
 STORY = "The ferry left the harbour at six in the morning with forty passengers and two dogs on board."
