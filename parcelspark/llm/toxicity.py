@@ -3,9 +3,9 @@
 1. A character trigram model is counted over all documents.
 2. Spellings that look disguised (leetspeak, spaced-out letters, stretched letters) become character
    lattices; Viterbi finds the letters with the least channel plus language-model cost. Spaced-out
-   letters are then split into words by the word counts of the labelled sample.
-3. The restored text is scored by a logistic model over words and word beginnings, fitted on a
-   bounded, documented sample of labelled rows.
+   letters are then split into words by the word counts of all documents.
+3. The restored text is scored by a logistic model over words and word beginnings. Its features are
+   counted over, and its weights fitted on, all labelled rows outside the held-out fold.
 """
 
 from __future__ import annotations
@@ -18,18 +18,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from parcelspark.llm import textkit as tk
 from parcelspark.llm.quality_model import held_out
-from parcelspark.llm.store import arrow_rows
+from parcelspark.llm.store import arrow_rows, stored
 
-MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000     # bounds of the labelled sample per class
 SYMBOLS = 28                                  # 0: boundary, 1-26: a-z, 27: any other letter byte
 BUCKETS = 22                                  # bits of a feature number
 MIN_DOCS, MIN_Z, MAX_FEATURES = 8, 4.0, 4_000
 PREFIXES = (4, 5, 6)
-STEPS, RATE, DECAY = 600, 2.0, 5e-5
+STEPS, DECAY = 100, 1e-4
+ID_BITS = 26                                  # bits of the bitmap of labelled ids: 8 MB
+HELD_KEYS = 100_000                           # distinct keys a task counts before it passes them on
 
 # what a written character may stand for (fixed values)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -39,7 +42,7 @@ DOUBLE_COST = 11.0                            # a letter written twice is usuall
 KEEP_COST = {c: 0.5 if c in "!*|+" else 12.0 if c in "@$" else 6.0 for c in LEET}   # a written sign that means itself and ends a word
 INNER_COST = 10.0                             # more for a digit that does so between letters
 LONGEST = 40                                  # letters of a counted word, at most (as in WORD)
-NEW_WORD_COST = 6.0                           # a word of such a run that the labelled sample does not hold
+NEW_WORD_COST = 6.0                           # a word of such a run that is not among the counted ones
 MAX_WORDS, MIN_WORD_DOCS = 20_000, 2
 # a run left as written: rare, and any letter or digit is as likely
 KEY_START, KEY_COST = 15.0, math.log(36)
@@ -277,76 +280,128 @@ class Model:
         return run
 
 
-def fit_words(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of the words that mark label 1. Features need ``MIN_DOCS`` positive documents and a
-    two-proportion z of ``MIN_Z``; the logistic fit is weighted back to the classes' true sizes."""
-    total = float(weight.sum())
-    share = (float((weight * y).sum()) + 1) / (total + 2)
-    bias = math.log(share / (1 - share))
-    none = np.empty(0, dtype=np.int64)
-    if not 0 < y.sum() < len(y):
-        return none, none.astype(np.float64), bias
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BUCKETS), dtype=np.int32)
-    for row, label in zip(rows, y):
-        counts[int(label)][row] += 1                       # a row holds each feature once
-    candidates = np.flatnonzero(counts[1] >= min(MIN_DOCS, max(2, y.sum() / 20)))
-    pos, neg = counts[1][candidates], counts[0][candidates]
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
+    for batch in batches:
+        for label, x in zip(batch.column("label").to_pylist(), batch.column("x").to_pylist()):
+            counts[label][np.frombuffer(x, dtype=np.int32)] += 1       # a row holds each feature once
+    seen = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[1][seen].astype(np.int64)), pa.array(counts[0][seen].astype(np.int64))],
+                                     names=["feature", "pos", "neg"])
+
+
+def marking_features(rows: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
+    """Features that mark label 1, counted over all ``rows(label, x)``: those of ``MIN_DOCS`` positive rows
+    and a two-proportion z of ``MIN_Z``. The strongest ``MAX_FEATURES`` bound the model."""
+    pos, neg = F.col("pos"), F.col("neg")
     both = (pos + neg) / (n_pos + n_neg)
-    z = (pos / n_pos - neg / n_neg) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-12)
-    strong = np.flatnonzero(z >= MIN_Z)
-    chosen = np.sort(candidates[strong[np.argsort(-z[strong], kind="stable")][:MAX_FEATURES]])
-    rank = np.full(1 << BUCKETS, -1, dtype=np.int32)
-    rank[chosen] = np.arange(len(chosen))
-    found = [hit[hit >= 0] for hit in (rank[row] for row in rows)]
-    d, f = np.repeat(np.arange(len(rows)), [len(x) for x in found]), np.concatenate(found)
-    w, b = np.zeros(len(chosen)), bias
-    freq = np.maximum(np.bincount(f, weights=weight[d], minlength=len(chosen)) / total, 1e-4)
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(d, weights=w[f], minlength=len(y)), -30, 30)))
-        gap = weight * (p - y) / total
-        # steps are scaled by how common a feature is, so rare words learn as fast as common ones
-        w -= RATE * (np.bincount(f, weights=gap[d], minlength=len(chosen)) / np.sqrt(freq) + DECAY * w)
-        b -= RATE * gap.sum()
-    return chosen, w, float(b)
+    z = (pos / n_pos - neg / n_neg) / F.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-12)
+    strong = (rows.mapInArrow(_feature_counts, "feature long, pos long, neg long").groupBy("feature")
+              .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+              .where(pos >= min(MIN_DOCS, max(2, n_pos / 20))).withColumn("z", z).where(F.col("z") >= MIN_Z)
+              .orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect())
+    return np.sort(np.array([r["feature"] for r in strong], dtype=np.int64))
+
+
+def _patterns(chosen: np.ndarray) -> Callable:
+    """How often each label meets each set of chosen features (their places, ascending)."""
+    def table(total: Counter[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([label for label, _ in total], pa.int32()), pa.array([held for _, held in total], pa.binary()),
+                                           pa.array(total.values(), pa.int64())], names=["label", "held", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BUCKETS, -1, dtype=np.int32)
+        place[chosen] = np.arange(len(chosen))
+        total: Counter[tuple[int, bytes]] = Counter()
+        for batch in batches:
+            for label, x in zip(batch.column("label").to_pylist(), batch.column("x").to_pylist()):
+                held = place[np.frombuffer(x, dtype=np.int32)]
+                total[label, held[held >= 0].tobytes()] += 1
+            if len(total) > HELD_KEYS:
+                yield table(total)
+                total.clear()
+        yield table(total)
+
+    return run
+
+
+def fit_words(rows: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of the words that mark label 1, fitted on all ``rows(label, x)``. Rows with equal label and
+    chosen features are one row of their number, so what Spark's logistic regression reads is small."""
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
+    share = (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + sizes.get(1, 0) + 2)
+    chosen = marking_features(rows, n_pos, n_neg) if n_pos and n_neg else np.empty(0, dtype=np.int64)
+    size = len(chosen)
+    if not size:
+        return chosen, np.zeros(0), math.log(share / (1 - share))
+    held = stored(rows.mapInArrow(_patterns(chosen), "label int, held binary, n long").groupBy("label", "held")
+                  .agg(F.sum("n").cast("double").alias("n")), "toxic-patterns")
+
+    @F.udf(VectorUDT())
+    def vector(places):
+        at = np.frombuffer(places, dtype=np.int32)
+        return Vectors.sparse(size, at, np.ones(len(at)))
+
+    model = LogisticRegression(maxIter=STEPS, regParam=DECAY, weightCol="n").fit(
+        held.select(F.col("label").cast("double").alias("label"), vector("held").alias("features"), "n"))
+    # sums over tasks come in any order: what that changes is rounded away
+    return chosen, np.round(model.coefficients.toArray(), 5), round(float(model.intercept), 5)
+
+
+def _may_be_among(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``texts`` but for most whose id ``known`` lacks, so that fewer texts are shuffled by the exact join
+    that follows. What is broadcast is a bitmap of hashed ids, of at most 2 ** ``ID_BITS`` bits."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+    bits = (known.select(spot.alias("spot__")).groupBy(F.bitmap_bucket_number("spot__").alias("bucket__"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot__")).alias("bits__")))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring("bits__", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (texts.withColumn("bucket__", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "bucket__")
+            .where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*texts.columns))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """Texts of at most MAX_POSITIVE and MAX_NEGATIVE labelled rows outside the held-out fold, in hash
-    order of the id, and the number of such labels per class. The ids are the broadcast side: their number is bounded."""
+    """Texts of all labelled rows outside the held-out fold, and the number of such labels per class."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
-    chosen = (known.where("label = 1").orderBy(*order).limit(MAX_POSITIVE)
-              .union(known.where("label = 0").orderBy(*order).limit(MAX_NEGATIVE)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id"), sizes
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .where(~held_out(F.col("doc_id"))))
+    # dealt by id at every size, so neither side need fit one machine
+    return _may_be_among(texts, known).join(known.hint("merge"), "doc_id"), sizes
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(total: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()),
+                                           pa.array(total.values(), pa.int64())], names=["word", "n"])
+
     total: Counter[bytes] = Counter()
     for batch in batches:
         for text in tk.arrow_bytes(batch.column("text")):
             total.update(set(WORD.findall(text.lower())))
-    yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()),
-                                      pa.array(total.values(), pa.int64())], names=["word", "n"])
+        if len(total) > HELD_KEYS:
+            yield table(total)
+            total.clear()
+    yield table(total)
 
 
-def word_costs(sample: DataFrame) -> dict[str, float]:
-    """-log P of the most common words of the labelled sample, by the documents that hold them."""
-    rows = (sample.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_costs(docs: DataFrame) -> dict[str, float]:
+    """-log P of the most common words of all ``docs``, by the documents that hold them."""
+    rows = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_words, "word string, n long")
+            .groupBy("word").agg(F.sum("n").alias("n"))
             .where(F.col("n") >= MIN_WORD_DOCS).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect())
     total = sum(r["n"] for r in rows)
     return {r["word"]: math.log(total / r["n"]) for r in rows}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Character model of all documents and word model of the bounded labelled sample."""
+    """Character and word costs of all documents, and the word model of all labelled rows outside the fold."""
     costs = character_costs(character_counts(docs))
-    sample, sizes = training_rows(docs, labels)
-    words = word_costs(sample)
+    words = word_costs(docs)
+    rows, sizes = training_rows(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(costs, words)
@@ -357,16 +412,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 pairs = np.unique(doc << BUCKETS | number)
                 parts = np.split((pairs & ((1 << BUCKETS) - 1)).astype(np.int32),
                                  np.searchsorted(pairs >> BUCKETS, np.arange(1, hi - lo)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo),
-                     pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "label", "x"])
-
-    rows = sample.mapInArrow(run, "doc_id long, label int, x binary").toPandas().sort_values("doc_id", kind="stable")
-    y = rows["label"].to_numpy(dtype=np.float64)
-    taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    weight = np.where(y == 1, sizes.get(1, 0) / taken[1], sizes.get(0, 0) / taken[0])
-    features, weights, bias = fit_words([np.frombuffer(x, dtype=np.int32) for x in rows["x"]], y, weight)
-    return Model(costs, words, features, weights, bias)
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo),
+                                                  pa.array([p.tobytes() for p in parts], pa.binary())], names=["label", "x"])
+
+    # decoded once, read by both passes of the fit
+    held = stored(rows.select("label", "text").mapInArrow(run, "label int, x binary"), "toxic-rows")
+    return Model(costs, words, *fit_words(held, sizes))
 
 
 def score(docs: DataFrame, model: Model, cutoff: float = 0.5) -> DataFrame:

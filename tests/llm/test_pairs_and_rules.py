@@ -308,3 +308,33 @@ def test_byte_search_finds_every_pattern_match(texts):
         t = t or ""
         if any(p.search(t) for p in (toxicity.SPACED, toxicity.STRETCHED)):
             assert toxicity.disguised([t.encode()])[0]
+
+
+def test_toxicity_counts_and_learns_from_all_rows(spark):
+    """A word of unlabelled documents is counted, and a word that only the last of many labelled rows hold is learned."""
+    import hashlib
+    import zlib
+    taught = [i for i in range(18_000) if zlib.crc32(str(i).encode()) % 5][:13_500]
+    toxic = sorted(taught[:4_500], key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    late = set(toxic[-200:])
+    rows = [(i, "zorbly words here" if i in late else "vile words here") for i in toxic]
+    rows += [(i, "plain words here") for i in taught[4_500:]] + [(i, "quondam evening") for i in range(90_000, 90_005)]
+    rows += [(95_000, "one zorbly day"), (95_001, "one plain day")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n < 4_500)) for n, i in enumerate(taught)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "quondam" in model.words
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).where("doc_id >= 95000").collect()}
+    assert score[95_000] > 0.9 and score[95_001] < 0.1
+    assert [toxicity.train(docs, labels).bias for _ in range(2)] == [model.bias] * 2
+
+
+def test_labelled_texts_are_all_found(spark):
+    ids = [*range(-300, 300), 2 ** 62, -2 ** 63, None]
+    docs = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)] + [(7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids) if n % 3], "doc_id long, toxic int")
+    wanted = docs.join(labels, "doc_id").where(~quality_model.held_out(docs["doc_id"])).select("doc_id", "text", "toxic")
+    got = toxicity.training_rows(docs, labels)[0].select("doc_id", "text", "label")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    slim = docs.where("doc_id is not null")
+    assert toxicity._may_be_among(slim, labels.where("doc_id is not null")).count() < 0.8 * slim.count()
