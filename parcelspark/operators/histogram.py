@@ -6,7 +6,8 @@ identities and kinds (transaction, building, parcel, property type) use ``label`
 over the facts, pre-aggregated before its only shuffle, and everything else is read from it:
 
 * distinct counts are numbers of rows, shares are sums of weights;
-* exact medians come from the weighted values: one aggregate for groups of bounded size, rank selection
+* exact medians come from the weighted values: the least and largest for groups of one or two values, one
+  aggregate that holds all values for other groups of bounded size, rank selection
   over ranges (``quantile``) for groups with more distinct values than the bound;
 * every grain holds the year, so a new year adds its partitions and leaves the others alone.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quantile
+from ..session import stored
 
 # ---- fixed values: names of the metrics in the histogram ---------------------------------------
 TRANSACTION, KIND = "transaction", "kind"
@@ -71,7 +73,7 @@ def write_histogram(histogram: DataFrame, path: str) -> str:
 def group_metrics(histogram: DataFrame, grain: str, keys: list[str], *, medians: dict[str, str], distinct: dict[str, str],
                   shares: dict[str, str]) -> DataFrame:
     """One row per group of ``grain``: exact ``medians`` (out -> metric), ``distinct`` counts (out -> metric)
-    and ``shares`` of the property kinds (out -> kind, 0 to 1). ``histogram`` is read twice: pass a stored one."""
+    and ``shares`` of the property kinds (out -> kind, 0 to 1). ``histogram`` is read several times: pass a stored one."""
     own = histogram.where(F.col("grain") == grain)
     rows = F.sum(F.when(F.col("metric") == KIND, F.col("weight")))
 
@@ -82,15 +84,30 @@ def group_metrics(histogram: DataFrame, grain: str, keys: list[str], *, medians:
     counts = [F.count_if(F.col("metric") == m).alias(out) for out, m in distinct.items()]
     counts += [share(kind).alias(out) for out, kind in shares.items()]
     bound = quantile.HOT_GROUP_ROWS
-    hot = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select(*keys)
-    middles = [F.percentile(F.when(F.col("metric") == m, F.col("value")), 0.5, F.col("weight")).alias(out) for out, m in medians.items()]
+    of = lambda m, c: F.when(F.col("metric") == m, F.col(c))
+    middles = [F.percentile(of(m, "value"), 0.5, F.col("weight")).alias(out) for out, m in medians.items()]
     # a grain with fewer rows than the bound has no group above it: one count, no shuffle
-    if own.count() <= bound or hot.isEmpty():
+    if own.count() <= bound:
         return own.groupBy(*keys).agg(*counts, *middles)
-    cold = own.join(hot, keys, "left_anti").groupBy(*keys).agg(*counts, *middles)
+    # least and largest value and their number settle the median of one or two values (most buildings, streets);
+    # only other groups need all their values held
+    ends = [x for i, m in enumerate(medians.values()) for x in (
+        F.min(of(m, "value")).alias(f"_lo{i}"), F.max(of(m, "value")).alias(f"_hi{i}"), F.sum(of(m, "weight")).alias(f"_w{i}"))]
+    groups = stored(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *counts, *ends), "groups")
+    deep = reduce(lambda a, b: a | b, [F.coalesce((F.col(f"_w{i}") > 2) & (F.col(f"_lo{i}") < F.col(f"_hi{i}")), F.lit(False))
+                                       for i in range(len(medians))], F.lit(False))
+    middle = [F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(0.5 * F.col(f"_lo{i}") + 0.5 * F.col(f"_hi{i}")).alias(out)
+              for i, out in enumerate(medians)]
+    settled = groups.where(~deep).select(*keys, *distinct, *shares, *middle)
+    cold, hot = (groups.where(deep & c).select(*keys) for c in (F.col("_n") <= bound, F.col("_n") > bound))
+    n_cold, n_hot = groups.where(deep).agg(F.count_if(F.col("_n") <= bound), F.count_if(F.col("_n") > bound)).first()
+    if n_cold:
+        settled = settled.unionByName(own.join(cold, keys, "left_semi").groupBy(*keys).agg(*counts, *middles))
+    if not n_hot:
+        return settled
     warm = own.join(hot, keys, "left_semi")
     number = F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(medians.values()) for x in (m, i)]), F.col("metric"))
     weighted = (warm.where(F.col("metric").isin(list(medians.values())))
                 .select(*keys, number.alias("_m"), F.col("value").alias("_v"), F.col("weight").alias("_w")))
     ranked = warm.groupBy(*keys).agg(*counts).join(quantile.rank_weighted(weighted, keys, list(medians)), keys, "left")
-    return cold.unionByName(ranked)
+    return settled.unionByName(ranked)

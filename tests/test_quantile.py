@@ -93,3 +93,20 @@ def test_scale_conf_sizes_partitions():
     conf = scale_conf(100e12, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) > 300_000
     assert scale_conf(1e6, 8)["spark.sql.shuffle.partitions"] == "24"
+
+
+def test_groups_of_two_values_hold_no_value_lists(spark, monkeypatch):
+    """Beyond the bound of rows, only groups of more values go through the aggregate that holds them all."""
+    from parcelspark.operators import histogram, quantile
+    rows = [(g, float(v), None if v == 3 else float(g * v)) for g in range(40) for v in range(1 + g % 2)]
+    deep = [(100, float(v), float(v % 3)) for v in range(9)] + [(101, 5.0, None)] * 4 + [(102, 1.0, 1.0), (102, 4.0, float("nan")), (102, 4.0, -0.0)]
+    def run(data):
+        df = spark.createDataFrame(data, "g int, a double, b double")
+        held = histogram.value_histogram(df, {"x": histogram.Grain(["g"], {"a": "a", "b": "b"}, {"kind": F.lit("k")})}).cache()
+        return histogram.group_metrics(held, "x", ["g"], medians={"ma": "a", "mb": "b"}, distinct={"kinds": "kind"}, shares={"k": "k"})
+    whole = sorted(map(tuple, run(rows + deep).collect()))
+    for bound in (1, 10):
+        monkeypatch.setattr(quantile, "HOT_GROUP_ROWS", bound)
+        assert sorted(map(tuple, run(rows + deep).collect())) == whole
+    assert "percentile" not in run(rows)._jdf.queryExecution().toString()
+    assert "percentile" in run(rows + deep)._jdf.queryExecution().toString()
