@@ -156,4 +156,5 @@ def geocode_cascade(sales: DataFrame, with_suffix: DataFrame, without_suffix: Da
                    F.col("_lon").alias("longitude"), F.col("_lat").alias("latitude"),
                    F.when(F.col("_lon").isNotNull(), F.lit(SOURCE_LINK))
                     .otherwise(F.col("geocode_source")).alias("geocode_source")).select(*out_cols)
-    return done1.unionByName(done2).unionByName(t3)
+    # the tiers' partitions are of very unequal size, and later joins that are read where they were written keep that
+    return done1.unionByName(done2).unionByName(t3).hint("rebalance")

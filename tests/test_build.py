@@ -353,3 +353,10 @@ def test_ordered_tables_keep_their_order_over_files(spark, tmp_path):
     rows = sorted(read_in_order(spark, years).collect(), key=lambda r: r["position"])
     assert [(r["year"], r["k"] or 0) for r in rows] == sorted((r["year"], r["k"] or 0) for r in rows) and len(rows) == 5000
     assert read_in_order(spark, write_table(df.limit(0), str(tmp_path / "none"), order=["k"])).count() == 0
+
+
+def test_geocoded_rows_are_dealt_evenly(spark):
+    """The tiers' partitions differ much in size: what the cascade returns is dealt again, by size."""
+    from parcelspark.plans.queries import geocoded_sales
+    plan = geocoded_sales(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan
